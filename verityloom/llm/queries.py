@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verityloom.llm import near_duplicates, splitting
+from verityloom.llm import mixing, near_duplicates, neighbours, splitting
 from verityloom.session import table
 
 
@@ -30,7 +30,32 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*_p3(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "document_chunks"), "chunk_id", "embedding", min_similarity=0.9)
+    return neighbours.mutual_pairs(near, 0.9).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "document_chunks"), "chunk_id", "embedding")
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.token_counts(table(spark, d, "documents"), "doc_id", "source", "text"), table(spark, d, "source_mix_targets")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_p7(spark, d)).where("falls_short").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_p7(spark, d))
+
+
+def p7_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.curriculum(*_p7(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p7_found, p7_shares, p7_curriculum)}
 
 _WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
 ORACLES = {
@@ -49,4 +74,15 @@ s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lamb
 n as (select chunk_id, count(*) n from s group by 1),
 k as (select a.chunk_id a, b.chunk_id b, count(*) both_ from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
 select a chunk_id_a, b chunk_id_b from k join n na on na.chunk_id = a join n nb on nb.chunk_id = b where both_ >= 0.6 * (na.n + nb.n - both_)""",
+    "p5_found": """
+with v as (
+  select distinct chunk_id id, cast(embedding as double[64]) x from document_chunks
+  where embedding is not null and len(embedding) = 64 and list_max(list_transform(embedding, lambda e: abs(e))) > 0),
+s as (select a.id a, b.id b, array_cosine_similarity(a.x, b.x) c from v a join v b on a.id <> b.id),
+r as (select *, row_number() over (partition by a order by c desc, b) k from s)
+select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from r where k <= 5 and c >= 0.9""",
+    "p7_found": f"""
+with n as (select source, sum(len({_WORDS.format('text')})) n from documents group by 1),
+t as (select t.source, target_weight w, max_repeats r, coalesce(n.n, 0) n from source_mix_targets t left join n using (source))
+select source from t where n * r < w * (select sum(n) from t)""",
 }
