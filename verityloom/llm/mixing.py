@@ -64,8 +64,8 @@ def shares(counts: DataFrame, targets: DataFrame) -> DataFrame:
 def ramp(share: DataFrame, tilt: float = 0.5) -> DataFrame:
     """A schedule (source, time, factor): sources of great weight fade from 1 + tilt to 1 - tilt, those of small weight rise."""
     order = F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy("target_weight", "source"))
-    lean = (2 * order - 1) * tilt
-    return share.select("source", F.explode(F.array(F.struct(F.lit(0.0).alias("time"), (1 + lean).alias("factor")), F.struct(F.lit(1.0).alias("time"), (1 - lean).alias("factor")))).alias("s")).select("source", "s.*")
+    lean = (2 * F.col("order") - 1) * tilt
+    return share.select("source", order.alias("order")).select("source", F.explode(F.array(F.struct(F.lit(0.0).alias("time"), (1 + lean).alias("factor")), F.struct(F.lit(1.0).alias("time"), (1 - lean).alias("factor")))).alias("s")).select("source", "s.*")
 
 
 def _segments(share: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verityloom.llm import mixing, near_duplicates, neighbours, splitting
+from verityloom.llm import mixing, near_duplicates, neighbours, splitting, stuffing
 from verityloom.session import table
 
 
@@ -55,7 +55,19 @@ def p7_curriculum(spark: SparkSession, d: str) -> DataFrame:
     return mixing.curriculum(*_p7(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p7_found, p7_shares, p7_curriculum)}
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).where("stuffed").select(F.col("id").alias("doc_id"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p7_found, p7_shares, p7_curriculum, p8_found, p8_scores)}
 
 _WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
 ORACLES = {
