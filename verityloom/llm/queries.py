@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verityloom.llm import mixing, near_duplicates, neighbours, splitting, stuffing
+from verityloom.llm import leakage, mixing, near_duplicates, neighbours, splitting, stuffing
 from verityloom.session import table
 
 
@@ -39,6 +39,18 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "document_chunks"), "chunk_id", "embedding")
 
 
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "evaluation_items"), "item_id", ["question", "expected_supporting_passage"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).where("kind = 'verbatim'").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d)
+
+
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.token_counts(table(spark, d, "documents"), "doc_id", "source", "text"), table(spark, d, "source_mix_targets")
 
@@ -67,7 +79,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p7_found, p7_shares, p7_curriculum, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p6_found, p6_leaks, p7_found, p7_shares, p7_curriculum, p8_found, p8_scores)}
 
 _WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
 ORACLES = {
@@ -97,4 +109,11 @@ select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from r where k
 with n as (select source, sum(len({_WORDS.format('text')})) n from documents group by 1),
 t as (select t.source, target_weight w, max_repeats r, coalesce(n.n, 0) n from source_mix_targets t left join n using (source))
 select source from t where n * r < w * (select sum(n) from t)""",
+    "p6_found": f"""
+with q as (select item_id, unnest([question, expected_supporting_passage]) t from evaluation_items),
+iw as (select item_id, {_WORDS.format('t')} w from q),
+ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from iw where len(w) >= 12),
+dw as (select doc_id, {_WORDS.format('text')} w from documents),
+dg as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from dw where len(w) >= 12)
+select distinct doc_id, item_id from dg join ig using (g)""",
 }
