@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verityloom.plans import training
+from verityloom.plans import authority, retrieval, training
 
-MODULES = (training,)
+MODULES = (training, retrieval, authority)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
