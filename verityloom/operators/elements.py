@@ -77,13 +77,13 @@ def pack(df: DataFrame, doc: str, order: str, text: str, max_chars: int, joint:
 
 
 def fragments(text: Column) -> Column:
-    """array of (start, end): sentences with the white space after them; together they are the text."""
+    """array of (start, end): sentences with the ASCII white space after them; together they are the text."""
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def cut(s: pd.Series) -> pd.Series:
         import re
 
-        rx = re.compile(r"(?<=[.!?])\s+")
+        rx = re.compile(r"(?<=[.!?])\s+", re.ASCII)
 
         def one(t: str | None):
             if t is None:

@@ -43,7 +43,7 @@ def aggregate_metrics(per_question: DataFrame) -> DataFrame:
 def scorecard(facts: DataFrame, bucket: str, metric: str, hit: str, excluded: str) -> DataFrame:
     """Numerator, denominator, excluded and score per (bucket, metric) and over all buckets; the score is null over nothing."""
     sets = facts.groupingSets([[F.col(bucket), F.col(metric)], [F.col(metric)]], bucket, metric).agg(F.count_if(F.col(hit) & ~F.col(excluded)).alias("numerator"), F.count_if(~F.col(excluded)).alias("denominator"), F.count_if(F.col(excluded)).alias("excluded"), F.grouping(bucket).alias("g"))
-    return sets.select(F.when(F.col("g") == 1, "overall").otherwise(F.coalesce(bucket, F.lit("none"))).alias("bucket"), metric, "numerator", "denominator", "excluded", F.round(F.try_divide("numerator", "denominator"), 6).alias("score"))
+    return sets.select(F.when(F.col("g") == 1, "overall").otherwise(F.coalesce(bucket, F.lit("none"))).alias("bucket"), F.col(metric).alias("metric"), "numerator", "denominator", "excluded", F.round(F.try_divide("numerator", "denominator"), 6).alias("score"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, score: str, tolerance: float = 1e-9) -> DataFrame:

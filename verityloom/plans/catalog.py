@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verityloom.plans import authority, retrieval, training
+from verityloom.plans import authority, documents, graphs, retrieval, training
 
-MODULES = (training, retrieval, authority)
+MODULES = (training, retrieval, authority, graphs, documents)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
