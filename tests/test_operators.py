@@ -184,3 +184,37 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"a": 1}')
     assert files.read_contract(spark, str(tmp_path / "c.json"), "a int").first().a == 1
     assert files.markdown_table(spark.createDataFrame([("a|b", None)], "x string, y string")).endswith("| a\\|b |  |")
+
+
+def test_assembly(spark):
+    from verityloom.operators import assembly
+
+    items = spark.createDataFrame([("d", i, n) for i, n in enumerate([0, 1, 2, 1, 0, 2])], "doc string, o int, n int")
+    assert [r.parent_order for r in assembly.list_parents(items, "doc", "o", "n").orderBy("o").collect()] == [None, 0, 1, 0, None, 4]
+    t = spark.createDataFrame([("H", "s", None), (None, " ", None), (None, "s", "m")], "h string, s string, m string")
+    assert [r[0] for r in t.select(assembly.retrieval_text(F.col("h"), F.col("s"), F.col("m"))).collect()] == ["H\n\ns", None, "s\n\nModel-derived (unverified):\nm"]
+    a, b = (spark.createDataFrame([(x,) for x in s], "x string") for s in ("aab", "bc"))
+    assert tuple(assembly.same_sets(a, b).first()) == (1, 1, False) and assembly.same_sets(a, a).first().equal
+    with pytest.raises(ValueError, match="twice: a"):
+        assembly.no_duplicates(a, ["x"], "twice")
+    with pytest.raises(ValueError, match="bad: b, c"):
+        assembly.require_none(b, "x", "bad")
+    lines = spark.createDataFrame([(["the recovery", "plan ends"], "recovery plan"), (["recovery", "planned"], "recovery plan"), (["a+b"], "a+b")], "l array<string>, p string")
+    assert [r[0] for r in lines.select(assembly.phrase_in_lines(F.col("l"), F.col("p"))).collect()] == [True, False, True]
+    e = spark.createDataFrame([("g1", "a"), ("g1", "b"), ("g2", "z")], "g string, i string")
+    o = spark.createDataFrame([("o2", "a"), ("o1", "b"), ("o3", "c")], "g string, i string")
+    assert rows(assembly.best_overlap(e, o, "g", "i")) == [("g1", "o1", 1)]
+
+
+def test_streams(spark, tmp_path):
+    from verityloom.streaming import events
+
+    src = str(tmp_path / "in")
+    day = lambda n: dt.datetime(2020, 1, n)
+    schema = "u long, ts timestamp, k string"
+    for i, part in enumerate([[(1, day(1), "a"), (2, day(1), "b")], [(1, day(3), "a"), (1, day(2), "a")]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    assert rows(events.keep_latest(s, "t", ["u"], "ts").select("u", "ts")) == [(1, day(3)), (2, day(1))]
+    got = events.run_to_end(events.windowed_counts(s, "ts", ["k"], "1 day", "10 days"), "w")
+    assert rows(got) == [(day(1), "a", 1), (day(1), "b", 1), (day(2), "a", 1), (day(3), "a", 1)]

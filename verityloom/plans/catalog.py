@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verityloom.plans import authority, documents, graphs, retrieval, training
+from verityloom.plans import authority, documents, evidence, graphs, retrieval, training
 
-MODULES = (training, retrieval, authority, graphs, documents)
+MODULES = (training, retrieval, authority, graphs, documents, evidence)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["authority_aware_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
