@@ -38,6 +38,7 @@ _SPACE, _LINE, _STOP, _COMMA, _SLASH, _HYPHEN, _APOSTROPHE, _LIST = (1 << i for
 # The marks that tell what stands between two words.
 _MARKS = {_SPACE: " \t\r\u00a0\u2009\u202f", _LINE: "\n", _STOP: ".!?", _COMMA: ",;", _SLASH: "/=&?@", _HYPHEN: "-\u2010\u2011\u2013\u2212", _APOSTROPHE: "'\u2019", _LIST: ":|/\u2022\u00bb\u00ab\u00b7()[]<>{}\"#*"}
 
+SLICE = 1 << 17  # words that are scored at a time
 WINDOW = 15  # words over which surprise is averaged
 RUN = 8  # words since the last function word or identifier count up to this
 SIDE, NEEDED = 10, 2  # a word stands in prose if as many words on either side hold as many function words
@@ -128,35 +129,43 @@ def symbols(texts: list[str | None]) -> Iterator[Symbols]:
         yield Symbols(w.first, w.bounds, cls * len(BEFORE) + before)
 
 
-def _cells(symbol: np.ndarray) -> np.ndarray:
-    """The model cell of every word of one text: (previous symbol, run since a function word, class before that, symbol)."""
-    cls = symbol // len(BEFORE)
-    i = np.arange(len(symbol))
-    last = np.maximum.accumulate(np.where((cls < len(_KINDS)) | (cls == IDENTIFIER), i, -1))
+class Pages(NamedTuple):
+    """Words of several texts end to end, with where the text of each word begins and ends."""
+
+    bounds: np.ndarray
+    symbol: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+
+def _cells(p: Pages) -> np.ndarray:
+    """The model cell of every word: (previous symbol, run since a function word, class before that, symbol)."""
+    cls, i = p.symbol // len(BEFORE), np.arange(len(p.symbol))
+    last = np.maximum(p.begin - 1, np.maximum.accumulate(np.where((cls < len(_KINDS)) | (cls == IDENTIFIER), i, -1)))
     run = np.minimum(i - last, RUN - 1)
-    prev, prev_run = np.r_[0, symbol[:-1]], np.r_[0, run[:-1]]
-    before = np.r_[0, 0, cls[:-2]][: len(symbol)]
-    return ((prev * RUN + prev_run) * CLASSES + before) * SYMBOLS + symbol
+    first, second = i == p.begin, i <= p.begin + 1
+    prev, prev_run = np.where(first, 0, np.roll(p.symbol, 1)), np.where(first, 0, np.roll(run, 1))
+    return ((prev * RUN + prev_run) * CLASSES + np.where(second, 0, np.roll(cls, 2))) * SYMBOLS + p.symbol
 
 
-def _in_prose(symbol: np.ndarray) -> np.ndarray:
-    n, i = len(symbol), np.arange(len(symbol))
-    c = np.r_[0, np.cumsum(symbol // len(BEFORE) < len(_KINDS))]
-    left, right = c[i + 1] - c[np.maximum(0, i + 1 - SIDE)], c[np.minimum(n, i + SIDE)] - c[i]
-    return np.where(i + 1 < SIDE, right, np.where(i + SIDE > n, left, np.minimum(left, right))) >= NEEDED
+def _in_prose(p: Pages) -> np.ndarray:
+    i = np.arange(len(p.symbol))
+    c = np.r_[0, np.cumsum(p.symbol // len(BEFORE) < len(_KINDS))]
+    left, right = c[i + 1] - c[np.maximum(p.begin, i + 1 - SIDE)], c[np.minimum(p.end, i + SIDE)] - c[i]
+    return np.where(i + 1 < p.begin + SIDE, right, np.where(i + SIDE > p.end, left, np.minimum(left, right))) >= NEEDED
 
 
-def _scored(symbol: np.ndarray) -> np.ndarray:
+def _scored(p: Pages) -> np.ndarray:
     """Words that say something of the text's manner: all but identifiers and pieces of broken words."""
-    return symbol // len(BEFORE) < IDENTIFIER
+    return p.symbol // len(BEFORE) < IDENTIFIER
 
 
-def _smooth(surprise: np.ndarray, scored: np.ndarray) -> np.ndarray:
+def _smooth(surprise: np.ndarray, scored: np.ndarray, p: Pages) -> np.ndarray:
     """Mean surprise of the scored words of the window around each word; NaN where there are none."""
-    n, i = len(surprise), np.arange(len(surprise))
-    total, count = np.r_[0, np.cumsum(np.where(scored, surprise, 0))], np.r_[0, np.cumsum(scored)]
-    a = np.maximum(0, np.minimum(i - WINDOW // 2, n - WINDOW))
-    b = np.minimum(n, a + WINDOW)
+    i = np.arange(len(surprise))
+    total, count = np.r_[0, np.cumsum(np.where(scored, surprise, 0).astype(np.float64))], np.r_[0, np.cumsum(scored)]
+    a = np.maximum(p.begin, np.minimum(i - WINDOW // 2, p.end - WINDOW))
+    b = np.minimum(p.end, a + WINDOW)
     k = count[b] - count[a]
     return np.where(k > 0, (total[b] - total[a]) / np.maximum(k, 1), np.nan)
 
@@ -171,9 +180,17 @@ def fit(counts: np.ndarray) -> np.ndarray:
     return -np.log2(p3).ravel().astype(np.float32)
 
 
-def _rows(column: pa.Array) -> Iterator[np.ndarray]:
-    for v in column:
-        yield np.frombuffer(v.as_py(), dtype=np.uint8).astype(np.int64)
+def _pages(column: pa.Array) -> Iterator[Pages]:
+    """The texts of a binary column of symbols, some at a time; none is cut."""
+    off = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE, "right")) - 1)
+        bounds = off[a : b + 1] - off[a]
+        n = np.diff(bounds)
+        yield Pages(bounds, data[off[a] : off[b]].astype(np.int64), np.repeat(bounds[:-1], n), np.repeat(bounds[1:], n))
+        a = b
 
 
 def stuffed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -199,9 +216,9 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_HISTORIES * SYMBOLS, dtype=np.int64)
         for b in batches:
-            for s in _rows(b.column(0)):
-                if len(s):
-                    np.add.at(total, _cells(s)[_in_prose(s)], 1)
+            for p in _pages(b.column(0)):
+                cell, n = np.unique(_cells(p)[_in_prose(p)], return_counts=True)
+                total[cell] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
@@ -218,8 +235,9 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, dtype=np.int64)
         for b in batches:
-            for s in _rows(b.column(0)):
-                v = _smooth(model.value[_cells(s)], _scored(s))[_in_prose(s) & _scored(s)] if len(s) else np.zeros(0)
+            for p in _pages(b.column(0)):
+                use = _scored(p)
+                v = _smooth(model.value[_cells(p)], use, p)[_in_prose(p) & use]
                 total += np.bincount(np.minimum(BINS - 1, v / BIN).astype(np.int64), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(total)], names=["cell", "n"])
 
@@ -229,16 +247,15 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, bad, mean = np.zeros((3, b.num_rows))
-            for i, s in enumerate(_rows(b.column(1))):
-                words[i] = len(s)
-                use = _scored(s)
-                if not use.any():
-                    mean[i] = np.nan
-                    continue
-                surprise = model.value[_cells(s)]
-                v = _smooth(surprise, use)
-                bad[i], mean[i] = ((v > most) | (v < least))[use].sum(), surprise[use].mean()
+            found = []
+            for p in _pages(b.column(1)):
+                use, surprise = _scored(p), model.value[_cells(p)].astype(np.float64)
+                v = _smooth(surprise, use, p)
+                text = np.repeat(np.arange(len(p.bounds) - 1), np.diff(p.bounds))
+                of = lambda x: np.bincount(text, x, minlength=len(p.bounds) - 1)  # noqa: E731,B023
+                n = of(use)
+                found.append(np.stack([np.diff(p.bounds), of(((v > most) | (v < least)) & use), np.divide(of(np.where(use, surprise, 0)), n, out=np.full(len(n), np.nan), where=n > 0)]))
+            words, bad, mean = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.astype(np.int64)), pa.array(bad.astype(np.int64)), pa.array(mean, mask=np.isnan(mean)), pa.array(2 * bad > words)], names=["id", "words", "stuffed_words", "mean_surprise", "stuffed"])
 
     return pages.mapInArrow(score, f"id {key}, words long, stuffed_words long, mean_surprise double, stuffed boolean").distinct()
