@@ -1,0 +1,31 @@
+"""Every training-text query against its SQL on the smallest tables."""
+
+import os
+import sys
+
+import pandas as pd
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from tools.compare import canon
+from verityloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    if name in queries.ORACLES:
+        cur = con.sql(queries.ORACLES[name])
+        want = pd.DataFrame(cur.fetchall(), columns=cur.columns)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert canon(got) == canon(want)
+    else:
+        assert len(got) > 0

@@ -222,9 +222,11 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64,
     x = np.frombuffer(b"".join(sample), dtype=np.float16).reshape(-1, dim).astype(np.float32) if sample else np.eye(1, dim, dtype=np.float32)
     assigned = cut_lineage(_assign(reps.select("id", "v"), fit_lists(x, lists), dim, replicas, ratio))
     met = _spread(assigned).repartition("list").sortWithinPartitions("list").mapInArrow(_meet(k, dim, min_similarity), "id string, near array<string>, sims array<float>")
-    best = met.select("id", F.explode(F.arrays_zip("near", "sims")).alias("p")).groupBy("id", F.col("p.near").alias("near")).agg(F.max("p.sims").alias("sim"))
+    best = met.select("id", F.explode(F.arrays_zip("near", "sims")).alias("p")).where("id <> p.near").groupBy("id", F.col("p.near").alias("near")).agg(F.max("p.sims").alias("sim"))
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near"))
-    best = best.withColumn("rn", order).where(F.col("rn") <= k).select("id", "near", "sim")
+    best = best.withColumn("rank", order).where(F.col("rank") <= k).select("id", "near", "sim", "rank")
+    if shown.where("rn = 2").isEmpty():  # no vector occurs under two ids, so there is nothing to hand back to copies
+        return best.select("id", F.col("near").alias("neighbour"), "rank", F.least(F.lit(1.0), F.col("sim").cast("double")).alias("similarity"))
     copies = shown.groupBy("vid").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
     few = copies.select(F.col("ids")[0].alias("rep"), "ids")
     # neighbours that stand for copies are replaced by them
