@@ -25,6 +25,7 @@ SAMPLE = 65_536  # most vectors that the centroids are fitted on
 MAX_LISTS = 16_384  # with SAMPLE it bounds what the driver holds and broadcasts: 16,384 x 64 floats and the graph, 5 MB
 BLOCK = 8_192
 DEGREE = 16
+ENTRIES = 4_096  # centroids that a walk is begun from, picked by hash
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +77,28 @@ def fit_lists(x: np.ndarray, lists: int, rounds: int = 8) -> tuple[np.ndarray, n
         c[use] = total[use] / norm[use, None]
     degree = min(DEGREE, lists)
     graph = np.concatenate([np.argpartition(-(c[i : i + 1024] @ c.T), degree - 1, axis=1)[:, :degree] for i in range(0, lists, 1024)])
-    entries = np.argsort(mix(np.arange(lists, dtype=np.uint64) + np.uint64(5)))[: min(lists, int(4 * np.ceil(np.sqrt(lists))))]
+    entries = np.argsort(mix(np.arange(lists, dtype=np.uint64) + np.uint64(5)))[: min(lists, ENTRIES)]
     return c, graph.astype(np.int32), entries.astype(np.int32)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 16, expand: int = 4, hops: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(list ids, cosines) of about the nearest `want` centroids of each query, best first; -1 where there are fewer."""
+def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 24, expand: int = 8, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(list ids, cosines) of about the nearest `want` centroids of each query, best first; -1 where there are fewer.
+
+    The walk begins at the best of all entry points, goes on to the neighbours of the best not yet left, and ends when a
+    step betters no query's beam.
+    """
     beam = max(beam, want)
     rows = np.arange(len(q))[:, None]
     s = q @ c[entries].T
-    top = np.argsort(-s, axis=1)[:, :beam]
+    top = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
     ids, sims = entries[top], np.take_along_axis(s, top, 1)
     done = np.full((len(q), 0), -1, dtype=np.int32)
     for _ in range(hops):
         fresh = ~(ids[:, :, None] == done[:, None, :]).any(2)
         pick = np.argsort(~fresh, axis=1, kind="stable")[:, :expand]
         at = ids[rows, pick]
-        done = np.concatenate([done, at], axis=1)
+        done, least = np.concatenate([done, at], axis=1), sims[:, -1].copy()
         around = graph[at].reshape(len(q), -1)
         found = np.einsum("ijk,ik->ij", c[around], q)
         ids, sims = np.concatenate([ids, around], axis=1), np.concatenate([sims, found], axis=1)
@@ -101,6 +107,8 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, w
         sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
         order = np.argsort(-sims, axis=1)[:, :beam]
         ids, sims = ids[rows, order], sims[rows, order]
+        if sims.shape[1] == top.shape[1] and not (sims[:, -1] > least).any():
+            break
     return np.where(sims > -9, ids, -1)[:, :want], sims[:, :want]
 
 
@@ -196,7 +204,7 @@ def _spread(assigned: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.concat(own, F.coalesce(others, F.array()))).alias("m"), "id", "v").select("m.*", "id", "v")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64, list_rows: int = 900, replicas: int = 4, ratio: float = 1.25, min_similarity: float = -1.0) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64, list_rows: int = 900, replicas: int = 5, ratio: float = 1.25, min_similarity: float = -1.0) -> DataFrame:
     """(id, neighbour, rank, similarity): for every id the k other ids of greatest cosine, ties by id.
 
     min_similarity leaves out neighbours below it before anything is merged; the ranks of the others are the same.
