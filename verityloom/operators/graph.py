@@ -38,7 +38,7 @@ def build_graph(relations: DataFrame, source: str) -> tuple[DataFrame, DataFrame
 
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, distance): steps from the nearest seed along edges in either direction, up to max_depth."""
-    near = adjacency(edges).select("node", "next").distinct()
+    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
     seen = cut_lineage(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
     front = seen
     for step in range(1, max_depth + 1):
@@ -58,7 +58,7 @@ def edge_hops(edges: DataFrame, dist: DataFrame) -> DataFrame:
 
 def maximal_paths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(seed, leaf, depth, path): paths of the breadth-first trees that nothing continues; of several parents the least id."""
-    near = adjacency(edges).select("node", "next").distinct()
+    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
     seen = cut_lineage(seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("node").alias("path")))
     front = seen
     for step in range(1, max_depth + 1):
@@ -77,7 +77,7 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, max_edges: int, ceiling: in
 
     Raises once a level brings the total above the ceiling, before the next level is built.
     """
-    near = adjacency(edges).select("node", "next").distinct()
+    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
     front = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct()
     out, total = None, 0
     for step in range(1, max_edges + 1):
