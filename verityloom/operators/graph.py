@@ -17,6 +17,14 @@ def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     return edges.select(F.col(src).alias("node"), F.col(dst).alias("next"), F.lit("out").alias("direction")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("next"), F.lit("in").alias("direction")))
 
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """(node, next), cached by node: each step of a traversal joins it where it lies and shuffles only its frontier.
+
+    Blocks lost with an executor are worked out again from the edges.
+    """
+    return adjacency(edges).select("node", "next").distinct().repartition("node").persist()
+
+
 def extract_relations(df: DataFrame, keep: list[str], text: str, patterns: dict[str, str]) -> DataFrame:
     """(keep..., subject, predicate, object): every match of every two-group pattern in the text."""
     found = [df.select(*keep, F.lit(p).alias("predicate"), F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), 1).alias("s"), F.regexp_extract_all(text, F.lit(rx), 2).alias("o"))).alias("m")) for p, rx in patterns.items()]
@@ -38,7 +46,7 @@ def build_graph(relations: DataFrame, source: str) -> tuple[DataFrame, DataFrame
 
 def distances(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, distance): steps from the nearest seed along edges in either direction, up to max_depth."""
-    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
+    near = _neighbours(edges)
     seen = cut_lineage(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
     front = seen
     for step in range(1, max_depth + 1):
@@ -58,7 +66,7 @@ def edge_hops(edges: DataFrame, dist: DataFrame) -> DataFrame:
 
 def maximal_paths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(seed, leaf, depth, path): paths of the breadth-first trees that nothing continues; of several parents the least id."""
-    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
+    near = _neighbours(edges)
     seen = cut_lineage(seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("node").alias("path")))
     front = seen
     for step in range(1, max_depth + 1):
@@ -77,7 +85,7 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, max_edges: int, ceiling: in
 
     Raises once a level brings the total above the ceiling, before the next level is built.
     """
-    near = cut_lineage(adjacency(edges).select("node", "next").distinct())  # read once per step, worked out once
+    near = _neighbours(edges)
     front = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path")).distinct()
     out, total = None, 0
     for step in range(1, max_edges + 1):
