@@ -20,6 +20,37 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a1.isNull() | (b0 < a1)) & (b1.isNull() | (a0 < b1))
 
 
+#: Days lie on an axis of 2^22 days that begins before the first date; cells of level n are 8^n days wide, and there are LEVELS.
+_ZERO, _END, LEVELS = 1 << 20, 1 << 22, 8
+
+
+def _day(c: Column) -> Column:
+    return F.unix_date(c.cast("date")) + _ZERO
+
+
+def _cells_of(start: Column, end: Column) -> Column:
+    """The fewest cells that together are the days start <= day < end, at most 14 of each level; a null end is open."""
+    none = F.array().cast("array<int>")
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    number = lambda n: lambda c: c + n * _END
+    s, e = _day(start), F.least(F.coalesce(_day(end), F.lit(_END)), F.lit(_END))
+    lo = [F.shiftright(s + ((1 << 3 * n) - 1), 3 * n) for n in range(LEVELS)]
+    hi = [F.shiftright(e, 3 * n) for n in range(LEVELS)]
+    out = []
+    for n in range(LEVELS):
+        cells = span(lo[n], hi[n])
+        if n + 1 < LEVELS:
+            a, b = lo[n + 1] * 8, hi[n + 1] * 8
+            cells = F.when(a < b, F.concat(span(lo[n], a), span(b, hi[n]))).otherwise(cells)
+        out.append(F.transform(cells, number(n)))
+    return F.flatten(F.array(*out))
+
+
+def _cells_with(day: Column) -> Column:
+    """The cells that a day lies in, one of each level: a period covers the day where just one of them is a cell of the period."""
+    return F.array(*(F.shiftright(_day(day), 3 * n) + n * _END for n in range(LEVELS)))
+
+
 def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Each point with the period of its key that began last on or before its day, if that still covers it.
 
@@ -37,11 +68,16 @@ def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key:
     return got.select("_p.*", *(F.col(f"_q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols))
 
 
-def overlapping_neighbours(df: DataFrame, key: str, row_id: str, start: str, end: str) -> DataFrame:
-    """(key, first_id, second_id): periods that overlap the one before them in the order of their start."""
-    w = Window.partitionBy(key).orderBy(start, F.col(end).asc_nulls_last(), row_id)
-    x = df.withColumn("_s", F.lag(start).over(w)).withColumn("_e", F.lag(end).over(w)).withColumn("_i", F.lag(row_id).over(w))
-    return x.where(F.col("_i").isNotNull() & overlap(F.col("_s"), F.col("_e"), F.col(start), F.col(end))).select(key, F.col("_i").alias("first_id"), F.col(row_id).alias("second_id"))
+def overlapping_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str) -> DataFrame:
+    """(key, first_id, second_id): every two periods of a key that overlap, in the order of their start, end and id.
+
+    Of two that overlap the first covers the day on which the second begins, so days meet periods in the one cell that they
+    share: an equality join on key and cell, which also splits a key of many periods. Days are dates; a null start meets nothing.
+    """
+    at = lambda x: F.struct(F.col(f"{x}s"), F.col(f"{x}e").isNull(), F.col(f"{x}e"), F.col(f"{x}i"))
+    side = lambda x, cells: df.select(F.col(key).alias("_k"), F.col(start).alias(f"{x}s"), F.col(end).alias(f"{x}e"), F.col(row_id).alias(f"{x}i"), F.explode(cells).alias("_c")).where(F.col(f"{x}s").isNotNull())
+    pairs = side("a", _cells_of(F.col(start), F.col(end))).join(side("b", _cells_with(F.col(start))), ["_k", "_c"])
+    return pairs.where((at("a") < at("b")) & overlap(F.col("as"), F.col("ae"), F.col("bs"), F.col("be"))).select(F.col("_k").alias(key), F.col("ai").alias("first_id"), F.col("bi").alias("second_id"))
 
 
 def chain_problems(periods: DataFrame, registry: DataFrame, doc: str, revision: str, start: str, end: str, predecessor: str, reason: str) -> DataFrame:
@@ -49,7 +85,7 @@ def chain_problems(periods: DataFrame, registry: DataFrame, doc: str, revision:
 
     orphaned_period: a revision that is not registered. period_document_mismatch: registered for another document.
     missing_predecessor: a predecessor that has no period in the document. missing_successor / ambiguous_successor: a
-    period closed as superseded to which no period, or more than one, is attached at its end.
+    period closed as superseded or by rollback to which no period, or more than one, is attached at its end.
     """
     p = periods.select(F.col(doc).alias("d"), F.col(revision).alias("r"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(predecessor).alias("pre"), F.col(reason).alias("why")).distinct()
     reg = registry.select(F.col(revision).alias("r"), F.col(doc).alias("rd")).distinct()
@@ -58,6 +94,6 @@ def chain_problems(periods: DataFrame, registry: DataFrame, doc: str, revision:
     has = p.select("d", F.col("r").alias("pre")).distinct()
     missing = p.where("pre is not null").join(has, ["d", "pre"], "left_anti").select(F.lit("missing_predecessor"), "d", "r")
     follow = p.where("pre is not null").groupBy("d", F.col("pre").alias("r"), F.col("s").alias("e")).agg(F.count_distinct("r").alias("n"))
-    closed = p.where("e is not null and why = 'superseded'").join(follow, ["d", "r", "e"], "left")
+    closed = p.where("e is not null and why in ('superseded', 'rollback')").join(follow, ["d", "r", "e"], "left")
     bad = closed.where("coalesce(n, 0) <> 1").select(F.when(F.coalesce("n", F.lit(0)) == 0, "missing_successor").otherwise("ambiguous_successor"), "d", "r")
     return orphan.union(mismatch).union(missing).union(bad).select("problem", F.col("d").alias(doc), F.col("r").alias(revision)).distinct()

@@ -23,7 +23,7 @@ def authority_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 def overlapping_periods(spark: SparkSession, d: str) -> DataFrame:
     p = temporal.real(_periods(spark, d), FROM, TO).select(DOC, "authority_period_id", FROM, TO).dropDuplicates(["authority_period_id"])
-    return temporal.overlapping_neighbours(p, DOC, "authority_period_id", FROM, TO)
+    return temporal.overlapping_pairs(p, DOC, "authority_period_id", FROM, TO)
 
 
 def chain_integrity(spark: SparkSession, d: str) -> DataFrame:
