@@ -30,3 +30,16 @@ def test_rollback_needs_a_successor(spark):
     reg = spark.createDataFrame([("r1", "d"), ("r2", "d")], "rev string, doc string")
     got = {(r.problem, r.rev) for r in temporal.chain_problems(p, reg, "doc", "rev", "f", "t", "pre", "why").collect()}
     assert got == {("missing_successor", "r1")}
+
+
+def test_as_of_takes_an_earlier_period_that_still_covers_the_day(spark):
+    rows = some_periods()
+    far = lambda t: t or dt.date.max
+    points = [(i, k, day(n)) for i, (k, n) in enumerate((k, n) for k in "abcd" for n in range(-60, 1700, 3))]
+    want = {}
+    for i, k, d in points:
+        best = max(((f, far(t)) for p, _, f, t in rows if p == k and f <= d < far(t)), default=None)
+        want[i] = best and best[0], best and (None if best[1] == dt.date.max else best[1])
+    x = spark.createDataFrame(points, "n int, k string, d date")
+    got = temporal.as_of(x, "k", "d", spark.createDataFrame(rows, "k string, id int, f date, t date").drop("id"), "k", "f", "t")
+    assert {r.n: (r.f, r.t) for r in got.collect()} == want

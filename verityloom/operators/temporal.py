@@ -52,20 +52,20 @@ def _cells_with(day: Column) -> Column:
 
 
 def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Each point with the period of its key that began last on or before its day, if that still covers it.
+    """Each point with the period of its key that covers its day; of several the one that began last, then the one that ends last.
 
-    One sorted pass over the union of points and periods per key, in place of an inequality join: periods of a key that
-    overlap are no pairs here. Points without a period have nulls. The columns of periods come back as they are.
+    Days are dates. Periods are cut into cells of the time axis and each cell keeps the best period that covers all of it,
+    so a point looks up LEVELS cells by equality however many periods of a key overlap. Points without a period have nulls.
+    The columns of periods, which must have an order, come back as they are.
     """
     real_ = real(periods, start, end)
     cols = [c for c in periods.columns if c != key]
-    left = points.select(F.col(point_key).alias("_k"), F.col(day).alias("_d"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(real_.select(F.struct(*cols)).dtypes[0][1]).alias("_q"))
-    right = real_.select(F.col(key).alias("_k"), F.col(start).alias("_d"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"), F.struct(*cols).alias("_q"))
-    w = Window.partitionBy("_k").orderBy("_d", "_side", F.col(f"_q.{end}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    got = left.unionByName(right).withColumn("_q", F.last("_q", ignorenulls=True).over(w)).where("_side = 1")
-    ok = covers(F.col("_d"), F.col(f"_q.{start}"), F.col(f"_q.{end}"))
-    got = got.withColumn("_q", F.when(ok, F.col("_q")))
-    return got.select("_p.*", *(F.col(f"_q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols))
+    best = F.max(F.struct(F.col(start).alias("s"), F.col(end).isNull().alias("open"), F.col(end).alias("e"), F.struct(*cols).alias("q"))).alias("_b")
+    cells = real_.select(F.col(key).alias("_k"), F.explode(_cells_of(F.col(start), F.col(end))).alias("_c"), *cols).groupBy("_k", "_c").agg(best)
+    asked = points.select(F.col(point_key).alias("_k"), F.col(day).alias("_d")).where("_k is not null and _d is not null").distinct()
+    got = asked.withColumn("_c", F.explode(_cells_with(F.col("_d")))).join(cells, ["_k", "_c"]).groupBy("_k", "_d").agg(F.max("_b").alias("_b"))
+    left = points.select(F.struct(*points.columns).alias("_p"), F.col(point_key).alias("_k"), F.col(day).alias("_d"))
+    return left.join(got, ["_k", "_d"], "left").select("_p.*", *(F.col(f"_b.q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols))
 
 
 def overlapping_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str) -> DataFrame:
