@@ -102,6 +102,27 @@ def one_to_one(expected: DataFrame, observed: DataFrame, keys: list[str], order_
     return nth(expected, order_expected, "expected").join(nth(observed, order_observed, "observed"), [*keys, "ordinal"], "full_outer")
 
 
+def matched_by_value(expected: DataFrame, observed: DataFrame, keys: list[str], value: str, position: list[str]) -> DataFrame:
+    """(keys, value, expected, observed): one-to-one matches of equal value within a key, at the same position where there is one.
+
+    expected and observed are structs of the position columns; null where one side has no more. Equal positions are matched
+    first, the others in order of position. Null keys, values and positions are equal to each other.
+    """
+    on = [*keys, value]
+    nth = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*on, *by).orderBy(*position)))
+
+    def pair(a: DataFrame, b: DataFrame, by: list[str], how: str) -> DataFrame:
+        a = nth(a, *by).select(*(F.col(c).alias(f"_a{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("expected"))
+        b = nth(b, *by).select(*(F.col(c).alias(f"_b{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("observed"))
+        j = a.join(b, [F.col(f"_a{c}").eqNullSafe(F.col(f"_b{c}")) for c in [*on, *by, "_n"]], how)
+        return j.select(*(F.when(F.col("expected").isNull(), F.col(f"_b{c}")).otherwise(F.col(f"_a{c}")).alias(c) for c in on), "expected", "observed")
+
+    same = pair(expected, observed, position, "full_outer")
+    left = same.where("observed is null").select(*on, "expected.*")
+    right = same.where("expected is null").select(*on, "observed.*")
+    return same.where("expected is not null and observed is not null").unionByName(pair(left, right, [], "full_outer"))
+
+
 def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, doc: str, text: str, limit: int = 100_000) -> DataFrame:
     """(needle_id, doc): which needles stand in which texts, by one pass of an automaton of all needles over each text.
 

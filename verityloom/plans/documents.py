@@ -94,11 +94,11 @@ def miss_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_match(spark: SparkSession, d: str) -> DataFrame:
-    """The quantities of each order and part on odd lines matched one to one with those on even lines."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
-    a, b = li.where("l_linenumber % 2 = 1"), li.where("l_linenumber % 2 = 0")
-    m = elements.one_to_one(a.select("l_orderkey", F.col("q").alias("qa")), b.select("l_orderkey", F.col("q").alias("qb")), ["l_orderkey"], "qa", "qb")
-    return m.groupBy("l_orderkey").agg(F.count_if(F.col("expected") == F.col("observed")).alias("equal"), F.count_if(F.col("observed").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra"))
+    """The quantities of each order on odd lines matched one to one with equal ones on even lines, the pair of lines (1, 2), (3, 4) ... first."""
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"), F.expr("cast((l_linenumber + 1) div 2 as int)").alias("row"), "l_linenumber")
+    a, b = li.where("l_linenumber % 2 = 1").drop("l_linenumber"), li.where("l_linenumber % 2 = 0").drop("l_linenumber")
+    m = elements.matched_by_value(a, b, ["l_orderkey"], "q", ["row"])
+    return m.groupBy("l_orderkey").agg(F.count_if(F.col("expected").isNotNull() & F.col("observed").isNotNull()).alias("equal"), F.count_if(F.col("observed").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra"))
 
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
