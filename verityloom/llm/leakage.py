@@ -5,7 +5,8 @@ passage. Hashed TF-IDF rows of all passages go through a distributed randomised
 a random test matrix and back, the products are summed by rows of the term table, and their orthonormal basis is the latent
 space. Windows of the test items are searched among all passages by cosine there. The threshold is calibrated on the
 items themselves, as their runs of BLOCK words look between words of the corpus. Candidates are then checked exactly: for
-runs of consecutive words of an item, and for paraphrases by answer words and longest common subsequence.
+runs of consecutive words of an item, and for paraphrases by answer words and longest common subsequence. Pairs that are no
+candidates are checked for runs too, so no run depends on the threshold.
 """
 
 from __future__ import annotations
@@ -299,6 +300,7 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, near: flo
             for start, words, bounds in _parts(*_texts(b.column(1))):
                 p, best, close = candidates(words, bounds, basis, q, first)
                 runs = consecutive(words, bounds, q, best >= q.least)
+                runs |= consecutive(words, bounds, q, best < q.least)  # the threshold only orders the work: no run is left out
                 found = [(d, t, "verbatim", n, 0.0, 0.0) for (d, t), n in runs.items()]
                 found += [(d, t, "paraphrase", 0, lcs, answers) for d, t, lcs, answers in paraphrases(words, bounds, p, q, close, runs)]
                 rows += [start + f[0] for f in found]
@@ -316,7 +318,8 @@ def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts
     the most; else 'paraphrase', if the passage nearest to the item, with a cosine of at least `near`, has at least
     min_answers of its rarest words and a common subsequence of at least min_lcs of the shorter of the two. One row per
     document and item. Verbatim candidates are the pairs above a cosine that keeps the share `keep` of the items' runs of
-    BLOCK words set alone between other words, the hardest case; longer runs, which fill a passage, lie far above it.
+    BLOCK words set alone between other words, the hardest case; longer runs, which fill a passage, lie far above it. The
+    pairs below it are then checked for the same runs, so that every run is found whatever its cosine.
 
     Words are compared as 32-bit hashes. Null, empty and short texts, of documents or items, match nothing; items of
     fewer than BLOCK words are not searched. Rows with a null item are left out. Repeated rows count once. Ids of documents
