@@ -277,18 +277,20 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, near: flo
         return longest
 
     def paraphrases(words: np.ndarray, bounds: np.ndarray, p: Passages, q: Queries, close: np.ndarray, known: dict) -> Iterator[tuple[int, int, float, float]]:
-        """(document, test text, common subsequence, answer words) of the best passage of each pair without a common run."""
-        close = close[np.lexsort((-close[:, 2], close[:, 1], p.text[close[:, 0]]))]
-        pair = np.stack([p.text[close[:, 0]], close[:, 1]], axis=1)
-        for i in np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)] if len(pair) else []):
-            d, t = map(int, pair[i])
-            at = p.start[p.left[close[i, 0]]]
+        """(document, test text, common subsequence, answer words) of the best of the passages that pass, of each pair without a common run."""
+        best: dict[tuple[int, int], tuple[float, float]] = {}
+        for i, t in close[:, :2].tolist():
+            d = int(p.text[i])
+            if (d, t) in known:
+                continue
+            at = p.start[p.left[i]]
             around, rare = words[max(bounds[d], at - BLOCK) : min(bounds[d + 1], at + 3 * BLOCK)], q.rare[t]
             answers = float(np.isin(rare, around).mean())
-            if (d, t) not in known and answers >= min_answers:
+            if answers >= min_answers:
                 lcs = common_subsequence(q.words[t], around) / min(len(q.words[t]), len(around))
                 if lcs >= min_lcs:
-                    yield d, t, lcs, answers
+                    best[d, t] = max(best.get((d, t), (0.0, 0.0)), (lcs, answers))
+        yield from ((d, t, lcs, answers) for (d, t), (lcs, answers) in best.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, q = shared.value
@@ -315,9 +317,9 @@ def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts
     """(doc, item, kind, run_words, lcs_share, answer_share, cosine): the items found in each document.
 
     kind is 'verbatim' if the document holds at least BLOCK consecutive words of one of the item's texts, run_words being
-    the most; else 'paraphrase', if the passage nearest to the item, with a cosine of at least `near`, has at least
-    min_answers of its rarest words and a common subsequence of at least min_lcs of the shorter of the two. One row per
-    document and item. Verbatim candidates are the pairs above a cosine that keeps the share `keep` of the items' runs of
+    the most; else 'paraphrase', if a passage with a cosine of at least `near` has at least min_answers of the
+    item's rarest words and a common subsequence of at least min_lcs of the shorter of the two; of several such passages the
+    one with the longest common subsequence counts. cosine is that of the nearest passage. One row per document and item. Verbatim candidates are the pairs above a cosine that keeps the share `keep` of the items' runs of
     BLOCK words set alone between other words, the hardest case; longer runs, which fill a passage, lie far above it. The
     pairs below it are then checked for the same runs, so that every run is found whatever its cosine.
 
