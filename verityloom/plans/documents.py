@@ -61,14 +61,14 @@ def status_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences of each document's first identifier that are not part of a longer one."""
-    ids = _docs(spark, d).select("doc_id", "text", F.regexp_extract("text", r"([A-Z]{1,6}-[0-9]+[a-z]?)", 1).alias("identifier")).where("identifier <> ''")
+    """Occurrences of each of a document's identifiers that are not part of a longer one."""
+    ids = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]{1,6}-[0-9]+[a-z]?)"), 1))).alias("identifier"))
     return ids.select("doc_id", "identifier", text.occurrences(F.col("text"), F.col("identifier")).cast("long").alias("n"))
 
 
 def passage_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the first sentence of a test passage, and how often each is found."""
-    n = table(spark, d, "evaluation_items").select("item_id", F.regexp_extract("expected_supporting_passage", r"^([^.]+)\.", 1).alias("needle"))
+    """Documents that hold a whole test passage, and how often each is found."""
+    n = table(spark, d, "evaluation_items").select("item_id", F.col("expected_supporting_passage").alias("needle"))
     return elements.contained(n, "item_id", "needle", _docs(spark, d), "doc_id", "text").groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
