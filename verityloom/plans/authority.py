@@ -64,16 +64,15 @@ problems as (
   select 'orphaned_period' problem, d, r from p where r not in (select r from reg where r is not null)
   union select 'period_document_mismatch', d, p.r from p join reg using (r) where d <> rd
   union select 'missing_predecessor', d, r from p where pre is not null and not exists (select 1 from p q where q.d = p.d and q.r = p.pre)
-  union select case when coalesce(n, 0) = 0 then 'missing_successor' else 'ambiguous_successor' end, d, r from p left join f using (d, r, e) where e is not null and why = 'superseded' and coalesce(n, 0) <> 1)
+  union select case when coalesce(n, 0) = 0 then 'missing_successor' else 'ambiguous_successor' end, d, r from p left join f using (d, r, e) where e is not null and why in ('superseded', 'rollback') and coalesce(n, 0) <> 1)
 """
 ORACLES = {
-    "authority_as_of": f"""with x as (select doc_id, d.logical_document_id, cast(created_at as date) as day, p.effective_from, p.effective_to,
-    row_number() over (partition by doc_id order by p.effective_from desc nulls last, p.effective_to desc nulls first) rn
-  from documents d left join (select * from {_P} where {_REAL}) p on p.logical_document_id = d.logical_document_id and p.effective_from <= cast(created_at as date))
-select doc_id, logical_document_id, day, case when effective_to is null or day < effective_to then effective_from end effective_from, case when effective_to is null or day < effective_to then effective_to end effective_to from x where rn = 1""",
-    "overlapping_periods": f"""with p as (select distinct logical_document_id, authority_period_id, effective_from f, effective_to t from {_P} where {_REAL}),
-x as (select *, lag(f) over w pf, lag(t) over w pt, lag(authority_period_id) over w i from p window w as (partition by logical_document_id order by f, t nulls last, authority_period_id))
-select logical_document_id, i first_id, authority_period_id second_id from x where i is not null and (pt is null or f < pt) and (t is null or pf < t)""",
+    "authority_as_of": f"""select doc_id, logical_document_id, day, effective_from, effective_to from (
+  select doc_id, d.logical_document_id, d.day, p.effective_from, p.effective_to, row_number() over (partition by doc_id order by p.effective_from desc nulls last, p.effective_to desc nulls first) rn
+  from (select doc_id, logical_document_id, cast(created_at as date) as day from documents) d
+  left join (select * from {_P} where {_REAL}) p on p.logical_document_id = d.logical_document_id and p.effective_from <= d.day and (p.effective_to is null or d.day < p.effective_to)) where rn = 1""",
+    "overlapping_periods": f"""with p as (select distinct logical_document_id k, authority_period_id i, effective_from f, coalesce(effective_to, date '9999-12-31') t from {_P} where {_REAL})
+select a.k logical_document_id, a.i first_id, b.i second_id from p a join p b on a.k = b.k and a.f < b.t and b.f < a.t and (a.f, a.t, a.i) < (b.f, b.t, b.i)""",
     "chain_integrity": f"with {_CHAIN} select problem, d logical_document_id, r document_revision_id from problems",
     "integrity_summary": f"with {_CHAIN} select problem, count(*) revisions, count(distinct d) documents from problems group by 1",
     "days_in_force": f"""with p as (select distinct authority_period_id, document_revision_id, effective_from f, effective_to t from {_P} where {_REAL}), n as (select max(f) m from p)

@@ -129,14 +129,13 @@ ORACLES = {
     "fragment_split": "select doc_id, cast(len(string_split(regexp_replace(regexp_replace(text, '\\s+$', ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as bigint) sentences, true whole from documents",
     "normalised_text": f"select doc_id, sha256({_SQUASH.format('text')}) normal_hash from documents",
     "status_labels": "select doc_id, array_to_string(list_filter(" + str(LABELS) + ", lambda x: contains(lower(text), x)), ',') labels from documents",
-    "passage_alignment": "with n as (select item_id, regexp_extract(expected_supporting_passage, '^([^.]+)\\.', 1) needle from evaluation_items) select item_id, count(*) documents, min(doc_id) first_doc from n join documents on contains(text, needle) where needle <> '' group by 1",
+    "passage_alignment": "select item_id, count(*) documents, min(doc_id) first_doc from evaluation_items join documents on contains(text, expected_supporting_passage) where expected_supporting_passage <> '' group by 1",
     "metric_grouping_sets": """with f as (select document_type, 'language' metric, lang is not null hit, false excluded from documents union all select document_type, 'source', source is not null, false from documents union all select document_type, 'revision', coalesce(starts_with(document_revision_id, 'REV'), false), document_revision_id is null from documents)
 select case when grouping(document_type) = 1 then 'overall' else coalesce(document_type, 'none') end bucket, metric, count(*) filter (hit and not excluded) numerator, count(*) filter (not excluded) denominator, count(*) filter (excluded) excluded, round(count(*) filter (hit and not excluded) / nullif(count(*) filter (not excluded), 0), 6) score
 from f group by grouping sets ((document_type, metric), (metric))""",
     "miss_ledger": "select doc_id, unnest(list_filter([case when document_revision_id is null then 'document_revision_id' end, case when lang is null then 'lang' end, case when source is null then 'source' end, case when source_path is null then 'source_path' end], lambda x: x is not null)) missing from documents",
-    "cell_match": """with a as (select l_orderkey, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by cast(l_quantity as bigint)) n from lineitem where l_linenumber % 2 = 1),
-b as (select l_orderkey, cast(l_quantity as bigint) q, row_number() over (partition by l_orderkey order by cast(l_quantity as bigint)) n from lineitem where l_linenumber % 2 = 0)
-select l_orderkey, count(*) filter (a.q = b.q) equal, count(*) filter (b.q is null) missing, count(*) filter (a.q is null) extra from a full join b using (l_orderkey, n) group by 1""",
+    "cell_match": """with n as (select l_orderkey, l_quantity, count(*) filter (l_linenumber % 2 = 1) a, count(*) filter (l_linenumber % 2 = 0) b from lineitem group by 1, 2)
+select l_orderkey, cast(sum(least(a, b)) as bigint) equal, cast(sum(a - least(a, b)) as bigint) missing, cast(sum(b - least(a, b)) as bigint) extra from n group by 1""",
     "stream_window_counts": "select date_trunc('day', ts)::timestamp window_start, event_type, count(*) n from events group by 1, 2",
     "stream_upsert": "select user_id, max(ts) ts from events group by 1",
 }
