@@ -24,15 +24,21 @@ def brute(nodes, edges):
     return out
 
 
-def run(spark, nodes, edges):
+def run(spark, nodes, edges, **kw):
     n = spark.createDataFrame([(x, "a") for x in nodes], "id string, root string")
     e = spark.createDataFrame([(c, p, 1) for c, p in edges], "c string, p string, depth int")
-    return tree(n, "id", e, "c", "p")
+    return tree(n, "id", e, "c", "p", **kw)
 
 
 def check(spark, nodes, edges):
+    for chunk in (1 << 18, 20, 5):  # all in one chunk; links between chunks; groups that do not fit in one chunk
+        got = once(spark, nodes, edges, chunk=chunk, near="root")
+    return got
+
+
+def once(spark, nodes, edges, **kw):
     want = brute(nodes, edges)
-    got = run(spark, nodes, edges).collect()
+    got = run(spark, nodes, edges, **kw).collect()
     assert {r.node: (r.parent, r.root, r.depth, r.path) for r in got} == want
     assert len(got) == len(want)
     under = {v: {u for u, (_, _, _, path) in want.items() if path and path.startswith(x[3] + "/") and u != v} for v, x in want.items() if x[3]}

@@ -24,7 +24,7 @@ def p1_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _revisions(spark: SparkSession, d: str, with_path: bool) -> DataFrame:
-    return hierarchy.tree(table(spark, d, "edib_document_revision_registry"), "document_revision_id", table(spark, d, "edib_revision_authority_period"), "document_revision_id", "predecessor_revision_id", with_path=with_path)
+    return hierarchy.tree(table(spark, d, "edib_document_revision_registry"), "document_revision_id", table(spark, d, "edib_revision_authority_period"), "document_revision_id", "predecessor_revision_id", with_path=with_path, near="logical_document_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
