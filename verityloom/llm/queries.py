@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verityloom.llm import leakage, mixing, near_duplicates, neighbours, splitting, stuffing
-from verityloom.session import table
+from verityloom.session import cut_lineage, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,20 +51,26 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d)
 
 
-def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.token_counts(table(spark, d, "documents"), "doc_id", "source", "text"), table(spark, d, "source_mix_targets")
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(token counts, demand of each source, drawn copies): each text is tokenised once."""
+    counts = cut_lineage(mixing.token_counts(table(spark, d, "documents"), "doc_id", "source", "text"))
+    targets = table(spark, d, "source_mix_targets")
+    demand = mixing.demands(counts, targets)
+    return counts, demand, mixing.curriculum(counts, targets, demand=demand)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*_p7(spark, d)).where("falls_short").select("source")
+    """Sources whose copies run out before their demand, by the rows that the curriculum draws."""
+    return p7_shares(spark, d).where("falls_short").select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*_p7(spark, d))
+    _, demand, drawn = _p7(spark, d)
+    return mixing.shares(drawn, demand)
 
 
 def p7_curriculum(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.curriculum(*_p7(spark, d))
+    return _p7(spark, d)[2]
 
 
 def _p8(spark: SparkSession, d: str) -> DataFrame:
