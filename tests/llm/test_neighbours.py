@@ -1,6 +1,10 @@
+import os
+
 import numpy as np
+import pytest
 
 from verityloom.llm import neighbours as nb
+from verityloom.llm import queries
 
 SCHEMA = "id string, v array<float>, rank int, near string"
 
@@ -63,15 +67,54 @@ def test_best_rows_are_exact():
     assert [set(a) for a in at.tolist()] == [set(np.argsort(-row)[:6].tolist()) for row in q @ x.T]
 
 
-def test_graph_walk_finds_the_nearest_centroids():
+@pytest.mark.parametrize("lists", [400, 1500])
+def test_graph_walk_finds_the_best_centroids_from_few_entry_points(lists):
     r = np.random.default_rng(4)
-    x = r.standard_normal((5000, 64)).astype(np.float32)
+    x = r.standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, graph, entries = nb.fit_lists(x, lists)
+    assert len(entries) == 64 and 0.9 * lists < len(c) < 1.1 * lists
+    ids, sims = nb.walk(x[:1000], c, graph, entries, 5)
+    every = x[:1000] @ c[:, :64].T + c[:, 64]
+    best = np.argsort(-every, axis=1)[:, :5]
+    assert np.allclose(sims, np.take_along_axis(every, ids, 1), atol=1e-5)
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids.tolist(), best.tolist())]) > 0.95
+    n = np.bincount((x @ c[:, :64].T + c[:, 64]).argmax(1), minlength=len(c))
+    assert n.max() < 3 * n.mean()
+
+
+def test_walk_crosses_between_far_clusters():
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((12, 64)) * 3
+    x = (centres[r.integers(0, 12, 20_000)] + 0.3 * r.standard_normal((20_000, 64))).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c, graph, entries = nb.fit_lists(x, 400)
-    ids, _ = nb.walk(x[:500], c, graph, entries, 4)
-    best = np.argsort(-(x[:500] @ c.T), axis=1)[:, :4]
-    assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(ids.tolist(), best.tolist())]) > 0.8
-    assert np.bincount((x @ c.T).argmax(1), minlength=400).max() < 8 * 5000 / 400
+    c, graph, entries = nb.fit_lists(x, 600)
+    ids, _ = nb.walk(x[:1000], c, graph, entries[:4], 5)
+    best = np.argsort(-(x[:1000] @ c[:, :64].T + c[:, 64]), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids.tolist(), best.tolist())]) > 0.9
+
+
+def test_recall_of_the_chunks_divisible_by_20(spark):
+    """p5_nearest of every 20th chunk against all rows, by brute force, with the query's own parameters."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    rows = {r.chunk_id: r.embedding for r in spark.read.parquet(f"{d}/document_chunks.parquet").select("chunk_id", "embedding").collect() if r.embedding and len(r.embedding) == 64 and any(r.embedding)}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.p5_nearest(spark, d).collect():
+        got.setdefault(r.id, []).append((ids.index(r.neighbour), r.similarity))
+    assert got.keys() == rows.keys()
+    hits = []
+    for i in range(0, len(ids), 20):
+        s = x @ x[i]
+        s[i] = -9
+        least = np.sort(s)[-5]
+        assert len(got[ids[i]]) == 5 and all(abs(s[j] - v) < 2e-3 for j, v in got[ids[i]])
+        hits.append(np.mean([s[j] >= least - 1e-3 for j, _ in got[ids[i]]]))
+    assert np.mean(hits) >= 0.9
 
 
 def test_empty_and_single(spark):

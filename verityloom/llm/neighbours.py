@@ -1,8 +1,8 @@
 """The most similar vectors of every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample with a penalty on crowded lists. Every vector is entered in its nearest list and,
-if it lies near a boundary, in further ones, as far as their distances stay within a ratio of the nearest. The lists of a
-vector are found by a best-first walk on a neighbour graph of the centroids that is held in memory. A vector meets all
+Centroids are fitted on a bounded sample with a price on crowded lists, which the assignment pays too. Every vector is
+entered in its nearest list and, if it lies near a boundary, in further ones, as far as their distances stay within a ratio
+of the nearest. The lists of a vector are found by a best-first walk on a graph of the centroids that is held in memory. A vector meets all
 that share one of its lists in blocks of matrix products; the best of each list are merged.
 
 Equal vectors are one entry, so copies neither fill a list nor square it; their ids come back when the result is written.
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from verityloom.llm.tokens import mix
 from verityloom.session import cut_lineage
 
-SAMPLE = 65_536  # most vectors that the centroids are fitted on
-MAX_LISTS = 16_384  # with SAMPLE it bounds what the driver holds and broadcasts: 16,384 x 64 floats and the graph, 5 MB
+SAMPLE = 262_144  # about as many vectors, drawn by hash, are what the centroids are fitted on: 33 MB on the driver
+MAX_LISTS = 65_536  # bounds what is broadcast: centroids with their price and the graph, 30 MB
 BLOCK = 8_192
-DEGREE = 16
-ENTRIES = 4_096  # centroids that a walk is begun from, picked by hash
+NEAR, BACK = 24, 24  # links of a centroid in the graph: its own, and those of others to it
+POOL, FAR = 96, 64  # candidates for its own links: the nearest, and others drawn at random
+ENTRIES = 64  # centroids that every walk is begun from, drawn at random
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,56 +61,138 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, dim).astype(np.float32)
 
 
-def fit_lists(x: np.ndarray, lists: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centroids, neighbour graph, entry points): spherical k-means with a price on crowded lists."""
+def _priced_means(x: np.ndarray, lists: int, seed: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, the one that each row falls to): spherical k-means with a price on crowded lists."""
     lists = max(1, min(lists, len(x)))
-    c = x[np.argsort(mix(np.arange(len(x), dtype=np.uint64) + np.uint64(77)))[:lists]].copy()
+    c = x[np.argsort(mix(np.arange(len(x), dtype=np.uint64) + np.uint64(77 + seed)))[:lists]].copy()
     price = np.zeros(lists, dtype=np.float32)
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         near = np.concatenate([(x[i : i + 4096] @ c.T - price).argmax(1) for i in range(0, len(x), 4096)])
+        if not left:
+            return c, near
         n = np.bincount(near, minlength=lists)
-        price = 0.5 * price + np.float32(0.02) * np.log((n + 1) * lists / len(x)).clip(-2, 3).astype(np.float32)
+        price = _dearer(price, n)
         order = np.argsort(near, kind="stable")
         first = np.searchsorted(near[order], np.arange(lists))
         total = np.add.reduceat(x[order], np.minimum(first, len(x) - 1), axis=0)
         norm = np.linalg.norm(total, axis=1)
         use = (n > 0) & (norm > 0)
         c[use] = total[use] / norm[use, None]
-    degree = min(DEGREE, lists)
-    graph = np.concatenate([np.argpartition(-(c[i : i + 1024] @ c.T), degree - 1, axis=1)[:, :degree] for i in range(0, lists, 1024)])
-    entries = np.argsort(mix(np.arange(lists, dtype=np.uint64) + np.uint64(5)))[: min(lists, ENTRIES)]
-    return c, graph.astype(np.int32), entries.astype(np.int32)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 24, expand: int = 8, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(list ids, cosines) of about the nearest `want` centroids of each query, best first; -1 where there are fewer.
+def _dearer(price: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return 0.5 * price + np.float32(0.02) * np.log((n + 1) * len(n) / max(1, n.sum())).clip(-2, 3).astype(np.float32)
 
-    The walk begins at the best of all entry points, goes on to the neighbours of the best not yet left, and ends when a
-    step betters no query's beam.
+
+def link(c: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The graph of the centroids: per row the ids it may go on to.
+
+    Of the nearest and of some drawn at random a centroid links to those that are nearer to it than to any it has chosen
+    before, so that links lead in all directions and clusters stay reachable; others' links to it are followed back.
+    """
+    n, degree = len(c), min(NEAR, len(c) - 1)
+    if not degree:
+        return np.zeros((n, 1), dtype=np.int32)
+    random, own = np.random.default_rng(seed), np.empty((n, degree), dtype=np.int64)
+    for a in range(0, n, 1024):
+        s = c[a : a + 1024] @ c.T
+        rows = np.arange(len(s))
+        s[rows, a + rows] = -9
+        cand = np.argpartition(-s, min(POOL, n - 1) - 1, axis=1)[:, : min(POOL, n - 1)]
+        cand = np.concatenate([cand, random.integers(0, n, (len(s), FAR))], axis=1)
+        sims = np.take_along_axis(s, cand, 1)
+        order = np.argsort(-sims, axis=1)
+        cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+        chosen, vectors, count = cand[:, :degree].copy(), np.zeros((len(s), degree, c.shape[1]), dtype=np.float32), np.zeros(len(s), dtype=np.int64)
+        for j in range(cand.shape[1]):
+            v = c[cand[:, j]]
+            nearer = np.einsum("ijk,ik->ij", vectors, v) > sims[:, j][:, None]
+            here = np.arange(degree) < count[:, None]
+            use = np.flatnonzero(~(nearer & here).any(1) & (sims[:, j] > -2) & (count < degree))
+            chosen[use, count[use]], vectors[use, count[use]] = cand[use, j], v[use]
+            count[use] += 1
+        own[a : a + 1024] = chosen
+    # back links: of those that chose a centroid the nearest
+    src, dst = np.repeat(np.arange(n), degree), own.ravel()
+    near = np.concatenate([np.einsum("ij,ij->i", c[src[i : i + 65536]], c[dst[i : i + 65536]]) for i in range(0, len(src), 65536)])
+    order = np.lexsort((-near, dst))
+    src, dst = src[order], dst[order]
+    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    back = np.broadcast_to(np.arange(n)[:, None], (n, BACK)).copy()
+    back[dst[place < BACK], place[place < BACK]] = src[place < BACK]
+    return np.concatenate([own, back], axis=1).astype(np.int32)
+
+
+def fit_lists(x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, each with its price as a last number that is taken off a product; their graph; entry points).
+
+    Balanced k-means in two levels: about the root of the number of lists first, then each part by itself into its share
+    of them. Prices, which go with the assignment, are fitted on the whole sample by walks of the graph.
     """
-    beam = max(beam, want)
-    rows = np.arange(len(q))[:, None]
+    top, near = _priced_means(x, round(max(1, lists) ** 0.5), 0)
+    n = np.bincount(near, minlength=len(top))
+    c = np.concatenate([_priced_means(x[near == g], max(1, round(n[g] * lists / len(x))), g + 1)[0] for g in np.flatnonzero(n)])
+    graph = link(c)
+    entries = np.argsort(mix(np.arange(len(c), dtype=np.uint64) + np.uint64(5)))[:ENTRIES].astype(np.int32)
+    price = np.zeros(len(c), dtype=np.float32)
+    for _ in range(4):
+        priced, first = np.concatenate([c, -price[:, None]], axis=1), []
+        for a in range(0, len(x), 2048):
+            first.append(walk(x[a : a + 2048], priced, graph, entries, 1)[0][:, 0])
+        price = _dearer(price, np.bincount(np.concatenate(first), minlength=len(c)))
+    return np.concatenate([c, -price[:, None]], axis=1), graph, entries
+
+
+def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 32, expand: int = 4, hops: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """(list ids, priced cosines) of about the best `want` centroids of each query, best first; -1 where there are fewer.
+
+    A best-first walk: from the entry points on, the best of the beam that were not yet left are left for all their
+    neighbours, until every one in the beam has been left.
+    """
+    beam, m = max(beam, want), len(q)
+    q = np.concatenate([q, np.ones((m, 1), dtype=np.float32)], axis=1) if q.shape[1] < c.shape[1] else q
+    if m * len(c) > 1 << 26 and m > 1:  # what has been seen is a bit for every query and centroid
+        halves = [walk(h, c, graph, entries, want, beam, expand, hops) for h in (q[: m // 2], q[m // 2 :])]
+        return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
     s = q @ c[entries].T
-    top = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
-    ids, sims = entries[top], np.take_along_axis(s, top, 1)
-    done = np.full((len(q), 0), -1, dtype=np.int32)
+    b = min(beam, len(entries))
+    top = np.argpartition(-s, b - 1, axis=1)[:, :b]
+    ids, sims = np.full((m, beam), -1, dtype=np.int32), np.full((m, beam), -9, dtype=np.float32)
+    ids[:, :b], sims[:, :b] = entries[top], np.take_along_axis(s, top, 1)
+    new = ids >= 0
+    seen = np.zeros((m, len(c)), dtype=bool)
+    seen[:, entries] = True
     for _ in range(hops):
-        fresh = ~(ids[:, :, None] == done[:, None, :]).any(2)
-        pick = np.argsort(~fresh, axis=1, kind="stable")[:, :expand]
-        at = ids[rows, pick]
-        done, least = np.concatenate([done, at], axis=1), sims[:, -1].copy()
-        around = graph[at].reshape(len(q), -1)
-        found = np.einsum("ijk,ik->ij", c[around], q)
-        ids, sims = np.concatenate([ids, around], axis=1), np.concatenate([sims, found], axis=1)
-        order = np.argsort(ids, axis=1, kind="stable")
-        ids, sims = ids[rows, order], sims[rows, order]
-        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
-        order = np.argsort(-sims, axis=1)[:, :beam]
-        ids, sims = ids[rows, order], sims[rows, order]
-        if sims.shape[1] == top.shape[1] and not (sims[:, -1] > least).any():
+        going = np.flatnonzero(new.any(1))
+        if not len(going):
             break
-    return np.where(sims > -9, ids, -1)[:, :want], sims[:, :want]
+        best = np.argpartition(np.where(new[going], -sims[going], 9), expand - 1, axis=1)[:, :expand]
+        query = np.broadcast_to(going[:, None], best.shape)
+        use = new[query, best]
+        query, best = query[use], best[use]
+        new[query, best] = False
+        links = graph[ids[query, best]]
+        query, found = np.repeat(query, links.shape[1]), links.ravel()
+        fresh = ~seen[query, found]
+        pair = np.unique(query[fresh].astype(np.int64) * len(c) + found[fresh])
+        query, found = pair // len(c), pair % len(c)
+        seen[query, found] = True
+        got = np.einsum("ij,ij->i", q[query], c[found])
+        better = got > sims.min(1)[query]
+        query, found, got = query[better], found[better], got[better]
+        n = np.bincount(query, minlength=m)
+        rows, width = np.flatnonzero(n), int(n.max()) if m else 0
+        if not width:
+            continue
+        place = np.arange(len(query)) - (np.cumsum(n) - n)[query]
+        more_ids, more_sims = np.full((m, width), -1, dtype=np.int32), np.full((m, width), -9, dtype=np.float32)
+        more_ids[query, place], more_sims[query, place] = found, got
+        all_ids, all_sims = np.concatenate([ids[rows], more_ids[rows]], axis=1), np.concatenate([sims[rows], more_sims[rows]], axis=1)
+        all_new = np.concatenate([new[rows], more_ids[rows] >= 0], axis=1)
+        keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids[rows], sims[rows], new[rows] = (np.take_along_axis(z, keep, 1) for z in (all_ids, all_sims, all_new))
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :want]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
 def _assign(entries: DataFrame, model: tuple, dim: int, replicas: int, ratio: float) -> DataFrame:
@@ -190,17 +273,16 @@ def _meet(k: int, dim: int, least: float):
 
 
 def _spread(assigned: DataFrame) -> DataFrame:
-    """(list, side, id, v): side 1 in lists of one block; lists of more blocks become pairs of blocks, sides 2 and 3."""
+    """(list, side, id, v): side 1 in lists of one block; lists of more blocks become pairs of blocks, sides 2 and 3.
+
+    The sizes of the long lists, at most MAX_LISTS rows, go to every task by broadcast.
+    """
     rows = assigned.select("id", "v", F.explode("lists").alias("l"))
-    blocks = [(r["l"], -(-r["n"] // BLOCK)) for r in rows.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).collect()]
-    one = F.struct(F.col("l").cast("long").alias("list"), F.lit(1).alias("side"))
-    if not blocks:
-        return rows.select(one.alias("m"), "id", "v").select("m.*", "id", "v")
-    parts = F.create_map(*(F.lit(y) for l, n in blocks for y in (l, n)))
-    rows = rows.withColumn("n", F.coalesce(parts[F.col("l")], F.lit(1))).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    key = lambda i, j: (F.col("l").cast("long") * 4_000_000_000 + i * 60_000 + j).cast("long")
+    long = rows.groupBy("l").agg(F.ceil(F.count("*") / BLOCK).alias("n")).where("n > 1")
+    rows = rows.join(F.broadcast(long), "l", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
+    key = lambda i, j: F.col("l").cast("long") * (1 << 46) + i * (1 << 23) + j
     own = F.array(F.struct(key(F.col("b"), F.col("b")).alias("list"), F.lit(1).alias("side")))
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("b")), lambda j: F.struct(key(F.least(j, "b"), F.greatest(j, "b")).alias("list"), F.when(F.col("b") < j, F.lit(2)).otherwise(F.lit(3)).alias("side")))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: j != F.col("b")), lambda j: F.struct(key(F.least(j, "b"), F.greatest(j, "b")).alias("list"), F.when(F.col("b") < j, F.lit(2)).otherwise(F.lit(3)).alias("side")))
     return rows.select(F.explode(F.concat(own, F.coalesce(others, F.array()))).alias("m"), "id", "v").select("m.*", "id", "v")
 
 
@@ -223,10 +305,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64,
     reps = shown.where("rn = 1").select("id", "v", "vid")
     n = reps.count()
     lists = max(1, min(MAX_LISTS, -(-n // list_rows)))
-    every = max(1, n // min(SAMPLE, max(20_000, 64 * lists)))
-    sample = [r[0] for r in reps.where(F.pmod(F.xxhash64("vid"), F.lit(every)) == 0).select("v").limit(SAMPLE).collect()]
-    if not sample:
-        sample = [r[0] for r in reps.select("v").limit(1).collect()]
+    share = min(1.0, min(SAMPLE, max(20_000, 64 * lists)) / max(1, n))  # the hash decides who is in: no order of rows, no cut
+    sample = [r[0] for r in reps.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()]
     x = np.frombuffer(b"".join(sample), dtype=np.float16).reshape(-1, dim).astype(np.float32) if sample else np.eye(1, dim, dtype=np.float32)
     assigned = cut_lineage(_assign(reps.select("id", "v"), fit_lists(x, lists), dim, replicas, ratio))
     met = _spread(assigned).repartition("list").sortWithinPartitions("list").mapInArrow(_meet(k, dim, min_similarity), "id string, near array<string>, sims array<float>")
