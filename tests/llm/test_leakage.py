@@ -60,6 +60,50 @@ def test_paraphrase_and_answers(spark):
     assert set(got) == {1} and got[1].kind == "paraphrase" and got[1].lcs_share > 0.8
 
 
+def test_basis_is_that_of_an_exact_decomposition(spark):
+    """Singular values and space against numpy's own decomposition of the whole TF-IDF matrix."""
+    r = random.Random(6)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(30)]
+    texts = [" ".join(r.choice(topics[d % 30]) for _ in range(r.randint(5, 60))) for d in range(900)]
+    df = spark.createDataFrame([(next(tokens.words([t])).hashes.astype(np.uint32).tobytes(),) for t in texts], "words binary")
+    idf = leakage._idf(df)
+    basis, value = leakage.latent_basis(df, idf)
+    rows = []
+    for t in texts:
+        w = next(tokens.words([t])).hashes.astype(np.uint32)
+        p = leakage.passages(np.array([0, len(w)]))
+        for a, b in zip(p.left, p.right):
+            v = np.bincount(np.concatenate([w[p.start[k] : p.start[k] + leakage.BLOCK] for k in {a, b}]) % leakage.TERMS, minlength=leakage.TERMS) * idf
+            n = np.concatenate([w[p.start[k] : p.start[k] + leakage.BLOCK] for k in {a, b}]) % leakage.TERMS
+            rows.append(v / np.sqrt((idf[n] ** 2).sum()))
+    a = np.array(rows)
+    used = np.flatnonzero(a.any(0))
+    want = np.linalg.svd(a[:, used], full_matrices=False)
+    assert np.allclose(value[:25], want[1][:25], rtol=0.03)
+    space = (basis[used] / idf[used, None])[:, :25]
+    assert np.linalg.svd(space.T @ want[2][:30].T)[1].min() > 0.97
+
+
+def test_recall_of_paraphrases(spark):
+    """Items with every sixth word replaced and two neighbours swapped in every ten, hidden in other text: at least nine of ten are found, and nothing else."""
+    r = random.Random(9)
+    common, rare = [f"c{i}" for i in range(200)], [f"r{i}" for i in range(3000)]
+    items = [[r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(36)] for _ in range(60)]
+    docs = []
+    for d, words in enumerate(items):
+        w = [r.choice(rare) if i % 6 == 3 else x for i, x in enumerate(words)]
+        for i in range(0, len(w) - 1, 10):
+            w[i], w[i + 1] = w[i + 1], w[i]
+        pad = lambda: [r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(r.randint(20, 60))]
+        docs.append((d, " ".join(pad() + w + pad())))
+    docs += [(1000 + d, " ".join(r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(100))) for d in range(300)]
+    df = spark.createDataFrame(docs, "d long, t string")
+    it = spark.createDataFrame([(f"i{k:02}", " ".join(w)) for k, w in enumerate(items)], "i string, p string")
+    got = {(x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"], near=0.6).collect()}
+    true = {(k, f"i{k:02}") for k in range(60)}
+    assert len(got & true) >= 54 and not got - true
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c " * 20)], "d long, t string")
     it = spark.createDataFrame([("i", "a b c " * 20)], "i string, p string")

@@ -1,12 +1,13 @@
 """Evaluation texts inside training text, by latent semantic retrieval with exact checks.
 
 Documents are cut into passages of two consecutive blocks of BLOCK words, so that every run of BLOCK words lies whole in one
-passage. Hashed TF-IDF rows of all passages go through a distributed randomised SVD: each task multiplies its passages into
-a random test matrix and back, the products are summed by rows of the term table, and their orthonormal basis is the latent
-space. Windows of the test items are searched among all passages by cosine there. The threshold is calibrated on the
-items themselves, as their runs of BLOCK words look between words of the corpus. Candidates are then checked exactly: for
-runs of consecutive words of an item, and for paraphrases by answer words and longest common subsequence. Pairs that are no
-candidates are checked for runs too, so no run depends on the threshold.
+passage. Hashed TF-IDF rows of all passages go through a distributed randomised SVD in two passes: each task multiplies its
+passages into a matrix of RANK + OVER columns and back, and the products are summed by rows of the term table. The first
+pass begins with random columns and gives an orthonormal basis of the range; the second gives the small matrix of the data in
+that basis, whose eigenvectors turn the basis into the leading singular vectors. Windows of the test items are searched among
+all passages by cosine there. Candidates are then checked exactly: for runs of consecutive words of an item, and for paraphrases
+by answer words and longest common subsequence. Runs are looked up in the pairs that are no candidates too, so that no run
+depends on the threshold.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from verityloom.session import cut_lineage
 
 TERMS = 1 << 15
 RANK = 64
+OVER = 8  # columns of the random matrix beyond RANK
 BLOCK = 12
 ROWS = 512  # rows of the term table that are summed by one task
 SLICE = 1 << 17  # words that are multiplied at a time
-CALIBRATION = 2_000  # corpus blocks that runs of items are set between to calibrate the threshold
+CELLS = 1 << 22  # cosines that are held at a time
 ITEMS_AT_A_TIME = 4_096
 
 
@@ -124,23 +126,24 @@ def _idf(pages: DataFrame) -> np.ndarray:
     return np.log((n[0] + 1) / (n[1:] + 1)).astype(np.float32) + np.float32(0.1)
 
 
-def latent_basis(pages: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """(TERMS, RANK): idf times the right singular space of all passages' normalised TF-IDF rows, to project counts with."""
-    weight = pages.sparkSession.sparkContext.broadcast(idf)
+def _through(pages: DataFrame, idf: np.ndarray, columns: np.ndarray | int) -> np.ndarray:
+    """(TERMS, columns): the normalised TF-IDF rows A of all passages as A'A times columns, which are random if an int is given."""
+    shared, width = pages.sparkSession.sparkContext.broadcast((idf, columns)), columns if isinstance(columns, int) else columns.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weight.value
-        test = np.random.default_rng(seed).standard_normal((TERMS, RANK)).astype(np.float32) * w[:, None]
-        squares = (w * w)[:, None]
-        total = np.zeros((TERMS, RANK), dtype=np.float32)
+        w, right = shared.value
+        if isinstance(right, int):
+            right = np.random.default_rng(7).standard_normal((TERMS, right)).astype(np.float32)
+        right, squares = right * w[:, None], (w * w)[:, None]
+        total = np.zeros((TERMS, width), dtype=np.float32)
         for b in batches:
             for _, words, bounds in _parts(*_texts(b.column(0))):
                 p = passages(bounds)
                 if not len(p.left):
                     continue
                 size = _pairs(_sums(words, p.start, squares), p)
-                y = _pairs(_sums(words, p.start, test), p) / np.maximum(size, 1e-9)
-                back = np.zeros((len(p.start), RANK), dtype=np.float32)
+                y = _pairs(_sums(words, p.start, right), p) / np.maximum(size, 1e-9)
+                back = np.zeros((len(p.start), width), dtype=np.float32)
                 back[p.left] += y
                 two = p.left != p.right
                 back[p.right[two]] += y[two]
@@ -154,26 +157,33 @@ def latent_basis(pages: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, m in zip(b.column(0).to_pylist(), b.column(1)):
-                total[k] = total.get(k, 0) + np.frombuffer(m.as_py(), dtype=np.float32)
+                total[k] = total.get(k, 0) + np.frombuffer(m.as_py(), dtype=np.float32).astype(np.float64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["part", "m"])
 
-    z = np.zeros((TERMS // ROWS, ROWS * RANK))
+    z = np.zeros((TERMS // ROWS, ROWS * width))
     for r in pages.select("words").mapInArrow(multiply, "part int, m binary").repartition("part").mapInArrow(add, "part int, m binary").collect():
         z[r["part"]] = np.frombuffer(r["m"], dtype=np.float32)
-    q, _ = np.linalg.qr(z.reshape(TERMS, RANK))
-    return (q * idf[:, None]).astype(np.float32)
+    return z.reshape(TERMS, width)
+
+
+def latent_basis(pages: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((TERMS, RANK) idf times the leading right singular vectors of all passages' TF-IDF rows, to project counts with; their singular values)."""
+    q, _ = np.linalg.qr(_through(pages, idf, RANK + OVER))
+    small = q.T @ _through(pages, idf, q.astype(np.float32))
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    first = np.argsort(-value)[:RANK]
+    return (q @ vector[:, first] * idf[:, None]).astype(np.float32), np.sqrt(np.maximum(value[first], 0))
 
 
 class Queries(NamedTuple):
-    """The windows of the test texts: text[i] is the text and item[text] the item that window i is of."""
+    """The test texts: text t is of item[t]; its windows are first[t] on in latent, its runs those with run_text t, in order of hash."""
 
     names: list[str]
     item: np.ndarray
     words: list[np.ndarray]
-    text: np.ndarray
+    first: np.ndarray
     latent: np.ndarray
-    least: float
     runs: np.ndarray
     run_text: np.ndarray
     rare: list[np.ndarray]
@@ -200,31 +210,26 @@ def runs_of(words: np.ndarray, n: int = BLOCK) -> np.ndarray:
     return out
 
 
-def queries(rows: list[tuple[str, str | None]], basis: np.ndarray, idf: np.ndarray, context: np.ndarray, keep: float) -> Queries | None:
-    """Windows of the items' texts with their latent vectors and the calibrated threshold; None if no text has a run."""
+def queries(rows: list[tuple[str, str | None]], basis: np.ndarray, idf: np.ndarray) -> Queries | None:
+    """Windows of the items' texts with their latent vectors, and their runs; None if no text has a run."""
     names = sorted({r[0] for r in rows})
-    hashed = [(names.index(i), next(tokens.words([t])).hashes.astype(np.uint32)) for i, t in rows if t]
+    place = {n: k for k, n in enumerate(names)}
+    hashed = [(place[i], next(tokens.words([t])).hashes.astype(np.uint32)) for i, t in rows if t]
     hashed = [(i, w) for i, w in hashed if len(w) >= BLOCK]
     if not hashed:
         return None
-    cut = [w[a : a + BLOCK] for _, w in hashed for a in sorted({*range(0, len(w) - BLOCK + 1, BLOCK // 2), len(w) - BLOCK})]
-    text = np.array([k for k, (_, w) in enumerate(hashed) for _ in {*range(0, len(w) - BLOCK + 1, BLOCK // 2), len(w) - BLOCK}])
-    latent = _unit(basis[np.concatenate(cut) % TERMS].reshape(len(cut), BLOCK, RANK).sum(1))
-    every = [(k, w[a : a + BLOCK]) for k, (_, w) in enumerate(hashed) for a in range(len(w) - BLOCK + 1)]
-    run_text = np.array([k for k, _ in every])
-    runs = np.array([r[0] for r in map(runs_of, (w for _, w in every))], dtype=np.uint64)
-    # every run as it looks in a passage, with the words of some corpus block around it
-    seen = basis[np.concatenate([w for _, w in every]) % TERMS].reshape(len(every), BLOCK, RANK).sum(1)
-    if len(context):
-        seen = seen + context[np.arange(len(every)) * 7919 % len(context)]
-    seen = _unit(seen)
-    best = np.array([(latent[text == run_text[i]] @ seen[i]).max() for i in range(len(every))])
-    order = np.argsort(runs, kind="stable")
+    starts = [np.unique(np.r_[np.arange(0, len(w) - BLOCK + 1, BLOCK // 2), len(w) - BLOCK]) for _, w in hashed]
+    cut = np.concatenate([w[a[:, None] + np.arange(BLOCK)] for (_, w), a in zip(hashed, starts)])
+    latent = np.concatenate([_unit(basis[cut[a : a + 8192] % TERMS].sum(1)) for a in range(0, len(cut), 8192)])
+    runs = [runs_of(w) for _, w in hashed]
+    of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    order = np.argsort(np.concatenate(runs), kind="stable")
     rare = []
     for _, w in hashed:
         u = np.unique(w)
         rare.append(u[np.argsort(-idf[u % TERMS], kind="stable")[: max(3, len(u) // 4)]])
-    return Queries(names, np.array([i for i, _ in hashed]), [w for _, w in hashed], text, latent, float(np.quantile(best, 1 - keep)), runs[order], run_text[order], rare)
+    first = np.cumsum([0, *(len(a) for a in starts[:-1])])
+    return Queries(names, np.array([i for i, _ in hashed]), [w for _, w in hashed], first, latent, np.concatenate(runs)[order], of[order], rare)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -239,47 +244,43 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, near: float, min_lcs: float, min_answers: float) -> DataFrame:
+def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate: float, near: float, min_lcs: float, min_answers: float) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast((basis, q))
 
-    def candidates(words: np.ndarray, bounds: np.ndarray, basis: np.ndarray, q: Queries, first: np.ndarray) -> tuple[Passages, np.ndarray, np.ndarray]:
-        """(passages, best cosine of every document and test text, rows (passage, text, cosine) at or above `near`)."""
-        p = passages(bounds)
-        best = np.full((len(bounds) - 1, len(first)), -1, dtype=np.float32)
-        close = []
-        latent = _unit(_pairs(_sums(words, p.start, basis), p)) if len(p.left) else np.zeros((0, RANK), dtype=np.float32)
-        for a in range(0, len(latent), 2048):
-            all_ = q.latent @ latent[a : a + 2048].T
-            c = np.stack([all_[x:y].max(axis=0) for x, y in zip(first, [*first[1:], len(all_)])], axis=1)
-            text = p.text[a : a + 2048]
-            cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            best[text[cuts]] = np.maximum(best[text[cuts]], np.maximum.reduceat(c, cuts, axis=0))
-            i, t = np.nonzero(c >= near)
-            close.append(np.stack([a + i, t, np.rint(c[i, t] * 1e6)], axis=1).astype(np.int64))
-        return p, best, np.concatenate(close) if close else np.zeros((0, 3), dtype=np.int64)
-
-    def consecutive(words: np.ndarray, bounds: np.ndarray, q: Queries, wanted: np.ndarray) -> dict[tuple[int, int], int]:
-        """The longest run of words in common of each wanted pair (document, test text), from BLOCK words on."""
-        h = runs_of(words)
+    def candidates(latent: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, test text, cosine to its nearest window) wherever that is at least `candidate`."""
+        step, found = max(16, CELLS // len(q.latent)), []
+        for a in range(0, len(latent), step):
+            c = np.maximum.reduceat(q.latent @ latent[a : a + step].T, q.first, axis=0)
+            t, i = np.nonzero(c >= candidate)
+            found.append((a + i, t, c[t, i]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.float32),)
+
+    def cosine(latent: np.ndarray, text: np.ndarray, q: Queries, d: int, t: int) -> float:
+        """The greatest cosine of a passage of document d with a window of test text t."""
+        a, b = np.searchsorted(text, [d, d + 1])
+        windows = q.latent[q.first[t] : q.first[t + 1] if t + 1 < len(q.first) else None]
+        return max(float((windows @ latent[x : min(b, x + 4096)].T).max()) for x in range(a, b, 4096)) if b > a else -1.0
+
+    def consecutive(h: np.ndarray, bounds: np.ndarray, q: Queries, wanted: np.ndarray) -> dict[tuple[int, int], int]:
+        """The longest run of words in common of each pair of a wanted document and a test text, from BLOCK words on; h: the document's runs."""
         where = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        whole = (where[: len(h)] == where[BLOCK - 1 :]) & wanted.any(axis=1)[where[: len(h)]] if len(h) else np.zeros(0, dtype=bool)
-        spot = np.flatnonzero(whole)
+        spot = np.flatnonzero((where[: len(h)] == where[BLOCK - 1 :]) & wanted[where[: len(h)]]) if len(h) else np.zeros(0, dtype=np.int64)
         lo, hi = np.searchsorted(q.runs, h[spot], "left"), np.searchsorted(q.runs, h[spot], "right")
         longest: dict[tuple[int, int], int] = {}
         last: dict[tuple[int, int], tuple[int, int]] = {}
         for s, x, y in zip(spot[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
             for t in set(q.run_text[x:y].tolist()):
                 k = (int(where[s]), t)
-                if wanted[k]:
-                    before, n = last.get(k, (-2, 0))
-                    last[k] = (s, n + 1 if s == before + 1 else BLOCK)
-                    longest[k] = max(longest.get(k, 0), last[k][1])
+                before, n = last.get(k, (-2, 0))
+                last[k] = (s, n + 1 if s == before + 1 else BLOCK)
+                longest[k] = max(longest.get(k, 0), last[k][1])
         return longest
 
-    def paraphrases(words: np.ndarray, bounds: np.ndarray, p: Passages, q: Queries, close: np.ndarray, known: dict) -> Iterator[tuple[int, int, float, float]]:
+    def paraphrases(words: np.ndarray, bounds: np.ndarray, p: Passages, q: Queries, passage: np.ndarray, text: np.ndarray, known: dict) -> Iterator[tuple[int, int, float, float]]:
         """(document, test text, common subsequence, answer words) of the best of the passages that pass, of each pair without a common run."""
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for i, t in close[:, :2].tolist():
+        for i, t in zip(passage.tolist(), text.tolist()):
             d = int(p.text[i])
             if (d, t) in known:
                 continue
@@ -294,39 +295,45 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, near: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, q = shared.value
-        first = np.flatnonzero(np.r_[True, q.text[1:] != q.text[:-1]])
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
         for b in batches:
             rows: list[int] = []
             out: list[tuple] = []
             for start, words, bounds in _parts(*_texts(b.column(1))):
-                p, best, close = candidates(words, bounds, basis, q, first)
-                runs = consecutive(words, bounds, q, best >= q.least)
-                runs |= consecutive(words, bounds, q, best < q.least)  # the threshold only orders the work: no run is left out
-                found = [(d, t, "verbatim", n, 0.0, 0.0) for (d, t), n in runs.items()]
-                found += [(d, t, "paraphrase", 0, lcs, answers) for d, t, lcs, answers in paraphrases(words, bounds, p, q, close, runs)]
+                p = passages(bounds)
+                latent = _unit(_pairs(_sums(words, p.start, basis), p)) if len(p.left) else np.zeros((0, RANK), dtype=np.float32)
+                passage, text, c = candidates(latent, q)
+                pairs = {divmod(x, len(q.item)) for x in np.unique(p.text[passage] * len(q.item) + text).tolist()}
+                h, near_some = runs_of(words), np.zeros(len(bounds) - 1, dtype=bool)
+                near_some[p.text[passage]] = True
+                runs = consecutive(h, bounds, q, near_some)
+                runs |= consecutive(h, bounds, q, ~near_some)  # documents that the search gave nothing for: no run is left out
+                found = [(d, t, "verbatim", "latent" if (d, t) in pairs else "pass", n, 0.0, 0.0) for (d, t), n in runs.items()]
+                found += [(d, t, "paraphrase", "latent", 0, lcs, answers) for d, t, lcs, answers in paraphrases(words, bounds, p, q, passage[c >= near], text[c >= near], runs)]
                 rows += [start + f[0] for f in found]
-                out += [(q.names[q.item[f[1]]], *f[2:], float(best[f[0], f[1]])) for f in found]
+                out += [(q.names[q.item[f[1]]], *f[2:], cosine(latent, p.text, q, f[0], f[1])) for f in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc", "item", "kind", "run_words", "lcs_share", "answer_share", "cosine"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc", "item", "kind", "found_by", "run_words", "lcs_share", "answer_share", "cosine"])
 
-    return pages.mapInArrow(run, f"doc {key}, item string, kind string, run_words int, lcs_share double, answer_share double, cosine double")
+    return pages.mapInArrow(run, f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double")
 
 
-def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], keep: float = 0.9, near: float = 0.8, min_lcs: float = 0.6, min_answers: float = 0.5) -> DataFrame:
-    """(doc, item, kind, run_words, lcs_share, answer_share, cosine): the items found in each document.
+def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], candidate: float = 0.5, near: float = 0.8, min_lcs: float = 0.6, min_answers: float = 0.5) -> DataFrame:
+    """(doc, item, kind, found_by, run_words, lcs_share, answer_share, cosine): the items found in each document.
 
     kind is 'verbatim' if the document holds at least BLOCK consecutive words of one of the item's texts, run_words being
     the most; else 'paraphrase', if a passage with a cosine of at least `near` has at least min_answers of the
     item's rarest words and a common subsequence of at least min_lcs of the shorter of the two; of several such passages the
-    one with the longest common subsequence counts. cosine is that of the nearest passage. One row per document and item. Verbatim candidates are the pairs above a cosine that keeps the share `keep` of the items' runs of
-    BLOCK words set alone between other words, the hardest case; longer runs, which fill a passage, lie far above it. The
-    pairs below it are then checked for the same runs, so that every run is found whatever its cosine.
+    one with the longest common subsequence counts. cosine is that of the nearest passage. One row per document and item.
+    found_by is 'latent' where the search in the latent space gave the pair, at a cosine of at least `candidate`, and 'pass'
+    where only the exact pass for runs over all pairs did: no run depends on a threshold.
 
     Words are compared as 32-bit hashes. Null, empty and short texts, of documents or items, match nothing; items of
     fewer than BLOCK words are not searched. Rows with a null item are left out. Repeated rows count once. Ids of documents
     may be null. Empty tables give no rows. Items are searched in blocks of ITEMS_AT_A_TIME, which bounds what is broadcast.
     """
+    if near < candidate:
+        raise ValueError("near must be at least candidate")
     key = df.schema[doc].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,26 +347,26 @@ def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts
 
     pages = cut_lineage(df.select(F.col(doc).alias("doc"), F.col(text).alias("t")).mapInArrow(read, f"doc {key}, words binary"))
     idf = _idf(pages)
-    basis = latent_basis(pages, idf)
-    around = pages.where(F.length("words") >= 4 * BLOCK).select(F.substring("words", 1, 4 * BLOCK).alias("w"), F.xxhash64("words").alias("h")).orderBy("h", "w").limit(CALIBRATION).collect()
-    context = np.array([basis[np.frombuffer(r[0], dtype=np.uint32)[:BLOCK] % TERMS].sum(0) for r in around], dtype=np.float32).reshape(-1, RANK)
+    basis, _ = latent_basis(pages, idf)
     long = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.explode(F.array(*(F.col(p) for p in parts))).alias("t")).where("t is not null").distinct()
     out, block = None, []
 
     def search(rows: list[tuple[str, str]]) -> None:
         nonlocal out
-        q = queries(rows, basis, idf, context, keep)
+        q = queries(rows, basis, idf)
         if q is not None:
-            got = _search(pages, basis, q, key, near, min_lcs, min_answers)
+            got = _search(pages, basis, q, key, candidate, near, min_lcs, min_answers)
             out = got if out is None else out.unionByName(got)
 
+    held: set[str] = set()
     for r in long.orderBy("item").toLocalIterator():
-        if len({x[0] for x in block} | {r["item"]}) > ITEMS_AT_A_TIME:
+        if r["item"] not in held and len(held) == ITEMS_AT_A_TIME:
             search(block)
-            block = []
+            block, held = [], set()
+        held.add(r["item"])
         block.append((r["item"], r["t"]))
     search(block)
     if out is None:
-        out = df.sparkSession.createDataFrame([], f"doc {key}, item string, kind string, run_words int, lcs_share double, answer_share double, cosine double")
-    best = F.struct(F.col("run_words"), F.col("lcs_share"), F.col("cosine"), F.col("answer_share"))
-    return out.groupBy("doc", "item").agg(F.max(best).alias("b")).select("doc", "item", F.when(F.col("b.run_words") > 0, "verbatim").otherwise("paraphrase").alias("kind"), "b.run_words", "b.lcs_share", "b.answer_share", "b.cosine")
+        out = df.sparkSession.createDataFrame([], f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double")
+    best = F.struct(F.col("run_words"), F.col("lcs_share"), F.col("cosine"), F.col("answer_share"), F.col("found_by"))
+    return out.groupBy("doc", "item").agg(F.max(best).alias("b")).select("doc", "item", F.when(F.col("b.run_words") > 0, "verbatim").otherwise("paraphrase").alias("kind"), "b.found_by", "b.run_words", "b.lcs_share", "b.answer_share", "b.cosine")
