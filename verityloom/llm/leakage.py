@@ -251,7 +251,10 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
         """(passage, test text, cosine to its nearest window) wherever that is at least `candidate`."""
         step, found = max(16, CELLS // len(q.latent)), []
         for a in range(0, len(latent), step):
-            c = np.maximum.reduceat(q.latent @ latent[a : a + step].T, q.first, axis=0)
+            every = q.latent @ latent[a : a + step].T
+            c = np.empty((len(q.first), every.shape[1]), dtype=np.float32)
+            for k, (x, y) in enumerate(zip(q.first, [*q.first[1:], len(every)])):
+                every[x:y].max(axis=0, out=c[k])
             t, i = np.nonzero(c >= candidate)
             found.append((a + i, t, c[t, i]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.float32),)
@@ -303,12 +306,14 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
                 p = passages(bounds)
                 latent = _unit(_pairs(_sums(words, p.start, basis), p)) if len(p.left) else np.zeros((0, RANK), dtype=np.float32)
                 passage, text, c = candidates(latent, q)
-                pairs = {divmod(x, len(q.item)) for x in np.unique(p.text[passage] * len(q.item) + text).tolist()}
+                pairs = np.sort(p.text[passage] * len(q.item) + text)
                 h, near_some = runs_of(words), np.zeros(len(bounds) - 1, dtype=bool)
                 near_some[p.text[passage]] = True
                 runs = consecutive(h, bounds, q, near_some)
                 runs |= consecutive(h, bounds, q, ~near_some)  # documents that the search gave nothing for: no run is left out
-                found = [(d, t, "verbatim", "latent" if (d, t) in pairs else "pass", n, 0.0, 0.0) for (d, t), n in runs.items()]
+                key = np.array([d * len(q.item) + t for d, t in runs], dtype=np.int64)
+                given = np.searchsorted(pairs, key, "right") > np.searchsorted(pairs, key, "left")
+                found = [(d, t, "verbatim", "latent" if g else "pass", n, 0.0, 0.0) for ((d, t), n), g in zip(runs.items(), given.tolist())]
                 found += [(d, t, "paraphrase", "latent", 0, lcs, answers) for d, t, lcs, answers in paraphrases(words, bounds, p, q, passage[c >= near], text[c >= near], runs)]
                 rows += [start + f[0] for f in found]
                 out += [(q.names[q.item[f[1]]], *f[2:], cosine(latent, p.text, q, f[0], f[1])) for f in found]
