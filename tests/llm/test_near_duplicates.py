@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 from verityloom.llm import near_duplicates as nd
 
 WORD = re.compile(r"[^\W_]+")
@@ -71,18 +73,16 @@ def test_large_buckets_take_the_blocks_and_lose_nothing(spark, monkeypatch):
     assert nd_meet is nd._meet
 
 
-def test_many_copies_are_a_star(spark, monkeypatch):
+def test_many_copies_are_a_star(spark):
     t = " ".join(f"w{i}" for i in range(30))
-    monkeypatch.setattr(nd, "EXPAND", 4)
     members, found = run(spark, [(f"k{i}", t) for i in range(7)] + [("z", t + " more")])
-    got = {tuple(r) for r in nd.similar_pairs(members, found).collect()}
+    got = {tuple(r) for r in nd.similar_pairs(members, found, expand=4).collect()}
     assert got == {("k0", f"k{i}") for i in range(1, 7)} | {("k0", "z")}
     g = {r.id: r for r in nd.groups(members, found).collect()}
     assert {r.group_id for r in g.values()} == {"k0"} and g["k3"].copies == 7 and g["z"].links == 1
 
 
 def test_streamed_buckets():
-    import numpy as np
     import pyarrow as pa
 
     r = np.random.default_rng(0)
@@ -103,3 +103,18 @@ def test_streamed_buckets():
 def test_empty_table(spark):
     members, found = run(spark, [])
     assert nd.similar_pairs(members, found).collect() == [] and nd.groups(members, found).collect() == []
+
+
+def test_filter_lets_every_id_through_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SEGMENT", 1 << 12)
+    ids = [(x * 0x9E3779B97F4A7C15) % (1 << 63) for x in range(20_000)]
+    bits, n = nd._filter_of(spark.createDataFrame([(x,) for x in ids], "sid long"))
+    assert n == len(bits) * 8
+
+    def inside(v):
+        ok = np.ones(len(v), dtype=bool)
+        for spot in nd._spots(np.array(v, dtype=np.int64), n):
+            ok &= (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+        return ok
+
+    assert inside(ids).all() and inside([x + 1 for x in ids]).mean() < 0.05

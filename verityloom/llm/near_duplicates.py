@@ -25,8 +25,8 @@ from verityloom.session import cut_lineage
 
 BUCKET_ROWS = 256
 PIVOTS = 64
-EXPAND = 64
 _FILTER_BITS = 1 << 28
+SEGMENT = 1 << 20  # bits of the filter that are built at a time
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -126,19 +126,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the column `sid`, at most 32 MB whatever the number of ids; past that it only lets more through."""
-    bits = int(min(_FILTER_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(16 * max(1, ids.count())))))))
+    """A Bloom filter of the column `sid`, at most 32 MB whatever the number of ids; past that it only lets more through.
+
+    Each task builds whole segments of SEGMENT bits, so the work spreads over as many tasks as there are segments and the
+    driver receives every bit once.
+    """
+    bits = int(min(_FILTER_BITS, max(SEGMENT, 1 << int(np.ceil(np.log2(16 * max(1, ids.count())))))))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_spots(b.column(0).to_numpy(), bits)))], names=["spot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, dtype=bool)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for spot in _spots(b.column(0).to_numpy(), bits):
-                seen[spot] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], names=["m"])
+            spot = b.column("spot").to_numpy()
+            for k in np.unique(spot // SEGMENT).tolist():
+                held.setdefault(k, np.zeros(SEGMENT, dtype=bool))[spot[spot // SEGMENT == k] % SEGMENT] = True
+        for k, seen in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(seen).tobytes()])], names=["segment", "m"])
 
     total = np.zeros(bits // 8, dtype=np.uint8)
-    for r in ids.select("sid").repartition(4).mapInArrow(run, "m binary").toLocalIterator():
-        total |= np.frombuffer(r[0], dtype=np.uint8)
+    spots = ids.select("sid").mapInArrow(spread, "spot long").distinct()
+    for r in spots.withColumn("segment", F.floor(F.col("spot") / SEGMENT)).repartition("segment").mapInArrow(run, "segment long, m binary").toLocalIterator():
+        total[r["segment"] * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(r["m"], dtype=np.uint8)
     return total, bits
 
 
@@ -240,19 +251,20 @@ def links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold
     return ids.join(per, "sid"), found
 
 
-def similar_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
+def similar_pairs(members: DataFrame, found: DataFrame, expand: int | None = None) -> DataFrame:
     """(a, b): pairs of different ids, a < b, whose texts are equal or linked.
 
-    Classes of up to EXPAND copies are expanded into all their pairs. A larger class is written as pairs of its
-    representative with every other copy, and its links as those of the representative: no link between different texts
-    is lost and no group is squared.
+    With expand=None every pair is written, as many as there are. With a number, classes of more copies are written as
+    pairs of their representative with every other copy, and their links as those of the representative: with `members`,
+    which holds every id's class, no link between different texts is lost and no group is squared.
     """
-    shown = members.where((F.col("copies") <= EXPAND) | (F.col("id") == F.col("representative"))).select("sid", "id")
+    large = F.lit(False) if expand is None else F.col("copies") > expand
+    shown = members.where(~large | (F.col("id") == F.col("representative"))).select("sid", "id")
     side = lambda c: shown.select(F.col("sid").alias(c), F.col("id").alias(f"i{c}"))
     across = found.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a <> b")
-    some = members.where(F.col("copies").between(2, EXPAND)).select("sid", "id")
+    some = members.where(~large & (F.col("copies") > 1)).select("sid", "id")
     within = some.select("sid", F.col("id").alias("a")).join(some.select("sid", F.col("id").alias("b")), "sid").where("a < b").select("a", "b")
-    star = members.where((F.col("copies") > EXPAND) & (F.col("id") != F.col("representative"))).select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    star = members.where(large & (F.col("id") != F.col("representative"))).select(F.col("representative").alias("a"), F.col("id").alias("b"))
     return across.union(within).union(star).distinct()
 
 

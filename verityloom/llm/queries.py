@@ -23,7 +23,7 @@ def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.similar_pairs(*_p3(spark, d)).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return near_duplicates.similar_pairs(*_p3(spark, d), expand=64).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
