@@ -27,11 +27,13 @@ _WIDE = np.int64(1) << 33  # wider than any range of days, so that running maxim
 def linear_merge(key: np.ndarray, start: np.ndarray, end: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
     """Merge intervals into disjoint spans per integer key; returns key, start, end, shared, sorted by key and start.
 
-    Intervals that overlap join and mark the span as shared; intervals that only touch join without marking it.
+    Intervals that overlap join and mark the span as shared; intervals that only touch join without marking it. The lists
+    of merged states lie end to end, each in ascending order; the stable sort takes such runs as they are and merges them
+    linearly. Only rows that are not yet in a state are really sorted.
     """
     if not len(key):
         return key, start, end, shared
-    order = np.lexsort((start, key))
+    order = np.argsort(key * _WIDE + start, kind="stable")
     key, start, end, shared = key[order], start[order], end[order], shared[order]
     reach = np.maximum.accumulate(key * _WIDE + (end + _WIDE // 4))
     same = np.r_[False, key[1:] == key[:-1]]
