@@ -206,15 +206,37 @@ def test_assembly(spark):
     assert rows(assembly.best_overlap(e, o, "g", "i")) == [("g1", "o1", 1)]
 
 
-def test_streams(spark, tmp_path):
+def _feed(spark, path, schema, parts):
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streams_drop_late_rows_and_keep_only_open_windows(spark, tmp_path):
+    from verityloom.streaming import events
+
+    day = lambda n: dt.datetime(2020, 1, n)
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "u long, ts timestamp, k string"
+    s = _feed(spark, src, schema, [[(1, day(1), "a"), (2, day(1), "b")], [(1, day(20), "a"), (1, day(19), "a")], [(1, day(20), "a")]])
+    counts = events.windowed_counts(s, "ts", ["k"], "1 day", "5 days")
+    assert rows(events.run_to_end(counts, "w", ["window_start", "k"], out)) == [(day(1), "a", 1), (day(1), "b", 1), (day(19), "a", 1), (day(20), "a", 2)]
+    _feed(spark, src, schema, [[(3, day(2), "late"), (3, day(21), "a")]])  # the run goes on in its folder; day 2 is behind the watermark
+    assert rows(events.run_to_end(counts, "w", ["window_start", "k"], out))[-1] == (day(21), "a", 1)
+    got = rows(events.run_to_end(counts, "w", ["window_start", "k"], out))
+    assert not any(r[1] == "late" for r in got) and len(got) == 5
+    q = counts.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{out}/state2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 5  # closed windows are evicted
+
+
+def test_latest_rows_survive_a_restart(spark, tmp_path, monkeypatch):
     from verityloom.streaming import events
 
-    src = str(tmp_path / "in")
+    monkeypatch.setattr(events, "COMPACT", 2)
     day = lambda n: dt.datetime(2020, 1, n)
-    schema = "u long, ts timestamp, k string"
-    for i, part in enumerate([[(1, day(1), "a"), (2, day(1), "b")], [(1, day(3), "a"), (1, day(2), "a")]]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    assert rows(events.keep_latest(s, "t", ["u"], "ts").select("u", "ts")) == [(1, day(3)), (2, day(1))]
-    got = events.run_to_end(events.windowed_counts(s, "ts", ["k"], "1 day", "10 days"), "w")
-    assert rows(got) == [(day(1), "a", 1), (day(1), "b", 1), (day(2), "a", 1), (day(3), "a", 1)]
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "u long, ts timestamp, k string"
+    s = _feed(spark, src, schema, [[(1, day(1), "a"), (2, day(1), "b")], [(1, day(3), "a"), (1, day(2), "a")], [(4, day(1), "c")]])
+    assert rows(events.keep_latest(s, "t", ["u"], "ts", out).select("u", "ts")) == [(1, day(3)), (2, day(1)), (4, day(1))]
+    _feed(spark, src, schema, [[(2, day(5), "b")]])
+    for _ in range(2):  # a second run without new rows changes nothing
+        assert rows(events.keep_latest(s, "t", ["u"], "ts", out).select("u", "ts")) == [(1, day(3)), (2, day(5)), (4, day(1))]

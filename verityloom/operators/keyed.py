@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verityloom.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in a total order; null keys are keys. Windows with a rank limit prune before the shuffle."""
@@ -25,18 +27,19 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str], *first
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 1) -> DataFrame:
-    """A gap-free serial number in the given order, by a range sort and per-partition offsets rather than one task."""
-    parts = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    parts = parts.persist()
-    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
-    before, offsets = 0, {}
-    for p in sorted(sizes):
-        offsets[p] = before
-        before += sizes[p]
-    if not offsets:
-        return parts.select(*df.columns, F.lit(0).cast("long").alias(name)).limit(0)
-    at = F.create_map(*(F.lit(x) for p in offsets for x in (p, offsets[p])))
-    return parts.select(*df.columns, (at[F.col("_p")] + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + start).cast("long").alias(name))
+    """A gap-free serial number in the given order, by a range sort and per-partition offsets rather than one task.
+
+    The sorted rows are checkpointed first: a lost executor must not lead to other ranges. The order must be total, else
+    equal rows take their numbers in any order.
+    """
+    parts = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row per partition
+    before, offsets = start, []
+    for r in sizes:
+        offsets.append((r["_p"], before))
+        before += r["n"]
+    at = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _at long"))
+    return parts.join(at, "_p").select(*df.columns, (F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def change_counts(existing: DataFrame, incoming: DataFrame, key: str, content: str, text: str) -> DataFrame:

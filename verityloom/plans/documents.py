@@ -105,7 +105,7 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events per type and day, counted by a stream over the file with a watermark."""
     schema = table(spark, d, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = events.run_to_end(events.windowed_counts(s, "ts", ["event_type"], "1 day", "30 days"), "windows")
+    got = events.run_to_end(events.windowed_counts(s, "ts", ["event_type"], "1 day", "30 days"), "windows", ["window_start", "event_type"])
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -29,15 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors reach; a temporary one only where driver and executors share a machine."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
+    if not root:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        root = tempfile.mkdtemp(prefix="verityloom-")
+    return root.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df reliably in the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
-    The folder is read from the session. Only where a session has none, as in local tests, a temporary one is set.
+    The folder is read from the session. Only where a local session has none, as in tests, a temporary one is set.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="verityloom-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

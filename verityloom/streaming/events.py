@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verityloom.operators.keyed import first_per_key
+from verityloom.session import shared_root
+
+COMPACT = 16  # batches after which the changes are written as one new base
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can reach it: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="verityloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder where all executors can reach it: below spark.checkpoint.dir, or a temporary one in a local session."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _complete(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Numbers of the folders `kind`=n that were written to the end, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, late: str) -> DataFrame:
@@ -22,35 +34,49 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, l
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return the result as a table in the shared folder."""
+def run_to_end(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Run an aggregating stream over what is there now and return its rows, one per key.
+
+    In update mode: a batch writes the groups that it changed, the watermark evicts the state of closed ones and keeps late
+    rows out. A batch that is replayed overwrites its own folder. With a `folder` of an earlier run the stream goes on there.
+    """
     spark = stream.sparkSession
-    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
+    out = folder or shared_folder(spark, name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    done = _complete(spark, out, "batch")
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).option("basePath", out).parquet(*(f"{out}/batch={n}" for n in done)).withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("long"))
+    return first_per_key(rows, keys, F.desc("batch")).drop("batch")
 
 
-def keep_latest(stream: DataFrame, name: str, keys: list[str], version: str) -> DataFrame:
-    """The newest row of every key of a stream. Each batch is merged into the table; replaying a batch changes nothing.
+def keep_latest(stream: DataFrame, name: str, keys: list[str], version: str, folder: str | None = None) -> DataFrame:
+    """The newest row of every key of a stream. Replaying a batch changes nothing.
 
-    A batch writes a new generation and then is the one that is read, so a batch that fails half-way leaves the last whole.
+    A batch writes only its own newest row per key, in a folder of its own; every COMPACT batches these are merged into a
+    new base. What counts is read from the folders that were written to the end: the greatest base and the batches after
+    it. With a `folder` of an earlier run, after a restart too, the stream goes on where it was.
     """
     spark = stream.sparkSession
-    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
-    done: list[str] = []
+    out = folder or shared_folder(spark, name)
+    newest = lambda df: first_per_key(df, keys, F.desc(version), F.asc(F.xxhash64(*stream.columns)))
+
+    def current(upto: int) -> DataFrame | None:
+        base = [n for n in _complete(spark, out, "base") if n <= upto]
+        parts = [f"{out}/base={n}" for n in base[-1:]] + [f"{out}/batch={n}" for n in _complete(spark, out, "batch") if n <= upto and not (base and n <= base[-1])]
+        return newest(spark.read.schema(stream.schema).parquet(*parts)) if parts else None
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch if not done else batch.unionByName(spark.read.schema(stream.schema).parquet(done[-1]))
-        target = f"{out}/{n}"
-        first_per_key(rows, keys, F.desc(version), F.asc(F.xxhash64(*stream.columns))).write.mode("overwrite").parquet(target)
-        if target not in done:
-            done.append(target)
+        newest(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if n % COMPACT == COMPACT - 1:
+            current(n).write.mode("overwrite").parquet(f"{out}/base={n}")
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+    got = current(1 << 62)
+    return spark.createDataFrame([], stream.schema) if got is None else got
