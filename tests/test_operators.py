@@ -40,7 +40,7 @@ def test_hashed_embedding_is_a_unit_vector(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("  The  C-88a and C-88\r\n\tc-88 XC-881 ", "The Control Foo  Service")], "t string, n string")
+    df = spark.createDataFrame([("  The  C-88a and C-88\r\n\tc-88 XC-881 ", "The Control Foo  business Service")], "t string, n string")
     r = df.select(text.squashed(F.col("t")), text.identifiers(F.col("t")), text.occurrences(F.col("t"), F.lit("C-88")), text.entity_key(F.col("n")), text.folded(F.lit("Straße")), text.html_text(F.lit("<a&'b'>")), text.as_percent(F.lit(None).cast("double")), text.markdown_cell(F.lit("a|b"))).first()
     assert r[0] == "the c-88a and c-88\nc-88 xc-881" and r[1] == ["C-88A", "C-88", "XC-881"] and r[2] == 1
     assert r[3] == "foo" and r[4] == "strasse" and r[5] == "&lt;a&amp;&#x27;b&#x27;&gt;" and r[6] == "n/a" and r[7] == "a\\|b"
@@ -153,6 +153,35 @@ def test_heading_paths(spark):
     assert got == {0: ("heading", "1 Scope"), 1: ("paragraph", "1 Scope"), 2: ("heading", "1 Scope > 1.1 Detail"), 3: ("list_item", "1 Scope > 1.1 Detail"), 4: ("heading", "2 Other"), 6: ("paragraph", "2 Other")}
 
 
+def test_outlines_of_any_depth(spark):
+    t = "\n".join([".".join("1" * n) + f" H{n}" for n in range(1, 13)] + ["text", "1.1.2 Again", "2 Other"])
+    els = elements.elements(spark.createDataFrame([(1, t)], "doc int, t string"), "doc", "t")
+    got = [r.heading_path for r in elements.heading_paths(els, "doc").orderBy("order_index").collect()]
+    deep = [".".join("1" * n) + f" H{n}" for n in range(1, 13)]
+    assert got[11] == got[12] == " > ".join(deep) and got[13] == " > ".join([*deep[:2], "1.1.2 Again"]) and got[14] == "2 Other"
+    long = elements.elements(spark.createDataFrame([(1, "1 A" + "b" * 500 + "\nx")], "doc int, t string"), "doc", "t")
+    assert [r.kind for r in long.orderBy("order_index").collect()] == ["heading", "paragraph"]
+
+
+def test_packs_begin_anew_at_breaks(spark):
+    df = spark.createDataFrame([("d", i, "x" * n, b) for i, (n, b) in enumerate([(2, True), (2, False), (2, True)])] + [("d", 3, None, None)], "doc string, i int, t string, b boolean")
+    assert [r.pack_index for r in elements.pack(df, "doc", "i", "t", 10, breaks="b").orderBy("i").collect()] == [0, 0, 1, 1]
+
+
+def test_long_texts_are_cut_between_sentences_then_words(spark):
+    texts = ["One two. Three four.  Five", "word " * 8 + "end. " + "Tail.", "x" * 50, "", None, "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for r in elements.split_long(df, "t", 12).orderBy("i", "part").collect():
+        got.setdefault(r.i, []).append(r.part_text)
+    assert got[0] == ["One two. ", "Three ", "four.  ", "Five"]  # the white space after a sentence counts
+    assert all("".join(got[i]) == t for i, t in enumerate(texts) if t) and got[2] == ["x" * 50] and got[3] == [""] and got[4] == [None] and got[5] == ["a b"]
+    assert all(len(p) <= 12 for i in (0, 1) for p in got[i])
+    assert elements.split_long(df.limit(0), "t", 12).collect() == []
+    f = spark.createDataFrame([("A b. \n\nC! d",), ("",), (None,), ("x.y. z",)], "t string").select(elements.fragments(F.col("t"))).collect()
+    assert [r[0] for r in f] == [["A b. \n\n", "C! ", "d"], [], None, ["x.y. ", "z"]]
+
+
 def test_packing_keeps_oversized_units_alone(spark):
     df = spark.createDataFrame([("d", i, "x" * n, "p") for i, n in enumerate([4, 5, 30, 2, 3, 4])] + [("e", 0, None, "p")], "doc string, i int, t string, k string")
     got = {(r.doc, r.i): r.pack_index for r in elements.pack(df, "doc", "i", "t", 10).collect()}

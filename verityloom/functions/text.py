@@ -13,6 +13,10 @@ from pyspark.sql.types import StringType
 # An identifier and the marks it may not touch.
 IDENTIFIER = r"[A-Za-z]{1,6}-\d+[A-Za-z]?"
 BOUNDARY = "[A-Za-z0-9]"
+# What is taken off a name, each in the order in which it is tried.
+ARTICLES = ("the ", "a ", "an ")
+TYPE_WORDS = ("application ", "control ", "procedure ", "obligation ")
+TRAILING = (" business service",)
 
 
 def squashed(c: Column) -> Column:
@@ -50,12 +54,12 @@ def contained_labels(c: Column, labels: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(x.lower())), F.lit(x)) for x in labels)))
 
 
-def entity_key(c: Column, articles: tuple[str, ...] = ("the", "an", "a"), prefixes: tuple[str, ...] = ("control", "application", "obligation", "procedure"), suffix: str = " service") -> Column:
-    """A name reduced to what tells it apart: blanks squashed, lower case, articles, one kind of prefix and the suffix off."""
+def entity_key(c: Column) -> Column:
+    """A name reduced to what tells it apart: blanks squashed, lower case, without articles, one leading type word and the ending."""
     c = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    c = reduce(lambda x, a: F.regexp_replace(x, f"^{a} ", ""), articles, c)
-    c = F.regexp_replace(c, f"^({'|'.join(prefixes)}) (?=.)", "")
-    return F.regexp_replace(c, f"(?<=.){suffix}$", "")
+    c = reduce(lambda x, a: F.regexp_replace(x, f"^{a}", ""), ARTICLES, c)
+    c = F.regexp_replace(c, f"^({'|'.join(TYPE_WORDS)})(?=.)", "")
+    return F.trim(reduce(lambda x, t: F.regexp_replace(x, f"{t}$", ""), TRAILING, c))
 
 
 def as_percent(c: Column, digits: int = 1) -> Column:

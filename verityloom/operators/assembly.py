@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verityloom.operators.elements import outline
 from verityloom.operators.keyed import first_per_key
 
+# Fixed value: the line above derived text.
+DERIVED = "Model-derived (unverified):\n"
+
 
 def flip_box(x0: Column, y0: Column, x1: Column, y1: Column, height: Column) -> Column:
     """A box measured from the bottom left as one measured from the top left."""
     return F.struct(x0.alias("x0"), (height - y1).alias("y0"), x1.alias("x1"), (height - y0).alias("y1"))
 
 
-def list_parents(items: DataFrame, doc: str, order: str, indent: str, levels: int = 8) -> DataFrame:
-    """items with parent_order: the last item before it of less indent, one look-back per level up to `levels`; null at the top."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(indent) == n, F.col(order)), ignorenulls=True).over(w) for n in range(levels)]
-    x = items.select("*", *(c.alias(f"_l{n}") for n, c in enumerate(last)))
-    above = F.array(*(F.when(F.col(indent) > n, F.col(f"_l{n}")) for n in range(levels)))
-    return x.withColumn("parent_order", F.array_max(above)).drop(*(f"_l{n}" for n in range(levels)))
+def list_parents(items: DataFrame, doc: str, order: str, indent: str) -> DataFrame:
+    """items with parent_order: the last item before it of less indent, whatever the depth; null at the top."""
+    return outline(items.withColumn("_t", F.lit("")), doc, order, indent, "_t").drop("_t", "label_path")
 
 
 def edges_with_evidence(edges: DataFrame, names: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def edges_with_evidence(edges: DataFrame, names: DataFrame, evidence: DataFrame)
 
 def retrieval_text(heading: Column, source: Column, derived: Column) -> Column:
     """What is embedded of a chunk: headings, source text and derived text, those that are there, apart by a blank line; null if none."""
-    parts = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in (heading, source, F.concat(F.lit("Model-derived (unverified):\n"), derived)))))
+    parts = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in (heading, source, F.concat(F.lit(DERIVED), derived)))))
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))
 
 
@@ -84,7 +84,11 @@ def first_on_path(paths: DataFrame, group: str, rank: str, edges: str, evidence:
 
 
 def phrase_in_lines(lines: Column, phrase: Column) -> Column:
-    """A phrase stands at word borders in one line or across the joint of two that follow each other."""
-    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), F.lower(phrase), F.lit(r"\E($|[^\p{L}\p{N}])"))
-    joined = F.lower(F.array_join(lines, " "))
+    """A phrase stands at word borders in the lines put together by blanks, so in one line or across lines that follow each other.
+
+    Runs of white space count as one blank, in the phrase and in the lines, and case does not count.
+    """
+    one = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), one(phrase), F.lit(r"\E($|[^\p{L}\p{N}])"))
+    joined = one(F.array_join(lines, " "))
     return F.regexp_like(joined, quoted)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How the kinds of lines look.
 LIST_ITEM = r"^\s*([-*\x{2022}]|\d+[.)])\s+\S"
-HEADING = r"^\s*(\d+(\.\d+)*)\s+\p{Lu}[^.!?]{0,80}$"
+HEADING = r"^\s*(\d+(\.\d+)*)\s+\p{Lu}[^.!?]*$"
 DATED = r"^\s*\[?\d{4}-\d{2}-\d{2}\]?\s"
 
 
@@ -30,70 +29,138 @@ def elements(df: DataFrame, doc: str, text: str) -> DataFrame:
     return x.select(doc, "order_index", "kind", level.alias("level"), F.trim("text").alias("text"))
 
 
-def heading_paths(els: DataFrame, doc: str, depth: int = 4) -> DataFrame:
-    """els with heading_path, the headings above each element joined by ' > '.
+def _streamed(df: DataFrame, doc: str, order: list[str], uses: list[str], state, schema: str) -> DataFrame:
+    """df with new columns worked out row by row in the order of each doc, whose rows stream through sorted partitions.
 
-    A heading of level n ends those of level n and deeper: the last heading of each level counts if none of a lesser
-    level came after it.
+    state() makes a function from (doc, values of the columns `uses`, of a whole batch) to the arrays of the new columns
+    and is kept over batches, so a document of any number of rows needs no more memory than a batch and its state.
     """
-    w = Window.partitionBy(doc).orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0)
-    is_at = lambda n: (F.col("kind") == "heading") & (F.least(F.col("level"), F.lit(depth)) == n)
-    last = [F.last(F.when(is_at(n), F.struct(F.col("order_index").alias("at"), F.col("text").alias("t"))), ignorenulls=True).over(w) for n in range(1, depth + 1)]
-    x = els.select("*", *(c.alias(f"_h{n}") for n, c in enumerate(last, 1)))
-    parts = []
-    for n in range(1, depth + 1):
-        above = [F.coalesce(F.col(f"_h{m}.at"), F.lit(-1)) for m in range(1, n)]
-        alive = F.col(f"_h{n}.at") > F.greatest(*above, F.lit(-1)) if above else F.col(f"_h{n}").isNotNull()
-        parts.append(F.when(alive, F.col(f"_h{n}.t")))
-    return x.withColumn("heading_path", F.array_join(F.array_compact(F.array(*parts)), " > ")).drop(*(f"_h{n}" for n in range(1, depth + 1)))
-
-
-def pack(df: DataFrame, doc: str, order: str, text: str, max_chars: int, joint: int = 1) -> DataFrame:
+    rows = df.repartition(doc).sortWithinPartitions(doc, *order)
+    at = [rows.columns.index(c) for c in (doc, *uses)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = state()
+        for b in batches:
+            new = step(*(b.column(i).to_pylist() for i in at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(c.split()[0] for c in schema.split(","))])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {schema}")
+
+
+def outline(df: DataFrame, doc: str, order: str, level: str, label: str) -> DataFrame:
+    """df with parent_order and label_path: where each row hangs in the outline that the levels make, of any depth.
+
+    A row of level n ends those of level n and deeper before it; its parent is the last row before it of a lesser level,
+    and its path the labels from the top down to its own, joined by ' > '. A row without a level hangs on the row before
+    that is still open and has its path.
+    """
+
+    def state():
+        doc_, open_ = object(), []
+
+        def step(docs: list, orders: list, levels: list, labels: list) -> list[pa.Array]:
+            nonlocal doc_, open_
+            parents, paths = [], []
+            for k, o, n, t in zip(docs, orders, levels, labels):
+                if k != doc_:
+                    doc_, open_ = k, []
+                if n is not None:
+                    while open_ and open_[-1][0] >= n:
+                        open_.pop()
+                parents.append(open_[-1][1] if open_ else None)
+                if n is not None:
+                    open_.append((n, o, f"{open_[-1][2]} > {t}" if open_ else t))
+                paths.append(open_[-1][2] if open_ else "")
+            return [pa.array(parents, pa.int32()), pa.array(paths, pa.string())]
+
+        return step
+
+    return _streamed(df, doc, [order], [order, level, label], state, "parent_order int, label_path string")
+
+
+def heading_paths(els: DataFrame, doc: str) -> DataFrame:
+    """els with heading_path, the headings above each element joined by ' > '; a heading ends those of its level and deeper."""
+    x = els.withColumn("_l", F.when(F.col("kind") == "heading", F.col("level")))
+    return outline(x, doc, "order_index", "_l", "text").drop("_l", "parent_order").withColumnRenamed("label_path", "heading_path")
+
+
+def pack(df: DataFrame, doc: str, order: str, text: str, max_chars: int, joint: int = 1, breaks: str | None = None) -> DataFrame:
     """df with pack_index: consecutive units of a document put together while their joined length stays within max_chars.
 
-    A unit over the limit is a pack of its own. Units stream through sorted partitions, so a document of any number of
-    units needs no more memory than a batch.
+    A unit over the limit is a pack of its own. Where the boolean column `breaks` is true, as at a heading, a new unit of
+    the source or a table that stands alone, a new pack begins whatever the length. A null text has no length.
     """
-    rows = df.withColumn("_n", F.coalesce(F.length(text), F.lit(0))).repartition(doc).sortWithinPartitions(doc, order)
-    at_doc, at_n = rows.columns.index(doc), rows.columns.index("_n")
+    x = df.withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn("_b", F.coalesce(F.col(breaks), F.lit(False)) if breaks else F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def state():
         key, size, index = object(), 0, 0
-        for b in batches:
-            out = np.empty(b.num_rows, dtype=np.int32)
-            for i, (k, n) in enumerate(zip(b.column(at_doc).to_pylist(), b.column(at_n).to_pylist())):
+
+        def step(docs: list, sizes: list, cut: list) -> list[pa.Array]:
+            nonlocal key, size, index
+            out = np.empty(len(docs), dtype=np.int32)
+            for i, (k, n, b) in enumerate(zip(docs, sizes, cut)):
                 if k != key:
                     key, size, index = k, n, 0
-                elif size + joint + n > max_chars:
+                elif b or size + joint + n > max_chars:
                     size, index = n, index + 1
                 else:
                     size += joint + n
                 out[i] = index
-            cols = [c for i, c in enumerate(b.columns) if i != at_n]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*(f.name for i, f in enumerate(b.schema) if i != at_n), "pack_index"])
+            return [pa.array(out)]
+
+        return step
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", pack_index int"
-    return rows.mapInArrow(run, schema)
+    return _streamed(x, doc, [order], ["_n", "_b"], state, "pack_index int").drop("_n", "_b")
 
 
 def fragments(text: Column) -> Column:
-    """array of (start, end): sentences with the ASCII white space after them; together they are the text."""
+    """array of sentences, each with the white space after it; put together they are the text. Built-in expressions only."""
+    return F.regexp_extract_all(text, F.lit(r"(?s).*?[.!?]\s+(?=\S)|.+"), 0)
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def cut(s: pd.Series) -> pd.Series:
-        import re
 
-        rx = re.compile(r"(?<=[.!?])\s+", re.ASCII)
+def split_long(df: DataFrame, text: str, limit: int) -> DataFrame:
+    """df with (part, part_start, part_text): every text in parts of at most `limit` characters, cut between sentences.
 
-        def one(t: str | None):
-            if t is None:
-                return None
-            ends = [m.end() for m in rx.finditer(t) if m.end() < len(t)]
-            return [{"start": a, "end": b} for a, b in zip([0, *ends], [*ends, len(t)])] if t else []
+    Sentences are put together while they fit. One over the limit is cut at white space, and a word over the limit stays
+    whole: no word is ever cut. Together the parts are the text. A null or empty text gives one part, itself.
+    """
+    import re
+
+    at = df.columns.index(text)
+    sentence, word = re.compile(r"(?<=[.!?])\s+", re.ASCII), re.compile(r"\s+", re.ASCII)
+
+    def cut(t: str, begin: int, end: int, rx: re.Pattern) -> list[tuple[int, int]]:
+        ends = [m.end() for m in rx.finditer(t, begin, end) if m.end() < end]
+        return list(zip([begin, *ends], [*ends, end]))
+
+    def packed(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, z in spans:
+            if out and z - out[-1][0] <= limit:
+                out[-1] = (out[-1][0], z)
+            else:
+                out.append((a, z))
+        return out
+
+    def parts(t: str | None) -> list[tuple[int, int]]:
+        if t is None or len(t) <= limit:
+            return [(0, len(t or ""))]
+        out: list[tuple[int, int]] = []
+        for a, z in packed(cut(t, 0, len(t), sentence)):
+            out += [(a, z)] if z - a <= limit else packed(cut(t, a, z, word))
+        return out
 
-        return s.map(one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found = [parts(t) for t in texts]
+            row = pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))
+            number = pa.array([i for f in found for i in range(len(f))], pa.int32())
+            start = pa.array([a for f in found for a, _ in f], pa.int32())
+            piece = pa.array([None if t is None else t[a:z] for t, f in zip(texts, found) for a, z in f], pa.string())
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), number, start, piece], names=[*b.schema.names, "part", "part_start", "part_text"])
 
-    return cut(text)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", part int, part_start int, part_text string")
 
 
 def one_to_one(expected: DataFrame, observed: DataFrame, keys: list[str], order_expected: str, order_observed: str) -> DataFrame:
@@ -123,13 +190,14 @@ def matched_by_value(expected: DataFrame, observed: DataFrame, keys: list[str],
     return same.where("expected is not null and observed is not null").unionByName(pair(left, right, [], "full_outer"))
 
 
-def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, doc: str, text: str, limit: int = 100_000) -> DataFrame:
+def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, doc: str, text: str, limit: int = 4_000_000) -> DataFrame:
     """(needle_id, doc): which needles stand in which texts, by one pass of an automaton of all needles over each text.
 
-    Up to `limit` needles are searched at a time; more are taken in as many passes as needed. Empty needles match nothing.
+    Needles of up to `limit` characters together are broadcast at a time, a longer one by itself; more are taken in as many
+    passes as needed. Empty needles match nothing.
     """
     key = df.schema[doc].dataType.simpleString()
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def scan(rows: list[tuple[str, str]]) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(rows)
@@ -156,9 +224,10 @@ def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, do
         return df.select(doc, text).mapInArrow(run, f"needle string, doc {key}")
 
     for r in needles.select(F.col(needle_id).cast("string").alias("i"), F.col(needle).alias("n")).where("n <> ''").toLocalIterator():
+        if block and size + len(r["n"]) > limit:
+            out, block, size = (scan(block) if out is None else out.unionByName(scan(block))), [], 0
         block.append((r["i"], r["n"]))
-        if len(block) == limit:
-            out, block = (scan(block) if out is None else out.unionByName(scan(block))), []
+        size += len(r["n"])
     if block:
         out = scan(block) if out is None else out.unionByName(scan(block))
     if out is None:

@@ -140,8 +140,9 @@ def chunk_coverage_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_nesting(spark: SparkSession, d: str) -> DataFrame:
-    items = elements.elements(table(spark, d, "documents"), "doc_id", "text").where("kind = 'list_item'").withColumn("indent", F.least("level", F.lit(7)))
-    return assembly.list_parents(items, "doc_id", "order_index", "indent").groupBy("doc_id").agg(F.count("*").alias("items"), F.count("parent_order").alias("nested"))
+    """List items with the item that each hangs on."""
+    items = elements.elements(table(spark, d, "documents"), "doc_id", "text").where("kind = 'list_item'")
+    return assembly.list_parents(items, "doc_id", "order_index", "level").select("doc_id", "order_index", "level", "parent_order")
 
 
 def flipped_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +175,20 @@ def _joined(*cols: str) -> str:
 
 
 ORACLES = {
+    "list_nesting": """with raw as (select doc_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) t, unnest(range(0, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))))) o from documents),
+i as (select doc_id, cast(o as int) o, cast(length(regexp_extract(t, '^( *)', 1)) // 2 as int) l from raw where regexp_matches(t, '^\\s*([-*\\x{2022}]|\\d+[.)])\\s+\\S') and not regexp_matches(t, '^\\s*(\\d+(\\.\\d+)*)\\s+\\p{Lu}[^.!?]*$'))
+select doc_id, o order_index, l "level", (select max(o) from i j where j.doc_id = i.doc_id and j.o < i.o and j.l < i.l) parent_order from i""",
+    "phrases_recovered": """select doc_id, coalesce(regexp_matches(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '(^|[^\\pL\\pN])' || regexp_escape(trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))) || '($|[^\\pL\\pN])'), false) recovered from documents""",
+    "identifier_survival": """with d as (select document_id, document_type, text from (select *, row_number() over (partition by document_id order by created_at desc, doc_id) n from documents) where n = 1),
+c as (select document_id, chunk_text from (select *, row_number() over (partition by chunk_id order by created_at desc) n from document_chunks) where n = 1),
+e as (select document_id, document_type, i, count(*) n from (select document_id, document_type, unnest(regexp_extract_all(text, '\\b([A-Z]{1,6}-\\d+[a-z]?)\\b', 1)) i from d) group by all),
+o as (select document_id, i, count(*) m from (select document_id, unnest(regexp_extract_all(chunk_text, '\\b([A-Z]{1,6}-\\d+[a-z]?)\\b', 1)) i from c) group by all),
+x as (select document_type, n, least(n, coalesce(m, 0)) hit from e left join o using (document_id, i))
+select case when grouping(document_type) = 1 then 'overall' else coalesce(document_type, 'none') end bucket, 'identifier_recall' metric, cast(sum(hit) as bigint) numerator, cast(sum(n) as bigint) denominator, 0 excluded, round(sum(hit) / sum(n), 6) score from x group by grouping sets ((document_type), ())""",
+    "provenance_completeness": """with d as (select document_id, max(lower(lang)) lang from documents group by 1), r as (select distinct document_revision_id rev from edib_document_revision_registry),
+c as (select lang, d.document_id is not null doc, r.rev is not null rev from (select distinct on (chunk_id) * from document_chunks) c left join d using (document_id) left join r on r.rev = c.document_revision_id),
+f as (select lang, 'document' metric, doc hit from c union all select lang, 'revision', rev from c)
+select case when grouping(lang) = 1 then 'overall' else coalesce(lang, 'none') end bucket, metric, count(*) filter (hit) numerator, count(*) denominator, 0 excluded, round(count(*) filter (hit) / count(*), 6) score from f group by grouping sets ((lang, metric), (metric))""",
     "authority_aware_search": f'with {_AWARE} select query, "row", rank, round(similarity, 6) similarity from hits',
     "cross_document_diversity": f"with {_AWARE} select query, count(distinct document_id) documents, count(*) hits from hits group by 1",
     "registry_snapshot_hash": f"with p as (select distinct logical_document_id, authority_period_id, document_revision_id, effective_from, effective_to from edib_revision_authority_period) select logical_document_id, {_SETH.format(_joined('authority_period_id', 'document_revision_id', 'effective_from', 'effective_to'))} snapshot from p group by 1",

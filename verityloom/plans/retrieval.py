@@ -215,5 +215,5 @@ select count(*) candidates, count(*) filter (blank) blank, count(*) filter (not
 select distinct a.logical_document_id, a.document_revision_id, b.document_revision_id other from r a join r b on a.logical_document_id = b.logical_document_id and a.l is not distinct from b.l and a.n is not distinct from b.n and a.document_revision_id < b.document_revision_id""",
     "revision_ids": """select distinct document_revision_id, sha256('{"logical_document_id":' || coalesce(cast(to_json(logical_document_id) as varchar), 'null') || ',"revision_number":' || coalesce(cast(revision_number as varchar), 'null') || ',"source_document_sha256":' || coalesce(cast(to_json(source_document_sha256) as varchar), 'null') || ',"version_label":' || coalesce(cast(to_json(lower(trim(version_label))) as varchar), 'null') || '}') content_id from edib_document_revision_registry""",
     "index_hash": "select label, sha256(cast(count(*) as varchar) || '|' || cast(sum(cast(('0x' || substr(sha256(cast(vec_id as varchar) || chr(31) || cast(len(embedding) as varchar)), 1, 15)) as bigint)) as varchar)) index_hash from embeddings group by 1",
-    "entity_keys": """select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '^the ', ''), '^an ', ''), '^a ', ''), '^(control|application|obligation|procedure) (.)', '\\2'), '(.) service$', '\\1') entity_key from documents""",
+    "entity_keys": """select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '^the ', ''), '^a ', ''), '^an ', ''), '^(application|control|procedure|obligation) (.)', '\\2'), ' business service$', '')) entity_key from documents""",
 }
