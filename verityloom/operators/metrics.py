@@ -15,20 +15,28 @@ def question_metrics(hits: DataFrame, judged: DataFrame, ks: list[int]) -> DataF
     """
     j = judged.select("query", "item", "kind").distinct()
     need = j.groupBy("query").agg(F.count_if(F.col("kind") == "required").alias("required"), F.count_if(F.col("kind") == "forbidden").alias("forbidden"))
-    scored = hits.join(j, ["query", "item"])
+    return scored_metrics(need, hits.join(j, ["query", "item"]), ks)
+
+
+def scored_metrics(need: DataFrame, scored: DataFrame, ks: list[int]) -> DataFrame:
+    """As question_metrics, from need(query, required, forbidden), how many items are judged so, and the judged hits alone.
+
+    scored(query, item, rank, kind). Where what is judged follows a rule, as by a label, its pairs need never be written.
+    `leaked` are the forbidden items among the hits.
+    """
     rel, gain = F.col("kind") == "required", 1 / F.log2(F.col("rank") + 1)
     aggs = [F.coalesce(1 / F.min(F.when(rel, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank")]
     for k in ks:
         at = F.col("rank") <= k
-        aggs += [F.count_if(rel & at).alias(f"r{k}"), F.count_if(~rel & at).alias(f"f{k}"), F.coalesce(F.sum(F.when(rel & at, gain)), F.lit(0.0)).alias(f"d{k}"), F.array_sort(F.collect_set(F.when(rel & at, F.col("item")))).alias(f"m{k}")]
+        aggs += [F.count_if(rel & at).alias(f"r{k}"), F.count_if(~rel & at).alias(f"f{k}"), F.coalesce(F.sum(F.when(rel & at, gain)), F.lit(0.0)).alias(f"d{k}"), F.array_sort(F.collect_set(F.when(rel & at, F.col("item")))).alias(f"m{k}"), F.array_sort(F.collect_set(F.when(~rel & at, F.col("item")))).alias(f"l{k}")]
     per = need.join(scored.groupBy("query").agg(*aggs), "query", "left")
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"r{k}", F.lit(0)).alias("r"), F.coalesce(f"f{k}", F.lit(0)).alias("f"), F.coalesce(f"d{k}", F.lit(0.0)).alias("d"), F.coalesce(F.array_join(f"m{k}", ","), F.lit("")).alias("m")) for k in ks))).alias("e")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"r{k}", F.lit(0)).alias("r"), F.coalesce(f"f{k}", F.lit(0)).alias("f"), F.coalesce(f"d{k}", F.lit(0.0)).alias("d"), F.coalesce(F.array_join(f"m{k}", ","), F.lit("")).alias("m"), F.coalesce(F.array_join(f"l{k}", ","), F.lit("")).alias("l")) for k in ks))).alias("e")
     ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("k", "required").cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
     has = F.col("required") > 0
     return per.select("query", "required", "forbidden", F.coalesce("reciprocal_rank", F.lit(0.0)).alias("reciprocal_rank"), each).select("query", "required", "forbidden", "reciprocal_rank", "e.*").select(
         "query", "k", "required", F.round(F.try_divide("r", "required"), 6).alias("coverage"), F.when(has, F.col("r") == F.col("required")).alias("all_found"),
         F.round(F.coalesce(F.try_divide("f", "forbidden"), F.lit(0.0)), 6).alias("forbidden_share"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"),
-        F.when(has, F.round(F.col("d") / ideal, 6)).alias("ndcg"), F.col("m").alias("matched"),
+        F.when(has, F.round(F.col("d") / ideal, 6)).alias("ndcg"), F.col("m").alias("matched"), F.col("l").alias("leaked"),
     )
 
 

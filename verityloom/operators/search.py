@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from verityloom.operators.keyed import first_per_key
 
-BLOCK = 2_048
+BLOCK = 32_768  # queries that are broadcast at a time, 16 MB at 64 numbers
+STEP = 1_024  # queries that are multiplied at a time
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,11 +25,19 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _first_best(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the `keep` greatest values of each row, of equal ones the first."""
+    edge = np.partition(s, -keep, axis=1)[:, -keep][:, None]
+    order = np.where(s > edge, 0, np.where(s == edge, 1, 2)).astype(np.int8)
+    return np.argsort(order, axis=1, kind="stable")[:, :keep]
+
+
 def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, k: int, dim: int = 64, skip_self: bool = True) -> DataFrame:
     """(query, row, rank, similarity): the k rows of greatest cosine of every query, ties by row id.
 
     The index is scanned once per block of BLOCK queries, which is broadcast; every task keeps its own k best per query,
-    and only those are shuffled. Zero vectors have similarity 0; null vectors and those of another length take no part.
+    of ties those of least id, and only those are shuffled. Zero vectors have similarity 0; null vectors and those of
+    another length take no part. Similarities are compared when rounded to nine places.
     """
     kind = index.schema[row_id].dataType.simpleString()
     q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim).orderBy("q")
@@ -42,23 +51,32 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, m = shared.value
-            held_s, held_i = np.full((len(names), 0), -9.0), np.full((len(names), 0), None, dtype=object)
+            keep = k + skip_self
+            held_s, held_i = np.full((len(names), keep), -9.0), np.full((len(names), keep), None, dtype=object)
             for b in batches:
                 at, x = _vectors(b.column(1), dim)
+                if not len(at):
+                    continue
                 ids = np.array(b.column(0).take(pa.array(at)).to_pylist(), dtype=object)
-                for a in range(0, len(ids), 4096):
-                    s = np.hstack([held_s, m @ x[a : a + 4096].T])
-                    i = np.hstack([held_i, np.broadcast_to(ids[a : a + 4096], (len(names), len(ids[a : a + 4096])))])
-                    keep = k + skip_self
-                    if s.shape[1] > keep:  # all that tie with the last place stay for the total order
-                        edge = np.partition(s, -keep, axis=1)[:, -keep][:, None]
-                        most = int((s >= edge - 1e-12).sum(axis=1).max())
-                        top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                        s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-                    held_s, held_i = s, i
-            if held_s.shape[1]:
-                qs = pa.array([n for n in names for _ in range(held_s.shape[1])])
-                yield pa.RecordBatch.from_arrays([qs, pa.array(held_i.ravel().tolist()), pa.array(held_s.ravel())], names=["query", "row", "similarity"])
+                order = np.argsort(ids, kind="stable")  # so that of equal similarities the least id comes first
+                ids, x = ids[order], x[order]
+                for a in range(0, len(m), STEP):
+                    for c in range(0, len(ids), 4096):
+                        s = np.round(m[a : a + STEP] @ x[c : c + 4096].T, 9)
+                        better = np.flatnonzero((s >= held_s[a : a + STEP, -1:]).any(axis=1))  # only these queries change
+                        if not len(better):
+                            continue
+                        rows, s = a + better, s[better]
+                        top = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * keep else _first_best(s, keep)
+                        all_s, all_i = np.hstack([held_s[rows], np.take_along_axis(s, top, 1)]), np.hstack([held_i[rows], ids[c : c + 4096][top]])
+                        for r, (score, name) in enumerate(zip(all_s, all_i)):
+                            best = sorted(((-v, n) for v, n in zip(score.tolist(), name) if n is not None))[:keep]
+                            held_s[rows[r], : len(best)] = [-v for v, _ in best]
+                            held_i[rows[r], : len(best)] = [n for _, n in best]
+            full = held_s > -9
+            if full.any():
+                qs = np.repeat(np.array(names, dtype=object), full.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(qs.tolist()), pa.array(held_i[full].tolist()), pa.array(held_s[full])], names=["query", "row", "similarity"])
 
         return index.select(F.col(row_id), F.col(vector)).mapInArrow(run, f"query {kind}, row {kind}, similarity double")
 

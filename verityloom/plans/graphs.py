@@ -80,9 +80,9 @@ def graph_build_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_seed_match(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers that test questions share with extracted nodes."""
+    """Extracted nodes that test questions name, by identifier or by name."""
     nodes = graph.build_graph(_relations(spark, d), "doc_id")[0]
-    return graph.match_seeds(table(spark, d, "evaluation_items"), "item_id", F.col("question"), nodes, "name", F.lower("name"))
+    return graph.match_seeds(table(spark, d, "evaluation_items"), "item_id", F.col("question"), nodes, "name")
 
 
 def identifier_index(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +106,7 @@ _PATHS = f"""with recursive {_GEO} {_ADJ.format('e_small')}
 p(seed, node, hops, path) as (
   select 'r' || r_regionkey, 'r' || r_regionkey, 0, ['r' || r_regionkey] from region
   union all select seed, t, hops + 1, list_append(path, t) from p join adj on s = node where hops < 5 and not list_contains(path, t))"""
+_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '^the ', ''), '^a ', ''), '^an ', ''), '^(application|control|procedure|obligation) (.)', '\\2'), ' business service$', ''))"
 ORACLES = {
     "graph_bfs_distance": f"with recursive {_GEO} {_ADJ.format('e_trade')} {_BFS.format(5)} select node, distance from dist",
     "hop_ranked_edges": f"with recursive {_GEO} {_ADJ.format('e_trade')} {_BFS.format(3)} select hop, count(*) edges from (select least(a.distance, b.distance) hop from e_trade left join dist a on a.node = s left join dist b on b.node = t) where hop is not null group by 1",
@@ -120,6 +121,9 @@ select seed, node leaf, depth, array_to_string(path, ' > ') path from p a where
     "graph_nodes": f"select 'node_' || substr(sha256(name), 1, 24) node_id, name, count(*) mentions from (select unnest([subject, object]) name from ({_REL})) group by name",
     "graph_edges": f"select 'edge_' || substr(sha256(subject || '|' || predicate || '|' || object), 1, 24) edge_id, 'node_' || substr(sha256(subject), 1, 24) src, predicate, 'node_' || substr(sha256(object), 1, 24) dst, min(doc_id) first_source, count(distinct doc_id) sources from ({_REL}) group by subject, predicate, object",
     "graph_build_eval": f"with g as (select distinct subject, predicate, object from ({_REL})), f as (select distinct subject, predicate, object from ({_REL_CHUNK})), c as (select count(*) n from f join g using (subject, predicate, object)) select (select count(*) from g) gold, (select count(*) from f) found, n common, round(n / nullif((select count(*) from g), 0), 6) recall, round(coalesce(n / nullif((select count(*) from f), 0), 1), 6) \"precision\" from c",
-    "graph_seed_match": f"with n as (select distinct unnest([subject, object]) name from ({_REL})), q as (select distinct item_id, unnest(regexp_extract_all(lower(question), '([a-z]{{1,6}}-\\d+[a-z]?)', 1)) k from evaluation_items) select distinct item_id, name from q join n on lower(name) = k where length(k) >= 4",
+    "graph_seed_match": f"""with n as (select distinct unnest([subject, object]) name from ({_REL})),
+k as (select name, {_KEY.format('name')} key, list_transform(regexp_extract_all(name, '([A-Za-z]{{1,6}}-\\d+[A-Za-z]?)', 1), lambda x: upper(x)) ids from n),
+q as (select item_id, {_KEY.format('question')} key, list_transform(regexp_extract_all(question, '([A-Za-z]{{1,6}}-\\d+[A-Za-z]?)', 1), lambda x: upper(x)) ids from evaluation_items)
+select item_id, name, name alias from q join k on case when len(k.ids) > 0 then list_has_any(q.ids, k.ids) else length(k.key) >= 4 and contains(q.key, k.key) end""",
     "identifier_index": "select identifier, count(*) documents, min(doc_id) first_doc from (select distinct doc_id, upper(unnest(regexp_extract_all(text, '\\b([A-Za-z]{1,6}-\\d+[A-Za-z]?)\\b', 1))) identifier from documents) group by 1",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verityloom.functions import hashing, text, vectors
 from verityloom.operators import keyed, metrics, search
-from verityloom.session import table
+from verityloom.session import cut_lineage, table
 
 K = 10
 
@@ -50,22 +50,32 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The vector ranking of each query fused with a ranking of its label's rows by id distance."""
     e = table(spark, d, "embeddings")
     q = _queries(spark, d).select(F.col("vec_id").alias("query"), "label")
-    near = q.join(e.select(F.col("vec_id").alias("row"), "label"), "label").where("query <> row")
+    # the nearest K ids of a label are among the K before and the K after in its order: positions are looked up, not pairs ranked
+    at = cut_lineage(keyed.numbered(e.select(F.col("vec_id").alias("row"), "label"), "place", "label", "row"))
+    mine = q.join(at.select(F.col("row").alias("query"), "place"), "query")
+    near = mine.select("query", "label", F.explode(F.sequence(F.col("place") - K, F.col("place") + K)).alias("place")).join(at, ["label", "place"]).where("query <> row")
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.abs(F.col("row") - F.col("query")), "row"))
     near = near.withColumn("rank", r).where(F.col("rank") <= K).select("query", "row", "rank")
     return search.reciprocal_rank_fusion([_batch(spark, d), near], "query", "row", "rank", K).select("query", F.col("row").alias("item"), F.round("score", 8).alias("score"), "rank", F.array_join("sources", ",").alias("sources"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d).select(F.col("vec_id").alias("query"), "label")
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("l"))
-    kind = F.when(F.col("l") == F.col("label"), "required").when(F.col("l") == (F.col("label") + 1) % 10, "forbidden")
-    return q.join(F.broadcast(e.select("l").distinct()), (F.col("l") == F.col("label")) | (F.col("l") == (F.col("label") + 1) % 10)).join(e, "l").where("item <> query").select("query", "item", kind.alias("kind"))
+def _metrics(spark: SparkSession, d: str, hits: DataFrame, ks: list[int]) -> DataFrame:
+    """Metrics of hits(query, item, rank): rows of a query's own label are required, of the next label forbidden.
+
+    Counts per label say how many are judged; only hits are looked up.
+    """
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label")
+    n = e.groupBy("label").agg(F.count("*").alias("n"))
+    q = _queries(spark, d).select(F.col("vec_id").alias("query"), F.col("label").alias("own"), ((F.col("label") + 1) % 10).alias("next"))
+    own, nxt = n.select(F.col("label").alias("own"), (F.col("n") - 1).alias("required")), n.select(F.col("label").alias("next"), F.col("n").alias("forbidden"))
+    need = q.join(own, "own").join(nxt, "next", "left").fillna(0, ["forbidden"])
+    kind = F.when(F.col("label") == F.col("own"), "required").when(F.col("label") == F.col("next"), "forbidden")
+    scored = hits.join(e, "item").join(q, "query").withColumn("kind", kind).where("kind is not null").select("query", "item", "rank", "kind")
+    return metrics.scored_metrics(need.select("query", "required", "forbidden"), scored, ks)
 
 
 def question_metrics_at_k(spark: SparkSession, d: str) -> DataFrame:
-    hits = _batch(spark, d).select("query", F.col("row").alias("item"), "rank")
-    return metrics.question_metrics(hits, _judged(spark, d), [1, 3, 5])
+    return _metrics(spark, d, _batch(spark, d).select("query", F.col("row").alias("item"), "rank"), [1, 3, 5])
 
 
 def aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -74,9 +84,8 @@ def aggregate_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Coverage at 5 of the vector ranking against the fused one, by query."""
-    judged = _judged(spark, d)
-    a = metrics.question_metrics(_batch(spark, d).select("query", F.col("row").alias("item"), "rank"), judged, [5])
-    b = metrics.question_metrics(rrf_fusion(spark, d).select("query", "item", "rank"), judged, [5])
+    a = _metrics(spark, d, _batch(spark, d).select("query", F.col("row").alias("item"), "rank"), [5])
+    b = _metrics(spark, d, rrf_fusion(spark, d).select("query", "item", "rank"), [5])
     return metrics.compare_runs(a, b, "query", "coverage")
 
 
@@ -123,11 +132,11 @@ def first_evidence_per_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_safe_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of revisions of a document with the same label and number, nulls being equal."""
+    """Revisions of a document with the same label and number as another, nulls being equal: each with the least of its like."""
     r = table(spark, d, "edib_document_revision_registry").select("logical_document_id", "document_revision_id", F.lower(F.trim("version_label")).alias("label"), "revision_number").distinct()
-    b = r.select(F.col("logical_document_id").alias("l"), F.col("document_revision_id").alias("other"), F.col("label").alias("bl"), F.col("revision_number").alias("bn"))
-    same = (F.col("logical_document_id") == F.col("l")) & F.col("label").eqNullSafe(F.col("bl")) & F.col("revision_number").eqNullSafe(F.col("bn"))
-    return r.join(b, same & (F.col("document_revision_id") < F.col("other"))).select("logical_document_id", "document_revision_id", "other").distinct()
+    k = F.row_number().over(Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id"))
+    r = r.withColumn("first", F.first("document_revision_id").over(Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id"))).withColumn("k", k)
+    return r.where("k > 1").select("logical_document_id", F.col("first").alias("document_revision_id"), F.col("document_revision_id").alias("other"))
 
 
 def revision_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -174,11 +183,11 @@ need_ as (select query, count(*) filter (kind = 'required') required, count(*) f
 ks as (select unnest({ks}) k),
 scored as (select h.*, j.kind from {ranking} h join judged j on j.query = h.query and j.item = h.item),
 rr as (select query, 1.0 / min(rank) rr from scored where kind = 'required' group by 1),
-at_k as (select n.query, k, count(*) filter (kind = 'required') r, count(*) filter (kind = 'forbidden') f, sum(case when kind = 'required' then 1 / log2(rank + 1) end) dcg, string_agg(cast(item as varchar), ',' order by item) filter (kind = 'required') m
+at_k as (select n.query, k, count(*) filter (kind = 'required') r, count(*) filter (kind = 'forbidden') f, sum(case when kind = 'required' then 1 / log2(rank + 1) end) dcg, string_agg(cast(item as varchar), ',' order by item) filter (kind = 'required') m, string_agg(cast(item as varchar), ',' order by item) filter (kind = 'forbidden') l
   from need_ n cross join ks left join scored s on s.query = n.query and s.rank <= k group by 1, 2),
 per as (select n.query, cast(k as int) k, required, round(r / nullif(required, 0), 6) coverage, case when required > 0 then r = required end all_found,
   round(coalesce(f / nullif(forbidden, 0), 0), 6) forbidden_share, round(coalesce(rr, 0), 6) reciprocal_rank,
-  case when required > 0 then round(coalesce(dcg, 0) / (select sum(1 / log2(i + 1)) from range(1, cast(least(k, required) as bigint) + 1) t(i)), 6) end ndcg, coalesce(m, '') matched
+  case when required > 0 then round(coalesce(dcg, 0) / (select sum(1 / log2(i + 1)) from range(1, cast(least(k, required) as bigint) + 1) t(i)), 6) end ndcg, coalesce(m, '') matched, coalesce(l, '') leaked
   from need_ n join at_k using (query) left join rr using (query))"""
 
 
@@ -212,7 +221,7 @@ select count(*) candidates, count(*) filter (blank) blank, count(*) filter (not
     "numbered_events": "select event_id, ts, row_number() over (order by ts, event_id) serial from events",
     "first_evidence_per_edge": "select distinct on (l_suppkey, l_partkey) l_suppkey, l_partkey, l_orderkey, l_linenumber from lineitem order by l_suppkey, l_partkey, l_orderkey, l_linenumber",
     "null_safe_identity": """with r as (select distinct logical_document_id, document_revision_id, lower(trim(version_label)) l, revision_number n from edib_document_revision_registry)
-select distinct a.logical_document_id, a.document_revision_id, b.document_revision_id other from r a join r b on a.logical_document_id = b.logical_document_id and a.l is not distinct from b.l and a.n is not distinct from b.n and a.document_revision_id < b.document_revision_id""",
+select b.logical_document_id, min(a.document_revision_id) document_revision_id, b.document_revision_id other from r a join r b on a.logical_document_id = b.logical_document_id and a.l is not distinct from b.l and a.n is not distinct from b.n and a.document_revision_id < b.document_revision_id group by b.logical_document_id, b.document_revision_id""",
     "revision_ids": """select distinct document_revision_id, sha256('{"logical_document_id":' || coalesce(cast(to_json(logical_document_id) as varchar), 'null') || ',"revision_number":' || coalesce(cast(revision_number as varchar), 'null') || ',"source_document_sha256":' || coalesce(cast(to_json(source_document_sha256) as varchar), 'null') || ',"version_label":' || coalesce(cast(to_json(lower(trim(version_label))) as varchar), 'null') || '}') content_id from edib_document_revision_registry""",
     "index_hash": "select label, sha256(cast(count(*) as varchar) || '|' || cast(sum(cast(('0x' || substr(sha256(cast(vec_id as varchar) || chr(31) || cast(len(embedding) as varchar)), 1, 15)) as bigint)) as varchar)) index_hash from embeddings group by 1",
     "entity_keys": """select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '^the ', ''), '^a ', ''), '^an ', ''), '^(application|control|procedure|obligation) (.)', '\\2'), ' business service$', '')) entity_key from documents""",
