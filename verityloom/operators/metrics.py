@@ -72,3 +72,22 @@ def citation_checks(claims: DataFrame, retrieved: DataFrame, required: DataFrame
     need = required.select("query", "item").distinct().join(cited.withColumn("hit", F.lit(True)), ["query", "item"], "left").groupBy("query").agg(F.count("*").alias("required"), F.count_if("hit").alias("required_cited"))
     x = per.join(ok, "query", "left").join(need, "query", "left").fillna(0, ["cited", "invalid", "required", "required_cited"])
     return x.withColumn("coverage", F.round(F.try_divide("required_cited", "required"), 6))
+
+
+def chunk_scores(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(query, required, found, coverage, all_found, reciprocal_rank, ndcg, outcome) at depth k, counted in chunks.
+
+    queries(query), hits(query, item, rank), gold(query, item). Here a query without gold has coverage 1 and ndcg 0. The outcome
+    is solved with all the gold, partial with some, failed with none of it.
+    """
+    g = gold.select("query", "item").distinct()
+    need = queries.select("query").distinct().join(g.groupBy("query").agg(F.count("*").alias("required")), "query", "left").fillna(0, ["required"])
+    got = hits.where(F.col("rank") <= k).join(g, ["query", "item"], "left_semi").groupBy("query").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
+    x = need.join(got, "query", "left").fillna(0, ["found"])
+    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.lit(k), F.col("required")).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, y: s + y)
+    some = F.col("required") > 0
+    return x.select(
+        "query", "required", "found", F.when(some, F.round(F.col("found") / F.col("required"), 6)).otherwise(1.0).alias("coverage"), (F.col("found") == F.col("required")).alias("all_found"),
+        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.when(some, F.round(F.coalesce("gain", F.lit(0.0)) / ideal, 6)).otherwise(0.0).alias("ndcg"),
+        F.when(F.col("found") == F.col("required"), "solved").when(F.col("found") > 0, "partial").otherwise("failed").alias("outcome"),
+    )

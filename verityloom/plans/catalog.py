@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verityloom.plans import authority, documents, evidence, graphs, retrieval, training
+from verityloom.plans import authority, documents, evidence, graphs, hybrid, retrieval, training
 
-MODULES = (training, retrieval, authority, graphs, documents, evidence)
+MODULES = (training, retrieval, authority, graphs, hybrid, documents, evidence)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ PATTERNS = {
 CEILING = 5_000_000
 
 
-def _geo(spark: SparkSession, d: str, customers: bool = True) -> DataFrame:
+def _geo(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = t("nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")).unionByName(t("supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")))
-    return e.unionByName(t("customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))) if customers else e
+    return e.unionByName(t("customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
 
 
 def _trade(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def graph_maximal_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_simple_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.simple_paths(_geo(spark, d, customers=False), _regions(spark, d), 5, CEILING)
+    return graph.simple_paths(_geo(spark, d), _regions(spark, d), 5, CEILING)
 
 
 def path_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ _ADJ = "adj as (select distinct * from (select s, t from {0} union all select t,
 _BFS = "walk(node, distance) as (select 'r0', 0 union select t, distance + 1 from walk join adj on s = node where distance < {0}), dist as (select node, min(distance) distance from walk group by 1)"
 _REL = " union all ".join(f"select doc_id, unnest(regexp_extract_all(text, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(text, '{p}', 2)) object from documents" for n, p in PATTERNS.items())
 _REL_CHUNK = _REL.replace("doc_id", "chunk_id").replace("(text,", "(chunk_text,").replace("from documents", "from document_chunks")
-_PATHS = f"""with recursive {_GEO} {_ADJ.format('e_small')}
+_PATHS = f"""with recursive {_GEO} {_ADJ.format("e_geo")}
 p(seed, node, hops, path) as (
   select 'r' || r_regionkey, 'r' || r_regionkey, 0, ['r' || r_regionkey] from region
   union all select seed, t, hops + 1, list_append(path, t) from p join adj on s = node where hops < 5 and not list_contains(path, t))"""
