@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verityloom.functions.rendering import annotation
 from verityloom.operators.elements import outline
 from verityloom.operators.keyed import first_per_key
 
@@ -35,6 +36,29 @@ def retrieval_text(heading: Column, source: Column, derived: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))
 
 
+def grouped_annotations(annotations: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, source_text, derived_text): annotations(kind, text, derived) of each element as they are shown, in order, by derivation.
+
+    Identifiers are never shown; an element with nothing of a kind has null there.
+    """
+    x = annotations.withColumn("_s", annotation(F.col("kind"), F.col("text"), F.lit(False))).where("_s is not null")
+    of = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct(order, "_s")))), lambda s: s["_s"]), "\n")
+    g = x.groupBy(*keys).agg(of(~F.col("derived")).alias("source_text"), of(F.col("derived")).alias("derived_text"))
+    return g.select(*keys, *(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("source_text", "derived_text")))
+
+
+def changed_rows(now: DataFrame, frozen: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, problem): rows whose content hash is not what frozen(key, content) says: changed, missing or unlisted."""
+    x = now.select(key, F.col(content).alias("_n")).join(frozen.select(key, F.col(content).alias("_f")), key, "full_outer")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_f").isNull(), "unlisted").when(F.col("_n") != F.col("_f"), "changed")
+    return x.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def verdict(vector_hit: Column, graph_hit: Column) -> Column:
+    """PASS if only the graph found the target; else who fell short."""
+    return F.when(graph_hit & ~vector_hit, "PASS").when(~graph_hit, "FAIL: graph did not find it").otherwise("FAIL: vector found it too")
+
+
 def payload_hash(row_id: Column, vector: Column) -> Column:
     """Hash of an id with its vector written to eight places."""
     return F.sha2(F.concat(row_id.cast("string"), F.lit("|["), F.array_join(F.transform(vector.cast("array<double>"), lambda x: F.format_string("%.8f", x)), ","), F.lit("]")), 256)

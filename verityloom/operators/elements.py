@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,42 @@ HEADING = r"^\s*(\d+(\.\d+)*)\s+\p{Lu}[^.!?]*$"
 DATED = r"^\s*\[?\d{4}-\d{2}-\d{2}\]?\s"
 
 
+@dataclass(frozen=True)
+class ChunkingConfig:
+    """How documents are put into chunks; its hash tells runs apart."""
+
+    max_chars: int = 1200
+    split_oversized: bool = True
+    cross_unit: bool = False
+    flush_on_heading: bool = True
+    joint: str = "\n"
+
+    def __post_init__(self) -> None:
+        if self.max_chars < 1:
+            raise ValueError("max_chars must be at least 1")
+
+    def config_hash(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def chunk(els: DataFrame, doc: str, config: ChunkingConfig = ChunkingConfig(), unit: str | None = None) -> DataFrame:
+    """(doc, chunk_index, elements, first, heading_path, chunk_text): els(doc, order_index, kind, level, text) packed under a config.
+
+    Oversized elements are split first, if the config says so, else kept whole. A heading begins a chunk, and so does a new
+    unit (page or slide) unless chunks may cross units. A chunk has the heading path of its first element.
+    """
+    x = heading_paths(els, doc)
+    x = split_long(x, "text", config.max_chars).drop("text").withColumnRenamed("part_text", "text") if config.split_oversized else x.withColumn("part", F.lit(0))
+    w = Window.partitionBy(doc).orderBy("order_index", "part")
+    flush = (F.col("kind") == "heading") & (F.col("part") == 0) if config.flush_on_heading else F.lit(False)
+    if unit and not config.cross_unit:
+        flush = flush | ~F.col(unit).eqNullSafe(F.lag(unit).over(w))
+    x = x.withColumn("_o", F.struct("order_index", "part")).withColumn("_f", flush)
+    p = pack(x, doc, "_o", "text", config.max_chars, len(config.joint), "_f")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "text"))), lambda s: s["text"]), config.joint)
+    return p.groupBy(doc, F.col("pack_index").alias("chunk_index")).agg(F.count("*").alias("elements"), F.min("order_index").alias("first"), F.min_by("heading_path", "_o").alias("heading_path"), said.alias("chunk_text"))
+
+
 def elements(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, order_index, kind, level, text): the non-blank lines of each text in order.
 

@@ -39,11 +39,10 @@ def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents' elements packed up to 1,200 characters; a heading begins a new pack, which carries its heading path."""
-    e = elements.heading_paths(element_extract(spark, d), "doc_id").withColumn("breaks", F.col("kind") == "heading")
-    p = elements.pack(e, "doc_id", "order_index", "text", 1200, breaks="breaks")
-    first = F.min_by("heading_path", "order_index")
-    return p.groupBy("doc_id", "pack_index").agg(F.count("*").alias("elements"), F.min("order_index").alias("first"), (F.sum(F.length("text")) + F.count("*") - 1).alias("chars"), first.alias("heading_path"))
+    """The documents' elements in chunks of up to 1,200 characters; a heading begins a chunk, which has its heading path."""
+    config = elements.ChunkingConfig(split_oversized=False)
+    c = elements.chunk(element_extract(spark, d), "doc_id", config)
+    return c.select("doc_id", F.col("chunk_index").alias("pack_index"), "elements", "first", F.length("chunk_text").cast("long").alias("chars"), "heading_path")
 
 
 def oversized_parts(spark: SparkSession, d: str) -> DataFrame:

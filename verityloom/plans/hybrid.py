@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verityloom.functions import text, vectors
-from verityloom.operators import graph, hybrid, keyed, metrics, search, temporal
+from verityloom.operators import assembly, graph, hybrid, keyed, metrics, search, temporal
 from verityloom.plans.graphs import _KEY, PATTERNS
 from verityloom.session import cut_lineage, table
 
@@ -166,7 +166,41 @@ def mode_scores(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("mode").agg(F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count_if(F.col("outcome") == "solved").alias("solved"), F.count_if(F.col("outcome") == "partial").alias("partial"), F.count_if(F.col("outcome") == "failed").alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (typed_nodes, eligible_edges, graph_artifacts, edge_embeddings, graph_payload_hash, graph_search, graph_outcomes, hybrid_seeds, hybrid_paths, hybrid_fusion, hybrid_contributions, mode_scores)}
+def _artifact_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    a = hybrid.artifacts(*_graph(spark, d)).select("artifact_id", vectors.hashed_embedding(F.col("content"), 32).alias("embedding"))
+    q = _questions(spark, d).select(F.col("query").alias("artifact_id"), "embedding")
+    return search.exact_search(q, "artifact_id", a, "artifact_id", "embedding", k, dim=32, skip_self=False)
+
+
+def artifact_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five entity and edge artifacts nearest to each question."""
+    return _artifact_hits(spark, d, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+def artifact_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Questions answered by artifacts: entities found, and both ends of edges found, are seeds; one step on, and its evidence."""
+    nodes, edges, evidence = _graph(spark, d)
+    hits = cut_lineage(_artifact_hits(spark, d, 5).select("query", F.col("row").alias("id")))
+    entity = hits.join(nodes.select(F.col("node_id").alias("id")), "id").select("query", F.col("id").alias("node"))
+    ends = hits.join(edges.select(F.col("edge_id").alias("id"), F.explode(F.array("src", "dst")).alias("node")), "id").select("query", "node")
+    dist = hybrid.hops(edges, entity.union(ends), 1)
+    per = dist.groupBy("query").agg(F.count_if(F.col("distance") == 0).alias("seeds"), F.count("*").alias("nodes"))
+    return per.join(hybrid.hop_evidence(edges, evidence, dist).groupBy("query").agg(F.count("*").alias("chunks")), "query", "left")
+
+
+def target_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """For each question whether its vector ranking, or its graph ranking, holds a chunk of its target, and the verdict."""
+    i = table(spark, d, "evaluation_items").select(F.col("item_id").alias("query"), F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier"))
+    c = _chunks(spark, d).select("chunk", F.explode(text.identifiers(F.col("text"))).alias("identifier"))
+    gold = i.join(c, "identifier").groupBy("query", "chunk").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    nodes, edges, evidence = _eligible(spark, d)
+    graph_ = hybrid.hop_evidence(edges, evidence, hybrid.hops(edges, cut_lineage(_seeds(spark, d, nodes, edges)), HOPS))
+    found = lambda r, n: r.join(gold, ["query", "chunk"], "left_semi").select("query").distinct().withColumn(n, F.lit(True))
+    x = _questions(spark, d).select("query").join(found(_vector_ranking(spark, d, K), "v"), "query", "left").join(found(graph_, "g"), "query", "left").fillna(False, ["v", "g"])
+    return x.select("query", F.col("v").alias("vector_hit"), F.col("g").alias("graph_hit"), assembly.verdict(F.col("v"), F.col("g")).alias("verdict"))
+
+
+QUERIES = {f.__name__: f for f in (typed_nodes, eligible_edges, graph_artifacts, edge_embeddings, graph_payload_hash, graph_search, graph_outcomes, hybrid_seeds, hybrid_paths, hybrid_fusion, hybrid_contributions, mode_scores, artifact_search, artifact_retrieval, target_verdicts)}
 
 _REL = " union all ".join(f"select chunk, revision, t, unnest(regexp_extract_all(t, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(t, '{p}', 2)) object from c" for n, p in PATTERNS.items())
 _KIND = lambda i, c: "case predicate " + " ".join(f"when '{p}' then '{k[i]}'" for p, k in KINDS.items()) + f" end {c}"
@@ -240,7 +274,21 @@ got as (select mode, h.query, count(*) found, min(rank) first_, sum(1 / log2(ran
 per as (select mode, required, coalesce(found, 0) found, round(coalesce(1.0 / first_, 0), 6) rr, case when required > 0 then round(coalesce(found, 0) / required, 6) else 1 end coverage,
   case when required > 0 then round(coalesce(gain, 0) / (select sum(1 / log2(i + 1)) from range(1, cast(least({K}, required) as bigint) + 1) t(i)), 6) else 0 end ndcg from need left join got using (mode, query))
 """
+_GOLD = _SCORES[: _SCORES.index("hits as")].strip().rstrip(",")
+_ART = f"""
+art as (select node_id id, 'Entity: ' || name || ' (' || kind || ')' said from nodes union all
+  select edge_id, s.name || ' --[' || predicate || ']--> ' || o.name || chr(10) || 'Evidence: ' || (select min(chunk) from ev_ where ev_.edge_id = e.edge_id) from edges_ e join nodes s on s.node_id = e.src join nodes o on o.node_id = e.dst),
+ah as materialized (select * from (select query, id, sim, row_number() over (partition by query order by sim desc, id) rank from (select item_id query, id, round({_DOT.format('w', 'e')}, 9) sim from (select item_id, {_vector('question', 32)} e from evaluation_items), (select id, {_vector('said', 32)} w from art))) where rank <= 5)
+"""
 ORACLES = {
+    "artifact_search": f'with {_BASE}{_ART} select query, id "row", rank, round(sim, 6) similarity from ah',
+    "artifact_retrieval": f"""with {_BASE}{_ART}, s as (select distinct query, node from (select query, id node from ah join nodes on node_id = id union all select query, unnest([src, dst]) from ah join edges_ on edge_id = id)),
+n as (select query, node, 0 d from s union all select query, case when src = node then dst else src end, 1 from s join edges_ on node in (src, dst) where src <> dst), dist as (select query, node, min(d) d from n group by 1, 2),
+ch as (select query, count(distinct chunk) chunks from dist join edges_ on node in (src, dst) join ev_ using (edge_id) group by 1)
+select query, count(*) filter (d = 0) seeds, count(*) nodes, any_value(chunks) chunks from dist left join ch using (query) group by 1""",
+    "target_verdicts": f"""with recursive {_BASE}{_SEEDS}{_HOPS}{_MORE}{_GOLD},
+x as (select query, exists (select 1 from vr join gold on gold.query = vr.query and item = chunk where vr.query = qs.query and rank <= {K}) v, exists (select 1 from gr join gold on gold.query = gr.query and item = chunk where gr.query = qs.query) g from qs)
+select query, v vector_hit, g graph_hit, case when g and not v then 'PASS' when not g then 'FAIL: graph did not find it' else 'FAIL: vector found it too' end verdict from x""",
     "typed_nodes": f"with {_BASE.rstrip().rstrip(',')} select node_id, name, kind, array_to_string(list_filter(names, lambda x: x <> name), '|') aliases, mentions from nodes",
     "eligible_edges": f"with {_BASE.rstrip().rstrip(',')} select edge_id, src, predicate, dst, (select count(*) from ev where ev.edge_id = e.edge_id) chunks from edges e",
     "graph_artifacts": f"""with {_BASE.rstrip().rstrip(',')} select node_id artifact_id, 'entity' kind, 'Entity: ' || name || ' (' || kind || ')' as content from nodes

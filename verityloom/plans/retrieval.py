@@ -153,8 +153,9 @@ def index_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.select("p_partkey", F.round(vectors.hashed_embedding(F.col("p_name"), 32)[0], 6).alias("first"), F.round(vectors.norm(vectors.hashed_embedding(F.col("p_name"), 32)), 6).alias("length"))
+    """The test vector of every part's name, all numbers to five places, and its length."""
+    v = table(spark, d, "part").select("p_partkey", vectors.hashed_embedding(F.col("p_name"), 32).alias("v"))
+    return v.select("p_partkey", F.array_join(F.transform("v", lambda x: F.format_string("%.5f", x)), ",").alias("vector"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
 def entity_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +195,9 @@ per as (select n.query, cast(k as int) k, required, round(r / nullif(required, 0
 _ITEMS = ', items as (select query, "row" item, rank from hits), '
 _DOCS = "select document_id, doc_id, created_at, text, row_number() over (partition by document_id, created_at >= timestamp '2024-01-01' order by created_at {dir}, doc_id) rn, created_at >= timestamp '2024-01-01' late from documents"
 ORACLES = {
+    "hashed_embeddings": """with h as (select p_partkey, sha256(p_name || '|0') || sha256(p_name || '|1') || sha256(p_name || '|2') || sha256(p_name || '|3') h from part),
+r as (select p_partkey, list_transform(range(0, 32), lambda i: cast(('0x' || substr(h, cast(i * 8 + 1 as bigint), 8)) as bigint) / 2147483648.0 - 1) r from h)
+select p_partkey, array_to_string(list_transform(r, lambda x: format('{:.5f}', x / sqrt(list_dot_product(r, r)))), ',') vector, cast(1 as double) as length from r""",
     "vector_topk": f"select b.vec_id, round({_SIM}, 6) similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id = (select min(vec_id) from embeddings) order by similarity desc, b.vec_id limit {K}",
     "vector_topk_batch": f'with {_HITS} select query, "row", rank, round(similarity, 6) similarity from hits',
     "vector_topk_eligible": f'with {_HITS} select query, "row", rank, round(similarity, 6) similarity from eligible',
