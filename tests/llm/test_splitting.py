@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +66,22 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, text)], "k int, t string")
     got = sorted(split_oversized(df, ["k"], "t").collect(), key=lambda r: r.piece_index)
     assert "".join(r.piece_text[r.own_start - r.piece_start :] for r in got) == text
+
+
+def test_an_edit_alters_only_the_pieces_near_it():
+    """A word added at one place: but for the pieces around it all own parts stay as they were."""
+    r = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 10))) for _ in range(6000)]
+    text = " ".join(w + "." if i % 11 == 10 else w for i, w in enumerate(words))
+    at = len(text) // 2
+    own = lambda t: [t[s:e] for _, s, e, _ in pieces(t, 1200, 120, 300)[1]]
+    a, b = own(text), own(text[:at] + " inserted words here " + text[at:])
+    assert len(set(a) - set(b)) <= 4 and len(set(b) - set(a)) <= 5 and len(a) > 30
+
+
+def test_no_piece_is_smaller_than_the_least_size():
+    for n in range(1150, 3000, 37):
+        text = ("word " * 1000)[:n]
+        parts = pieces(text, 1200, 120, 300)[1]
+        assert "".join(text[s:e] for _, s, e, _ in parts) == text
+        assert all(e - s >= 300 and e - back <= 1200 for back, s, e, _ in parts)

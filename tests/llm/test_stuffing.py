@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from verityloom.llm import stuffing
 
 
@@ -73,3 +75,14 @@ def test_symbols():
     assert cls[0] == 0 and cls[1] == cls[2] == stuffing.IDENTIFIER and cls[3] == stuffing.PLAIN
     assert cls[5:11] == [stuffing.ADDRESS] * 6
     assert stuffing.TAG in cls and cls[12] == stuffing.PLAIN
+
+
+def test_function_words_are_a_parameter(spark):
+    prose = "lun fanu ves a kelo ves i manu lun tari ves lun soko i pela ves lun garo. "
+    rows = [(i, (prose * 6)) for i in range(200)] + [(900 + i, "best cheap toolkit bundle deal " * 20) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    words = {"article": "lun", "preposition": "ves a", "conjunction": "i"}
+    got = {r.id for r in stuffing.stuffed_pages(df, "id", "t", words).where("stuffed").collect()}
+    assert not any(i < 900 for i in got)
+    with pytest.raises(ValueError, match="kinds of function words"):
+        stuffing.stuffed_pages(df, "id", "t", {"adverb": "x"})

@@ -104,6 +104,18 @@ s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lamb
 n as (select chunk_id, count(*) n from s group by 1),
 k as (select a.chunk_id a, b.chunk_id b, count(*) both_ from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
 select a chunk_id_a, b chunk_id_b from k join n na on na.chunk_id = a join n nb on nb.chunk_id = b where both_ >= 0.6 * (na.n + nb.n - both_)""",
+    "p3_groups": f"""
+with recursive c as (select distinct chunk_id, {_WORDS.format('chunk_text')} w from document_chunks where chunk_text is not null),
+s as materialized (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from c where len(w) >= 20),
+t as (select chunk_id, count(*) n, sha256(string_agg(g, chr(1) order by g)) k from s group by 1),
+cls as materialized (select k, min(chunk_id) rep, count(*) copies, any_value(n) n from t group by 1),
+r as (select rep, n, g from cls join s on s.chunk_id = rep),
+l as materialized (select a, b from (select x.rep a, y.rep b, x.n na, y.n nb, count(*) both_ from r x join r y on x.g = y.g and x.rep < y.rep group by all) where both_ >= 0.6 * (na + nb - both_)),
+e as (select a, b from l union all select b, a from l),
+walk(a, b) as (select rep, rep from cls union select w.a, e.b from walk w join e on e.a = w.b),
+root as (select a rep, min(b) group_id from walk group by 1),
+deg as (select a rep, count(*) links from e group by 1)
+select chunk_id id, rep class_id, group_id, copies, coalesce(links, 0) links from t join cls using (k) join root using (rep) left join deg using (rep)""",
     "p5_found": """
 with v as (
   select distinct chunk_id id, cast(embedding as double[64]) x from document_chunks

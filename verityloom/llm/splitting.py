@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,8 @@ def pieces(text: str, limit: int, overlap: int, least: int) -> tuple[str, list[t
     """(coarsest sufficient boundary, [(start with overlap, own start, end, kind of cut at the end)]).
 
     The own parts follow each other without a gap and make up the text; each piece is at most `limit` characters with
-    its overlap, which begins at a white space or, where there is none, inside a word.
+    its overlap, which begins at a white space or, where there is none, inside a word. Own parts have at least `least`
+    characters, but for a last part that would not leave room for it.
     """
     spans = boundaries(text)
     room = limit - overlap
@@ -74,7 +76,8 @@ def pieces(text: str, limit: int, overlap: int, least: int) -> tuple[str, list[t
         if n - at <= limit - (at - back):
             out.append((back, at, n, "end"))
             return coarsest(text, limit, spans), out
-        low, high = at + least, min(n, at + room)
+        low = at + least
+        high = max(low, min(at + room, n - least))  # what is left is no smaller than the least size
         i = np.searchsorted(marks, low)
         mark = int(marks[i]) if i < len(marks) and marks[i] <= high else high
         kind, cut = "none", mark
@@ -106,27 +109,27 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200
     rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("t")).where("t is not null")
     rows = rows.where(F.length("t") > limit) if only_oversized else rows
     rows = rows.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.max("t").alias("t"))
-    long = rows.where(F.length("t") > limit)
     key_types = [f"{c} {t}" for c, t in rows.dtypes if c != "t"]
     tail = "boundary string, piece_index int, own_start int, piece_start int, piece_end int, cut string, piece_text string"
+    names = [*(f"k{i}" for i in range(len(keys))), *(c.split()[0] for c in tail.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, value in enumerate(b.column(b.num_columns - 1)):
-                t = value.as_py()
+            size = pc.utf8_length(b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False)
+            short = b.filter(pa.array(size <= limit))
+            if short.num_rows:  # one piece each, as it is
+                m, text = short.num_rows, short.column(short.num_columns - 1)
+                zero = pa.array(np.zeros(m, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*short.columns[: len(keys)], pa.array(["whole"] * m), zero, zero, zero, pa.array(size[size <= limit].astype(np.int32)), pa.array(["end"] * m), text], names=names)
+            for row in np.flatnonzero(size > limit).tolist():
+                t = b.column(b.num_columns - 1)[row].as_py()
                 boundary, found = pieces(t, limit, overlap, least)
                 for first in range(0, len(found), 1000):  # a very long text leaves in several batches
                     part = found[first : first + 1000]
                     m = len(part)
                     at = pa.array(np.full(m, row))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(b.column(i).take(at) for i in range(len(keys))), pa.array([boundary] * m), pa.array(range(first, first + m), pa.int32()), pa.array([p[1] for p in part], pa.int32()), pa.array([p[0] for p in part], pa.int32()), pa.array([p[2] for p in part], pa.int32()), pa.array([p[3] for p in part]), pa.array([t[p[0] : p[2]] for p in part])],
-                        names=[*(f"k{i}" for i in range(len(keys))), "boundary", "piece_index", "own_start", "piece_start", "piece_end", "cut", "piece_text"],
-                    )
-
-    out = long.mapInArrow(run, ", ".join([*key_types, tail]))
-    if not only_oversized:
-        short = rows.where(F.length("t") <= limit)
-        whole = {"boundary": F.lit("whole"), "piece_index": F.lit(0), "own_start": F.lit(0), "piece_start": F.lit(0), "piece_end": F.length("t"), "cut": F.lit("end"), "piece_text": F.col("t")}
-        out = out.unionByName(short.select(*(f"k{i}" for i in range(len(keys))), *(e.alias(c) for c, e in whole.items())))
+                    back, own, end = (pa.array([p[i] for p in part], pa.int32()) for i in (0, 1, 2))
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keys))), pa.array([boundary] * m), pa.array(range(first, first + m), pa.int32()), own, back, end, pa.array([p[3] for p in part]), pa.array([t[p[0] : p[2]] for p in part])], names=names)
+
+    out = rows.mapInArrow(run, ", ".join([*key_types, tail]))
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *[c for c in out.columns if not re.fullmatch(r"k\d+", c)])

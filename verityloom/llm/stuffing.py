@@ -48,8 +48,8 @@ BINS, BIN = 2000, 0.01
 _HISTORIES = SYMBOLS * RUN * CLASSES
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=2)
+def _tables(words: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, ...]:
     lower = np.arange(0x110000, dtype=np.uint32)
     upper = np.zeros(0x110000, dtype=bool)
     digit = np.zeros(0x110000, dtype=bool)
@@ -61,7 +61,7 @@ def _tables() -> tuple[np.ndarray, ...]:
             if len(small) == 1:
                 lower[i] = ord(small)
         digit[i] = c.isdigit()
-    pairs = sorted({tokens.word_hash(w): k for k, kind in reversed(list(enumerate(_KINDS))) for w in FUNCTION_WORDS[kind].split()}.items())
+    pairs = sorted({tokens.word_hash(w): k for k, kind in reversed(list(enumerate(_KINDS))) for w in dict(words).get(kind, "").split()}.items())
     marks = np.zeros(0x110000, dtype=np.uint8)
     for bit, found in _MARKS.items():
         marks[[ord(c) for c in found]] |= bit
@@ -74,17 +74,17 @@ class Symbols(NamedTuple):
     symbol: np.ndarray
 
 
-def symbols(texts: list[str | None]) -> Iterator[Symbols]:
+def symbols(texts: list[str | None], function_words: dict[str, str] = FUNCTION_WORDS) -> Iterator[Symbols]:
     """The symbol of every word of every text, in slices."""
-    lower, upper, digit, hashes, kinds, marks = _tables()
+    lower, upper, digit, hashes, kinds, marks = _tables(tuple(sorted(function_words.items())))
     for w in tokens.words(texts, lower=False):
         n, chars, start, end = len(w.start), w.chars, w.start, w.end
         if not n:
             yield Symbols(w.first, w.bounds, np.zeros(0, dtype=np.int64))
             continue
         h = tokens.span_hashes(lower[chars], start, end)
-        spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        cls = np.where(hashes[spot] == h, kinds[spot], PLAIN).astype(np.int64)
+        spot = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+        cls = np.where(hashes[spot] == h, kinds[spot], PLAIN).astype(np.int64) if len(hashes) else np.full(n, PLAIN)
         numeric = np.zeros(len(chars) + 1, dtype=np.int32)
         np.cumsum(digit[chars], out=numeric[1:])
         digits = (numeric[end] - numeric[start]) > 0
@@ -193,20 +193,27 @@ def _pages(column: pa.Array) -> Iterator[Pages]:
         a = b
 
 
-def stuffed_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dict[str, str] = FUNCTION_WORDS) -> DataFrame:
     """(id, words, stuffed_words, mean_surprise, stuffed) of every row.
 
     mean_surprise is the text's mean bits per scored word, whose power of two is its perplexity; null without such words.
     The model, and the quantiles of prose that the thresholds follow from, are counted over all rows. A null or empty
     text has no words and is not stuffed. Rows repeated under one id are scored each and returned once if they agree.
     Ids may be null. An empty table gives no rows. Other columns are ignored.
+
+    function_words gives the words of each kind of FUNCTION_WORDS, of all languages of the collection in one list; a kind may
+    be empty. A page in a language without words there has no function words at all, looks like a list of keywords and is
+    mostly flagged: give the lists of every language that is to be judged, and judge no others.
     """
+    unknown = set(function_words) - set(_KINDS)
+    if unknown:
+        raise ValueError(f"kinds of function words are {', '.join(_KINDS)}, not {', '.join(sorted(unknown))}")
     key = df.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
-            for s in symbols(b.column(1).to_pylist()):
+            for s in symbols(b.column(1).to_pylist(), function_words):
                 n = len(s.bounds) - 1
                 data = pa.py_buffer(s.symbol.astype(np.uint8).tobytes())
                 col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(s.bounds.astype(np.int32).tobytes()), data])
