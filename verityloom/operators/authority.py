@@ -129,3 +129,21 @@ def periods_from_log(events: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("doc", "revision").orderBy("event", "opens").rowsBetween(1, Window.unboundedFollowing)
     end = F.first(F.when(~F.col("opens"), F.struct("day", "event", "reason")), ignorenulls=True).over(ahead)
     return opens.unionByName(taken).unionByName(closes).withColumn("c", end).where("opens").select("doc", "revision", F.col("day").alias("start"), F.col("c.day").alias("end"), "predecessor", F.col("c.reason").alias("reason"), F.col("event").alias("opened_by"), F.col("c.event").alias("closed_by"))
+
+
+def resolve_explicit(requested: DataFrame, states: DataFrame, problems: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """(doc, revision, position, code): what became of revisions that were asked for by id, in the order of position.
+
+    A problem of the whole document fails every request of it under its code. Else a request is a duplicate_request if the id
+    came before, revision_not_found if the document has no such one, malformed_authority_record if it has no state or a
+    problem of its own, not_eligible if its state is not allowed, and ok.
+    """
+    whole = problems.where("scope = 'document'").groupBy("doc").agg(F.min_by("code", F.array_position(F.array(*(F.lit(c) for c in RULES)), F.col("code"))).alias("lead"))
+    own = problems.where("scope = 'revision'").select("doc", "revision", F.lit(True).alias("bad")).distinct()
+    x = requested.withColumn("again", F.row_number().over(Window.partitionBy("doc", "revision").orderBy("position")) > 1)
+    x = x.join(whole, "doc", "left").join(own, ["doc", "revision"], "left").join(states.select("doc", "revision", "state", F.lit(True).alias("there")), ["doc", "revision"], "left")
+    code = (
+        F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.col("again"), "duplicate_request").when(F.col("there").isNull(), "revision_not_found")
+        .when(F.col("state").isNull() | F.col("bad").isNotNull(), "malformed_authority_record").when(~F.col("state").isin(*allowed), "not_eligible").otherwise("ok")
+    )
+    return x.select("doc", "revision", "position", code.alias("code"))

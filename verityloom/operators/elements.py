@@ -18,6 +18,16 @@ HEADING = r"^\s*(\d+(\.\d+)*)\s+\p{Lu}[^.!?]*$"
 DATED = r"^\s*\[?\d{4}-\d{2}-\d{2}\]?\s"
 
 
+# Which of the elements at one place comes first.
+TYPE_RANK = ("heading", "paragraph", "list_item", "dated_entry", "table", "picture")
+
+
+def reading_order(df: DataFrame, doc: str, unit: str, order: str, kind: str, row_id: str) -> DataFrame:
+    """df with position: by unit, place in it with what has none last, rank of the kind, and id."""
+    rank = F.coalesce(*(F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(TYPE_RANK)), F.lit(len(TYPE_RANK)))
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(doc).orderBy(unit, F.asc_nulls_last(order), rank, row_id)))
+
+
 @dataclass(frozen=True)
 class ChunkingConfig:
     """How documents are put into chunks; its hash tells runs apart."""

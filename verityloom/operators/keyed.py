@@ -42,6 +42,12 @@ def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 1) ->
     return parts.join(at, "_p").select(*df.columns, (F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
+def append_numbered(target: DataFrame, rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """A log with rows appended to it: they take the serial numbers after the greatest there is, in the given order, without a gap."""
+    last = target.agg(F.max(name)).first()[0] or 0
+    return target.unionByName(numbered(rows, name, *order, start=last + 1))
+
+
 def change_counts(existing: DataFrame, incoming: DataFrame, key: str, content: str, text: str) -> DataFrame:
     """One row: candidates, blank, unchanged, changed, added. A second run over its own result counts no change."""
     old = existing.select(F.col(key).alias("_k"), F.col(content).alias("_c"))

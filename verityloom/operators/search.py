@@ -93,9 +93,10 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row", "rank", "similarity")
 
 
-def eligible_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, eligible: DataFrame, on: str, k: int, **kw) -> DataFrame:
-    """As exact_search over the rows whose `on` is eligible, which is decided before anything is ranked: no eligible rows, no hits."""
-    return exact_search(queries, query_id, index.join(eligible.select(on).distinct(), on, "left_semi"), row_id, vector, k, **kw)
+def eligible_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, eligible: DataFrame, on: str | list[str], k: int, **kw) -> DataFrame:
+    """As exact_search over the rows whose `on`, a column or several, is eligible, decided before anything is ranked: no eligible rows, no hits."""
+    on = [on] if isinstance(on, str) else on
+    return exact_search(queries, query_id, index.join(eligible.select(*on).distinct(), on, "left_semi"), row_id, vector, k, **kw)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], group: str, item: str, rank: str, k: int, constant: int = 60) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verityloom.plans import authority, documents, evaluation, evidence, graphs, hybrid, retrieval, training
+from verityloom.plans import authority, documents, evaluation, evidence, graphs, hybrid, lookups, retrieval, training
 
-MODULES = (training, retrieval, authority, graphs, hybrid, documents, evidence, evaluation)
+MODULES = (training, retrieval, authority, graphs, hybrid, documents, evidence, evaluation, lookups)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,7 @@ f as (select distinct document_id, document_type, SQUASH(v) h from el where not
 s as (select distinct document_id, SQUASH(v) h from (select document_id, trim(unnest(string_split(regexp_replace(chunk_text, '\r\n?', chr(10), 'g'), chr(10)))) v from document_chunks) where v <> '')
 select case when grouping(document_type) = 1 then 'overall' else coalesce(document_type, 'none') end bucket, 'line_recall' metric, count(*) filter (s.h is not null) numerator, count(*) denominator, 0 excluded, round(count(*) filter (s.h is not null) / count(*), 6) score from f left join s using (document_id, h) group by grouping sets ((document_type), ())""".replace("SQUASH(v)", _SQUASH.format("v")),
     "normalised_text": f"select doc_id, sha256({_SQUASH.format('text')}) normal_hash from documents",
+    "folded_text": f"select doc_id, sha256(replace(lower(nfc_normalize({_SQUASH.format('text')})), 'ß', 'ss')) folded_hash from documents",
     "status_labels": "select doc_id, array_to_string(list_filter(" + str(LABELS) + ", lambda x: contains(lower(text), x)), ',') labels from documents",
     "passage_alignment": "select item_id, count(*) documents, min(doc_id) first_doc from evaluation_items join documents on contains(text, expected_supporting_passage) where expected_supporting_passage <> '' group by 1",
     "metric_grouping_sets": """with f as (select document_type, 'language' metric, lang is not null hit, false excluded from documents union all select document_type, 'source', source is not null, false from documents union all select document_type, 'revision', coalesce(starts_with(document_revision_id, 'REV'), false), document_revision_id is null from documents)

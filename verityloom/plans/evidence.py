@@ -52,10 +52,11 @@ def authority_switch_invariants(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "edib_revision_authority_period").select("document_revision_id", "effective_from", "effective_to").distinct()
     newest = p.agg(F.max("document_revision_id").alias("document_revision_id")).select("document_revision_id", F.lit(AS_OF).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
     h = lambda x: x.agg(hashing.set_hash(*(F.col(c) for c in x.columns)).alias("h"))
-    index = h(_chunks(spark, d).select("chunk_id", "document_revision_id"))
+    c = _chunks(spark, d)
+    index = h(c.select("chunk_id", "document_revision_id")).crossJoin(c.agg(F.count("*").alias("chunks"), hashing.set_hash(F.col("chunk_id"), F.size("embedding")).alias("payload_hash")))
     a, b = h(p), h(p.unionByName(newest))
     one = a.withColumnRenamed("h", "before").crossJoin(b.withColumnRenamed("h", "after")).crossJoin(index)  # three single rows
-    return one.select((F.col("before") != F.col("after")).alias("registry_changed"), F.col("h").alias("index_hash"))
+    return one.select((F.col("before") != F.col("after")).alias("registry_changed"), F.col("h").alias("index_hash"), "payload_hash", "chunks")
 
 
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +193,7 @@ select case when grouping(lang) = 1 then 'overall' else coalesce(lang, 'none') e
     "authority_aware_search": f'with {_AWARE} select query, "row", rank, round(similarity, 6) similarity from hits',
     "cross_document_diversity": f"with {_AWARE} select query, count(distinct document_id) documents, count(*) hits from hits group by 1",
     "registry_snapshot_hash": f"with p as (select distinct logical_document_id, authority_period_id, document_revision_id, effective_from, effective_to from edib_revision_authority_period) select logical_document_id, {_SETH.format(_joined('authority_period_id', 'document_revision_id', 'effective_from', 'effective_to'))} snapshot from p group by 1",
-    "authority_switch_invariants": f"with c as (select chunk_id, document_revision_id from (select *, row_number() over (partition by chunk_id order by created_at desc, document_id) rn from document_chunks) where rn = 1) select true registry_changed, {_SETH.format(_joined('chunk_id', 'document_revision_id'))} index_hash from c",
+    "authority_switch_invariants": f"with c as (select chunk_id, document_revision_id, len(embedding) n from (select *, row_number() over (partition by chunk_id order by created_at desc, document_id) rn from document_chunks) where rn = 1) select true registry_changed, {_SETH.format(_joined('chunk_id', 'document_revision_id'))} index_hash, {_SETH.format(_joined('chunk_id', 'n'))} payload_hash, count(*) chunks from c",
     "edge_evidence": f"select 'edge_' || substr(sha256(subject || '|' || predicate || '|' || object), 1, 24) edge_id, subject || ' --[' || predicate || ']--> ' || object path, case when count(distinct doc_id) > 1 then min(doc_id) end evidence from ({graphs._REL}) group by subject, predicate, object",
     "gold_resolution_status": """with d as (select distinct document_id, document_type, length(trim(text)) > 0 t from documents), c as (select distinct document_id from document_chunks where chunk_text is not null)
 select document_type, case when c.document_id is not null then 'available_with_chunks' when t then 'ingested_without_chunks' else 'missing_from_ingestion' end status, count(distinct d.document_id) documents from d left join c using (document_id) group by 1, 2""",
