@@ -41,7 +41,10 @@ def once(spark, nodes, edges, **kw):
     got = run(spark, nodes, edges, **kw).collect()
     assert {r.node: (r.parent, r.root, r.depth, r.path) for r in got} == want
     assert len(got) == len(want)
-    under = {v: {u for u, (_, _, _, path) in want.items() if path and path.startswith(x[3] + "/") and u != v} for v, x in want.items() if x[3]}
+    under = {
+        v: {u for u, (_, _, _, path) in want.items() if path and path.startswith(x[3] + "/") and u != v} for v,
+        x in want.items() if x[3]
+    }
     at = {(r.root, r.lo): r.node for r in got if r.depth >= 0}
     for r in got:
         if r.depth < 0:
@@ -53,7 +56,10 @@ def once(spark, nodes, edges, **kw):
 
 def test_trees_rings_tails_and_dirt(spark):
     nodes = list("abcdefghij") + [None, "a", "z"]
-    edges = [("b", "a"), ("c", "b"), ("d", "b"), ("b", "a"), ("e", "f"), ("f", "g"), ("g", "e"), ("h", "e"), ("i", "i"), ("j", "missing"), ("missing", "a"), (None, "a"), ("z", None)]
+    edges = [
+        ("b", "a"), ("c", "b"), ("d", "b"), ("b", "a"), ("e", "f"), ("f", "g"), ("g", "e"), ("h", "e"), ("i", "i"),
+        ("j", "missing"), ("missing", "a"), (None, "a"), ("z", None)
+    ]
     check(spark, nodes, edges)
 
 
@@ -85,6 +91,8 @@ def test_empty_and_single(spark, nodes):
 
 def test_descendants_of_some(spark):
     t = run(spark, list("abcd"), [("b", "a"), ("c", "b"), ("d", "a")])
-    assert {tuple(x) for x in descendants(t).select("node", "descendant", "steps").collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
+    assert {
+        tuple(x) for x in descendants(t).select("node", "descendant", "steps").collect()
+    } == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
     q = spark.createDataFrame([("b",), ("nowhere",)], "node string")
     assert [tuple(x) for x in descendants(t, q).select("node", "descendant").collect()] == [("b", "c")]

@@ -33,7 +33,12 @@ def test_state_merges_alike_in_any_order(rows, parts):
     states = []
     for p in range(parts):
         mine = rows[p::parts]
-        states.append(linear_merge(np.zeros(len(mine), dtype=np.int64), *(np.array([r[k] for r in mine], dtype=np.int64) for k in (1, 2)), np.zeros(len(mine), dtype=bool)))
+        states.append(
+            linear_merge(
+                np.zeros(len(mine), dtype=np.int64), *(np.array([r[k] for r in mine], dtype=np.int64) for k in (1, 2)),
+                np.zeros(len(mine), dtype=bool)
+            )
+        )
     random.Random(len(rows)).shuffle(states)
     while len(states) > 1:
         a, b = states.pop(), states.pop()

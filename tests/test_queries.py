@@ -40,7 +40,10 @@ def plan(df):
 
 
 def test_no_query_is_a_cartesian_product(spark):
-    for name in ("authority_as_of", "overlapping_periods", "chain_integrity", "rrf_fusion", "null_safe_identity", "first_evidence_per_edge", "latest_chunks", "edge_evidence", "best_matching_part", "text_fact_recall"):
+    for name in (
+        "authority_as_of", "overlapping_periods", "chain_integrity", "rrf_fusion", "null_safe_identity",
+        "first_evidence_per_edge", "latest_chunks", "edge_evidence", "best_matching_part", "text_fact_recall"
+    ):
         p = plan(catalog.queries()[name](spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 

@@ -26,7 +26,12 @@ def set_hash(*parts: Column, where: Column | None = None) -> Column:
     Each row is hashed for itself and the first 60 bits of the row hashes are added up with their count, so partial
     sums combine in any order and no group is ever collected into one place.
     """
-    row = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    row = F.conv(
+        F.substring(
+            F.sha2(F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts)), 256), 1, 15
+        ),
+        16, 10
+    ).cast("decimal(38,0)")
     if where is not None:
         return F.sha2(F.concat_ws("|", F.count_if(where).cast("string"), F.sum(F.when(where, row)).cast("string")), 256)
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(row).cast("string")), 256)
@@ -35,4 +40,9 @@ def set_hash(*parts: Column, where: Column | None = None) -> Column:
 def ordered_hash(order: Column, *parts: Column) -> Column:
     """Aggregate: a hash of a document's rows in their order, from the rows' own hashes; a document is small, a table is not."""
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts)), 256)
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("h")))), lambda s: s["h"]), "|"), 256)
+    return F.sha2(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("h")))), lambda s: s["h"]), "|"
+        ),
+        256
+    )

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from verityloom.functions.hashing import content_id
 
 
-def element_id(document: Column, kind: Column, unit: Column, order: Column, discriminator: Column, extra: Column) -> Column:
+def element_id(
+    document: Column, kind: Column, unit: Column, order: Column, discriminator: Column, extra: Column
+) -> Column:
     """The content-derived identity of an element from its six parts."""
-    return content_id(discriminator=discriminator, document_id=document, element_type=kind, extra=extra, order_index=order, unit=unit)
+    return content_id(
+        discriminator=discriminator, document_id=document, element_type=kind, extra=extra, order_index=order, unit=unit
+    )
 
 
 def list_item(text: Column, depth: Column, ordered: Column, number: Column) -> Column:
@@ -22,7 +26,9 @@ def list_item(text: Column, depth: Column, ordered: Column, number: Column) -> C
 def table_text(rows: Column) -> Column:
     """array<array<string>> as lines of cells between bars; a null cell is empty and bars and line ends inside are escaped."""
     cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))), "\n")
+    return F.array_join(
+        F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))), "\n"
+    )
 
 
 def visual_fact(subject: Column, attribute: Column, value: Column, unit: Column) -> Column:
@@ -32,14 +38,22 @@ def visual_fact(subject: Column, attribute: Column, value: Column, unit: Column)
 
 
 def diagram_edge(source: Column, label: Column, target: Column) -> Column:
-    return F.concat(source, F.when(label.isNull() | (label == ""), F.lit(" -> ")).otherwise(F.concat(F.lit(" -["), label, F.lit("]-> "))), target)
+    return F.concat(
+        source,
+        F.when(label.isNull() | (label == ""), F.lit(" -> ")).otherwise(F.concat(F.lit(" -["), label, F.lit("]-> "))),
+        target
+    )
 
 
 def annotation(kind: Column, text: Column, derived: Column) -> Column:
     """How an annotation is shown, by its kind; identifiers are never shown and derived ones are marked."""
-    label = F.when(kind == "caption", "Caption: ").when(kind == "ocr", "Text in picture: ").when(kind == "visual_fact", "Fact: ").when(kind == "diagram", "Diagram: ")
+    label = F.when(kind == "caption", "Caption: ").when(
+        kind == "ocr", "Text in picture: "
+    ).when(kind == "visual_fact", "Fact: ").when(kind == "diagram", "Diagram: ")
     shown = F.concat(F.coalesce(label, F.lit("")), text)
-    return F.when((kind == "identifier") | text.isNull(), F.lit(None)).when(derived, F.concat(F.lit("[derived] "), shown)).otherwise(shown)
+    return F.when(
+        (kind == "identifier") | text.isNull(), F.lit(None)
+    ).when(derived, F.concat(F.lit("[derived] "), shown)).otherwise(shown)
 
 
 def portable_path(path: Column) -> Column:
@@ -53,5 +67,7 @@ def fact_matches(a: dict[str, Column], b: dict[str, Column]) -> Column:
     for k in a:
         x, y = a[k].cast("string"), b[k].cast("string")
         nx, ny = x.try_cast("double"), y.try_cast("double")
-        one = one & F.when(nx.isNotNull() & ny.isNotNull(), nx == ny).otherwise(F.lower(F.trim(x)).eqNullSafe(F.lower(F.trim(y))))
+        one = one & F.when(nx.isNotNull() & ny.isNotNull(), nx == ny).otherwise(
+            F.lower(F.trim(x)).eqNullSafe(F.lower(F.trim(y)))
+        )
     return one

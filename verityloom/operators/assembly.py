@@ -27,12 +27,26 @@ def edges_with_evidence(edges: DataFrame, names: DataFrame, evidence: DataFrame)
     """Edges with the names of both ends and their least evidence, which may be missing."""
     n = lambda c: names.select(F.col("node_id").alias(c), F.col("name").alias(f"{c}_name"))
     first = first_per_key(evidence.select("edge_id", "evidence"), ["edge_id"], "evidence")
-    return edges.join(n("src"), "src").join(n("dst"), "dst").join(first, "edge_id", "left").select("edge_id", F.concat_ws(" ", F.col("src_name"), F.concat(F.lit("--["), F.col("predicate"), F.lit("]-->")), F.col("dst_name")).alias("path"), "evidence")
+    return edges.join(n("src"), "src").join(n("dst"), "dst").join(first, "edge_id", "left").select(
+        "edge_id",
+        F.concat_ws(
+            " ", F.col("src_name"), F.concat(F.lit("--["), F.col("predicate"), F.lit("]-->")), F.col("dst_name")
+        ).alias("path"),
+        "evidence"
+    )
 
 
 def retrieval_text(heading: Column, source: Column, derived: Column) -> Column:
     """What is embedded of a chunk: headings, source text and derived text, those that are there, apart by a blank line; null if none."""
-    parts = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in (heading, source, F.concat(F.lit(DERIVED), derived)))))
+    parts = F.array_compact(
+        F.array(
+            *(
+                F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in (
+                    heading, source, F.concat(F.lit(DERIVED), derived)
+                )
+            )
+        )
+    )
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))
 
 
@@ -42,31 +56,48 @@ def grouped_annotations(annotations: DataFrame, keys: list[str], order: str) ->
     Identifiers are never shown; an element with nothing of a kind has null there.
     """
     x = annotations.withColumn("_s", annotation(F.col("kind"), F.col("text"), F.lit(False))).where("_s is not null")
-    of = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct(order, "_s")))), lambda s: s["_s"]), "\n")
+    of = lambda on: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(on, F.struct(order, "_s")))), lambda s: s["_s"]), "\n"
+    )
     g = x.groupBy(*keys).agg(of(~F.col("derived")).alias("source_text"), of(F.col("derived")).alias("derived_text"))
     return g.select(*keys, *(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("source_text", "derived_text")))
 
 
 def changed_rows(now: DataFrame, frozen: DataFrame, key: str, content: str) -> DataFrame:
     """(key, problem): rows whose content hash is not what frozen(key, content) says: changed, missing or unlisted."""
-    x = now.select(key, F.col(content).alias("_n")).join(frozen.select(key, F.col(content).alias("_f")), key, "full_outer")
-    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_f").isNull(), "unlisted").when(F.col("_n") != F.col("_f"), "changed")
+    x = now.select(key, F.col(content).alias("_n")).join(
+        frozen.select(key, F.col(content).alias("_f")), key, "full_outer"
+    )
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_f").isNull(), "unlisted").when(
+        F.col("_n") != F.col("_f"), "changed"
+    )
     return x.select(key, problem.alias("problem")).where("problem is not null")
 
 
 def verdict(vector_hit: Column, graph_hit: Column) -> Column:
     """PASS if only the graph found the target; else who fell short."""
-    return F.when(graph_hit & ~vector_hit, "PASS").when(~graph_hit, "FAIL: graph did not find it").otherwise("FAIL: vector found it too")
+    return F.when(graph_hit & ~vector_hit, "PASS").when(
+        ~graph_hit, "FAIL: graph did not find it"
+    ).otherwise("FAIL: vector found it too")
 
 
 def payload_hash(row_id: Column, vector: Column) -> Column:
     """Hash of an id with its vector written to eight places."""
-    return F.sha2(F.concat(row_id.cast("string"), F.lit("|["), F.array_join(F.transform(vector.cast("array<double>"), lambda x: F.format_string("%.8f", x)), ","), F.lit("]")), 256)
+    return F.sha2(
+        F.concat(
+            row_id.cast("string"), F.lit("|["),
+            F.array_join(F.transform(vector.cast("array<double>"), lambda x: F.format_string("%.8f", x)), ","),
+            F.lit("]")
+        ),
+        256
+    )
 
 
 def prompt(question: Column, blocks: Column) -> Column:
     """A question with its numbered evidence blocks."""
-    numbered = F.array_join(F.transform(blocks, lambda b, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b)), "\n")
+    numbered = F.array_join(
+        F.transform(blocks, lambda b, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b)), "\n"
+    )
     return F.concat(F.lit("Question: "), question, F.lit("\nEvidence:\n"), numbered)
 
 
@@ -88,8 +119,12 @@ def require_none(df: DataFrame, key: str, what: str) -> None:
 def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many distinct rows only a and only b have, and whether the two are equal as sets."""
     a, b = a.distinct(), b.distinct()
-    x = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(2))).groupBy(*a.columns).agg(F.sum("_s").alias("s"))
-    return x.agg(F.count_if(F.col("s") == 1).alias("only_left"), F.count_if(F.col("s") == 2).alias("only_right")).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+    x = a.withColumn("_s", F.lit(1)).unionByName(
+        b.withColumn("_s", F.lit(2))
+    ).groupBy(*a.columns).agg(F.sum("_s").alias("s"))
+    return x.agg(
+        F.count_if(F.col("s") == 1).alias("only_left"), F.count_if(F.col("s") == 2).alias("only_right")
+    ).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
 def best_overlap(expected: DataFrame, observed: DataFrame, group: str, item: str) -> DataFrame:
@@ -102,9 +137,13 @@ def best_overlap(expected: DataFrame, observed: DataFrame, group: str, item: str
 
 def first_on_path(paths: DataFrame, group: str, rank: str, edges: str, evidence: DataFrame) -> DataFrame:
     """(group, item, rank): items of the ranked paths' edges, each at its first occurrence by path rank and place on the path."""
-    e = paths.select(group, rank, F.posexplode(edges).alias("pos", "edge_id")).join(evidence.select("edge_id", "item"), "edge_id")
+    e = paths.select(
+        group, rank, F.posexplode(edges).alias("pos", "edge_id")
+    ).join(evidence.select("edge_id", "item"), "edge_id")
     once = e.groupBy(group, "item").agg(F.min(F.struct(rank, "pos")).alias("at"))
-    return once.select(group, "item", F.row_number().over(Window.partitionBy(group).orderBy("at", "item")).alias("rank"))
+    return once.select(
+        group, "item", F.row_number().over(Window.partitionBy(group).orderBy("at", "item")).alias("rank")
+    )
 
 
 def phrase_in_lines(lines: Column, phrase: Column) -> Column:

@@ -25,7 +25,9 @@ TYPE_RANK = ("heading", "paragraph", "list_item", "dated_entry", "table", "pictu
 def reading_order(df: DataFrame, doc: str, unit: str, order: str, kind: str, row_id: str) -> DataFrame:
     """df with position: by unit, place in it with what has none last, rank of the kind, and id."""
     rank = F.coalesce(*(F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(TYPE_RANK)), F.lit(len(TYPE_RANK)))
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(doc).orderBy(unit, F.asc_nulls_last(order), rank, row_id)))
+    return df.withColumn(
+        "position", F.row_number().over(Window.partitionBy(doc).orderBy(unit, F.asc_nulls_last(order), rank, row_id))
+    )
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,9 @@ class ChunkingConfig:
             raise ValueError("max_chars must be at least 1")
 
     def config_hash(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        return hashlib.sha256(
+            json.dumps(asdict(self), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+        ).hexdigest()
 
 
 def chunk(els: DataFrame, doc: str, config: ChunkingConfig = ChunkingConfig(), unit: str | None = None) -> DataFrame:
@@ -53,15 +57,22 @@ def chunk(els: DataFrame, doc: str, config: ChunkingConfig = ChunkingConfig(), u
     unit (page or slide) unless chunks may cross units. A chunk has the heading path of its first element.
     """
     x = heading_paths(els, doc)
-    x = split_long(x, "text", config.max_chars).drop("text").withColumnRenamed("part_text", "text") if config.split_oversized else x.withColumn("part", F.lit(0))
+    x = split_long(
+        x, "text", config.max_chars
+    ).drop("text").withColumnRenamed("part_text", "text") if config.split_oversized else x.withColumn("part", F.lit(0))
     w = Window.partitionBy(doc).orderBy("order_index", "part")
     flush = (F.col("kind") == "heading") & (F.col("part") == 0) if config.flush_on_heading else F.lit(False)
     if unit and not config.cross_unit:
         flush = flush | ~F.col(unit).eqNullSafe(F.lag(unit).over(w))
     x = x.withColumn("_o", F.struct("order_index", "part")).withColumn("_f", flush)
     p = pack(x, doc, "_o", "text", config.max_chars, len(config.joint), "_f")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "text"))), lambda s: s["text"]), config.joint)
-    return p.groupBy(doc, F.col("pack_index").alias("chunk_index")).agg(F.count("*").alias("elements"), F.min("order_index").alias("first"), F.min_by("heading_path", "_o").alias("heading_path"), said.alias("chunk_text"))
+    said = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "text"))), lambda s: s["text"]), config.joint
+    )
+    return p.groupBy(doc, F.col("pack_index").alias("chunk_index")).agg(
+        F.count("*").alias("elements"), F.min("order_index").alias("first"),
+        F.min_by("heading_path", "_o").alias("heading_path"), said.alias("chunk_text")
+    )
 
 
 def elements(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -70,11 +81,17 @@ def elements(df: DataFrame, doc: str, text: str) -> DataFrame:
     kind is heading, list_item, dated_entry or paragraph. level is the depth of a numbered heading, and the indent of a
     list item in steps of two blanks. Built from JVM expressions only.
     """
-    lines = df.select(F.col(doc), F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("order_index", "text")).where(F.trim("text") != "")
+    lines = df.select(
+        F.col(doc), F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("order_index", "text")
+    ).where(F.trim("text") != "")
     number = F.regexp_extract("text", HEADING, 1)
-    kind = F.when(F.col("text").rlike(HEADING), "heading").when(F.col("text").rlike(LIST_ITEM), "list_item").when(F.col("text").rlike(DATED), "dated_entry").otherwise("paragraph")
+    kind = F.when(F.col("text").rlike(HEADING), "heading").when(
+        F.col("text").rlike(LIST_ITEM), "list_item"
+    ).when(F.col("text").rlike(DATED), "dated_entry").otherwise("paragraph")
     x = lines.withColumn("kind", kind)
-    level = F.when(F.col("kind") == "heading", F.size(F.split(number, r"\."))).when(F.col("kind") == "list_item", (F.length(F.regexp_extract("text", r"^( *)", 1)) / 2).cast("int"))
+    level = F.when(F.col("kind") == "heading", F.size(F.split(number, r"\."))).when(
+        F.col("kind") == "list_item", (F.length(F.regexp_extract("text", r"^( *)", 1)) / 2).cast("int")
+    )
     return x.select(doc, "order_index", "kind", level.alias("level"), F.trim("text").alias("text"))
 
 
@@ -91,7 +108,9 @@ def _streamed(df: DataFrame, doc: str, order: list[str], uses: list[str], state,
         step = state()
         for b in batches:
             new = step(*(b.column(i).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(c.split()[0] for c in schema.split(","))])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *new], names=[*b.schema.names, *(c.split()[0] for c in schema.split(","))]
+            )
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {schema}")
 
@@ -130,16 +149,22 @@ def outline(df: DataFrame, doc: str, order: str, level: str, label: str) -> Data
 def heading_paths(els: DataFrame, doc: str) -> DataFrame:
     """els with heading_path, the headings above each element joined by ' > '; a heading ends those of its level and deeper."""
     x = els.withColumn("_l", F.when(F.col("kind") == "heading", F.col("level")))
-    return outline(x, doc, "order_index", "_l", "text").drop("_l", "parent_order").withColumnRenamed("label_path", "heading_path")
+    return outline(
+        x, doc, "order_index", "_l", "text"
+    ).drop("_l", "parent_order").withColumnRenamed("label_path", "heading_path")
 
 
-def pack(df: DataFrame, doc: str, order: str, text: str, max_chars: int, joint: int = 1, breaks: str | None = None) -> DataFrame:
+def pack(
+    df: DataFrame, doc: str, order: str, text: str, max_chars: int, joint: int = 1, breaks: str | None = None
+) -> DataFrame:
     """df with pack_index: consecutive units of a document put together while their joined length stays within max_chars.
 
     A unit over the limit is a pack of its own. Where the boolean column `breaks` is true, as at a heading, a new unit of
     the source or a table that stands alone, a new pack begins whatever the length. A null text has no length.
     """
-    x = df.withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn("_b", F.coalesce(F.col(breaks), F.lit(False)) if breaks else F.lit(False))
+    x = df.withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn(
+        "_b", F.coalesce(F.col(breaks), F.lit(False)) if breaks else F.lit(False)
+    )
 
     def state():
         key, size, index = object(), 0, 0
@@ -207,18 +232,31 @@ def split_long(df: DataFrame, text: str, limit: int) -> DataFrame:
             number = pa.array([i for f in found for i in range(len(f))], pa.int32())
             start = pa.array([a for f in found for a, _ in f], pa.int32())
             piece = pa.array([None if t is None else t[a:z] for t, f in zip(texts, found) for a, z in f], pa.string())
-            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns), number, start, piece], names=[*b.schema.names, "part", "part_start", "part_text"])
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(row) for c in b.columns), number, start, piece],
+                names=[*b.schema.names, "part", "part_start", "part_text"]
+            )
 
-    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", part int, part_start int, part_text string")
+    return df.mapInArrow(
+        run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", part int, part_start int, part_text string"
+    )
 
 
-def one_to_one(expected: DataFrame, observed: DataFrame, keys: list[str], order_expected: str, order_observed: str) -> DataFrame:
+def one_to_one(
+    expected: DataFrame, observed: DataFrame, keys: list[str], order_expected: str, order_observed: str
+) -> DataFrame:
     """(keys, ordinal, expected, observed): the n-th expected of a key with its n-th observed; null where one side has no more."""
-    nth = lambda df, c, name: df.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(c)).alias("ordinal"), F.col(c).alias(name))
-    return nth(expected, order_expected, "expected").join(nth(observed, order_observed, "observed"), [*keys, "ordinal"], "full_outer")
+    nth = lambda df, c, name: df.select(
+        *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(c)).alias("ordinal"), F.col(c).alias(name)
+    )
+    return nth(expected, order_expected, "expected").join(
+        nth(observed, order_observed, "observed"), [*keys, "ordinal"], "full_outer"
+    )
 
 
-def matched_by_value(expected: DataFrame, observed: DataFrame, keys: list[str], value: str, position: list[str]) -> DataFrame:
+def matched_by_value(
+    expected: DataFrame, observed: DataFrame, keys: list[str], value: str, position: list[str]
+) -> DataFrame:
     """(keys, value, expected, observed): one-to-one matches of equal value within a key, at the same position where there is one.
 
     expected and observed are structs of the position columns; null where one side has no more. Equal positions are matched
@@ -228,10 +266,17 @@ def matched_by_value(expected: DataFrame, observed: DataFrame, keys: list[str],
     nth = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*on, *by).orderBy(*position)))
 
     def pair(a: DataFrame, b: DataFrame, by: list[str], how: str) -> DataFrame:
-        a = nth(a, *by).select(*(F.col(c).alias(f"_a{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("expected"))
-        b = nth(b, *by).select(*(F.col(c).alias(f"_b{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("observed"))
+        a = nth(a, *by).select(
+            *(F.col(c).alias(f"_a{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("expected")
+        )
+        b = nth(b, *by).select(
+            *(F.col(c).alias(f"_b{c}") for c in [*on, *by, "_n"]), F.struct(*position).alias("observed")
+        )
         j = a.join(b, [F.col(f"_a{c}").eqNullSafe(F.col(f"_b{c}")) for c in [*on, *by, "_n"]], how)
-        return j.select(*(F.when(F.col("expected").isNull(), F.col(f"_b{c}")).otherwise(F.col(f"_a{c}")).alias(c) for c in on), "expected", "observed")
+        return j.select(
+            *(F.when(F.col("expected").isNull(), F.col(f"_b{c}")).otherwise(F.col(f"_a{c}")).alias(c) for c in on),
+            "expected", "observed"
+        )
 
     same = pair(expected, observed, position, "full_outer")
     left = same.where("observed is null").select(*on, "expected.*")
@@ -239,7 +284,9 @@ def matched_by_value(expected: DataFrame, observed: DataFrame, keys: list[str],
     return same.where("expected is not null and observed is not null").unionByName(pair(left, right, [], "full_outer"))
 
 
-def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, doc: str, text: str, limit: int = 4_000_000) -> DataFrame:
+def contained(
+    needles: DataFrame, needle_id: str, needle: str, df: DataFrame, doc: str, text: str, limit: int = 4_000_000
+) -> DataFrame:
     """(needle_id, doc): which needles stand in which texts, by one pass of an automaton of all needles over each text.
 
     Needles of up to `limit` characters together are broadcast at a time, a longer one by itself; more are taken in as many
@@ -268,11 +315,15 @@ def contained(needles: DataFrame, needle_id: str, needle: str, df: DataFrame, do
                         ids += sorted(found)
                         at += [row] * len(found)
                 if at:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), b.column(0).take(pa.array(at))], names=["needle", "doc"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.string()), b.column(0).take(pa.array(at))], names=["needle", "doc"]
+                    )
 
         return df.select(doc, text).mapInArrow(run, f"needle string, doc {key}")
 
-    for r in needles.select(F.col(needle_id).cast("string").alias("i"), F.col(needle).alias("n")).where("n <> ''").toLocalIterator():
+    for r in needles.select(
+        F.col(needle_id).cast("string").alias("i"), F.col(needle).alias("n")
+    ).where("n <> ''").toLocalIterator():
         if block and size + len(r["n"]) > limit:
             out, block, size = (scan(block) if out is None else out.unionByName(scan(block))), [], 0
         block.append((r["i"], r["n"]))

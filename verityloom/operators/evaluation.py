@@ -19,7 +19,9 @@ def fact_catalog(elements: DataFrame, document: str, keep: list[str]) -> DataFra
 
     elements has document, kind, level, order_index and norm, a hash of the text as it is compared.
     """
-    ident = hashing.content_id(document=F.col(document), kind=F.col("kind"), order_index=F.col("order_index"), text=F.col("norm"))
+    ident = hashing.content_id(
+        document=F.col(document), kind=F.col("kind"), order_index=F.col("order_index"), text=F.col("norm")
+    )
     return elements.select(*keep, ident.alias("fact_id"), "kind", "level", "order_index", "norm")
 
 
@@ -31,18 +33,36 @@ def text_matches(facts: DataFrame, observed: DataFrame, document: str) -> DataFr
     """
     o = observed.groupBy(document, "norm", "kind", "level").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     f = facts.select(document, "norm", "kind", "level").distinct()
-    j = f.join(o.select(document, "norm", F.col("kind").alias("ok"), F.col("level").alias("ol"), "n", "at"), [document, "norm"])
+    j = f.join(
+        o.select(document, "norm", F.col("kind").alias("ok"), F.col("level").alias("ol"), "n", "at"), [document, "norm"]
+    )
     kind = F.col("kind") == F.col("ok")
-    m = j.groupBy(document, "norm", "kind", "level").agg(F.sum("n").alias("copies"), F.min("at").alias("first_at"), F.bool_or(kind).alias("same_kind"), F.bool_or(kind & F.col("level").eqNullSafe(F.col("ol"))).alias("same_level"))
-    on = (F.col("f.norm") == F.col("m.norm")) & (F.col(f"f.{document}") == F.col(f"m.{document}")) & (F.col("f.kind") == F.col("m.kind")) & F.col("f.level").eqNullSafe(F.col("m.level"))
+    m = j.groupBy(document, "norm", "kind", "level").agg(
+        F.sum("n").alias("copies"), F.min("at").alias("first_at"), F.bool_or(kind).alias("same_kind"),
+        F.bool_or(kind & F.col("level").eqNullSafe(F.col("ol"))).alias("same_level")
+    )
+    on = (F.col("f.norm") == F.col("m.norm")) & (
+        F.col(f"f.{document}") == F.col(f"m.{document}")
+    ) & (F.col("f.kind") == F.col("m.kind")) & F.col("f.level").eqNullSafe(F.col("m.level"))
     x = facts.alias("f").join(m.alias("m"), on, "left")
-    return x.select("f.*", F.coalesce("m.copies", F.lit(0)).alias("copies"), "m.first_at", F.coalesce("m.same_kind", F.lit(False)).alias("same_kind"), F.coalesce("m.same_level", F.lit(False)).alias("same_level"))
+    return x.select(
+        "f.*", F.coalesce("m.copies", F.lit(0)).alias("copies"), "m.first_at",
+        F.coalesce("m.same_kind", F.lit(False)).alias("same_kind"),
+        F.coalesce("m.same_level", F.lit(False)).alias("same_level")
+    )
 
 
-def as_facts(df: DataFrame, bucket: Column | str, metric: str, fact_id: Column | str, hit: Column, partial: Column | None = None, excluded: Column | None = None) -> DataFrame:
+def as_facts(
+    df: DataFrame, bucket: Column | str, metric: str, fact_id: Column | str, hit: Column, partial: Column | None = None,
+    excluded: Column | None = None
+) -> DataFrame:
     no = F.lit(False)
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    return df.select(c(bucket).alias("bucket"), F.lit(metric).alias("metric"), c(fact_id).cast("string").alias("id"), F.coalesce(hit, no).alias("hit"), F.coalesce(partial if partial is not None else no, no).alias("partial"), F.coalesce(excluded if excluded is not None else no, no).alias("excluded"))
+    return df.select(
+        c(bucket).alias("bucket"), F.lit(metric).alias("metric"), c(fact_id).cast("string").alias("id"),
+        F.coalesce(hit, no).alias("hit"), F.coalesce(partial if partial is not None else no, no).alias("partial"),
+        F.coalesce(excluded if excluded is not None else no, no).alias("excluded")
+    )
 
 
 def evaluation(facts: DataFrame) -> DataFrame:
@@ -58,7 +78,10 @@ def evaluation(facts: DataFrame) -> DataFrame:
         F.count_if(hit).alias("hits"), F.count_if(part).alias("partials"), F.count_if(miss).alias("misses"), F.count_if(out).alias("excluded"), word(hit).alias("matched"), word(miss).alias("missed"), F.grouping("bucket").alias("g")
     )
     score = F.round(F.try_divide(F.col("hits"), F.col("hits") + F.col("partials") + F.col("misses")), 6)
-    return g.select(F.when(F.col("g") == 1, "overall").otherwise(F.coalesce("bucket", F.lit("none"))).alias("bucket"), "metric", "hits", "partials", "misses", "excluded", score.alias("score"), "matched", "missed")
+    return g.select(
+        F.when(F.col("g") == 1, "overall").otherwise(F.coalesce("bucket", F.lit("none"))).alias("bucket"), "metric",
+        "hits", "partials", "misses", "excluded", score.alias("score"), "matched", "missed"
+    )
 
 
 def absence(missing: DataFrame, document: str, joined: DataFrame, everywhere: DataFrame) -> DataFrame:
@@ -67,15 +90,21 @@ def absence(missing: DataFrame, document: str, joined: DataFrame, everywhere: Da
     split: the fact's text stands in the document's chunks put together, joined(document, whole), both normalised alike;
     elsewhere: another document's chunks hold it, everywhere(document, norm); lost: neither.
     """
-    other = missing.select(document, "norm").distinct().join(everywhere.select(F.col(document).alias("_d"), "norm").distinct(), "norm").where(F.col("_d") != F.col(document)).select(document, "norm").distinct().withColumn("_e", F.lit(True))
+    other = missing.select(document, "norm").distinct().join(
+        everywhere.select(F.col(document).alias("_d"), "norm").distinct(), "norm"
+    ).where(F.col("_d") != F.col(document)).select(document, "norm").distinct().withColumn("_e", F.lit(True))
     x = missing.join(joined, document, "left").join(other, [document, "norm"], "left")
-    reason = F.when(F.coalesce(F.contains("whole", F.col("said")), F.lit(False)), "split").when(F.col("_e"), "elsewhere").otherwise("lost")
+    reason = F.when(
+        F.coalesce(F.contains("whole", F.col("said")), F.lit(False)), "split"
+    ).when(F.col("_e"), "elsewhere").otherwise("lost")
     return x.withColumn("reason", reason).drop("whole", "_e")
 
 
 def following(anchors: DataFrame, others: DataFrame, document: str, order: str, carry: str) -> DataFrame:
     """anchors with `carry` of the first row of others that follows each before the next anchor, as a caption follows its picture; null if none."""
-    both = anchors.select(document, order, F.lit(True).alias("_a"), F.lit(None).cast(others.schema[carry].dataType).alias("_c")).unionByName(others.select(document, order, F.lit(False).alias("_a"), F.col(carry).alias("_c")))
+    both = anchors.select(
+        document, order, F.lit(True).alias("_a"), F.lit(None).cast(others.schema[carry].dataType).alias("_c")
+    ).unionByName(others.select(document, order, F.lit(False).alias("_a"), F.col(carry).alias("_c")))
     w = Window.partitionBy(document).orderBy(order, F.desc("_a"))
     x = both.withColumn("_n", F.sum(F.col("_a").cast("int")).over(w))
     first = x.where(~F.col("_a")).groupBy(document, "_n").agg(F.min_by("_c", order).alias(carry))
@@ -89,10 +118,16 @@ def span_scores(expected: DataFrame, observed: DataFrame, keys: list[str], item:
     read as C-88a.
     """
     c = lambda df, n: df.groupBy(*keys, item).agg(F.count("*").alias(n))
-    x = c(expected, "expected").join(c(observed, "observed"), [*keys, item], "full_outer").fillna(0, ["expected", "observed"])
-    x = x.withColumn("matched", F.least("expected", "observed")).withColumn("missing", F.col("expected") - F.col("matched")).withColumn("extra", F.col("observed") - F.col("matched"))
+    x = c(expected, "expected").join(
+        c(observed, "observed"), [*keys, item], "full_outer"
+    ).fillna(0, ["expected", "observed"])
+    x = x.withColumn("matched", F.least("expected", "observed")).withColumn(
+        "missing", F.col("expected") - F.col("matched")
+    ).withColumn("extra", F.col("observed") - F.col("matched"))
     stem = F.regexp_replace(item, "[A-Za-z]$", "")
-    longer = x.where((F.col("extra") > 0) & (stem != F.col(item))).select(*keys, stem.alias(item), "extra").groupBy(*keys, item).agg(F.sum("extra").alias("_long"))
+    longer = x.where(
+        (F.col("extra") > 0) & (stem != F.col(item))
+    ).select(*keys, stem.alias(item), "extra").groupBy(*keys, item).agg(F.sum("extra").alias("_long"))
     x = x.join(longer, [*keys, item], "left")
     return x.withColumn("merged", F.least("missing", F.coalesce("_long", F.lit(0)))).drop("_long")
 
@@ -100,10 +135,16 @@ def span_scores(expected: DataFrame, observed: DataFrame, keys: list[str], item:
 def supported_claims(claims: DataFrame, facts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """claims with `supported`: whether some fact of the same keys agrees in all fields, numbers as numbers and else as text."""
     f = facts.select(*(F.col(k).alias(f"_k{k}") for k in keys), *(F.col(c).alias(f"_f{c}") for c in fields)).distinct()
-    on = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys] + [fact_matches({c: F.col(c) for c in fields}, {c: F.col(f"_f{c}") for c in fields})]
+    on = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys] + [
+        fact_matches({c: F.col(c) for c in fields}, {c: F.col(f"_f{c}") for c in fields})
+    ]
     asked = [*keys, *fields]
-    yes = claims.select(*asked).distinct().join(f, on, "left_semi").select(*(F.col(c).alias(f"_y{c}") for c in asked), F.lit(True).alias("_yes"))
-    return claims.join(yes, [F.col(c).eqNullSafe(F.col(f"_y{c}")) for c in asked], "left").select(*claims.columns, F.coalesce("_yes", F.lit(False)).alias("supported"))
+    yes = claims.select(*asked).distinct().join(f, on, "left_semi").select(
+        *(F.col(c).alias(f"_y{c}") for c in asked), F.lit(True).alias("_yes")
+    )
+    return claims.join(yes, [F.col(c).eqNullSafe(F.col(f"_y{c}")) for c in asked], "left").select(
+        *claims.columns, F.coalesce("_yes", F.lit(False)).alias("supported")
+    )
 
 
 def resolved_facts(wanted: DataFrame, catalog: DataFrame, group: str, fact: str) -> DataFrame:

@@ -29,8 +29,12 @@ CHUNK = 1 << 18  # nodes that a task holds at a time
 def _links(nodes: DataFrame, node_id: str, edges: DataFrame, child: str, parent: str, near: str | None) -> DataFrame:
     """(v, near, parent) of every node; links from or to anything that is no node are dropped, of several parents the least id stays."""
     by = F.col(near).cast("string") if near else F.lit(None).cast("string")
-    v = nodes.select(F.col(node_id).cast("string").alias("v"), by.alias("near")).where("v is not null").groupBy("v").agg(F.min("near").alias("near"))
-    e = edges.select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p")).where("c is not null and p is not null")
+    v = nodes.select(
+        F.col(node_id).cast("string").alias("v"), by.alias("near")
+    ).where("v is not null").groupBy("v").agg(F.min("near").alias("near"))
+    e = edges.select(
+        F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p")
+    ).where("c is not null and p is not null")
     e = e.join(v.select(F.col("v").alias("p")), "p", "left_semi").groupBy("c").agg(F.min("p").alias("parent"))
     return v.join(e, F.col("v") == F.col("c"), "left").select("v", "near", "parent")
 
@@ -89,7 +93,9 @@ def _strings(c: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 def _at(wanted: pa.Array, among: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.index_in(wanted, value_set=among, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(
+        pc.index_in(wanted, value_set=among, skip_nulls=True), -1
+    ).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _pick(a: pa.Array, at: np.ndarray, use: np.ndarray) -> pa.Array:
@@ -112,8 +118,14 @@ def _contract(chunk: int):
             every = np.arange(len(par))
             least = along(np.where(endless, -1, par), every, np.minimum)
             ring = least_of_ring(par, at, endless, every)
-            cols = [pa.array(np.full(len(v), number)), v, parent, _pick(parent, at, ~endless), v.take(pa.array(least)), _pick(v, ring, endless)]
-            yield from pa.Table.from_arrays([c if i == 0 else c.cast(pa.string()) for i, c in enumerate(cols)], names=["chunk", "v", "parent", "g", "least", "ring"]).to_batches(max_chunksize=1 << 14)
+            cols = [
+                pa.array(np.full(len(v), number)), v, parent, _pick(parent, at, ~endless), v.take(pa.array(least)),
+                _pick(v, ring, endless)
+            ]
+            yield from pa.Table.from_arrays(
+                [c if i == 0 else c.cast(pa.string()) for i, c in enumerate(cols)],
+                names=["chunk", "v", "parent", "g", "least", "ring"]
+            ).to_batches(max_chunksize=1 << 14)
 
         held, n = [], 0
         for b in batches:
@@ -159,9 +171,18 @@ def _number(separator: str, with_path: bool):
         names = pc.unique(g.slice(0, n)).drop_null()
         par = _at(parent, v.slice(0, n))
         top = par < 0
-        par = np.where(top, np.where(np.r_[_at(g.slice(0, n), names), np.full(m - n, -1)] >= 0, m + np.r_[_at(g.slice(0, n), names), np.full(m - n, 0)], -1), par)
+        par = np.where(
+            top,
+            np.where(
+                np.r_[_at(g.slice(0, n), names), np.full(m - n, -1)] >= 0,
+                m + np.r_[_at(g.slice(0, n), names), np.full(m - n, 0)], -1
+            ),
+            par
+        )
         par = np.r_[par, np.full(len(names), -1)]
-        own = np.r_[np.ones(n, dtype=np.int64), t["size"].to_numpy()[n:], np.zeros(len(names), dtype=np.int64)].astype(np.int64)
+        own = np.r_[
+            np.ones(n, dtype=np.int64), t["size"].to_numpy()[n:], np.zeros(len(names), dtype=np.int64)
+        ].astype(np.int64)
         size = below(par, own)
         lo = along(par, before(par, size) + np.where(par >= 0, own[par], 0), np.add)
         # the ranges say the rest: what is open at a node's position are its ancestors
@@ -175,7 +196,9 @@ def _number(separator: str, with_path: bool):
         base = np.where(par[outer[holder]] >= 0, lo[np.maximum(par[outer[holder]], 0)], lo[outer[holder]])
         in_group = np.asarray(g.take(pa.array(holder)).is_valid())
         root = _pick(v, outer[holder], ~in_group)
-        keys = pc.binary_join_element_wise(pa.scalar(f"{chunk}", pa.large_string()), g.take(pa.array(holder)), pa.scalar("|", pa.large_string()))
+        keys = pc.binary_join_element_wise(
+            pa.scalar(f"{chunk}", pa.large_string()), g.take(pa.array(holder)), pa.scalar("|", pa.large_string())
+        )
         d = np.where(np.arange(m) < n, depth[holder], depth[holder] + 1)
         ext = np.arange(m) >= n
         shown = np.r_[order, np.arange(n, m)]  # nodes in preorder
@@ -198,7 +221,14 @@ def _number(separator: str, with_path: bool):
                     else:
                         text.append(kept[int(par[j])])
                 path = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ext[i]), v.take(at).cast(pa.string()), parent.take(at).cast(pa.string()), keys.take(at).cast(pa.string()), root.take(at).cast(pa.string()), pa.array((lo[:m] - base)[i]), pa.array(size[i]), pa.array(d[i]), path], names=["ext", "v", "parent", "k", "root", "lo", "size", "depth", "path"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ext[i]), v.take(at).cast(pa.string()), parent.take(at).cast(pa.string()),
+                    keys.take(at).cast(pa.string()), root.take(at).cast(pa.string()), pa.array((lo[:m] - base)[i]),
+                    pa.array(size[i]), pa.array(d[i]), path
+                ],
+                names=["ext", "v", "parent", "k", "root", "lo", "size", "depth", "path"]
+            )
 
     return run
 
@@ -217,7 +247,9 @@ def _groups_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = names.take(pa.array(least_of_ring(par, at, endless, _at(least, names))))
     size = below(np.where(endless, -1, par), t["size"].to_numpy())
     ring = pc.if_else(pa.array(endless), found, ring.take(pa.array(at)))
-    yield pa.RecordBatch.from_arrays([k.cast(pa.string()), pa.array(size), ring.cast(pa.string())], names=["k", "size", "ring"])
+    yield pa.RecordBatch.from_arrays(
+        [k.cast(pa.string()), pa.array(size), ring.cast(pa.string())], names=["k", "size", "ring"]
+    )
 
 
 def _groups_down(separator: str):
@@ -235,7 +267,14 @@ def _groups_down(separator: str):
         for i in np.argsort(steps, kind="stable").tolist():
             if par[i] >= 0 and path[i] is not None:
                 path[i] = path[par[i]] + separator + path[i]
-        yield pa.RecordBatch.from_arrays([k.cast(pa.string()), _strings(t["root"]).take(pa.array(at)).cast(pa.string()), pa.array(along(par, t["lo"].to_numpy(), np.add)), pa.array(along(par, t["depth"].to_numpy(), np.add)), pa.array(path, pa.string())], names=["k", "root", "lo", "depth", "path"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                k.cast(pa.string()), _strings(t["root"]).take(pa.array(at)).cast(pa.string()),
+                pa.array(along(par, t["lo"].to_numpy(), np.add)), pa.array(along(par, t["depth"].to_numpy(), np.add)),
+                pa.array(path, pa.string())
+            ],
+            names=["k", "root", "lo", "depth", "path"]
+        )
 
     return run
 
@@ -246,29 +285,49 @@ def _doubled_up(groups: DataFrame) -> DataFrame:
     left, k = state.where("anc is not null").count(), 0
     while left:
         going = state.where("anc is not null")
-        look = state.select(F.col("k").alias("anc"), F.col("anc").alias("_anc"), F.col("least").alias("_least"), F.col("ring").alias("_ring"))
+        look = state.select(
+            F.col("k").alias("anc"), F.col("anc").alias("_anc"), F.col("least").alias("_least"),
+            F.col("ring").alias("_ring")
+        )
         add = going.groupBy(F.col("anc").alias("k")).agg(F.sum("size").alias("_add"))
-        jumped = going.join(look, "anc").select("k", F.col("_anc").alias("anc"), "size", F.least("least", "_least").alias("least"), F.coalesce("ring", "_ring").alias("ring"), "up")
-        state = cut_lineage(jumped.unionByName(state.where("anc is null")).join(add, "k", "left").withColumn("size", F.col("size") + F.coalesce("_add", F.lit(0))).drop("_add"))
+        jumped = going.join(look, "anc").select(
+            "k", F.col("_anc").alias("anc"), "size", F.least("least", "_least").alias("least"),
+            F.coalesce("ring", "_ring").alias("ring"), "up"
+        )
+        state = cut_lineage(
+            jumped.unionByName(state.where("anc is null")).join(add, "k", "left").withColumn(
+                "size", F.col("size") + F.coalesce("_add", F.lit(0))
+            ).drop("_add")
+        )
         now, k = state.where("anc is not null").count(), k + 1
         if now == left and 2**k >= left:  # every pointer has gone round its ring
             break
         left = now
     rest = state.where("anc is not null")
-    rings = rest.join(rest.select(F.col("k").alias("anc"), F.col("least").alias("_ring")), "anc").select("k", "size", F.col("_ring").alias("ring"))
+    rings = rest.join(
+        rest.select(F.col("k").alias("anc"), F.col("least").alias("_ring")), "anc"
+    ).select("k", "size", F.col("_ring").alias("ring"))
     return state.where("anc is null").select("k", "size", "ring").unionByName(rings)
 
 
 def _doubled_down(groups: DataFrame, separator: str) -> DataFrame:
     state = cut_lineage(groups)
     while not state.where("anc is not null").isEmpty():
-        look = state.select(F.col("k").alias("anc"), *(F.col(c).alias(f"_{c}") for c in ("anc", "root", "lo", "depth", "path")))
-        jumped = state.where("anc is not null").join(look, "anc").select("k", F.col("_anc").alias("anc"), F.col("_root").alias("root"), (F.col("lo") + F.col("_lo")).alias("lo"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit(separator), "path").alias("path"))
+        look = state.select(
+            F.col("k").alias("anc"), *(F.col(c).alias(f"_{c}") for c in ("anc", "root", "lo", "depth", "path"))
+        )
+        jumped = state.where("anc is not null").join(look, "anc").select(
+            "k", F.col("_anc").alias("anc"), F.col("_root").alias("root"), (F.col("lo") + F.col("_lo")).alias("lo"),
+            (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit(separator), "path").alias("path")
+        )
         state = cut_lineage(jumped.unionByName(state.where("anc is null")))
     return state.drop("anc")
 
 
-def tree(nodes: DataFrame, node_id: str, edges: DataFrame, child: str, parent: str, separator: str = "/", with_path: bool = True, near: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def tree(
+    nodes: DataFrame, node_id: str, edges: DataFrame, child: str, parent: str, separator: str = "/",
+    with_path: bool = True, near: str | None = None, chunk: int = CHUNK
+) -> DataFrame:
     """One row per distinct node: node, parent, root, depth, subtree_size, lo, hi, path (if with_path).
 
     Per root, lo numbers the nodes in preorder from 0 and [lo, hi) is the range of a node's subtree: the descendants of x
@@ -280,36 +339,76 @@ def tree(nodes: DataFrame, node_id: str, edges: DataFrame, child: str, parent: s
     ring it runs into as root, and nulls for size, range and path. Empty tables give no rows.
     """
     links = _links(nodes, node_id, edges, child, parent, near)
-    parts = cut_lineage(links.repartitionByRange("near", "v").sortWithinPartitions("near", "v").select("v", "parent").mapInArrow(_contract(chunk), "chunk long, v string, parent string, g string, least string, ring string"))
+    parts = cut_lineage(
+        links.repartitionByRange("near", "v").sortWithinPartitions("near", "v").select("v", "parent").mapInArrow(
+            _contract(chunk), "chunk long, v string, parent string, g string, least string, ring string"
+        )
+    )
     key = lambda c, g: F.concat_ws("|", F.col(c).cast("string"), F.col(g))
     inner = parts.where("ring is null")
     out = parts.where("g is not null").groupBy("chunk", "g").agg(F.count("*").alias("size"))
     held = parts.select(F.col("v").alias("g"), F.col("chunk").alias("_chunk"), F.col("g").alias("_g"), "least", "ring")
-    groups = cut_lineage(out.join(held, "g").select(key("chunk", "g").alias("k"), F.when(F.col("_g").isNotNull(), key("_chunk", "_g")).alias("anc"), "size", "least", "ring", F.col("_chunk").alias("at"), F.col("g").alias("p")))
+    groups = cut_lineage(
+        out.join(held, "g").select(
+            key("chunk", "g").alias("k"), F.when(F.col("_g").isNotNull(), key("_chunk", "_g")).alias("anc"), "size",
+            "least", "ring", F.col("_chunk").alias("at"), F.col("g").alias("p")
+        )
+    )
     n = groups.count()
     leaves = inner.select("chunk", F.lit(False).alias("ext"), "v", "parent", "g", F.lit(1).cast("long").alias("size"))
     if n:
         narrow = groups.select("k", "anc", "size", "least", "ring")
-        up = narrow.coalesce(1).mapInArrow(_groups_up, "k string, size long, ring string") if n <= chunk else _doubled_up(narrow)
+        up = narrow.coalesce(1).mapInArrow(
+            _groups_up, "k string, size long, ring string"
+        ) if n <= chunk else _doubled_up(narrow)
         known = cut_lineage(groups.select("k", "at", "p").join(up, "k"))
-        hung = known.where("ring is null").select(F.col("at").alias("chunk"), F.lit(True).alias("ext"), F.col("k").alias("v"), F.col("p").alias("parent"), F.lit(None).cast("string").alias("g"), "size")
+        hung = known.where("ring is null").select(
+            F.col("at").alias("chunk"), F.lit(True).alias("ext"), F.col("k").alias("v"), F.col("p").alias("parent"),
+            F.lit(None).cast("string").alias("g"), "size"
+        )
         leaves = leaves.unionByName(hung)
-    numbered = leaves.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_number(separator, with_path), _ROWS)
+    numbered = leaves.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
+        _number(separator, with_path), _ROWS
+    )
     if not n:
-        ended = numbered.select(F.col("v").alias("node"), "parent", "root", "depth", F.col("size").alias("subtree_size"), "lo", (F.col("lo") + F.col("size")).alias("hi"), "path")
+        ended = numbered.select(
+            F.col("v").alias("node"), "parent", "root", "depth", F.col("size").alias("subtree_size"), "lo",
+            (F.col("lo") + F.col("size")).alias("hi"), "path"
+        )
     else:
         numbered = cut_lineage(numbered)
-        ext = numbered.where("ext").select(F.col("v").alias("k"), F.col("k").alias("anc"), "root", "lo", "depth", "path")
-        down = ext.coalesce(1).mapInArrow(_groups_down(separator), "k string, root string, lo long, depth long, path string") if n <= chunk else _doubled_down(ext, separator)
-        above = down.select("k", F.col("root").alias("_root"), F.col("lo").alias("_lo"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.lit(None).cast("string").alias("_ring"))
-        lost = known.where("ring is not null").select("k", F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string"), "ring")
+        ext = numbered.where("ext").select(
+            F.col("v").alias("k"), F.col("k").alias("anc"), "root", "lo", "depth", "path"
+        )
+        down = ext.coalesce(1).mapInArrow(
+            _groups_down(separator), "k string, root string, lo long, depth long, path string"
+        ) if n <= chunk else _doubled_down(ext, separator)
+        above = down.select(
+            "k", F.col("root").alias("_root"), F.col("lo").alias("_lo"), F.col("depth").alias("_depth"),
+            F.col("path").alias("_path"), F.lit(None).cast("string").alias("_ring")
+        )
+        lost = known.where("ring is not null").select(
+            "k", F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string"),
+            "ring"
+        )
         x = numbered.where("not ext").join(above.union(lost), "k", "left")
         here = F.col("_ring").isNull()
         only = lambda c: F.when(here, c)
         lo = F.col("lo") + F.coalesce("_lo", F.lit(0))
-        ended = x.select(F.col("v").alias("node"), "parent", F.coalesce("_ring", "_root", "root").alias("root"), F.when(here, F.col("depth") + F.coalesce("_depth", F.lit(0))).otherwise(F.lit(-1)).alias("depth"), only(F.col("size")).alias("subtree_size"), only(lo).alias("lo"), only(lo + F.col("size")).alias("hi"), only(F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", F.lit(separator), "path"))).alias("path"))
+        ended = x.select(
+            F.col("v").alias("node"), "parent", F.coalesce("_ring", "_root", "root").alias("root"),
+            F.when(here, F.col("depth") + F.coalesce("_depth", F.lit(0))).otherwise(F.lit(-1)).alias("depth"),
+            only(F.col("size")).alias("subtree_size"), only(lo).alias("lo"), only(lo + F.col("size")).alias("hi"),
+            only(
+                F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", F.lit(separator), "path"))
+            ).alias("path")
+        )
     none = lambda t: F.lit(None).cast(t)
-    endless = parts.where("ring is not null").select(F.col("v").alias("node"), "parent", F.col("ring").alias("root"), F.lit(-1).cast("long").alias("depth"), none("long").alias("subtree_size"), none("long").alias("lo"), none("long").alias("hi"), none("string").alias("path"))
+    endless = parts.where("ring is not null").select(
+        F.col("v").alias("node"), "parent", F.col("ring").alias("root"), F.lit(-1).cast("long").alias("depth"),
+        none("long").alias("subtree_size"), none("long").alias("lo"), none("long").alias("hi"),
+        none("string").alias("path")
+    )
     all_ = ended.unionByName(endless)
     return all_ if with_path else all_.drop("path")
 
@@ -322,5 +421,9 @@ def descendants(trees: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """
     t = trees.where("lo is not null")
     q = t if of is None else t.join(of.select("node").distinct(), "node", "left_semi")
-    wanted = q.where("subtree_size > 1").select("root", "node", F.col("depth").alias("_d"), F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("lo"))
-    return wanted.join(t.select("root", "lo", F.col("node").alias("descendant"), "depth"), ["root", "lo"]).select("root", "node", "descendant", (F.col("depth") - F.col("_d")).alias("steps"))
+    wanted = q.where("subtree_size > 1").select(
+        "root", "node", F.col("depth").alias("_d"), F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("lo")
+    )
+    return wanted.join(
+        t.select("root", "lo", F.col("node").alias("descendant"), "depth"), ["root", "lo"]
+    ).select("root", "node", "descendant", (F.col("depth") - F.col("_d")).alias("steps"))

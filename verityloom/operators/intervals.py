@@ -58,7 +58,9 @@ class _State:
             return
         d = keys.dictionary_encode()
         code = np.array([self.codes.setdefault(x, len(self.codes)) for x in d.dictionary.to_pylist()], dtype=np.int64)
-        self.parts.append((code[d.indices.to_numpy(zero_copy_only=False)], start.astype(np.int64), end.astype(np.int64), shared))
+        self.parts.append(
+            (code[d.indices.to_numpy(zero_copy_only=False)], start.astype(np.int64), end.astype(np.int64), shared)
+        )
         self.pending += len(start)
         if self.pending > max(200_000, self.merged):
             self.compact()
@@ -86,8 +88,14 @@ def _emit(state: _State, part: int) -> Iterator[pa.RecordBatch]:
 
     def batch() -> pa.RecordBatch:
         off = pa.array(np.r_[0, np.cumsum([len(r[1]) for r in rows])].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([r[i] for r in rows]).astype(t))) for i, t in ((1, np.int32), (2, np.int32), (3, bool))]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(np.full(len(rows), part, dtype=np.int32)), *lists], names=["k", "part", "froms", "tos", "shared"])
+        lists = [
+            pa.ListArray.from_arrays(off, pa.array(np.concatenate([r[i] for r in rows]).astype(t))) for i,
+            t in ((1, np.int32), (2, np.int32), (3, bool))
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array(np.full(len(rows), part, dtype=np.int32)), *lists],
+            names=["k", "part", "froms", "tos", "shared"]
+        )
 
     for row in state.lists():
         rows.append(row)
@@ -149,7 +157,9 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def continuous_periods(df: DataFrame, key: str, row_id: str, start: str, end: str, open_end: str = OPEN_END, fan_in: int = 64) -> DataFrame:
+def continuous_periods(
+    df: DataFrame, key: str, row_id: str, start: str, end: str, open_end: str = OPEN_END, fan_in: int = 64
+) -> DataFrame:
     """The continuous periods of every key and the gaps between them.
 
     Returns (key string, span_kind 'period' or 'gap', span_from date, span_to date, shared boolean). `shared` says that
@@ -174,4 +184,7 @@ def continuous_periods(df: DataFrame, key: str, row_id: str, start: str, end: st
         state = state.repartition("k", "part").mapInArrow(_combine(fan_in), _STATE)
         parts = -(-parts // fan_in)
     spans = state.repartition("k").mapInArrow(_last, _SPANS)
-    return spans.select(F.col("k").alias(key), "span_kind", F.date_from_unix_date("d_from").alias("span_from"), F.date_from_unix_date("d_to").alias("span_to"), "shared")
+    return spans.select(
+        F.col("k").alias(key), "span_kind", F.date_from_unix_date("d_from").alias("span_from"),
+        F.date_from_unix_date("d_to").alias("span_to"), "shared"
+    )

@@ -10,7 +10,9 @@ from verityloom.session import cut_lineage
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in a total order; null keys are keys. Windows with a rank limit prune before the shuffle."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    return df.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ).where("_rn = 1").drop("_rn")
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], *latest: Column | str) -> DataFrame:
@@ -32,14 +34,18 @@ def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 1) ->
     The sorted rows are checkpointed first: a lost executor must not lead to other ranges. The order must be total, else
     equal rows take their numbers in any order.
     """
-    parts = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    parts = cut_lineage(
+        df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    )
     sizes = parts.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row per partition
     before, offsets = start, []
     for r in sizes:
         offsets.append((r["_p"], before))
         before += r["n"]
     at = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _at long"))
-    return parts.join(at, "_p").select(*df.columns, (F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    return parts.join(at, "_p").select(
+        *df.columns, (F.col("_at") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
+    )
 
 
 def append_numbered(target: DataFrame, rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -54,4 +60,9 @@ def change_counts(existing: DataFrame, incoming: DataFrame, key: str, content: s
     blank = F.coalesce(F.regexp_replace(text, r"\s+", ""), F.lit("")) == ""
     x = incoming.join(old, incoming[key] == F.col("_k"), "left")
     same = F.col("_k").isNotNull() & F.col(content).eqNullSafe(F.col("_c"))
-    return x.agg(F.count("*").alias("candidates"), F.count_if(blank).alias("blank"), F.count_if(~blank & same).alias("unchanged"), F.count_if(~blank & F.col("_k").isNotNull() & ~same).alias("changed"), F.count_if(~blank & F.col("_k").isNull()).alias("added"))
+    return x.agg(
+        F.count("*").alias("candidates"), F.count_if(blank).alias("blank"),
+        F.count_if(~blank & same).alias("unchanged"),
+        F.count_if(~blank & F.col("_k").isNotNull() & ~same).alias("changed"),
+        F.count_if(~blank & F.col("_k").isNull()).alias("added")
+    )

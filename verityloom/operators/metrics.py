@@ -14,7 +14,10 @@ def question_metrics(hits: DataFrame, judged: DataFrame, ks: list[int]) -> DataF
     whole list and 0 without a hit. Judged rows repeated count once; only pairs that are both judged and hit are joined.
     """
     j = judged.select("query", "item", "kind").distinct()
-    need = j.groupBy("query").agg(F.count_if(F.col("kind") == "required").alias("required"), F.count_if(F.col("kind") == "forbidden").alias("forbidden"))
+    need = j.groupBy("query").agg(
+        F.count_if(F.col("kind") == "required").alias("required"),
+        F.count_if(F.col("kind") == "forbidden").alias("forbidden")
+    )
     return scored_metrics(need, hits.join(j, ["query", "item"]), ks)
 
 
@@ -28,10 +31,29 @@ def scored_metrics(need: DataFrame, scored: DataFrame, ks: list[int]) -> DataFra
     aggs = [F.coalesce(1 / F.min(F.when(rel, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank")]
     for k in ks:
         at = F.col("rank") <= k
-        aggs += [F.count_if(rel & at).alias(f"r{k}"), F.count_if(~rel & at).alias(f"f{k}"), F.coalesce(F.sum(F.when(rel & at, gain)), F.lit(0.0)).alias(f"d{k}"), F.array_sort(F.collect_set(F.when(rel & at, F.col("item")))).alias(f"m{k}"), F.array_sort(F.collect_set(F.when(~rel & at, F.col("item")))).alias(f"l{k}")]
+        aggs += [
+            F.count_if(rel & at).alias(f"r{k}"), F.count_if(~rel & at).alias(f"f{k}"),
+            F.coalesce(F.sum(F.when(rel & at, gain)), F.lit(0.0)).alias(f"d{k}"),
+            F.array_sort(F.collect_set(F.when(rel & at, F.col("item")))).alias(f"m{k}"),
+            F.array_sort(F.collect_set(F.when(~rel & at, F.col("item")))).alias(f"l{k}")
+        ]
     per = need.join(scored.groupBy("query").agg(*aggs), "query", "left")
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"r{k}", F.lit(0)).alias("r"), F.coalesce(f"f{k}", F.lit(0)).alias("f"), F.coalesce(f"d{k}", F.lit(0.0)).alias("d"), F.coalesce(F.array_join(f"m{k}", ","), F.lit("")).alias("m"), F.coalesce(F.array_join(f"l{k}", ","), F.lit("")).alias("l")) for k in ks))).alias("e")
-    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("k", "required").cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(k).alias("k"), F.coalesce(f"r{k}", F.lit(0)).alias("r"),
+                    F.coalesce(f"f{k}", F.lit(0)).alias("f"), F.coalesce(f"d{k}", F.lit(0.0)).alias("d"),
+                    F.coalesce(F.array_join(f"m{k}", ","), F.lit("")).alias("m"),
+                    F.coalesce(F.array_join(f"l{k}", ","), F.lit("")).alias("l")
+                ) for k in ks
+            )
+        )
+    ).alias("e")
+    ideal = F.aggregate(
+        F.transform(F.sequence(F.lit(1), F.least("k", "required").cast("int")), lambda i: 1 / F.log2(i + 1)),
+        F.lit(0.0), lambda s, x: s + x
+    )
     has = F.col("required") > 0
     return per.select("query", "required", "forbidden", F.coalesce("reciprocal_rank", F.lit(0.0)).alias("reciprocal_rank"), each).select("query", "required", "forbidden", "reciprocal_rank", "e.*").select(
         "query", "k", "required", F.round(F.try_divide("r", "required"), 6).alias("coverage"), F.when(has, F.col("r") == F.col("required")).alias("all_found"),
@@ -50,15 +72,27 @@ def aggregate_metrics(per_question: DataFrame) -> DataFrame:
 
 def scorecard(facts: DataFrame, bucket: str, metric: str, hit: str, excluded: str) -> DataFrame:
     """Numerator, denominator, excluded and score per (bucket, metric) and over all buckets; the score is null over nothing."""
-    sets = facts.groupingSets([[F.col(bucket), F.col(metric)], [F.col(metric)]], bucket, metric).agg(F.count_if(F.col(hit) & ~F.col(excluded)).alias("numerator"), F.count_if(~F.col(excluded)).alias("denominator"), F.count_if(F.col(excluded)).alias("excluded"), F.grouping(bucket).alias("g"))
-    return sets.select(F.when(F.col("g") == 1, "overall").otherwise(F.coalesce(bucket, F.lit("none"))).alias("bucket"), F.col(metric).alias("metric"), "numerator", "denominator", "excluded", F.round(F.try_divide("numerator", "denominator"), 6).alias("score"))
+    sets = facts.groupingSets([[F.col(bucket), F.col(metric)], [F.col(metric)]], bucket, metric).agg(
+        F.count_if(F.col(hit) & ~F.col(excluded)).alias("numerator"), F.count_if(~F.col(excluded)).alias("denominator"),
+        F.count_if(F.col(excluded)).alias("excluded"), F.grouping(bucket).alias("g")
+    )
+    return sets.select(
+        F.when(F.col("g") == 1, "overall").otherwise(F.coalesce(bucket, F.lit("none"))).alias("bucket"),
+        F.col(metric).alias("metric"), "numerator", "denominator", "excluded",
+        F.round(F.try_divide("numerator", "denominator"), 6).alias("score")
+    )
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, score: str, tolerance: float = 1e-9) -> DataFrame:
     """(key, a, b, outcome): improved, unchanged or regressed from a to b; null where either lacks a score."""
     x = a.select(key, F.col(score).alias("a")).join(b.select(key, F.col(score).alias("b")), key, "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return x.withColumn("outcome", F.when(both & (F.col("b") > F.col("a") + tolerance), "improved").when(both & (F.col("b") < F.col("a") - tolerance), "regressed").when(both, "unchanged"))
+    return x.withColumn(
+        "outcome",
+        F.when(both & (F.col("b") > F.col("a") + tolerance), "improved").when(
+            both & (F.col("b") < F.col("a") - tolerance), "regressed"
+        ).when(both, "unchanged")
+    )
 
 
 def citation_checks(claims: DataFrame, retrieved: DataFrame, required: DataFrame) -> DataFrame:
@@ -67,10 +101,20 @@ def citation_checks(claims: DataFrame, retrieved: DataFrame, required: DataFrame
     claims(query, claim, cited array), retrieved(query, item), required(query, item).
     """
     cited = claims.select("query", F.explode("cited").alias("item")).distinct()
-    per = claims.groupBy("query").agg(F.count("*").alias("claims"), F.count_if(F.coalesce(F.size("cited"), F.lit(0)) == 0).alias("uncited"))
-    ok = cited.join(retrieved.select("query", "item", F.lit(True).alias("got")).distinct(), ["query", "item"], "left").groupBy("query").agg(F.count("*").alias("cited"), F.count_if(F.col("got").isNull()).alias("invalid"))
-    need = required.select("query", "item").distinct().join(cited.withColumn("hit", F.lit(True)), ["query", "item"], "left").groupBy("query").agg(F.count("*").alias("required"), F.count_if("hit").alias("required_cited"))
-    x = per.join(ok, "query", "left").join(need, "query", "left").fillna(0, ["cited", "invalid", "required", "required_cited"])
+    per = claims.groupBy("query").agg(
+        F.count("*").alias("claims"), F.count_if(F.coalesce(F.size("cited"), F.lit(0)) == 0).alias("uncited")
+    )
+    ok = cited.join(
+        retrieved.select("query", "item", F.lit(True).alias("got")).distinct(), ["query", "item"], "left"
+    ).groupBy("query").agg(F.count("*").alias("cited"), F.count_if(F.col("got").isNull()).alias("invalid"))
+    need = required.select("query", "item").distinct().join(
+        cited.withColumn("hit", F.lit(True)), ["query", "item"], "left"
+    ).groupBy("query").agg(
+        F.count("*").alias("required"), F.count_if("hit").alias("required_cited")
+    )
+    x = per.join(ok, "query", "left").join(need, "query", "left").fillna(
+        0, ["cited", "invalid", "required", "required_cited"]
+    )
     return x.withColumn("coverage", F.round(F.try_divide("required_cited", "required"), 6))
 
 
@@ -81,10 +125,19 @@ def chunk_scores(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int) -
     is solved with all the gold, partial with some, failed with none of it.
     """
     g = gold.select("query", "item").distinct()
-    need = queries.select("query").distinct().join(g.groupBy("query").agg(F.count("*").alias("required")), "query", "left").fillna(0, ["required"])
-    got = hits.where(F.col("rank") <= k).join(g, ["query", "item"], "left_semi").groupBy("query").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
+    need = queries.select("query").distinct().join(
+        g.groupBy("query").agg(F.count("*").alias("required")), "query", "left"
+    ).fillna(0, ["required"])
+    got = hits.where(F.col("rank") <= k).join(g, ["query", "item"], "left_semi").groupBy("query").agg(
+        F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain")
+    )
     x = need.join(got, "query", "left").fillna(0, ["found"])
-    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.lit(k), F.col("required")).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, y: s + y)
+    ideal = F.aggregate(
+        F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(k), F.col("required")).cast("int")), lambda i: 1 / F.log2(i + 1)
+        ),
+        F.lit(0.0), lambda s, y: s + y
+    )
     some = F.col("required") > 0
     return x.select(
         "query", "required", "found", F.when(some, F.round(F.col("found") / F.col("required"), 6)).otherwise(1.0).alias("coverage"), (F.col("found") == F.col("required")).alias("all_found"),

@@ -20,7 +20,9 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.asarray(column.is_valid()) & (np.diff(off) == dim))
     if not len(at):
         return at, np.zeros((0, dim))
-    x = column.values.to_numpy(zero_copy_only=False).astype(np.float64)[off[at].astype(np.int64)[:, None] + np.arange(dim)]
+    x = column.values.to_numpy(zero_copy_only=False).astype(np.float64)[
+        off[at].astype(np.int64)[:, None] + np.arange(dim)
+    ]
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return at, np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -32,7 +34,10 @@ def _first_best(s: np.ndarray, keep: int) -> np.ndarray:
     return np.argsort(order, axis=1, kind="stable")[:, :keep]
 
 
-def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, k: int, dim: int = 64, skip_self: bool = True) -> DataFrame:
+def exact_search(
+    queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, k: int, dim: int = 64,
+    skip_self: bool = True
+) -> DataFrame:
     """(query, row, rank, similarity): the k rows of greatest cosine of every query, ties by row id.
 
     The index is scanned once per block of BLOCK queries, which is broadcast; every task keeps its own k best per query,
@@ -40,7 +45,9 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
     another length take no part. Similarities are compared when rounded to nine places.
     """
     kind = index.schema[row_id].dataType.simpleString()
-    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim).orderBy("q")
+    q = queries.select(
+        F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")
+    ).where(F.size("v") == dim).orderBy("q")
     out, block = None, []
 
     def scan(rows: list) -> DataFrame:
@@ -67,8 +74,12 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
                         if not len(better):
                             continue
                         rows, s = a + better, s[better]
-                        top = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * keep else _first_best(s, keep)
-                        all_s, all_i = np.hstack([held_s[rows], np.take_along_axis(s, top, 1)]), np.hstack([held_i[rows], ids[c : c + 4096][top]])
+                        top = np.argsort(
+                            -s, axis=1, kind="stable"
+                        )[:, :keep] if s.shape[1] <= 4 * keep else _first_best(s, keep)
+                        all_s, all_i = np.hstack(
+                            [held_s[rows], np.take_along_axis(s, top, 1)]
+                        ), np.hstack([held_i[rows], ids[c : c + 4096][top]])
                         for r, (score, name) in enumerate(zip(all_s, all_i)):
                             best = sorted(((-v, n) for v, n in zip(score.tolist(), name) if n is not None))[:keep]
                             held_s[rows[r], : len(best)] = [-v for v, _ in best]
@@ -76,16 +87,23 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
             full = held_s > -9
             if full.any():
                 qs = np.repeat(np.array(names, dtype=object), full.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(qs.tolist()), pa.array(held_i[full].tolist()), pa.array(held_s[full])], names=["query", "row", "similarity"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qs.tolist()), pa.array(held_i[full].tolist()), pa.array(held_s[full])],
+                    names=["query", "row", "similarity"]
+                )
 
-        return index.select(F.col(row_id), F.col(vector)).mapInArrow(run, f"query {kind}, row {kind}, similarity double")
+        return index.select(F.col(row_id), F.col(vector)).mapInArrow(
+            run, f"query {kind}, row {kind}, similarity double"
+        )
 
     for r in q.toLocalIterator():
         block.append((r["q"], r["v"]))
         if len(block) == BLOCK:
             out, block = (scan(block) if out is None else out.unionByName(scan(block))), []
     if block or out is None:
-        got = scan(block) if block else index.select(F.col(row_id).alias("query"), F.col(row_id).alias("row"), F.lit(0.0).alias("similarity")).limit(0)
+        got = scan(block) if block else index.select(
+            F.col(row_id).alias("query"), F.col(row_id).alias("row"), F.lit(0.0).alias("similarity")
+        ).limit(0)
         out = got if out is None else out.unionByName(got)
     out = out.where("query <> row") if skip_self else out
     out = out.withColumn("similarity", F.round("similarity", 9))
@@ -93,13 +111,20 @@ def exact_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: st
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "row", "rank", "similarity")
 
 
-def eligible_search(queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, eligible: DataFrame, on: str | list[str], k: int, **kw) -> DataFrame:
+def eligible_search(
+    queries: DataFrame, query_id: str, index: DataFrame, row_id: str, vector: str, eligible: DataFrame,
+    on: str | list[str], k: int, **kw
+) -> DataFrame:
     """As exact_search over the rows whose `on`, a column or several, is eligible, decided before anything is ranked: no eligible rows, no hits."""
     on = [on] if isinstance(on, str) else on
-    return exact_search(queries, query_id, index.join(eligible.select(*on).distinct(), on, "left_semi"), row_id, vector, k, **kw)
+    return exact_search(
+        queries, query_id, index.join(eligible.select(*on).distinct(), on, "left_semi"), row_id, vector, k, **kw
+    )
 
 
-def reciprocal_rank_fusion(rankings: list[DataFrame], group: str, item: str, rank: str, k: int, constant: int = 60) -> DataFrame:
+def reciprocal_rank_fusion(
+    rankings: list[DataFrame], group: str, item: str, rank: str, k: int, constant: int = 60
+) -> DataFrame:
     """(group, item, score, rank, sources): the sum of 1 / (constant + rank) over the rankings, ties by item.
 
     sources holds the positions of the rankings that have the item, from 0. An item is counted at its best rank in each.
@@ -109,10 +134,14 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], group: str, item: str, ran
         x = r.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(rank).alias("r"), F.lit(i).alias("s"))
         rows = x if rows is None else rows.unionByName(x)
     per = rows.groupBy("g", "i", "s").agg(F.min("r").alias("r"))
-    fused = per.groupBy("g", "i").agg(F.sum(1 / (F.lit(constant) + F.col("r"))).alias("score"), F.array_sort(F.collect_set("s")).alias("sources"))
+    fused = per.groupBy("g", "i").agg(
+        F.sum(1 / (F.lit(constant) + F.col("r"))).alias("score"), F.array_sort(F.collect_set("s")).alias("sources")
+    )
     fused = fused.withColumn("score", F.round("score", 12))
     pos = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "i"))
-    return fused.withColumn("rank", pos).where(F.col("rank") <= k).select(F.col("g").alias(group), F.col("i").alias(item), "score", "rank", "sources")
+    return fused.withColumn("rank", pos).where(F.col("rank") <= k).select(
+        F.col("g").alias(group), F.col("i").alias(item), "score", "rank", "sources"
+    )
 
 
 def best_evidence(df: DataFrame, group: str, item: str, hop: str, similarity: str, k: int) -> DataFrame:

@@ -60,12 +60,25 @@ def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key:
     """
     real_ = real(periods, start, end)
     cols = [c for c in periods.columns if c != key]
-    best = F.max(F.struct(F.col(start).alias("s"), F.col(end).isNull().alias("open"), F.col(end).alias("e"), F.struct(*cols).alias("q"))).alias("_b")
-    cells = real_.select(F.col(key).alias("_k"), F.explode(_cells_of(F.col(start), F.col(end))).alias("_c"), *cols).groupBy("_k", "_c").agg(best)
-    asked = points.select(F.col(point_key).alias("_k"), F.col(day).alias("_d")).where("_k is not null and _d is not null").distinct()
-    got = asked.withColumn("_c", F.explode(_cells_with(F.col("_d")))).join(cells, ["_k", "_c"]).groupBy("_k", "_d").agg(F.max("_b").alias("_b"))
+    best = F.max(
+        F.struct(
+            F.col(start).alias("s"), F.col(end).isNull().alias("open"), F.col(end).alias("e"),
+            F.struct(*cols).alias("q")
+        )
+    ).alias("_b")
+    cells = real_.select(
+        F.col(key).alias("_k"), F.explode(_cells_of(F.col(start), F.col(end))).alias("_c"), *cols
+    ).groupBy("_k", "_c").agg(best)
+    asked = points.select(
+        F.col(point_key).alias("_k"), F.col(day).alias("_d")
+    ).where("_k is not null and _d is not null").distinct()
+    got = asked.withColumn(
+        "_c", F.explode(_cells_with(F.col("_d")))
+    ).join(cells, ["_k", "_c"]).groupBy("_k", "_d").agg(F.max("_b").alias("_b"))
     left = points.select(F.struct(*points.columns).alias("_p"), F.col(point_key).alias("_k"), F.col(day).alias("_d"))
-    return left.join(got, ["_k", "_d"], "left").select("_p.*", *(F.col(f"_b.q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols))
+    return left.join(got, ["_k", "_d"], "left").select(
+        "_p.*", *(F.col(f"_b.q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols)
+    )
 
 
 def overlapping_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str) -> DataFrame:
@@ -75,25 +88,44 @@ def overlapping_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str
     share: an equality join on key and cell, which also splits a key of many periods. Days are dates; a null start meets nothing.
     """
     at = lambda x: F.struct(F.col(f"{x}s"), F.col(f"{x}e").isNull(), F.col(f"{x}e"), F.col(f"{x}i"))
-    side = lambda x, cells: df.select(F.col(key).alias("_k"), F.col(start).alias(f"{x}s"), F.col(end).alias(f"{x}e"), F.col(row_id).alias(f"{x}i"), F.explode(cells).alias("_c")).where(F.col(f"{x}s").isNotNull())
+    side = lambda x, cells: df.select(
+        F.col(key).alias("_k"), F.col(start).alias(f"{x}s"), F.col(end).alias(f"{x}e"), F.col(row_id).alias(f"{x}i"),
+        F.explode(cells).alias("_c")
+    ).where(F.col(f"{x}s").isNotNull())
     pairs = side("a", _cells_of(F.col(start), F.col(end))).join(side("b", _cells_with(F.col(start))), ["_k", "_c"])
-    return pairs.where((at("a") < at("b")) & overlap(F.col("as"), F.col("ae"), F.col("bs"), F.col("be"))).select(F.col("_k").alias(key), F.col("ai").alias("first_id"), F.col("bi").alias("second_id"))
+    return pairs.where((at("a") < at("b")) & overlap(F.col("as"), F.col("ae"), F.col("bs"), F.col("be"))).select(
+        F.col("_k").alias(key), F.col("ai").alias("first_id"), F.col("bi").alias("second_id")
+    )
 
 
-def chain_problems(periods: DataFrame, registry: DataFrame, doc: str, revision: str, start: str, end: str, predecessor: str, reason: str) -> DataFrame:
+def chain_problems(
+    periods: DataFrame, registry: DataFrame, doc: str, revision: str, start: str, end: str, predecessor: str,
+    reason: str
+) -> DataFrame:
     """(problem, doc, revision): violations of a chain of periods, each rule a query; an intact table gives no rows.
 
     orphaned_period: a revision that is not registered. period_document_mismatch: registered for another document.
     missing_predecessor: a predecessor that has no period in the document. missing_successor / ambiguous_successor: a
     period closed as superseded or by rollback to which no period, or more than one, is attached at its end.
     """
-    p = periods.select(F.col(doc).alias("d"), F.col(revision).alias("r"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(predecessor).alias("pre"), F.col(reason).alias("why")).distinct()
+    p = periods.select(
+        F.col(doc).alias("d"), F.col(revision).alias("r"), F.col(start).alias("s"), F.col(end).alias("e"),
+        F.col(predecessor).alias("pre"), F.col(reason).alias("why")
+    ).distinct()
     reg = registry.select(F.col(revision).alias("r"), F.col(doc).alias("rd")).distinct()
     orphan = p.join(reg, "r", "left_anti").select(F.lit("orphaned_period").alias("problem"), "d", "r")
     mismatch = p.join(reg, "r").where("d <> rd").select(F.lit("period_document_mismatch"), "d", "r")
     has = p.select("d", F.col("r").alias("pre")).distinct()
-    missing = p.where("pre is not null").join(has, ["d", "pre"], "left_anti").select(F.lit("missing_predecessor"), "d", "r")
-    follow = p.where("pre is not null").groupBy("d", F.col("pre").alias("r"), F.col("s").alias("e")).agg(F.count_distinct("r").alias("n"))
+    missing = p.where("pre is not null").join(has, ["d", "pre"], "left_anti").select(
+        F.lit("missing_predecessor"), "d", "r"
+    )
+    follow = p.where("pre is not null").groupBy(
+        "d", F.col("pre").alias("r"), F.col("s").alias("e")
+    ).agg(F.count_distinct("r").alias("n"))
     closed = p.where("e is not null and why in ('superseded', 'rollback')").join(follow, ["d", "r", "e"], "left")
-    bad = closed.where("coalesce(n, 0) <> 1").select(F.when(F.coalesce("n", F.lit(0)) == 0, "missing_successor").otherwise("ambiguous_successor"), "d", "r")
-    return orphan.union(mismatch).union(missing).union(bad).select("problem", F.col("d").alias(doc), F.col("r").alias(revision)).distinct()
+    bad = closed.where("coalesce(n, 0) <> 1").select(
+        F.when(F.coalesce("n", F.lit(0)) == 0, "missing_successor").otherwise("ambiguous_successor"), "d", "r"
+    )
+    return orphan.union(mismatch).union(missing).union(bad).select(
+        "problem", F.col("d").alias(doc), F.col("r").alias(revision)
+    ).distinct()

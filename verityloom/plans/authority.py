@@ -24,27 +24,43 @@ def authority_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlapping_periods(spark: SparkSession, d: str) -> DataFrame:
-    p = temporal.real(_periods(spark, d), FROM, TO).select(DOC, "authority_period_id", FROM, TO).dropDuplicates(["authority_period_id"])
+    p = temporal.real(_periods(spark, d), FROM, TO).select(
+        DOC, "authority_period_id", FROM, TO
+    ).dropDuplicates(["authority_period_id"])
     return temporal.overlapping_pairs(p, DOC, "authority_period_id", FROM, TO)
 
 
 def chain_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.chain_problems(_periods(spark, d), table(spark, d, "edib_document_revision_registry"), DOC, REV, FROM, TO, "predecessor_revision_id", "closure_reason")
+    return temporal.chain_problems(
+        _periods(spark, d), table(spark, d, "edib_document_revision_registry"), DOC, REV, FROM, TO,
+        "predecessor_revision_id", "closure_reason"
+    )
 
 
 def integrity_summary(spark: SparkSession, d: str) -> DataFrame:
-    return chain_integrity(spark, d).groupBy("problem").agg(F.count("*").alias("revisions"), F.count_distinct(DOC).alias("documents"))
+    return chain_integrity(spark, d).groupBy("problem").agg(
+        F.count("*").alias("revisions"), F.count_distinct(DOC).alias("documents")
+    )
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
     """One row per revision: the last one written."""
-    r = table(spark, d, "edib_document_revision_registry").select(F.col(DOC).alias("doc"), F.col(REV).alias("revision"), F.col("publication_status").alias("status"), "version_label", "revision_number", "updated_at")
-    return keyed.first_per_key(r, ["doc", "revision"], F.desc("updated_at"), "status", "version_label", "revision_number")
+    r = table(spark, d, "edib_document_revision_registry").select(
+        F.col(DOC).alias("doc"), F.col(REV).alias("revision"), F.col("publication_status").alias("status"),
+        "version_label", "revision_number", "updated_at"
+    )
+    return keyed.first_per_key(
+        r, ["doc", "revision"], F.desc("updated_at"), "status", "version_label", "revision_number"
+    )
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
     """One row per period that has a start."""
-    p = _periods(spark, d).where(f"{FROM} is not null").select(F.col(DOC).alias("doc"), F.col(REV).alias("revision"), F.col("authority_period_id").alias("period"), F.col(FROM).alias("start"), F.col(TO).alias("end"), F.col("predecessor_revision_id").alias("predecessor"), F.col("closure_reason").alias("reason"))
+    p = _periods(spark, d).where(f"{FROM} is not null").select(
+        F.col(DOC).alias("doc"), F.col(REV).alias("revision"), F.col("authority_period_id").alias("period"),
+        F.col(FROM).alias("start"), F.col(TO).alias("end"), F.col("predecessor_revision_id").alias("predecessor"),
+        F.col("closure_reason").alias("reason")
+    )
     return p.distinct()
 
 
@@ -70,15 +86,24 @@ def authority_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 def authority_exclusions(spark: SparkSession, d: str) -> DataFrame:
     """Why each revision is left out, counted."""
-    return authority.exclusions(authority_state(spark, d), _resolved(spark, d)).groupBy("reason", "detail").agg(F.count("*").alias("revisions"))
+    return authority.exclusions(
+        authority_state(spark, d), _resolved(spark, d)
+    ).groupBy("reason", "detail").agg(F.count("*").alias("revisions"))
 
 
 def fail_closed_search(spark: SparkSession, d: str) -> DataFrame:
     """The nearest chunks of each query vector among the revisions that resolve; a document that fails closed has none."""
     ok = _resolved(spark, d).where("code = 'ok'").select(F.col("revision").alias(REV))
-    c = keyed.first_per_key(table(spark, d, "document_chunks").select("chunk_id", "document_id", REV, "embedding", "created_at"), ["chunk_id"], F.desc("created_at"), "document_id")
-    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    return search.eligible_search(q, "chunk_id", c, "chunk_id", "embedding", ok, REV, K, skip_self=False).select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
+    c = keyed.first_per_key(
+        table(spark, d, "document_chunks").select("chunk_id", "document_id", REV, "embedding", "created_at"),
+        ["chunk_id"], F.desc("created_at"), "document_id"
+    )
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").cast("string").alias("chunk_id"), "embedding"
+    )
+    return search.eligible_search(
+        q, "chunk_id", c, "chunk_id", "embedding", ok, REV, K, skip_self=False
+    ).select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def registry_dump(spark: SparkSession, d: str) -> DataFrame:
@@ -86,12 +111,24 @@ def registry_dump(spark: SparkSession, d: str) -> DataFrame:
     n = _history(spark, d).groupBy("doc", "revision").agg(F.count("*").alias("periods"))
     x = _registry(spark, d).join(n, ["doc", "revision"], "left").fillna(0, ["periods"])
     line = F.concat_ws(":", "revision", F.coalesce("status", F.lit("none")), "periods")
-    return x.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("revisions"), hashing.set_hash(F.col("revision"), F.col("status"), F.col("version_label"), F.col("revision_number"), F.col("periods")).alias("snapshot"))
+    return x.groupBy("doc").agg(
+        F.array_join(F.array_sort(F.collect_list(line)), ",").alias("revisions"),
+        hashing.set_hash(
+            F.col("revision"), F.col("status"), F.col("version_label"), F.col("revision_number"), F.col("periods")
+        ).alias("snapshot")
+    )
 
 
 def periods_from_log(spark: SparkSession, d: str) -> DataFrame:
     """The periods that the decision log gives when folded in the order of its events."""
-    e = table(spark, d, "edib_authority_decision_event").select(F.col("event_id").alias("event"), F.when(F.col("event_type") == "revision_activated", "open").when(F.col("event_type") == "revision_withdrawn", "close").alias("kind"), F.col(DOC).alias("doc"), F.col("revision_id").alias("revision"), F.col("related_revision_id").alias("related"), F.col("decision_effective_date").alias("day"), F.col("closure_reason").alias("reason"), "recorded_at")
+    e = table(spark, d, "edib_authority_decision_event").select(
+        F.col("event_id").alias("event"),
+        F.when(F.col("event_type") == "revision_activated", "open").when(
+            F.col("event_type") == "revision_withdrawn", "close"
+        ).alias("kind"),
+        F.col(DOC).alias("doc"), F.col("revision_id").alias("revision"), F.col("related_revision_id").alias("related"),
+        F.col("decision_effective_date").alias("day"), F.col("closure_reason").alias("reason"), "recorded_at"
+    )
     return authority.periods_from_log(keyed.first_per_key(e, ["event"], F.desc("recorded_at")))
 
 
@@ -99,21 +136,39 @@ def days_in_force(spark: SparkSession, d: str) -> DataFrame:
     """Days that each revision was in force up to the newest start of any period."""
     p = temporal.real(_periods(spark, d), FROM, TO).select("authority_period_id", REV, FROM, TO).distinct()
     end = F.broadcast(p.agg(F.max(FROM).alias("newest")))
-    return p.join(end).groupBy(REV).agg(F.sum(F.greatest(F.lit(0), F.datediff(F.least(F.coalesce(TO, "newest"), "newest"), FROM))).cast("long").alias("days"), F.count("*").alias("periods"))
+    return p.join(end).groupBy(REV).agg(
+        F.sum(
+            F.greatest(F.lit(0), F.datediff(F.least(F.coalesce(TO, "newest"), "newest"), FROM))
+        ).cast("long").alias("days"),
+        F.count("*").alias("periods")
+    )
 
 
 def orphaned_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Registered revisions without any period."""
-    return table(spark, d, "edib_document_revision_registry").select(DOC, REV).distinct().join(_periods(spark, d), REV, "left_anti").select(DOC, REV)
+    return table(
+        spark, d, "edib_document_revision_registry"
+    ).select(DOC, REV).distinct().join(_periods(spark, d), REV, "left_anti").select(DOC, REV)
 
 
 def event_log_latest(spark: SparkSession, d: str) -> DataFrame:
     """Per revision the last event of the log and how many different events there were."""
-    e = table(spark, d, "edib_authority_decision_event").select("event_id", "event_type", "revision_id", "recorded_at").distinct()
-    return e.groupBy("revision_id").agg(F.max_by("event_type", F.struct("recorded_at", "event_id", "event_type")).alias("last_event"), F.count_distinct("event_id").alias("events"))
-
-
-QUERIES = {f.__name__: f for f in (authority_as_of, overlapping_periods, chain_integrity, integrity_summary, integrity_rules, authority_state, authority_resolution, authority_exclusions, fail_closed_search, registry_dump, periods_from_log, days_in_force, orphaned_revisions, event_log_latest)}
+    e = table(spark, d, "edib_authority_decision_event").select(
+        "event_id", "event_type", "revision_id", "recorded_at"
+    ).distinct()
+    return e.groupBy("revision_id").agg(
+        F.max_by("event_type", F.struct("recorded_at", "event_id", "event_type")).alias("last_event"),
+        F.count_distinct("event_id").alias("events")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        authority_as_of, overlapping_periods, chain_integrity, integrity_summary, integrity_rules, authority_state,
+        authority_resolution, authority_exclusions, fail_closed_search, registry_dump, periods_from_log, days_in_force,
+        orphaned_revisions, event_log_latest
+    )
+}
 
 _P = "edib_revision_authority_period"
 _REAL = "effective_from is not null and (effective_to is null or effective_to > effective_from)"

@@ -22,40 +22,59 @@ def element_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def element_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return element_extract(spark, d).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return element_extract(spark, d).groupBy("doc_id", "kind").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")
+    )
 
 
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
-    return elements.heading_paths(element_extract(spark, d), "doc_id").select("doc_id", "order_index", "kind", "heading_path")
+    return elements.heading_paths(element_extract(spark, d), "doc_id").select(
+        "doc_id", "order_index", "kind", "heading_path"
+    )
 
 
 def _distinct_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_chunks").select("chunk_id", "document_id", "chunk_index", "chunk_text").dropDuplicates(["chunk_id"])
+    return table(spark, d, "document_chunks").select(
+        "chunk_id", "document_id", "chunk_index", "chunk_text"
+    ).dropDuplicates(["chunk_id"])
 
 
 def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of each document packed up to 2,400 characters."""
-    return elements.pack(_distinct_chunks(spark, d), "document_id", "chunk_index", "chunk_text", 2400).select("document_id", "chunk_index", "pack_index")
+    return elements.pack(
+        _distinct_chunks(spark, d), "document_id", "chunk_index", "chunk_text", 2400
+    ).select("document_id", "chunk_index", "pack_index")
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents' elements in chunks of up to 1,200 characters; a heading begins a chunk, which has its heading path."""
     config = elements.ChunkingConfig(split_oversized=False)
     c = elements.chunk(element_extract(spark, d), "doc_id", config)
-    return c.select("doc_id", F.col("chunk_index").alias("pack_index"), "elements", "first", F.length("chunk_text").cast("long").alias("chars"), "heading_path")
+    return c.select(
+        "doc_id", F.col("chunk_index").alias("pack_index"), "elements", "first",
+        F.length("chunk_text").cast("long").alias("chars"), "heading_path"
+    )
 
 
 def oversized_parts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over 1,200 characters in parts, and that the parts are the text again."""
     x = elements.split_long(_distinct_chunks(spark, d).where(F.length("chunk_text") > 1200), "chunk_text", 1200)
-    again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "part_text"))), lambda s: s["part_text"]), "") == F.any_value("chunk_text")
-    return x.groupBy("document_id", "chunk_index").agg(F.count("*").alias("parts"), F.max(F.length("part_text")).alias("longest"), again.alias("whole"))
+    again = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "part_text"))), lambda s: s["part_text"]), ""
+    ) == F.any_value("chunk_text")
+    return x.groupBy("document_id", "chunk_index").agg(
+        F.count("*").alias("parts"), F.max(F.length("part_text")).alias("longest"), again.alias("whole")
+    )
 
 
 def fragment_split(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every document, their characters, and whether they make up the text again."""
     f = _docs(spark, d).select("doc_id", "text", elements.fragments(F.col("text")).alias("f"))
-    return f.select("doc_id", F.size("f").cast("long").alias("sentences"), F.length(F.array_join("f", "")).cast("long").alias("chars"), (F.array_join("f", "") == F.col("text")).alias("whole"))
+    return f.select(
+        "doc_id", F.size("f").cast("long").alias("sentences"),
+        F.length(F.array_join("f", "")).cast("long").alias("chars"),
+        (F.array_join("f", "") == F.col("text")).alias("whole")
+    )
 
 
 def identifier_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -73,55 +92,108 @@ def folded_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.array_join(text.contained_labels(F.col("text"), LABELS), ",").alias("labels"))
+    return _docs(spark, d).select(
+        "doc_id", F.array_join(text.contained_labels(F.col("text"), LABELS), ",").alias("labels")
+    )
 
 
 def identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of each of a document's identifiers that are not part of a longer one."""
-    ids = _docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]{1,6}-[0-9]+[a-z]?)"), 1))).alias("identifier"))
-    return ids.select("doc_id", "identifier", text.occurrences(F.col("text"), F.col("identifier")).cast("long").alias("n"))
+    ids = _docs(spark, d).select(
+        "doc_id", "text",
+        F.explode(
+            F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z]{1,6}-[0-9]+[a-z]?)"), 1))
+        ).alias("identifier")
+    )
+    return ids.select(
+        "doc_id", "identifier", text.occurrences(F.col("text"), F.col("identifier")).cast("long").alias("n")
+    )
 
 
 def passage_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a whole test passage, and how often each is found."""
     n = table(spark, d, "evaluation_items").select("item_id", F.col("expected_supporting_passage").alias("needle"))
-    return elements.contained(n, "item_id", "needle", _docs(spark, d), "doc_id", "text").groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return elements.contained(n, "item_id", "needle", _docs(spark, d), "doc_id", "text").groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.min("doc_id").alias("first_doc")
+    )
 
 
 def text_fact_recall(spark: SparkSession, d: str) -> DataFrame:
     """Per document type: lines of the documents that their chunks hold as they are after normalisation."""
-    lines = lambda df, keys, t: elements.elements(df.select(F.struct(*keys).alias("k"), F.col(t).alias("t")), "k", "t").select("k.*", "kind", F.sha2(text.squashed(F.col("text")), 256).alias("h"))
-    facts = lines(_docs(spark, d), ["document_id", "document_type"], "text").where("kind = 'paragraph'").drop("kind").distinct()
-    seen = lines(table(spark, d, "document_chunks"), ["document_id"], "chunk_text").select("document_id", "h").distinct().withColumn("hit", F.lit(True))
-    x = facts.join(seen, ["document_id", "h"], "left").select("document_type", F.lit("line_recall").alias("metric"), F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(False).alias("excluded"))
+    lines = lambda df, keys, t: elements.elements(
+        df.select(F.struct(*keys).alias("k"), F.col(t).alias("t")), "k", "t"
+    ).select("k.*", "kind", F.sha2(text.squashed(F.col("text")), 256).alias("h"))
+    facts = lines(
+        _docs(spark, d), ["document_id", "document_type"], "text"
+    ).where("kind = 'paragraph'").drop("kind").distinct()
+    seen = lines(
+        table(spark, d, "document_chunks"), ["document_id"], "chunk_text"
+    ).select("document_id", "h").distinct().withColumn("hit", F.lit(True))
+    x = facts.join(seen, ["document_id", "h"], "left").select(
+        "document_type", F.lit("line_recall").alias("metric"), F.coalesce("hit", F.lit(False)).alias("hit"),
+        F.lit(False).alias("excluded")
+    )
     return metrics.scorecard(x, "document_type", "metric", "hit", "excluded")
 
 
 def metric_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """Completeness of the documents' fields by type and over all; rows without a revision are excluded from 'revision'."""
     docs = _docs(spark, d)
-    facts = [docs.select("document_type", F.lit(m).alias("metric"), F.coalesce(hit, F.lit(False)).alias("hit"), ex.alias("excluded")) for m, hit, ex in (("language", F.col("lang").isNotNull(), F.lit(False)), ("source", F.col("source").isNotNull(), F.lit(False)), ("revision", F.col("document_revision_id").startswith("REV"), F.col("document_revision_id").isNull()))]
-    return metrics.scorecard(facts[0].unionByName(facts[1]).unionByName(facts[2]), "document_type", "metric", "hit", "excluded")
+    facts = [
+        docs.select(
+            "document_type", F.lit(m).alias("metric"), F.coalesce(hit, F.lit(False)).alias("hit"), ex.alias("excluded")
+        ) for m,
+        hit,
+        ex in (
+            ("language", F.col("lang").isNotNull(), F.lit(False)),
+            ("source", F.col("source").isNotNull(), F.lit(False)),
+            ("revision", F.col("document_revision_id").startswith("REV"), F.col("document_revision_id").isNull())
+        )
+    ]
+    return metrics.scorecard(
+        facts[0].unionByName(facts[1]).unionByName(facts[2]), "document_type", "metric", "hit", "excluded"
+    )
 
 
 def miss_ledger(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in ("document_revision_id", "lang", "source", "source_path"))))).alias("missing"))
+    return docs.select(
+        "doc_id",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    *(
+                        F.when(F.col(c).isNull(), F.lit(c)) for c in (
+                            "document_revision_id", "lang", "source", "source_path"
+                        )
+                    )
+                )
+            )
+        ).alias("missing")
+    )
 
 
 def cell_match(spark: SparkSession, d: str) -> DataFrame:
     """The quantities of each order on odd lines matched one to one with equal ones on even lines, the pair of lines (1, 2), (3, 4) ... first."""
-    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"), F.expr("cast((l_linenumber + 1) div 2 as int)").alias("row"), "l_linenumber")
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").cast("long").alias("q"),
+        F.expr("cast((l_linenumber + 1) div 2 as int)").alias("row"), "l_linenumber"
+    )
     a, b = li.where("l_linenumber % 2 = 1").drop("l_linenumber"), li.where("l_linenumber % 2 = 0").drop("l_linenumber")
     m = elements.matched_by_value(a, b, ["l_orderkey"], "q", ["row"])
-    return m.groupBy("l_orderkey").agg(F.count_if(F.col("expected").isNotNull() & F.col("observed").isNotNull()).alias("equal"), F.count_if(F.col("observed").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra"))
+    return m.groupBy("l_orderkey").agg(
+        F.count_if(F.col("expected").isNotNull() & F.col("observed").isNotNull()).alias("equal"),
+        F.count_if(F.col("observed").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra")
+    )
 
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events per type and day, counted by a stream over the file with a watermark."""
     schema = table(spark, d, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = events.run_to_end(events.windowed_counts(s, "ts", ["event_type"], "1 day", "30 days"), "windows", ["window_start", "event_type"])
+    got = events.run_to_end(
+        events.windowed_counts(s, "ts", ["event_type"], "1 day", "30 days"), "windows", ["window_start", "event_type"]
+    )
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -132,7 +204,13 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return events.keep_latest(s, "latest", ["user_id"], "ts").select("user_id", "ts")
 
 
-QUERIES = {f.__name__: f for f in (element_extract, element_kinds, heading_path, chunk_packing, chunk_documents, oversized_parts, fragment_split, identifier_spans, normalised_text, folded_text, status_labels, identifier_occurrences, passage_alignment, text_fact_recall, metric_grouping_sets, miss_ledger, cell_match, stream_window_counts, stream_upsert)}
+QUERIES = {
+    f.__name__: f for f in (
+        element_extract, element_kinds, heading_path, chunk_packing, chunk_documents, oversized_parts, fragment_split,
+        identifier_spans, normalised_text, folded_text, status_labels, identifier_occurrences, passage_alignment,
+        text_fact_recall, metric_grouping_sets, miss_ledger, cell_match, stream_window_counts, stream_upsert
+    )
+}
 
 _LINES = """
 raw as (select doc_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) t, unnest(range(0, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))))) order_index from documents),

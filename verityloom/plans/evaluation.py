@@ -38,7 +38,9 @@ def _expected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(_chunks(spark, d), ["document_id", "chunk_index"], "chunk_text").select("document_id", F.struct("chunk_index", "order_index").alias("at"), "kind", "level", "norm")
+    return _lines(_chunks(spark, d), ["document_id", "chunk_index"], "chunk_text").select(
+        "document_id", F.struct("chunk_index", "order_index").alias("at"), "kind", "level", "norm"
+    )
 
 
 def fact_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -71,31 +73,51 @@ def ingestion_scores(spark: SparkSession, d: str) -> DataFrame:
 def chunk_availability(spark: SparkSession, d: str) -> DataFrame:
     """Facts of each kind, those that some chunk holds, and the places where the first of them were found."""
     m = _matched(spark, d)
-    return m.groupBy("kind").agg(F.count("*").alias("facts"), F.count_if(F.col("copies") > 0).alias("available"), F.count_if(F.col("first_at.chunk_index") == 0).alias("in_first_chunk"), F.sum("copies").alias("copies"))
+    return m.groupBy("kind").agg(
+        F.count("*").alias("facts"), F.count_if(F.col("copies") > 0).alias("available"),
+        F.count_if(F.col("first_at.chunk_index") == 0).alias("in_first_chunk"), F.sum("copies").alias("copies")
+    )
 
 
 def absence_reasons(spark: SparkSession, d: str) -> DataFrame:
     """What became of the facts that no chunk holds as they are."""
     missing = _matched(spark, d).where("copies = 0").select("document_id", "kind", "said", "norm", "fact_id")
-    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda s: s["chunk_text"]), " ")
+    put = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda s: s["chunk_text"]), " "
+    )
     joined = _chunks(spark, d).groupBy("document_id").agg(text.squashed(put).alias("whole"))
-    return ev.absence(missing, "document_id", joined, _observed(spark, d)).groupBy("kind", "reason").agg(F.count("*").alias("facts"))
+    return ev.absence(
+        missing, "document_id", joined, _observed(spark, d)
+    ).groupBy("kind", "reason").agg(F.count("*").alias("facts"))
 
 
 def unexpected_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of chunks that their document does not have, in a canonical order."""
     o, e = _observed(spark, d), _expected(spark, d).select("document_id", "norm").distinct()
-    return o.join(e, ["document_id", "norm"], "left_anti").select("document_id", "at.chunk_index", "at.order_index", "kind", "norm").orderBy("document_id", "chunk_index", "order_index", "kind", "norm")
+    return o.join(e, ["document_id", "norm"], "left_anti").select(
+        "document_id", "at.chunk_index", "at.order_index", "kind", "norm"
+    ).orderBy("document_id", "chunk_index", "order_index", "kind", "norm")
 
 
 def provenance_categories(spark: SparkSession, d: str) -> DataFrame:
     """Seven things that a chunk's origin needs, by language of the document and overall."""
-    docs = _documents(spark, d).select("document_id", F.lower("lang").alias("lang"), F.col("created_at").alias("delivered"), F.lit(True).alias("known"))
-    reg = table(spark, d, "edib_document_revision_registry").select("document_revision_id").distinct().withColumn("registered", F.lit(True))
+    docs = _documents(spark, d).select(
+        "document_id", F.lower("lang").alias("lang"), F.col("created_at").alias("delivered"), F.lit(True).alias("known")
+    )
+    reg = table(
+        spark, d, "edib_document_revision_registry"
+    ).select("document_revision_id").distinct().withColumn("registered", F.lit(True))
     c = _chunks(spark, d).join(docs, "document_id", "left").join(reg, "document_revision_id", "left")
     whole = F.size("embedding") == 64
-    tests = {"document": F.col("known"), "revision": F.col("registered"), "revision_given": F.col("document_revision_id").isNotNull(), "index": F.col("chunk_index") >= 0, "text": F.length(F.trim("chunk_text")) > 0, "embedding": whole & F.exists("embedding", lambda x: x != 0), "time": F.col("created_at") >= F.col("delivered")}
-    return ev.evaluation(reduce(DataFrame.unionByName, [ev.as_facts(c, "lang", m, "chunk_id", hit) for m, hit in tests.items()]))
+    tests = {
+        "document": F.col("known"), "revision": F.col("registered"),
+        "revision_given": F.col("document_revision_id").isNotNull(), "index": F.col("chunk_index") >= 0,
+        "text": F.length(F.trim("chunk_text")) > 0, "embedding": whole & F.exists("embedding", lambda x: x != 0),
+        "time": F.col("created_at") >= F.col("delivered")
+    }
+    return ev.evaluation(
+        reduce(DataFrame.unionByName, [ev.as_facts(c, "lang", m, "chunk_id", hit) for m, hit in tests.items()])
+    )
 
 
 def chunk_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -103,27 +125,43 @@ def chunk_structure(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d).select("document_id", "chunk_index", "chunk_text")
     n = F.count_distinct("chunk_index")
     alone = F.col("chunk_text").rlike(r"^\s*\d+(\.\d+)*\s+\p{Lu}[^.!?\n]*\s*$")
-    return c.groupBy("document_id").agg(F.count("*").alias("chunks"), (F.max("chunk_index") + 1 - n).alias("left_out"), (F.count("chunk_index") - n).alias("repeated"), F.count_if(F.coalesce(F.length(F.trim("chunk_text")), F.lit(0)) == 0).alias("blank"), F.count_if(F.length("chunk_text") > 1200).alias("oversized"), F.count_if(alone).alias("headings"))
+    return c.groupBy("document_id").agg(
+        F.count("*").alias("chunks"), (F.max("chunk_index") + 1 - n).alias("left_out"),
+        (F.count("chunk_index") - n).alias("repeated"),
+        F.count_if(F.coalesce(F.length(F.trim("chunk_text")), F.lit(0)) == 0).alias("blank"),
+        F.count_if(F.length("chunk_text") > 1200).alias("oversized"), F.count_if(alone).alias("headings")
+    )
 
 
 def identifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of identifiers per document type: matched, missing, in surplus, and read as a longer one."""
     rx = F.lit(r"\b([A-Z]{1,6}-\d+[a-z]?)\b")
     e = _documents(spark, d).select("document_id", F.explode(F.regexp_extract_all("text", rx, 1)).alias("identifier"))
-    o = _chunks(spark, d).select("document_id", F.explode(F.regexp_extract_all("chunk_text", rx, 1)).alias("identifier"))
-    x = ev.span_scores(e, o, ["document_id"], "identifier").join(_documents(spark, d).select("document_id", "document_type"), "document_id", "left")
-    return x.groupBy("document_type").agg(*(F.sum(c).alias(c) for c in ("expected", "observed", "matched", "missing", "extra", "merged")))
+    o = _chunks(spark, d).select(
+        "document_id", F.explode(F.regexp_extract_all("chunk_text", rx, 1)).alias("identifier")
+    )
+    x = ev.span_scores(e, o, ["document_id"], "identifier").join(
+        _documents(spark, d).select("document_id", "document_type"), "document_id", "left"
+    )
+    return x.groupBy("document_type").agg(
+        *(F.sum(c).alias(c) for c in ("expected", "observed", "matched", "missing", "extra", "merged"))
+    )
 
 
 def text_under_headings(spark: SparkSession, d: str) -> DataFrame:
     """For each heading the first paragraph before the next heading, as a caption is linked to its picture."""
     e = elements.elements(table(spark, d, "documents"), "doc_id", "text")
-    return ev.following(e.where("kind = 'heading'"), e.where("kind = 'paragraph'"), "doc_id", "order_index", "text").select("doc_id", "order_index", F.sha2("text", 256).alias("text_hash"))
+    return ev.following(
+        e.where("kind = 'heading'"), e.where("kind = 'paragraph'"), "doc_id", "order_index", "text"
+    ).select("doc_id", "order_index", F.sha2("text", 256).alias("text_hash"))
 
 
 def token_recovery(spark: SparkSession, d: str) -> DataFrame:
     """Per document type the words of titles that stand in the text as words of their own."""
-    docs = table(spark, d, "documents").select("doc_id", "document_type", F.split("text", "\n").alias("lines"), F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("token")).where("token <> ''")
+    docs = table(spark, d, "documents").select(
+        "doc_id", "document_type", F.split("text", "\n").alias("lines"),
+        F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("token")
+    ).where("token <> ''")
     hit = F.coalesce(assembly.phrase_in_lines(F.col("lines"), F.col("token")), F.lit(False))
     return docs.groupBy("document_type").agg(F.count("*").alias("tokens"), F.count_if(hit).alias("recovered"))
 
@@ -134,95 +172,175 @@ def list_parent_scores(spark: SparkSession, d: str) -> DataFrame:
     def tree(df: DataFrame, keys: list[str], doc: str, t: str) -> DataFrame:
         items = _lines(df, keys, t).where("kind = 'list_item'").withColumn("_o", F.col("order_index"))
         x = assembly.list_parents(items, keys[-1], "order_index", "level")
-        up = x.select(F.col(keys[-1]).alias("_k"), F.col("order_index").alias("parent_order"), F.col("norm").alias("parent"))
+        up = x.select(
+            F.col(keys[-1]).alias("_k"), F.col("order_index").alias("parent_order"), F.col("norm").alias("parent")
+        )
         x = x.join(up, (F.col(keys[-1]) == F.col("_k")) & (x["parent_order"] == up["parent_order"]), "left")
-        return keyed.first_per_key(x.select(doc, "norm", "parent", F.struct(keys[-1], "order_index").alias("place")), [doc, "norm"], F.desc("place"))
+        return keyed.first_per_key(
+            x.select(doc, "norm", "parent", F.struct(keys[-1], "order_index").alias("place")), [doc, "norm"],
+            F.desc("place")
+        )
 
     a = tree(_documents(spark, d), ["document_id"], "document_id", "text")
-    b = tree(_chunks(spark, d), ["document_id", "chunk_id"], "document_id", "chunk_text").select("document_id", "norm", F.col("parent").alias("found"), F.lit(True).alias("there"))
+    b = tree(_chunks(spark, d), ["document_id", "chunk_id"], "document_id", "chunk_text").select(
+        "document_id", "norm", F.col("parent").alias("found"), F.lit(True).alias("there")
+    )
     x = a.join(b, ["document_id", "norm"], "left")
-    return x.agg(F.count("*").alias("items"), F.count("there").alias("found"), F.count_if(F.col("there") & F.col("parent").eqNullSafe(F.col("found"))).alias("same_parent"), F.count("parent").alias("nested"))
+    return x.agg(
+        F.count("*").alias("items"), F.count("there").alias("found"),
+        F.count_if(F.col("there") & F.col("parent").eqNullSafe(F.col("found"))).alias("same_parent"),
+        F.count("parent").alias("nested")
+    )
 
 
 def checked_claims(spark: SparkSession, d: str) -> DataFrame:
     """Lines of orders as claims, written as text, held against the first line of the order."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
-    claims = li.select("l_orderkey", "l_linenumber", F.format_string("%.3f", "quantity").alias("quantity"), F.lower("flag").alias("flag"))
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag")
+    )
+    claims = li.select(
+        "l_orderkey", "l_linenumber", F.format_string("%.3f", "quantity").alias("quantity"),
+        F.lower("flag").alias("flag")
+    )
     got = ev.supported_claims(claims, li.where("l_linenumber = 1"), ["l_orderkey"], ["quantity", "flag"])
-    return got.groupBy("l_linenumber").agg(F.count_if("supported").alias("supported"), F.count_if(~F.col("supported")).alias("unsupported"))
+    return got.groupBy("l_linenumber").agg(
+        F.count_if("supported").alias("supported"), F.count_if(~F.col("supported")).alias("unsupported")
+    )
 
 
 def resolved_items(spark: SparkSession, d: str) -> DataFrame:
     """The expected passage of every item by difficulty, from a catalogue that must know each just once."""
     i = table(spark, d, "evaluation_items")
-    got = ev.resolved_facts(i.select("difficulty", "item_id"), i.select("item_id", F.sha2("expected_supporting_passage", 256).alias("passage")), "difficulty", "item_id")
+    got = ev.resolved_facts(
+        i.select("difficulty", "item_id"),
+        i.select("item_id", F.sha2("expected_supporting_passage", 256).alias("passage")), "difficulty", "item_id"
+    )
     return got.select("difficulty", "item_id", "passage")
 
 
 def element_ids(spark: SparkSession, d: str) -> DataFrame:
     """The identity of every element from six parts."""
     e = elements.elements(table(spark, d, "documents"), "doc_id", "text")
-    ident = rendering.element_id(F.col("doc_id"), F.col("kind"), F.lit(1), F.col("order_index"), F.sha2("text", 256), F.col("level"))
+    ident = rendering.element_id(
+        F.col("doc_id"), F.col("kind"), F.lit(1), F.col("order_index"), F.sha2("text", 256), F.col("level")
+    )
     return e.select("doc_id", "order_index", ident.alias("element_id"))
 
 
 def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
     """A hash of each document's elements as they are rendered, and one of the elements themselves, in their order."""
     e = elements.elements(table(spark, d, "documents"), "doc_id", "text")
-    shown = F.when(F.col("kind") == "list_item", rendering.list_item(F.col("text"), F.col("level"), F.lit(False), F.lit(None).cast("int"))).when(F.col("kind") == "dated_entry", rendering.annotation(F.lit("visual_fact"), F.col("text"), F.lit(True))).otherwise(F.col("text"))
-    return e.groupBy("doc_id").agg(hashing.ordered_hash(F.col("order_index"), shown).alias("rendered"), hashing.ordered_hash(F.col("order_index"), F.col("kind"), F.col("level"), F.col("text")).alias("document_hash"))
+    shown = F.when(
+        F.col("kind") == "list_item",
+        rendering.list_item(F.col("text"), F.col("level"), F.lit(False), F.lit(None).cast("int"))
+    ).when(
+        F.col("kind") == "dated_entry", rendering.annotation(F.lit("visual_fact"), F.col("text"), F.lit(True))
+    ).otherwise(F.col("text"))
+    return e.groupBy("doc_id").agg(
+        hashing.ordered_hash(F.col("order_index"), shown).alias("rendered"),
+        hashing.ordered_hash(F.col("order_index"), F.col("kind"), F.col("level"), F.col("text")).alias("document_hash")
+    )
 
 
 def path_checks(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries with a portable path, by source."""
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(rendering.portable_path(F.col("source_path"))).alias("portable"), F.count_if(F.col("source_path").isNull()).alias("none"))
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.count_if(rendering.portable_path(F.col("source_path"))).alias("portable"),
+        F.count_if(F.col("source_path").isNull()).alias("none")
+    )
 
 
 def html_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Headings and paragraphs of the documents written as pages and read again by the HTML source."""
     e = elements.elements(table(spark, d, "documents"), "doc_id", "text").where("kind in ('heading', 'paragraph')")
-    tag = F.when(F.col("kind") == "heading", F.concat(F.lit("h"), F.least("level", F.lit(6)).cast("string"))).otherwise(F.lit("p"))
+    tag = F.when(
+        F.col("kind") == "heading", F.concat(F.lit("h"), F.least("level", F.lit(6)).cast("string"))
+    ).otherwise(F.lit("p"))
     said = F.trim(F.regexp_replace("text", r"[\s\x{00A0}\x{2009}\x{202F}]+", " "))
     line = F.concat(F.lit("<"), tag, F.lit(">"), text.html_text(said), F.lit("</"), tag, F.lit(">"))
-    pages = e.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", line.alias("h")))), lambda s: s["h"]), "\n"), F.lit("</body></html>")).alias("html"))
-    return files.html_elements(pages, "doc_id", "html").select("doc_id", "order_index", "kind", "level", F.sha2("text", 256).alias("text_hash"))
+    pages = e.groupBy("doc_id").agg(
+        F.concat(
+            F.lit("<html><body>"),
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("order_index", line.alias("h")))), lambda s: s["h"]),
+                "\n"
+            ),
+            F.lit("</body></html>")
+        ).alias("html")
+    )
+    return files.html_elements(pages, "doc_id", "html").select(
+        "doc_id", "order_index", "kind", "level", F.sha2("text", 256).alias("text_hash")
+    )
 
 
 def question_view(spark: SparkSession, d: str) -> DataFrame:
     """Per query: the document of its best chunk, one claim per chunk found, and a warning if claims come from other documents too."""
     of = _chunks(spark, d).select(F.col("chunk_id").alias("row"), "document_id")
     h = evidence.authority_aware_search(spark, d).join(of, "row")
-    x = h.groupBy("query").agg(F.min_by("document_id", "rank").alias("principal"), F.count("*").alias("claims"), F.array_sort(F.collect_set("document_id")).alias("cited"))
-    return x.select("query", "principal", "claims", F.array_join("cited", ",").alias("cited"), (F.size("cited") > 1).alias("cross_document"))
+    x = h.groupBy("query").agg(
+        F.min_by("document_id", "rank").alias("principal"), F.count("*").alias("claims"),
+        F.array_sort(F.collect_set("document_id")).alias("cited")
+    )
+    return x.select(
+        "query", "principal", "claims", F.array_join("cited", ",").alias("cited"),
+        (F.size("cited") > 1).alias("cross_document")
+    )
 
 
 def frozen_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The content of every chunk now against what was frozen of the chunks delivered before 2023: changed, missing, unlisted."""
-    c = table(spark, d, "document_chunks").select("chunk_id", "created_at", F.sha2(F.coalesce("chunk_text", F.lit("")), 256).alias("content"))
-    first, last = keyed.first_per_key(c, ["chunk_id"], "created_at", "content"), keyed.first_per_key(c, ["chunk_id"], F.desc("created_at"), "content")
+    c = table(spark, d, "document_chunks").select(
+        "chunk_id", "created_at", F.sha2(F.coalesce("chunk_text", F.lit("")), 256).alias("content")
+    )
+    first, last = keyed.first_per_key(c, ["chunk_id"], "created_at", "content"), keyed.first_per_key(
+        c, ["chunk_id"], F.desc("created_at"), "content"
+    )
     early = first.where("created_at < timestamp '2023-01-01'")
-    return assembly.changed_rows(last, early, "chunk_id", "content").groupBy("problem").agg(F.count("*").alias("chunks"))
+    return assembly.changed_rows(
+        last, early, "chunk_id", "content"
+    ).groupBy("problem").agg(F.count("*").alias("chunks"))
 
 
 def grouped_annotations(spark: SparkSession, d: str) -> DataFrame:
     """What is shown beside each document: its title as source text, dated entries as derived text, identifiers not at all."""
     docs = table(spark, d, "documents")
     e = elements.elements(docs, "doc_id", "text")
-    title = docs.select("doc_id", F.lit(-1).alias("at"), F.lit("caption").alias("kind"), F.col("title").alias("text"), F.lit(False).alias("derived"))
-    dated = e.where("kind = 'dated_entry'").select("doc_id", F.col("order_index").alias("at"), F.lit("visual_fact").alias("kind"), "text", F.lit(True).alias("derived"))
-    ids = docs.select("doc_id", F.lit(0).alias("at"), F.lit("identifier").alias("kind"), F.col("document_id").alias("text"), F.lit(False).alias("derived"))
+    title = docs.select(
+        "doc_id", F.lit(-1).alias("at"), F.lit("caption").alias("kind"), F.col("title").alias("text"),
+        F.lit(False).alias("derived")
+    )
+    dated = e.where("kind = 'dated_entry'").select(
+        "doc_id", F.col("order_index").alias("at"), F.lit("visual_fact").alias("kind"), "text",
+        F.lit(True).alias("derived")
+    )
+    ids = docs.select(
+        "doc_id", F.lit(0).alias("at"), F.lit("identifier").alias("kind"), F.col("document_id").alias("text"),
+        F.lit(False).alias("derived")
+    )
     got = assembly.grouped_annotations(title.unionByName(dated).unionByName(ids), ["doc_id"], "at")
-    return got.select("doc_id", F.sha2("source_text", 256).alias("source_hash"), F.sha2("derived_text", 256).alias("derived_hash"))
+    return got.select(
+        "doc_id", F.sha2("source_text", 256).alias("source_hash"), F.sha2("derived_text", 256).alias("derived_hash")
+    )
 
 
 def chunking_config(spark: SparkSession, d: str) -> DataFrame:
     """The hash of the chunking configuration that chunk_documents is run with, beside the number of chunks it gives."""
     config = elements.ChunkingConfig(split_oversized=False)
     c = elements.chunk(elements.elements(table(spark, d, "documents"), "doc_id", "text"), "doc_id", config)
-    return c.agg(F.lit(config.config_hash()).alias("config_hash"), F.count("*").alias("chunks"), F.count_if(F.length("chunk_text") > config.max_chars).alias("oversized"))
-
-
-QUERIES = {f.__name__: f for f in (fact_catalog, ingestion_scores, chunk_availability, absence_reasons, unexpected_lines, provenance_categories, chunk_structure, identifier_scores, text_under_headings, token_recovery, list_parent_scores, checked_claims, resolved_items, element_ids, rendered_documents, path_checks, html_round_trip, question_view, frozen_chunks, grouped_annotations, chunking_config)}
+    return c.agg(
+        F.lit(config.config_hash()).alias("config_hash"), F.count("*").alias("chunks"),
+        F.count_if(F.length("chunk_text") > config.max_chars).alias("oversized")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        fact_catalog, ingestion_scores, chunk_availability, absence_reasons, unexpected_lines, provenance_categories,
+        chunk_structure, identifier_scores, text_under_headings, token_recovery, list_parent_scores, checked_claims,
+        resolved_items, element_ids, rendered_documents, path_checks, html_round_trip, question_view, frozen_chunks,
+        grouped_annotations, chunking_config
+    )
+}
 
 _KINDS = r"case when regexp_matches(t, '^\s*(\d+(\.\d+)*)\s+\p{Lu}[^.!?]*$') then 'heading' when regexp_matches(t, '^\s*([-*\x{2022}]|\d+[.)])\s+\S') then 'list_item' when regexp_matches(t, '^\s*\[?\d{4}-\d{2}-\d{2}\]?\s') then 'dated_entry' else 'paragraph' end"
 _LEVEL = r"cast(case kind when 'heading' then len(string_split(regexp_extract(t, '^\s*(\d+(\.\d+)*)', 1), '.')) when 'list_item' then length(regexp_extract(t, '^( *)', 1)) // 2 end as int)"

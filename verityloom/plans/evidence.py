@@ -17,91 +17,163 @@ K = 5
 def _eligible(spark: SparkSession, d: str) -> DataFrame:
     """Revisions in force on AS_OF."""
     p = temporal.real(table(spark, d, "edib_revision_authority_period"), "effective_from", "effective_to")
-    return p.where(temporal.covers(F.lit(AS_OF).cast("date"), F.col("effective_from"), F.col("effective_to"))).select("document_revision_id").distinct()
+    return p.where(
+        temporal.covers(F.lit(AS_OF).cast("date"), F.col("effective_from"), F.col("effective_to"))
+    ).select("document_revision_id").distinct()
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "document_chunks").select("chunk_id", "document_id", "document_revision_id", "embedding", "created_at")
+    c = table(spark, d, "document_chunks").select(
+        "chunk_id", "document_id", "document_revision_id", "embedding", "created_at"
+    )
     return keyed.first_per_key(c, ["chunk_id"], F.desc("created_at"), "document_id")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").cast("string").alias("chunk_id"), "embedding"
+    )
 
 
 def authority_aware_search(spark: SparkSession, d: str) -> DataFrame:
     """The nearest chunks of each query vector among the revisions in force on a day: resolved first, then ranked."""
-    got = search.eligible_search(_questions(spark, d), "chunk_id", _chunks(spark, d), "chunk_id", "embedding", _eligible(spark, d), "document_revision_id", K, skip_self=False)
+    got = search.eligible_search(
+        _questions(spark, d), "chunk_id", _chunks(spark, d), "chunk_id", "embedding", _eligible(spark, d),
+        "document_revision_id", K, skip_self=False
+    )
     return got.select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def cross_document_diversity(spark: SparkSession, d: str) -> DataFrame:
     """Distinct documents among the hits of each query."""
     of = _chunks(spark, d).select(F.col("chunk_id").alias("row"), "document_id")
-    return authority_aware_search(spark, d).join(of, "row").groupBy("query").agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("hits"))
+    return authority_aware_search(spark, d).join(of, "row").groupBy("query").agg(
+        F.count_distinct("document_id").alias("documents"), F.count("*").alias("hits")
+    )
 
 
 def registry_snapshot_hash(spark: SparkSession, d: str) -> DataFrame:
     """An order-free hash of every document's periods."""
-    p = table(spark, d, "edib_revision_authority_period").select("logical_document_id", "authority_period_id", "document_revision_id", "effective_from", "effective_to").distinct()
-    return p.groupBy("logical_document_id").agg(hashing.set_hash(F.col("authority_period_id"), F.col("document_revision_id"), F.col("effective_from"), F.col("effective_to")).alias("snapshot"))
+    p = table(spark, d, "edib_revision_authority_period").select(
+        "logical_document_id", "authority_period_id", "document_revision_id", "effective_from", "effective_to"
+    ).distinct()
+    return p.groupBy("logical_document_id").agg(
+        hashing.set_hash(
+            F.col("authority_period_id"), F.col("document_revision_id"), F.col("effective_from"), F.col("effective_to")
+        ).alias("snapshot")
+    )
 
 
 def authority_switch_invariants(spark: SparkSession, d: str) -> DataFrame:
     """A new period changes the registry's hash and what is in force, and leaves the index's hash as it is."""
-    p = table(spark, d, "edib_revision_authority_period").select("document_revision_id", "effective_from", "effective_to").distinct()
-    newest = p.agg(F.max("document_revision_id").alias("document_revision_id")).select("document_revision_id", F.lit(AS_OF).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
+    p = table(spark, d, "edib_revision_authority_period").select(
+        "document_revision_id", "effective_from", "effective_to"
+    ).distinct()
+    newest = p.agg(F.max("document_revision_id").alias("document_revision_id")).select(
+        "document_revision_id", F.lit(AS_OF).cast("date").alias("effective_from"),
+        F.lit(None).cast("date").alias("effective_to")
+    )
     h = lambda x: x.agg(hashing.set_hash(*(F.col(c) for c in x.columns)).alias("h"))
     c = _chunks(spark, d)
-    index = h(c.select("chunk_id", "document_revision_id")).crossJoin(c.agg(F.count("*").alias("chunks"), hashing.set_hash(F.col("chunk_id"), F.size("embedding")).alias("payload_hash")))
+    index = h(c.select("chunk_id", "document_revision_id")).crossJoin(
+        c.agg(
+            F.count("*").alias("chunks"), hashing.set_hash(F.col("chunk_id"), F.size("embedding")).alias("payload_hash")
+        )
+    )
     a, b = h(p), h(p.unionByName(newest))
     one = a.withColumnRenamed("h", "before").crossJoin(b.withColumnRenamed("h", "after")).crossJoin(index)  # three single rows
-    return one.select((F.col("before") != F.col("after")).alias("registry_changed"), F.col("h").alias("index_hash"), "payload_hash", "chunks")
+    return one.select(
+        (F.col("before") != F.col("after")).alias("registry_changed"), F.col("h").alias("index_hash"), "payload_hash",
+        "chunks"
+    )
 
 
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graph.build_graph(graphs._relations(spark, d), "doc_id")
-    return assembly.edges_with_evidence(edges, nodes, edges.where("sources > 1").select("edge_id", F.col("first_source").alias("evidence")))
+    return assembly.edges_with_evidence(
+        edges, nodes, edges.where("sources > 1").select("edge_id", F.col("first_source").alias("evidence"))
+    )
 
 
 def gold_resolution_status(spark: SparkSession, d: str) -> DataFrame:
     """For every document type what became of its documents: chunked, delivered without chunks, or without a text."""
-    docs = table(spark, d, "documents").select("document_id", "document_type", (F.length(F.trim("text")) > 0).alias("has_text")).distinct()
-    c = table(spark, d, "document_chunks").where("chunk_text is not null").select("document_id").distinct().withColumn("chunked", F.lit(True))
-    status = F.when(F.coalesce("chunked", F.lit(False)), "available_with_chunks").when(F.coalesce("has_text", F.lit(False)), "ingested_without_chunks").otherwise("missing_from_ingestion")
-    return docs.join(c, "document_id", "left").groupBy("document_type", status.alias("status")).agg(F.count_distinct("document_id").alias("documents"))
+    docs = table(spark, d, "documents").select(
+        "document_id", "document_type", (F.length(F.trim("text")) > 0).alias("has_text")
+    ).distinct()
+    c = table(
+        spark, d, "document_chunks"
+    ).where("chunk_text is not null").select("document_id").distinct().withColumn("chunked", F.lit(True))
+    status = F.when(F.coalesce("chunked", F.lit(False)), "available_with_chunks").when(
+        F.coalesce("has_text", F.lit(False)), "ingested_without_chunks"
+    ).otherwise("missing_from_ingestion")
+    return docs.join(c, "document_id", "left").groupBy("document_type", status.alias("status")).agg(
+        F.count_distinct("document_id").alias("documents")
+    )
 
 
 def chunks_of_elements(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of each document inverted to the chunks that hold them."""
-    c = table(spark, d, "document_chunks").select("document_id", "chunk_index", F.explode(text.identifiers(F.col("chunk_text"))).alias("identifier"))
-    return c.groupBy("document_id", "identifier").agg(F.array_join(F.array_sort(F.collect_set("chunk_index")), ",").alias("chunks"))
+    c = table(spark, d, "document_chunks").select(
+        "document_id", "chunk_index", F.explode(text.identifiers(F.col("chunk_text"))).alias("identifier")
+    )
+    return c.groupBy("document_id", "identifier").agg(
+        F.array_join(F.array_sort(F.collect_set("chunk_index")), ",").alias("chunks")
+    )
 
 
 def chunk_retrieval_text(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "document_chunks").join(table(spark, d, "documents").groupBy("document_id").agg(F.max("title").alias("title")), "document_id")
+    c = table(spark, d, "document_chunks").join(
+        table(spark, d, "documents").groupBy("document_id").agg(F.max("title").alias("title")), "document_id"
+    )
     t = assembly.retrieval_text(F.col("title"), F.col("chunk_text"), F.lit(None).cast("string"))
     return c.select("chunk_id", F.sha2(t, 256).alias("input_hash")).distinct()
 
 
 def identifier_survival(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of identifiers in documents matched one to one with those in their chunks: recall by document type."""
-    docs = keyed.first_per_key(table(spark, d, "documents").select("document_id", "document_type", "text", "created_at", "doc_id"), ["document_id"], F.desc("created_at"), "doc_id")
+    docs = keyed.first_per_key(
+        table(spark, d, "documents").select("document_id", "document_type", "text", "created_at", "doc_id"),
+        ["document_id"], F.desc("created_at"), "doc_id"
+    )
     rx = F.lit(r"\b([A-Z]{1,6}-\d+[a-z]?)\b")
-    e = docs.select("document_id", "document_type", F.posexplode(F.regexp_extract_all("text", rx, 1)).alias("pos", "identifier"))
-    c = keyed.first_per_key(table(spark, d, "document_chunks").select("chunk_id", "document_id", "chunk_index", "chunk_text", "created_at"), ["chunk_id"], F.desc("created_at"))
-    o = c.select("document_id", F.explode(F.regexp_extract_all("chunk_text", rx, 1)).alias("identifier"), F.col("chunk_index").alias("at"))
-    m = elements.one_to_one(e, o, ["document_id", "identifier"], "pos", "at").where("expected is not null").join(docs.select("document_id", "document_type"), "document_id")
-    x = m.select("document_type", F.lit("identifier_recall").alias("metric"), F.col("observed").isNotNull().alias("hit"), F.lit(False).alias("excluded"))
+    e = docs.select(
+        "document_id", "document_type", F.posexplode(F.regexp_extract_all("text", rx, 1)).alias("pos", "identifier")
+    )
+    c = keyed.first_per_key(
+        table(spark, d, "document_chunks").select("chunk_id", "document_id", "chunk_index", "chunk_text", "created_at"),
+        ["chunk_id"], F.desc("created_at")
+    )
+    o = c.select(
+        "document_id", F.explode(F.regexp_extract_all("chunk_text", rx, 1)).alias("identifier"),
+        F.col("chunk_index").alias("at")
+    )
+    m = elements.one_to_one(e, o, ["document_id", "identifier"], "pos", "at").where("expected is not null").join(
+        docs.select("document_id", "document_type"), "document_id"
+    )
+    x = m.select(
+        "document_type", F.lit("identifier_recall").alias("metric"), F.col("observed").isNotNull().alias("hit"),
+        F.lit(False).alias("excluded")
+    )
     return metrics.scorecard(x, "document_type", "metric", "hit", "excluded")
 
 
 def provenance_completeness(spark: SparkSession, d: str) -> DataFrame:
     """Chunks whose document and revision exist, by language of the document and over all."""
-    docs = table(spark, d, "documents").groupBy("document_id").agg(F.max(F.lower("lang")).alias("lang"), F.lit(True).alias("known"))
-    reg = table(spark, d, "edib_document_revision_registry").select("document_revision_id").distinct().withColumn("registered", F.lit(True))
-    c = table(spark, d, "document_chunks").dropDuplicates(["chunk_id"]).join(docs, "document_id", "left").join(reg, "document_revision_id", "left")
-    facts = [c.select("lang", F.lit(m).alias("metric"), F.coalesce(h, F.lit(False)).alias("hit"), F.lit(False).alias("excluded")) for m, h in (("document", F.col("known")), ("revision", F.col("registered")))]
+    docs = table(spark, d, "documents").groupBy("document_id").agg(
+        F.max(F.lower("lang")).alias("lang"), F.lit(True).alias("known")
+    )
+    reg = table(
+        spark, d, "edib_document_revision_registry"
+    ).select("document_revision_id").distinct().withColumn("registered", F.lit(True))
+    c = table(spark, d, "document_chunks").dropDuplicates(["chunk_id"]).join(docs, "document_id", "left").join(
+        reg, "document_revision_id", "left"
+    )
+    facts = [
+        c.select(
+            "lang", F.lit(m).alias("metric"), F.coalesce(h, F.lit(False)).alias("hit"), F.lit(False).alias("excluded")
+        ) for m,
+        h in (("document", F.col("known")), ("revision", F.col("registered")))
+    ]
     return metrics.scorecard(facts[0].unionByName(facts[1]), "lang", "metric", "hit", "excluded")
 
 
@@ -109,7 +181,11 @@ def best_matching_part(spark: SparkSession, d: str) -> DataFrame:
     """For each supplier the nation whose customers ordered most of its parts."""
     li = table(spark, d, "lineitem")
     e = li.select(F.col("l_suppkey").alias("g"), "l_partkey")
-    o = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("g"), "l_partkey")
+    o = li.join(
+        table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(
+        table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    ).select(F.col("c_nationkey").alias("g"), "l_partkey")
     return assembly.best_overlap(e, o, "g", "l_partkey")
 
 
@@ -123,41 +199,69 @@ def path_ranked_items(spark: SparkSession, d: str) -> DataFrame:
 
 def decoded_props(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", F.from_json("props", "k int").alias("p"))
-    return e.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.count_distinct("p.k").alias("kinds"))
+    return e.groupBy("event_type").agg(
+        F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.count_distinct("p.k").alias("kinds")
+    )
 
 
 def payload_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", assembly.payload_hash(F.col("vec_id"), F.col("embedding")).alias("payload"))
+    return table(spark, d, "embeddings").select(
+        "vec_id", assembly.payload_hash(F.col("vec_id"), F.col("embedding")).alias("payload")
+    )
 
 
 def question_prompts(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "evaluation_items")
-    return i.select("item_id", F.sha2(assembly.prompt(F.col("question"), F.split("expected_supporting_passage", r"\. ")), 256).alias("prompt_hash"))
+    return i.select(
+        "item_id",
+        F.sha2(
+            assembly.prompt(F.col("question"), F.split("expected_supporting_passage", r"\. ")), 256
+        ).alias("prompt_hash")
+    )
 
 
 def chunk_coverage_sets(spark: SparkSession, d: str) -> DataFrame:
     """Documents delivered against documents chunked, as sets."""
-    return assembly.same_sets(table(spark, d, "documents").select("document_id"), table(spark, d, "document_chunks").select("document_id"))
+    return assembly.same_sets(
+        table(spark, d, "documents").select("document_id"), table(spark, d, "document_chunks").select("document_id")
+    )
 
 
 def list_nesting(spark: SparkSession, d: str) -> DataFrame:
     """List items with the item that each hangs on."""
     items = elements.elements(table(spark, d, "documents"), "doc_id", "text").where("kind = 'list_item'")
-    return assembly.list_parents(items, "doc_id", "order_index", "level").select("doc_id", "order_index", "level", "parent_order")
+    return assembly.list_parents(items, "doc_id", "order_index", "level").select(
+        "doc_id", "order_index", "level", "parent_order"
+    )
 
 
 def flipped_boxes(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", assembly.flip_box(F.lit(0.0), F.col("p_size").cast("double"), F.lit(1.0), F.col("p_size") + 10.0, F.lit(100.0)).alias("b"))
+    p = table(spark, d, "part").select(
+        "p_partkey",
+        assembly.flip_box(
+            F.lit(0.0), F.col("p_size").cast("double"), F.lit(1.0), F.col("p_size") + 10.0, F.lit(100.0)
+        ).alias("b")
+    )
     return p.select("p_partkey", F.col("b.y0").alias("y0"), F.col("b.y1").alias("y1"))
 
 
 def phrases_recovered(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose title stands in their text, line ends notwithstanding."""
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.coalesce(assembly.phrase_in_lines(F.split("text", "\n"), F.col("title")), F.lit(False)).alias("recovered"))
-
-
-QUERIES = {f.__name__: f for f in (authority_aware_search, cross_document_diversity, registry_snapshot_hash, authority_switch_invariants, edge_evidence, gold_resolution_status, chunks_of_elements, chunk_retrieval_text, identifier_survival, provenance_completeness, best_matching_part, path_ranked_items, decoded_props, payload_hashes, question_prompts, chunk_coverage_sets, list_nesting, flipped_boxes, phrases_recovered)}
+    return docs.select(
+        "doc_id",
+        F.coalesce(assembly.phrase_in_lines(F.split("text", "\n"), F.col("title")), F.lit(False)).alias("recovered")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        authority_aware_search, cross_document_diversity, registry_snapshot_hash, authority_switch_invariants,
+        edge_evidence, gold_resolution_status, chunks_of_elements, chunk_retrieval_text, identifier_survival,
+        provenance_completeness, best_matching_part, path_ranked_items, decoded_props, payload_hashes, question_prompts,
+        chunk_coverage_sets, list_nesting, flipped_boxes, phrases_recovered
+    )
+}
 
 _AWARE = f"""
 ok as (select distinct document_revision_id r from edib_revision_authority_period where effective_from <= date '{AS_OF}' and (effective_to is null or (effective_to > effective_from and date '{AS_OF}' < effective_to))),

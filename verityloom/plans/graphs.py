@@ -23,12 +23,19 @@ CEILING = 5_000_000
 def _geo(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = t("nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")).unionByName(t("supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")))
-    return e.unionByName(t("customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
+    e = t("nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")).unionByName(
+        t("supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))
+    )
+    return e.unionByName(
+        t("customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    )
 
 
 def _trade(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    parts = table(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")
+    ).distinct()
     return _geo(spark, d).unionByName(parts)
 
 
@@ -42,7 +49,9 @@ def graph_bfs_distance(spark: SparkSession, d: str) -> DataFrame:
 
 def hop_ranked_edges(spark: SparkSession, d: str) -> DataFrame:
     e = _trade(spark, d)
-    return graph.edge_hops(e, graph.distances(e, _regions(spark, d).where("node = 'r0'"), 3)).groupBy("hop").agg(F.count("*").alias("edges"))
+    return graph.edge_hops(
+        e, graph.distances(e, _regions(spark, d).where("node = 'r0'"), 3)
+    ).groupBy("hop").agg(F.count("*").alias("edges"))
 
 
 def graph_maximal_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +100,12 @@ def identifier_index(spark: SparkSession, d: str) -> DataFrame:
     return ids.groupBy("identifier").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
-QUERIES = {f.__name__: f for f in (graph_bfs_distance, hop_ranked_edges, graph_maximal_paths, graph_simple_paths, path_histogram, relation_extract, graph_nodes, graph_edges, graph_build_eval, graph_seed_match, identifier_index)}
+QUERIES = {
+    f.__name__: f for f in (
+        graph_bfs_distance, hop_ranked_edges, graph_maximal_paths, graph_simple_paths, path_histogram, relation_extract,
+        graph_nodes, graph_edges, graph_build_eval, graph_seed_match, identifier_index
+    )
+}
 
 _GEO = """
 e_small as (select 'n' || n_nationkey s, 'r' || n_regionkey t from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier),
@@ -100,8 +114,13 @@ e_trade as (select * from e_geo union all select distinct 's' || l_suppkey, 'p'
 """
 _ADJ = "adj as (select distinct * from (select s, t from {0} union all select t, s from {0}) x),"
 _BFS = "walk(node, distance) as (select 'r0', 0 union select t, distance + 1 from walk join adj on s = node where distance < {0}), dist as (select node, min(distance) distance from walk group by 1)"
-_REL = " union all ".join(f"select doc_id, unnest(regexp_extract_all(text, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(text, '{p}', 2)) object from documents" for n, p in PATTERNS.items())
-_REL_CHUNK = _REL.replace("doc_id", "chunk_id").replace("(text,", "(chunk_text,").replace("from documents", "from document_chunks")
+_REL = " union all ".join(
+    f"select doc_id, unnest(regexp_extract_all(text, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(text, '{p}', 2)) object from documents" for n,
+    p in PATTERNS.items()
+)
+_REL_CHUNK = _REL.replace("doc_id", "chunk_id").replace("(text,", "(chunk_text,").replace(
+    "from documents", "from document_chunks"
+)
 _PATHS = f"""with recursive {_GEO} {_ADJ.format("e_geo")}
 p(seed, node, hops, path) as (
   select 'r' || r_regionkey, 'r' || r_regionkey, 0, ['r' || r_regionkey] from region

@@ -14,14 +14,23 @@ from verityloom.session import cut_lineage, table
 
 AS_OF = "2021-06-30"
 # Kinds of the two ends of each relation; places are 'other', from which no question begins.
-KINDS = {"controls": ("control", "service"), "annex_to": ("annex", "obligation"), "finding_against": ("finding", "application"), "section_of": ("section", "procedure"), "located_in": ("application", "other")}
+KINDS = {
+    "controls": ("control", "service"), "annex_to": ("annex", "obligation"),
+    "finding_against": ("finding", "application"), "section_of": ("section", "procedure"),
+    "located_in": ("application", "other")
+}
 HOPS, PATH_EDGES, CEILING, K, POOL = 3, 2, 5_000_000, 10, 8
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "document_chunks").select("chunk_id", "document_revision_id", "chunk_text", "embedding", "created_at")
+    c = table(spark, d, "document_chunks").select(
+        "chunk_id", "document_revision_id", "chunk_text", "embedding", "created_at"
+    )
     c = keyed.first_per_key(c, ["chunk_id"], F.desc("created_at"), "document_revision_id")
-    return c.select(F.col("chunk_id").alias("chunk"), F.col("document_revision_id").alias("revision"), F.col("chunk_text").alias("text"), "embedding")
+    return c.select(
+        F.col("chunk_id").alias("chunk"), F.col("document_revision_id").alias("revision"),
+        F.col("chunk_text").alias("text"), "embedding"
+    )
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,14 +42,18 @@ def _eligible(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """(nodes, edges, evidence) of the revisions in force on AS_OF, checkpointed: traversals read them again and again."""
     nodes, edges, evidence = _graph(spark, d)
     p = temporal.real(table(spark, d, "edib_revision_authority_period"), "effective_from", "effective_to")
-    ok = p.where(temporal.covers(F.lit(AS_OF).cast("date"), F.col("effective_from"), F.col("effective_to"))).select(F.col("document_revision_id").alias("revision"))
+    ok = p.where(
+        temporal.covers(F.lit(AS_OF).cast("date"), F.col("effective_from"), F.col("effective_to"))
+    ).select(F.col("document_revision_id").alias("revision"))
     edges, evidence = hybrid.eligible_graph(edges, evidence, ok)
     return nodes, cut_lineage(edges), cut_lineage(evidence)
 
 
 def _questions(spark: SparkSession, d: str, dim: int = 32) -> DataFrame:
     i = table(spark, d, "evaluation_items")
-    return i.select(F.col("item_id").alias("query"), "question", vectors.hashed_embedding(F.col("question"), dim).alias("embedding"))
+    return i.select(
+        F.col("item_id").alias("query"), "question", vectors.hashed_embedding(F.col("question"), dim).alias("embedding")
+    )
 
 
 def _seeds(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,7 +85,10 @@ def _edge_texts(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame,
 def edge_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """The vector of every edge, written to five places, and the hash of the text that it stands for."""
     x = _edge_texts(spark, d, *_graph(spark, d))
-    return x.select("edge_id", F.sha2("text", 256).alias("text_hash"), F.array_join(F.transform("embedding", lambda v: F.format_string("%.5f", v)), ",").alias("vector"))
+    return x.select(
+        "edge_id", F.sha2("text", 256).alias("text_hash"),
+        F.array_join(F.transform("embedding", lambda v: F.format_string("%.5f", v)), ",").alias("vector")
+    )
 
 
 def graph_payload_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +99,9 @@ def graph_payload_hash(spark: SparkSession, d: str) -> DataFrame:
 def _hop_ranking(spark: SparkSession, d: str, edges: DataFrame, evidence: DataFrame, seeds: DataFrame) -> DataFrame:
     dist = hybrid.hops(edges, seeds, HOPS)
     met = hybrid.hop_evidence(edges, evidence, dist).select("query", "chunk")
-    v = met.join(_chunks(spark, d).where("size(embedding) = 64").select("chunk", "embedding"), "chunk").join(_questions(spark, d, 64).select("query", F.col("embedding").alias("q")), "query")
+    v = met.join(
+        _chunks(spark, d).where("size(embedding) = 64").select("chunk", "embedding"), "chunk"
+    ).join(_questions(spark, d, 64).select("query", F.col("embedding").alias("q")), "query")
     near = v.select("query", "chunk", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 9).alias("similarity"))
     return hybrid.hop_evidence(edges, evidence, dist, near)
 
@@ -91,28 +109,43 @@ def _hop_ranking(spark: SparkSession, d: str, edges: DataFrame, evidence: DataFr
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     """The best K chunks of each question by hop and similarity over the eligible graph."""
     nodes, edges, evidence = _eligible(spark, d)
-    ranked = _hop_ranking(spark, d, edges, evidence, cut_lineage(_seeds(spark, d, nodes, edges))).where(F.col("rank") <= K)
+    ranked = _hop_ranking(
+        spark, d, edges, evidence, cut_lineage(_seeds(spark, d, nodes, edges))
+    ).where(F.col("rank") <= K)
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
 def graph_outcomes(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges, evidence = _eligible(spark, d)
     seeds = cut_lineage(_seeds(spark, d, nodes, edges))
-    return hybrid.outcomes(_questions(spark, d), seeds, hybrid.hop_evidence(edges, evidence, hybrid.hops(edges, seeds, HOPS)))
+    return hybrid.outcomes(
+        _questions(spark, d), seeds, hybrid.hop_evidence(edges, evidence, hybrid.hops(edges, seeds, HOPS))
+    )
 
 
 def _vector_ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
     c = _chunks(spark, d).select("chunk", "embedding")
-    got = search.exact_search(_questions(spark, d, 64).select(F.col("query").alias("chunk"), "embedding"), "chunk", c, "chunk", "embedding", k, skip_self=False)
+    got = search.exact_search(
+        _questions(spark, d, 64).select(F.col("query").alias("chunk"), "embedding"), "chunk", c, "chunk", "embedding",
+        k, skip_self=False
+    )
     return got.select("query", F.col("row").alias("chunk"), "rank")
 
 
 def _all_seeds(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
     texts = _edge_texts(spark, d, nodes, edges, evidence)
-    near_edges = search.exact_search(_questions(spark, d).select(F.col("query").alias("edge_id"), "embedding"), "edge_id", texts.select("edge_id", "embedding"), "edge_id", "embedding", POOL, dim=32, skip_self=False)
-    in_chunks = _vector_ranking(spark, d, POOL).join(evidence.select("chunk", "edge_id"), "chunk").groupBy("query", "edge_id").agg(F.min("rank").alias("rank"))
+    near_edges = search.exact_search(
+        _questions(spark, d).select(F.col("query").alias("edge_id"), "embedding"), "edge_id",
+        texts.select("edge_id", "embedding"), "edge_id", "embedding", POOL, dim=32, skip_self=False
+    )
+    in_chunks = _vector_ranking(spark, d, POOL).join(
+        evidence.select("chunk", "edge_id"), "chunk"
+    ).groupBy("query", "edge_id").agg(F.min("rank").alias("rank"))
     ends = edges.select("edge_id", F.explode(F.array("src", "dst")).alias("node"))
-    return hybrid.supplemental_seeds(_seeds(spark, d, nodes, edges), [in_chunks, near_edges.select("query", F.col("row").alias("edge_id"), "rank")], ends)
+    return hybrid.supplemental_seeds(
+        _seeds(spark, d, nodes, edges), [in_chunks, near_edges.select("query", F.col("row").alias("edge_id"), "rank")],
+        ends
+    )
 
 
 def hybrid_seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -129,12 +162,18 @@ def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def hybrid_paths(spark: SparkSession, d: str) -> DataFrame:
     """The best 32 paths of each question by the similarity of what they say."""
-    return _paths(spark, d)[0].select("query", "path_id", "hops", F.array_join("edge_ids", ",").alias("edges"), F.round("score", 6).alias("score"), "rank")
+    return _paths(spark, d)[0].select(
+        "query", "path_id", "hops", F.array_join("edge_ids", ",").alias("edges"), F.round("score", 6).alias("score"),
+        "rank"
+    )
 
 
 def _fused(vector: DataFrame, graph_: DataFrame) -> DataFrame:
     f = search.reciprocal_rank_fusion([vector, graph_], "query", "chunk", "rank", K)
-    return f.select("query", "chunk", F.round("score", 8).alias("score"), "rank", hybrid.contributed_by(F.col("sources")).alias("contributed_by"))
+    return f.select(
+        "query", "chunk", F.round("score", 8).alias("score"), "rank",
+        hybrid.contributed_by(F.col("sources")).alias("contributed_by")
+    )
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -145,29 +184,54 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_contributions(spark: SparkSession, d: str) -> DataFrame:
     """How many of the fused chunks, and of the questions, each side gave."""
-    return hybrid_fusion(spark, d).groupBy("contributed_by").agg(F.count("*").alias("chunks"), F.count_distinct("query").alias("questions"), F.count_if(F.col("rank") == 1).alias("first"))
+    return hybrid_fusion(spark, d).groupBy("contributed_by").agg(
+        F.count("*").alias("chunks"), F.count_distinct("query").alias("questions"),
+        F.count_if(F.col("rank") == 1).alias("first")
+    )
 
 
 def mode_scores(spark: SparkSession, d: str) -> DataFrame:
     """Vector, graph by hop, and both fusions under one scorer; gold are chunks with two identifiers of the expected passage."""
-    i = table(spark, d, "evaluation_items").select(F.col("item_id").alias("query"), F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier"))
-    c = _chunks(spark, d).select(F.col("chunk").alias("item"), F.explode(text.identifiers(F.col("text"))).alias("identifier"))
+    i = table(spark, d, "evaluation_items").select(
+        F.col("item_id").alias("query"),
+        F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier")
+    )
+    c = _chunks(spark, d).select(
+        F.col("chunk").alias("item"), F.explode(text.identifiers(F.col("text"))).alias("identifier")
+    )
     gold = i.join(c, "identifier").groupBy("query", "item").agg(F.count("*").alias("n")).where("n >= 2")
     nodes, edges, evidence = _eligible(spark, d)
     seeds = cut_lineage(_all_seeds(spark, d, nodes, edges, evidence))
     named = seeds.where("source = 'explicit'").select("query", "node")
     by_hop = cut_lineage(_hop_ranking(spark, d, edges, evidence, named).select("query", "chunk", "rank"))
     paths = hybrid.seed_paths(edges, seeds.select("query", "node"), PATH_EDGES, CEILING)
-    by_path = hybrid.path_evidence(hybrid.ranked_paths(paths, _edge_texts(spark, d, nodes, edges, evidence), _questions(spark, d)), evidence)
+    by_path = hybrid.path_evidence(
+        hybrid.ranked_paths(paths, _edge_texts(spark, d, nodes, edges, evidence), _questions(spark, d)), evidence
+    )
     vector = cut_lineage(_vector_ranking(spark, d, K))
     modes = {"V": vector, "G": by_hop, "H1": _fused(vector, by_hop), "H2": _fused(vector, by_path)}
     q = _questions(spark, d).select("query")
-    per = reduce(DataFrame.unionByName, [metrics.chunk_scores(q, r.select("query", F.col("chunk").alias("item"), "rank"), gold, K).withColumn("mode", F.lit(m)) for m, r in modes.items()])
-    return per.groupBy("mode").agg(F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count_if(F.col("outcome") == "solved").alias("solved"), F.count_if(F.col("outcome") == "partial").alias("partial"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    per = reduce(
+        DataFrame.unionByName,
+        [
+            metrics.chunk_scores(
+                q, r.select("query", F.col("chunk").alias("item"), "rank"), gold, K
+            ).withColumn("mode", F.lit(m)) for m,
+            r in modes.items()
+        ]
+    )
+    return per.groupBy("mode").agg(
+        F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"),
+        F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count_if(F.col("outcome") == "solved").alias("solved"),
+        F.count_if(F.col("outcome") == "partial").alias("partial"),
+        F.count_if(F.col("outcome") == "failed").alias("failed")
+    )
 
 
 def _artifact_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    a = hybrid.artifacts(*_graph(spark, d)).select("artifact_id", vectors.hashed_embedding(F.col("content"), 32).alias("embedding"))
+    a = hybrid.artifacts(*_graph(spark, d)).select(
+        "artifact_id", vectors.hashed_embedding(F.col("content"), 32).alias("embedding")
+    )
     q = _questions(spark, d).select(F.col("query").alias("artifact_id"), "embedding")
     return search.exact_search(q, "artifact_id", a, "artifact_id", "embedding", k, dim=32, skip_self=False)
 
@@ -182,27 +246,50 @@ def artifact_retrieval(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges, evidence = _graph(spark, d)
     hits = cut_lineage(_artifact_hits(spark, d, 5).select("query", F.col("row").alias("id")))
     entity = hits.join(nodes.select(F.col("node_id").alias("id")), "id").select("query", F.col("id").alias("node"))
-    ends = hits.join(edges.select(F.col("edge_id").alias("id"), F.explode(F.array("src", "dst")).alias("node")), "id").select("query", "node")
+    ends = hits.join(
+        edges.select(F.col("edge_id").alias("id"), F.explode(F.array("src", "dst")).alias("node")), "id"
+    ).select("query", "node")
     dist = hybrid.hops(edges, entity.union(ends), 1)
     per = dist.groupBy("query").agg(F.count_if(F.col("distance") == 0).alias("seeds"), F.count("*").alias("nodes"))
-    return per.join(hybrid.hop_evidence(edges, evidence, dist).groupBy("query").agg(F.count("*").alias("chunks")), "query", "left")
+    return per.join(
+        hybrid.hop_evidence(edges, evidence, dist).groupBy("query").agg(F.count("*").alias("chunks")), "query", "left"
+    )
 
 
 def target_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """For each question whether its vector ranking, or its graph ranking, holds a chunk of its target, and the verdict."""
-    i = table(spark, d, "evaluation_items").select(F.col("item_id").alias("query"), F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier"))
+    i = table(spark, d, "evaluation_items").select(
+        F.col("item_id").alias("query"),
+        F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier")
+    )
     c = _chunks(spark, d).select("chunk", F.explode(text.identifiers(F.col("text"))).alias("identifier"))
     gold = i.join(c, "identifier").groupBy("query", "chunk").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
     nodes, edges, evidence = _eligible(spark, d)
     graph_ = hybrid.hop_evidence(edges, evidence, hybrid.hops(edges, cut_lineage(_seeds(spark, d, nodes, edges)), HOPS))
-    found = lambda r, n: r.join(gold, ["query", "chunk"], "left_semi").select("query").distinct().withColumn(n, F.lit(True))
-    x = _questions(spark, d).select("query").join(found(_vector_ranking(spark, d, K), "v"), "query", "left").join(found(graph_, "g"), "query", "left").fillna(False, ["v", "g"])
-    return x.select("query", F.col("v").alias("vector_hit"), F.col("g").alias("graph_hit"), assembly.verdict(F.col("v"), F.col("g")).alias("verdict"))
-
-
-QUERIES = {f.__name__: f for f in (typed_nodes, eligible_edges, graph_artifacts, edge_embeddings, graph_payload_hash, graph_search, graph_outcomes, hybrid_seeds, hybrid_paths, hybrid_fusion, hybrid_contributions, mode_scores, artifact_search, artifact_retrieval, target_verdicts)}
+    found = lambda r, n: r.join(
+        gold, ["query", "chunk"], "left_semi"
+    ).select("query").distinct().withColumn(n, F.lit(True))
+    x = _questions(spark, d).select("query").join(
+        found(_vector_ranking(spark, d, K), "v"), "query", "left"
+    ).join(found(graph_, "g"), "query", "left").fillna(False, ["v", "g"])
+    return x.select(
+        "query", F.col("v").alias("vector_hit"), F.col("g").alias("graph_hit"),
+        assembly.verdict(F.col("v"), F.col("g")).alias("verdict")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        typed_nodes, eligible_edges, graph_artifacts, edge_embeddings, graph_payload_hash, graph_search, graph_outcomes,
+        hybrid_seeds, hybrid_paths, hybrid_fusion, hybrid_contributions, mode_scores, artifact_search,
+        artifact_retrieval, target_verdicts
+    )
+}
 
-_REL = " union all ".join(f"select chunk, revision, t, unnest(regexp_extract_all(t, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(t, '{p}', 2)) object from c" for n, p in PATTERNS.items())
+_REL = " union all ".join(
+    f"select chunk, revision, t, unnest(regexp_extract_all(t, '{p}', 1)) subject, '{n}' predicate, unnest(regexp_extract_all(t, '{p}', 2)) object from c" for n,
+    p in PATTERNS.items()
+)
 _KIND = lambda i, c: "case predicate " + " ".join(f"when '{p}' then '{k[i]}'" for p, k in KINDS.items()) + f" end {c}"
 _IDS = "list_distinct(list_transform(regexp_extract_all({}, '([A-Za-z]{{1,6}}-\\d+[A-Za-z]?)', 1), lambda x: upper(x)))"
 _DOT = "coalesce(list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0), 0)"

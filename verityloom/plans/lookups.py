@@ -17,26 +17,36 @@ def appended_log(spark: SparkSession, d: str) -> DataFrame:
     """The log of events up to 2021 with the later ones appended under the next serial numbers."""
     e = table(spark, d, "edib_authority_decision_event").select("event_id", "recorded_at").distinct()
     early, late = e.where("recorded_at < timestamp '2021-01-01'"), e.where("recorded_at >= timestamp '2021-01-01'")
-    return keyed.append_numbered(keyed.numbered(early, "serial", "recorded_at", "event_id"), late, "serial", "recorded_at", "event_id")
+    return keyed.append_numbered(
+        keyed.numbered(early, "serial", "recorded_at", "event_id"), late, "serial", "recorded_at", "event_id"
+    )
 
 
 def index_overview(spark: SparkSession, d: str) -> DataFrame:
     """Records, ids and distinct contents of the chunk index."""
     c = table(spark, d, "document_chunks")
-    return c.agg(F.count("*").alias("records"), F.count_distinct("chunk_id").alias("ids"), F.count_distinct(F.xxhash64("chunk_text")).alias("contents"), F.count_if(F.col("embedding").isNull()).alias("without_vector"))
+    return c.agg(
+        F.count("*").alias("records"), F.count_distinct("chunk_id").alias("ids"),
+        F.count_distinct(F.xxhash64("chunk_text")).alias("contents"),
+        F.count_if(F.col("embedding").isNull()).alias("without_vector")
+    )
 
 
 def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     """The nearest rows of each query within its scope of two columns: even labels of odd ids."""
     e = table(spark, d, "embeddings").withColumn("odd", F.col("vec_id") % 2)
     ok = e.where("label % 2 = 0 and odd = 1").select("label", "odd").distinct()
-    got = search.eligible_search(e.where("vec_id % 20 = 0"), "vec_id", e, "vec_id", "embedding", ok, ["label", "odd"], 5)
+    got = search.eligible_search(
+        e.where("vec_id % 20 = 0"), "vec_id", e, "vec_id", "embedding", ok, ["label", "odd"], 5
+    )
     return got.select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def search_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The hits of authority_aware_search with where each comes from."""
-    c = table(spark, d, "document_chunks").select(F.col("chunk_id").alias("row"), "document_id", "document_revision_id", "chunk_index", "created_at")
+    c = table(spark, d, "document_chunks").select(
+        F.col("chunk_id").alias("row"), "document_id", "document_revision_id", "chunk_index", "created_at"
+    )
     c = keyed.first_per_key(c, ["row"], F.desc("created_at"), "document_id").drop("created_at")
     titles = table(spark, d, "documents").groupBy("document_id").agg(F.max("title").alias("title"))
     return evidence.authority_aware_search(spark, d).join(c, "row").join(titles, "document_id", "left")
@@ -44,51 +54,87 @@ def search_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 def fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of the test passages in each type of document: pairs that no document has are left out."""
-    i = table(spark, d, "evaluation_items").select("item_id", F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier"))
-    c = table(spark, d, "documents").select("document_type", "document_id", F.explode(text.identifiers(F.col("text"))).alias("identifier"))
+    i = table(spark, d, "evaluation_items").select(
+        "item_id", F.explode(text.identifiers(F.col("expected_supporting_passage"))).alias("identifier")
+    )
+    c = table(spark, d, "documents").select(
+        "document_type", "document_id", F.explode(text.identifiers(F.col("text"))).alias("identifier")
+    )
     known = c.groupBy("document_type", "identifier").agg(F.count_distinct("document_id").alias("documents"))
     return i.join(known, "identifier").select("item_id", "document_type", "identifier", "documents")
 
 
 def chain_contained(spark: SparkSession, d: str) -> DataFrame:
     """Whether the chunks found for each question together hold all identifiers of its passage, and which are left."""
-    i = table(spark, d, "evaluation_items").select(F.col("item_id").alias("query"), text.identifiers(F.col("expected_supporting_passage")).alias("chain"))
-    hits = hybrid_plan._vector_ranking(spark, d, 10).join(hybrid_plan._chunks(spark, d).select("chunk", "text"), "chunk")
-    held = hits.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list(text.identifiers(F.col("text"))))).alias("held"))
+    i = table(spark, d, "evaluation_items").select(
+        F.col("item_id").alias("query"), text.identifiers(F.col("expected_supporting_passage")).alias("chain")
+    )
+    hits = hybrid_plan._vector_ranking(spark, d, 10).join(
+        hybrid_plan._chunks(spark, d).select("chunk", "text"), "chunk"
+    )
+    held = hits.groupBy("query").agg(
+        F.array_distinct(F.flatten(F.collect_list(text.identifiers(F.col("text"))))).alias("held")
+    )
     left = F.array_except("chain", F.coalesce("held", F.array().cast("array<string>")))
-    return i.join(held, "query", "left").select("query", (F.size(left) == 0).alias("contained"), F.array_join(F.array_sort(left), ",").alias("left_over"))
+    return i.join(held, "query", "left").select(
+        "query", (F.size(left) == 0).alias("contained"), F.array_join(F.array_sort(left), ",").alias("left_over")
+    )
 
 
 def answer_summary(spark: SparkSession, d: str) -> DataFrame:
     """Sums and means over all answers: claims, citations, invalid ones, coverage over those that have one."""
     c = retrieval.citation_validation(spark, d)
-    return c.agg(F.count("*").alias("answers"), F.sum("claims").alias("claims"), F.sum("cited").alias("cited"), F.sum("invalid").alias("invalid"), F.round(F.try_divide(F.sum("invalid"), F.sum("cited")), 6).alias("invalid_share"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    return c.agg(
+        F.count("*").alias("answers"), F.sum("claims").alias("claims"), F.sum("cited").alias("cited"),
+        F.sum("invalid").alias("invalid"),
+        F.round(F.try_divide(F.sum("invalid"), F.sum("cited")), 6).alias("invalid_share"),
+        F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
 
 
 def corpus_snapshot_hash(spark: SparkSession, d: str) -> DataFrame:
     """One hash of all documents' snapshots."""
-    return evidence.registry_snapshot_hash(spark, d).agg(hashing.set_hash(F.col("logical_document_id"), F.col("snapshot")).alias("corpus"), F.count("*").alias("documents"))
+    return evidence.registry_snapshot_hash(spark, d).agg(
+        hashing.set_hash(F.col("logical_document_id"), F.col("snapshot")).alias("corpus"),
+        F.count("*").alias("documents")
+    )
 
 
 def revision_query_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Per query: hits among the five nearest of all chunks that are not in force, the precision that leaves, and those shared with the search in force."""
     c, ok = evidence._chunks(spark, d), evidence._eligible(spark, d).withColumn("ok", F.lit(True))
-    all_ = search.exact_search(evidence._questions(spark, d), "chunk_id", c, "chunk_id", "embedding", evidence.K, skip_self=False)
-    x = all_.join(c.select(F.col("chunk_id").alias("row"), "document_revision_id"), "row").join(ok, "document_revision_id", "left")
+    all_ = search.exact_search(
+        evidence._questions(spark, d), "chunk_id", c, "chunk_id", "embedding", evidence.K, skip_self=False
+    )
+    x = all_.join(
+        c.select(F.col("chunk_id").alias("row"), "document_revision_id"), "row"
+    ).join(ok, "document_revision_id", "left")
     mine = evidence.authority_aware_search(spark, d).select("query", "row", F.lit(True).alias("both"))
-    return x.join(mine, ["query", "row"], "left").groupBy("query").agg(F.count_if(F.col("ok").isNull()).alias("ineligible"), F.round(F.count("ok") / F.count("*"), 6).alias("precision"), F.count("both").alias("shared"))
+    return x.join(mine, ["query", "row"], "left").groupBy("query").agg(
+        F.count_if(F.col("ok").isNull()).alias("ineligible"),
+        F.round(F.count("ok") / F.count("*"), 6).alias("precision"), F.count("both").alias("shared")
+    )
 
 
 def reading_positions(spark: SparkSession, d: str) -> DataFrame:
     """Elements in reading order, where list items are given no place and so come last in their document."""
-    e = elements.elements(table(spark, d, "documents"), "doc_id", "text").withColumn("unit", F.lit(1)).withColumn("place", F.when(F.col("kind") != "list_item", F.col("order_index")))
-    return elements.reading_order(e, "doc_id", "unit", "place", "kind", "order_index").select("doc_id", "order_index", "position")
+    e = elements.elements(table(spark, d, "documents"), "doc_id", "text").withColumn("unit", F.lit(1)).withColumn(
+        "place", F.when(F.col("kind") != "list_item", F.col("order_index"))
+    )
+    return elements.reading_order(
+        e, "doc_id", "unit", "place", "kind", "order_index"
+    ).select("doc_id", "order_index", "position")
 
 
 def explicit_requests(spark: SparkSession, d: str) -> DataFrame:
     """Every delivery's revision asked for by id in the order of delivery: how many of each outcome."""
-    r = table(spark, d, "documents").where("document_revision_id is not null").select(F.col("logical_document_id").alias("doc"), F.col("document_revision_id").alias("revision"), F.col("doc_id").alias("position"))
-    got = authority.resolve_explicit(r, plan.authority_state(spark, d), plan.integrity_rules(spark, d), ("effective", "superseded"))
+    r = table(spark, d, "documents").where("document_revision_id is not null").select(
+        F.col("logical_document_id").alias("doc"), F.col("document_revision_id").alias("revision"),
+        F.col("doc_id").alias("position")
+    )
+    got = authority.resolve_explicit(
+        r, plan.authority_state(spark, d), plan.integrity_rules(spark, d), ("effective", "superseded")
+    )
     return got.groupBy("code").agg(F.count("*").alias("requests"))
 
 
@@ -97,15 +143,26 @@ def relation_counts(spark: SparkSession, d: str) -> DataFrame:
     r = graphs._relations(spark, d)
     blank = (F.coalesce(F.trim("subject"), F.lit("")) == "") | (F.coalesce(F.trim("object"), F.lit("")) == "")
     edges = F.count_distinct(F.when(~blank, F.struct("subject", "predicate", "object")))
-    return r.agg(F.count("*").alias("assertions"), F.count_if(blank).alias("rejected"), (F.count_if(~blank) - edges).alias("repeated"), edges.alias("edges"))
+    return r.agg(
+        F.count("*").alias("assertions"), F.count_if(blank).alias("rejected"),
+        (F.count_if(~blank) - edges).alias("repeated"), edges.alias("edges")
+    )
 
 
 def seed_sources(spark: SparkSession, d: str) -> DataFrame:
     """How many seeds, and of how many questions, each source gave."""
-    return hybrid_plan.hybrid_seeds(spark, d).groupBy("source").agg(F.count("*").alias("seeds"), F.count_distinct("query").alias("questions"))
+    return hybrid_plan.hybrid_seeds(spark, d).groupBy("source").agg(
+        F.count("*").alias("seeds"), F.count_distinct("query").alias("questions")
+    )
 
 
-QUERIES = {f.__name__: f for f in (appended_log, index_overview, scoped_search, search_provenance, fact_lookup, chain_contained, answer_summary, corpus_snapshot_hash, revision_query_metrics, reading_positions, explicit_requests, relation_counts, seed_sources)}
+QUERIES = {
+    f.__name__: f for f in (
+        appended_log, index_overview, scoped_search, search_provenance, fact_lookup, chain_contained, answer_summary,
+        corpus_snapshot_hash, revision_query_metrics, reading_positions, explicit_requests, relation_counts,
+        seed_sources
+    )
+}
 
 _IDS = "list_distinct(list_transform(regexp_extract_all({}, '\\b([A-Za-z]{{1,6}}-\\d+[A-Za-z]?)\\b', 1), lambda x: upper(x)))"
 _HITS5 = f"""

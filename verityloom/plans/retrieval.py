@@ -20,7 +20,9 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The rows nearest to the least vector id, by built-in expressions and TakeOrdered."""
     e = table(spark, d, "embeddings")
     q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"), F.col("vec_id").alias("q_id"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("q_id")).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("q_id")).select(
+        "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")
+    )
     return s.orderBy(F.desc("similarity"), "vec_id").limit(K)
 
 
@@ -36,14 +38,18 @@ def vector_topk_eligible(spark: SparkSession, d: str) -> DataFrame:
     """As vector_topk_batch among the rows of even labels only, which are picked before ranking."""
     e = table(spark, d, "embeddings")
     ok = e.select("label").distinct().where("label % 2 = 0")
-    return search.eligible_search(_queries(spark, d), "vec_id", e, "vec_id", "embedding", ok, "label", K).select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
+    return search.eligible_search(
+        _queries(spark, d), "vec_id", e, "vec_id", "embedding", ok, "label", K
+    ).select("query", "row", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def vector_ineligible_hits(spark: SparkSession, d: str) -> DataFrame:
     """Per query: how many of the unfiltered best are ineligible, and how many both searches share."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "label")
     a, b = _batch(spark, d), vector_topk_eligible(spark, d).select("query", "row", F.lit(1).alias("both"))
-    return a.join(e, "row").join(b, ["query", "row"], "left").groupBy("query").agg(F.count_if(F.col("label") % 2 != 0).alias("ineligible_hits"), F.count("both").alias("shared"))
+    return a.join(e, "row").join(b, ["query", "row"], "left").groupBy("query").agg(
+        F.count_if(F.col("label") % 2 != 0).alias("ineligible_hits"), F.count("both").alias("shared")
+    )
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +59,15 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     # the nearest K ids of a label are among the K before and the K after in its order: positions are looked up, not pairs ranked
     at = cut_lineage(keyed.numbered(e.select(F.col("vec_id").alias("row"), "label"), "place", "label", "row"))
     mine = q.join(at.select(F.col("row").alias("query"), "place"), "query")
-    near = mine.select("query", "label", F.explode(F.sequence(F.col("place") - K, F.col("place") + K)).alias("place")).join(at, ["label", "place"]).where("query <> row")
+    near = mine.select(
+        "query", "label", F.explode(F.sequence(F.col("place") - K, F.col("place") + K)).alias("place")
+    ).join(at, ["label", "place"]).where("query <> row")
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.abs(F.col("row") - F.col("query")), "row"))
     near = near.withColumn("rank", r).where(F.col("rank") <= K).select("query", "row", "rank")
-    return search.reciprocal_rank_fusion([_batch(spark, d), near], "query", "row", "rank", K).select("query", F.col("row").alias("item"), F.round("score", 8).alias("score"), "rank", F.array_join("sources", ",").alias("sources"))
+    return search.reciprocal_rank_fusion([_batch(spark, d), near], "query", "row", "rank", K).select(
+        "query", F.col("row").alias("item"), F.round("score", 8).alias("score"), "rank",
+        F.array_join("sources", ",").alias("sources")
+    )
 
 
 def _metrics(spark: SparkSession, d: str, hits: DataFrame, ks: list[int]) -> DataFrame:
@@ -66,11 +77,17 @@ def _metrics(spark: SparkSession, d: str, hits: DataFrame, ks: list[int]) -> Dat
     """
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label")
     n = e.groupBy("label").agg(F.count("*").alias("n"))
-    q = _queries(spark, d).select(F.col("vec_id").alias("query"), F.col("label").alias("own"), ((F.col("label") + 1) % 10).alias("next"))
-    own, nxt = n.select(F.col("label").alias("own"), (F.col("n") - 1).alias("required")), n.select(F.col("label").alias("next"), F.col("n").alias("forbidden"))
+    q = _queries(spark, d).select(
+        F.col("vec_id").alias("query"), F.col("label").alias("own"), ((F.col("label") + 1) % 10).alias("next")
+    )
+    own, nxt = n.select(
+        F.col("label").alias("own"), (F.col("n") - 1).alias("required")
+    ), n.select(F.col("label").alias("next"), F.col("n").alias("forbidden"))
     need = q.join(own, "own").join(nxt, "next", "left").fillna(0, ["forbidden"])
     kind = F.when(F.col("label") == F.col("own"), "required").when(F.col("label") == F.col("next"), "forbidden")
-    scored = hits.join(e, "item").join(q, "query").withColumn("kind", kind).where("kind is not null").select("query", "item", "rank", "kind")
+    scored = hits.join(e, "item").join(q, "query").withColumn("kind", kind).where("kind is not null").select(
+        "query", "item", "rank", "kind"
+    )
     return metrics.scored_metrics(need.select("query", "required", "forbidden"), scored, ks)
 
 
@@ -92,7 +109,9 @@ def run_comparison(spark: SparkSession, d: str) -> DataFrame:
 def citation_validation(spark: SparkSession, d: str) -> DataFrame:
     """A claim per hit among the best 3 that cites the hit and the id after it, held against the best 5."""
     hits = _batch(spark, d)
-    claims = hits.where("rank <= 3").select("query", F.col("rank").alias("claim"), F.array("row", F.col("row") + 1).alias("cited"))
+    claims = hits.where("rank <= 3").select(
+        "query", F.col("rank").alias("claim"), F.array("row", F.col("row") + 1).alias("cited")
+    )
     need = hits.where("rank <= 2").select("query", F.col("row").alias("item"))
     return metrics.citation_checks(claims, hits.where("rank <= 5").select("query", F.col("row").alias("item")), need)
 
@@ -104,22 +123,33 @@ def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_upsert_counts(spark: SparkSession, d: str) -> DataFrame:
     """The later half of the deliveries indexed over the earlier one."""
-    docs = table(spark, d, "documents").select("document_id", "doc_id", "created_at", "text", F.sha2("text", 256).alias("content"))
-    old = keyed.first_per_key(docs.where("created_at < timestamp '2024-01-01'"), ["document_id"], F.desc("created_at"), "doc_id")
-    new = keyed.first_per_key(docs.where("created_at >= timestamp '2024-01-01'"), ["document_id"], F.desc("created_at"), "doc_id")
+    docs = table(spark, d, "documents").select(
+        "document_id", "doc_id", "created_at", "text", F.sha2("text", 256).alias("content")
+    )
+    old = keyed.first_per_key(
+        docs.where("created_at < timestamp '2024-01-01'"), ["document_id"], F.desc("created_at"), "doc_id"
+    )
+    new = keyed.first_per_key(
+        docs.where("created_at >= timestamp '2024-01-01'"), ["document_id"], F.desc("created_at"), "doc_id"
+    )
     return keyed.change_counts(old, new, "document_id", "content", "text")
 
 
 def upserted_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("document_id", "doc_id", "created_at")
     old, new = docs.where("created_at < timestamp '2024-01-01'"), docs.where("created_at >= timestamp '2024-01-01'")
-    return keyed.upsert(keyed.first_per_key(old, ["document_id"], F.desc("created_at"), "doc_id"), new, ["document_id"], F.desc("created_at"), "doc_id")
+    return keyed.upsert(
+        keyed.first_per_key(old, ["document_id"], F.desc("created_at"), "doc_id"), new, ["document_id"],
+        F.desc("created_at"), "doc_id"
+    )
 
 
 def inserted_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("document_id", "doc_id", "created_at")
     old, new = docs.where("created_at < timestamp '2024-01-01'"), docs.where("created_at >= timestamp '2024-01-01'")
-    return keyed.insert_if_absent(keyed.first_per_key(old, ["document_id"], "created_at", "doc_id"), new, ["document_id"], "created_at", "doc_id")
+    return keyed.insert_if_absent(
+        keyed.first_per_key(old, ["document_id"], "created_at", "doc_id"), new, ["document_id"], "created_at", "doc_id"
+    )
 
 
 def numbered_events(spark: SparkSession, d: str) -> DataFrame:
@@ -133,17 +163,33 @@ def first_evidence_per_edge(spark: SparkSession, d: str) -> DataFrame:
 
 def null_safe_identity(spark: SparkSession, d: str) -> DataFrame:
     """Revisions of a document with the same label and number as another, nulls being equal: each with the least of its like."""
-    r = table(spark, d, "edib_document_revision_registry").select("logical_document_id", "document_revision_id", F.lower(F.trim("version_label")).alias("label"), "revision_number").distinct()
-    k = F.row_number().over(Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id"))
-    r = r.withColumn("first", F.first("document_revision_id").over(Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id"))).withColumn("k", k)
-    return r.where("k > 1").select("logical_document_id", F.col("first").alias("document_revision_id"), F.col("document_revision_id").alias("other"))
+    r = table(spark, d, "edib_document_revision_registry").select(
+        "logical_document_id", "document_revision_id", F.lower(F.trim("version_label")).alias("label"),
+        "revision_number"
+    ).distinct()
+    k = F.row_number().over(
+        Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id")
+    )
+    r = r.withColumn(
+        "first",
+        F.first("document_revision_id").over(
+            Window.partitionBy("logical_document_id", "label", "revision_number").orderBy("document_revision_id")
+        )
+    ).withColumn("k", k)
+    return r.where("k > 1").select(
+        "logical_document_id", F.col("first").alias("document_revision_id"),
+        F.col("document_revision_id").alias("other")
+    )
 
 
 def revision_ids(spark: SparkSession, d: str) -> DataFrame:
     """The content-derived identity of every revision, over canonical JSON."""
     r = table(spark, d, "edib_document_revision_registry")
     label = F.lower(F.trim("version_label"))
-    ident = hashing.content_id(logical_document_id=F.col("logical_document_id"), revision_number=F.col("revision_number"), source_document_sha256=F.col("source_document_sha256"), version_label=label)
+    ident = hashing.content_id(
+        logical_document_id=F.col("logical_document_id"), revision_number=F.col("revision_number"),
+        source_document_sha256=F.col("source_document_sha256"), version_label=label
+    )
     return r.select("document_revision_id", ident.alias("content_id")).distinct()
 
 
@@ -155,14 +201,24 @@ def index_hash(spark: SparkSession, d: str) -> DataFrame:
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """The test vector of every part's name, all numbers to five places, and its length."""
     v = table(spark, d, "part").select("p_partkey", vectors.hashed_embedding(F.col("p_name"), 32).alias("v"))
-    return v.select("p_partkey", F.array_join(F.transform("v", lambda x: F.format_string("%.5f", x)), ",").alias("vector"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
+    return v.select(
+        "p_partkey", F.array_join(F.transform("v", lambda x: F.format_string("%.5f", x)), ",").alias("vector"),
+        F.round(vectors.norm(F.col("v")), 6).alias("length")
+    )
 
 
 def entity_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.entity_key(F.col("title")).alias("entity_key"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, vector_topk_eligible, vector_ineligible_hits, rrf_fusion, question_metrics_at_k, aggregate_metrics, run_comparison, citation_validation, latest_chunks, incremental_upsert_counts, upserted_documents, inserted_documents, numbered_events, first_evidence_per_edge, null_safe_identity, revision_ids, index_hash, hashed_embeddings, entity_keys)}
+QUERIES = {
+    f.__name__: f for f in (
+        vector_topk, vector_topk_batch, vector_topk_eligible, vector_ineligible_hits, rrf_fusion, question_metrics_at_k,
+        aggregate_metrics, run_comparison, citation_validation, latest_chunks, incremental_upsert_counts,
+        upserted_documents, inserted_documents, numbered_events, first_evidence_per_edge, null_safe_identity,
+        revision_ids, index_hash, hashed_embeddings, entity_keys
+    )
+}
 
 _SIM = "coalesce(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / nullif(sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))), 0), 0)"
 _HITS = f"""

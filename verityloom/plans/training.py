@@ -10,13 +10,18 @@ from verityloom.session import table
 
 
 def _periods(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.continuous_periods(table(spark, d, "edib_revision_authority_period"), "logical_document_id", "authority_period_id", "effective_from", "effective_to")
+    return intervals.continuous_periods(
+        table(spark, d, "edib_revision_authority_period"), "logical_document_id", "authority_period_id",
+        "effective_from", "effective_to"
+    )
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("span_kind") == "gap", F.lit("gap")).otherwise(F.lit("merged")).alias("span_kind")
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return _periods(spark, d).where("span_kind = 'gap' or shared").select("logical_document_id", kind, day("span_from"), day("span_to"))
+    return _periods(spark, d).where("span_kind = 'gap' or shared").select(
+        "logical_document_id", kind, day("span_from"), day("span_to")
+    )
 
 
 def p1_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -24,15 +29,24 @@ def p1_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _revisions(spark: SparkSession, d: str, with_path: bool) -> DataFrame:
-    return hierarchy.tree(table(spark, d, "edib_document_revision_registry"), "document_revision_id", table(spark, d, "edib_revision_authority_period"), "document_revision_id", "predecessor_revision_id", with_path=with_path, near="logical_document_id")
+    return hierarchy.tree(
+        table(spark, d, "edib_document_revision_registry"), "document_revision_id",
+        table(spark, d, "edib_revision_authority_period"), "document_revision_id", "predecessor_revision_id",
+        with_path=with_path, near="logical_document_id"
+    )
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _revisions(spark, d, False).where("parent is not null").select(F.col("node").alias("document_revision_id"), F.col("root").alias("root_revision_id"), F.col("depth").cast("int").alias("depth"))
+    return _revisions(spark, d, False).where("parent is not null").select(
+        F.col("node").alias("document_revision_id"), F.col("root").alias("root_revision_id"),
+        F.col("depth").cast("int").alias("depth")
+    )
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    return _revisions(spark, d, True).select("node", "parent", "root", "depth", "subtree_size", "path", (F.col("hi") - F.col("lo")).alias("range_width"))
+    return _revisions(spark, d, True).select(
+        "node", "parent", "root", "depth", "subtree_size", "path", (F.col("hi") - F.col("lo")).alias("range_width")
+    )
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:

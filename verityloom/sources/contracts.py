@@ -52,12 +52,22 @@ def profile_problems(profiles: DataFrame, fixtures: DataFrame) -> DataFrame:
     """
     each = profiles.select("profile", "kind", F.explode_outer("fixtures").alias("fixture"))
     n = each.where("fixture is not null").groupBy("profile", "fixture").agg(F.count("*").alias("n"))
-    repeated = n.where("n > 1").select("profile", F.lit("repeated_fixture").alias("problem"), F.col("fixture").alias("detail"))
-    unknown = n.join(fixtures.select("fixture").distinct(), "fixture", "left_anti").select("profile", F.lit("unknown_fixture"), "fixture")
-    docs = each.where("kind = 'format_comparison'").join(fixtures.select("fixture", "document").distinct(), "fixture", "left").groupBy("profile").agg(F.count_distinct("document").alias("d"))
+    repeated = n.where("n > 1").select(
+        "profile", F.lit("repeated_fixture").alias("problem"), F.col("fixture").alias("detail")
+    )
+    unknown = n.join(
+        fixtures.select("fixture").distinct(), "fixture", "left_anti"
+    ).select("profile", F.lit("unknown_fixture"), "fixture")
+    docs = each.where("kind = 'format_comparison'").join(
+        fixtures.select("fixture", "document").distinct(), "fixture", "left"
+    ).groupBy("profile").agg(F.count_distinct("document").alias("d"))
     several = docs.where("d <> 1").select("profile", F.lit("not_one_fixture"), F.col("d").cast("string"))
-    twice = profiles.groupBy("profile").agg(F.count("*").alias("n")).where("n > 1").select("profile", F.lit("repeated_profile"), F.col("n").cast("string"))
-    empty = profiles.where(F.coalesce(F.size("fixtures"), F.lit(0)) <= 0).select("profile", F.lit("empty"), F.lit(None).cast("string"))
+    twice = profiles.groupBy("profile").agg(F.count("*").alias("n")).where("n > 1").select(
+        "profile", F.lit("repeated_profile"), F.col("n").cast("string")
+    )
+    empty = profiles.where(F.coalesce(F.size("fixtures"), F.lit(0)) <= 0).select(
+        "profile", F.lit("empty"), F.lit(None).cast("string")
+    )
     return repeated.union(unknown).union(several).union(twice).union(empty)
 
 
@@ -66,14 +76,20 @@ def load_chunks(spark: SparkSession, root: str, fixtures: list[tuple[str, str, s
 
     The files are root/fixture.jsonl.
     """
-    order = spark.createDataFrame([(f"{f}.jsonl", i, f, d, k) for i, (f, d, k) in enumerate(fixtures)], "source_file string, place int, fixture string, document string, format string")
+    order = spark.createDataFrame(
+        [(f"{f}.jsonl", i, f, d, k) for i, (f, d, k) in enumerate(fixtures)],
+        "source_file string, place int, fixture string, document string, format string"
+    )
     rows = files.read_json_lines(spark, [f"{root.rstrip('/')}/{f}.jsonl" for f, _, _ in fixtures], schema)
     return rows.join(F.broadcast(order), "source_file").drop("source_file")  # one row per declared fixture
 
 
 def load_artifacts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """(file, sha256, document) of every JSON file of a folder: the hash is of the bytes as they are; one that does not parse raises."""
-    raw = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.from_json(F.col("content").cast("string"), schema, {"mode": "FAILFAST"}).alias("document"))
+    raw = spark.read.format("binaryFile").load(folder).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"),
+        F.from_json(F.col("content").cast("string"), schema, {"mode": "FAILFAST"}).alias("document")
+    )
     return raw
 
 
@@ -89,9 +105,15 @@ def write_reports(df: DataFrame, folder: str, title: str, limit: int = 1000) ->
     os.makedirs(folder, exist_ok=True)
     cells = [["" if r[c] is None else str(r[c]) for c in df.columns] for r in rows]
     mark = lambda x: x.replace("|", "\\|").replace("\n", " ")
-    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(mark, r)) + " |" for r in cells)]
+    lines = [
+        f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns),
+        *("| " + " | ".join(map(mark, r)) + " |" for r in cells)
+    ]
     row = lambda tag, r: "<tr>" + "".join(f"<{tag}>{html.escape(x)}</{tag}>" for x in r) + "</tr>"
     page = f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{row('th', df.columns)}{''.join(row('td', r) for r in cells)}</table>"
-    for name, text in (("md", "\n".join(lines) + "\n"), ("json", json.dumps({"title": title, "rows": rows}, default=str, ensure_ascii=False)), ("html", page)):
+    for name, text in (
+        ("md", "\n".join(lines) + "\n"),
+        ("json", json.dumps({"title": title, "rows": rows}, default=str, ensure_ascii=False)), ("html", page)
+    ):
         with open(os.path.join(folder, f"report.{name}"), "w", encoding="utf-8") as f:
             f.write(text)

@@ -25,13 +25,19 @@ def _complete(spark: SparkSession, folder: str, kind: str) -> list[int]:
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    done = [
+        n for n in names if n.startswith(f"{kind}=") and fs.exists(
+            spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")
+        )
+    ]
     return sorted(int(n.split("=")[1]) for n in done)
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str, late: str) -> DataFrame:
     """(window_start, keys, n): rows per tumbling window; rows later than `late` behind the newest are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
+    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("window_start"), *keys, "n"
+    )
 
 
 def run_to_end(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
@@ -46,12 +52,18 @@ def run_to_end(stream: DataFrame, name: str, keys: list[str], folder: str | None
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     done = _complete(spark, out, "batch")
     if not done:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(stream.schema).option("basePath", out).parquet(*(f"{out}/batch={n}" for n in done)).withColumn("batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("long"))
+    rows = spark.read.schema(stream.schema).option("basePath", out).parquet(
+        *(f"{out}/batch={n}" for n in done)
+    ).withColumn(
+        "batch", F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("long")
+    )
     return first_per_key(rows, keys, F.desc("batch")).drop("batch")
 
 
@@ -68,7 +80,9 @@ def keep_latest(stream: DataFrame, name: str, keys: list[str], version: str, fol
 
     def current(upto: int) -> DataFrame | None:
         base = [n for n in _complete(spark, out, "base") if n <= upto]
-        parts = [f"{out}/base={n}" for n in base[-1:]] + [f"{out}/batch={n}" for n in _complete(spark, out, "batch") if n <= upto and not (base and n <= base[-1])]
+        parts = [f"{out}/base={n}" for n in base[-1:]] + [
+            f"{out}/batch={n}" for n in _complete(spark, out, "batch") if n <= upto and not (base and n <= base[-1])
+        ]
         return newest(spark.read.schema(stream.schema).parquet(*parts)) if parts else None
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -76,7 +90,9 @@ def keep_latest(stream: DataFrame, name: str, keys: list[str], version: str, fol
         if n % COMPACT == COMPACT - 1:
             current(n).write.mode("overwrite").parquet(f"{out}/base={n}")
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     got = current(1 << 62)
     return spark.createDataFrame([], stream.schema) if got is None else got
