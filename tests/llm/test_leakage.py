@@ -26,7 +26,9 @@ def test_runs_match_brute_force(spark):
     common = [f"c{i}" for i in range(150)]
     rare = [f"r{i}" for i in range(4000)]
     vocab = common * 40 + rare
-    items = [(f"i{k}", sentences(r, vocab, 20), sentences(r, vocab, 40)) for k in range(12)] + [("short", "one two three", None), (None, "x " * 20, "y " * 20), ("i0", "again", None)]
+    items = [(f"i{k}", sentences(r, vocab, 20), sentences(r, vocab, 40)) for k in range(12)] + [
+        ("short", "one two three", None), (None, "x " * 20, "y " * 20), ("i0", "again", None)
+    ]
     docs = []
     for d in range(300):
         words = sentences(r, vocab, r.randint(5, 120)).split()
@@ -42,7 +44,10 @@ def test_runs_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, item string")
     it = spark.createDataFrame(items, "item_id string, q string, p string")
     got = leakage.leaks(df, "doc_id", "text", it, "item_id", ["q", "p"]).collect()
-    want = {(d, i): max(longest_run(t, q), longest_run(t, p)) for d, t, _ in docs for i, q, p in items if i and i != "short" and q != "again" and max(longest_run(t, q), longest_run(t, p)) >= 12}
+    want = {
+        (d, i): max(longest_run(t, q), longest_run(t, p)) for d, t, _ in docs for i, q,
+        p in items if i and i != "short" and q != "again" and max(longest_run(t, q), longest_run(t, p)) >= 12
+    }
     assert {(x.doc, x.item): x.run_words for x in got if x.kind == "verbatim"} == want and len(want) > 40
 
 
@@ -53,7 +58,9 @@ def test_paraphrase_and_answers(spark):
     changed = list(passage)
     for i in range(4, len(changed), 9):
         changed[i] = "other"
-    docs = [(1, " ".join(changed)), (2, sentences(r, common, 60))] + [(10 + i, sentences(r, common + [f"x{i}{j}" for j in range(20)], 60)) for i in range(60)]
+    docs = [(1, " ".join(changed)), (2, sentences(r, common, 60))] + [
+        (10 + i, sentences(r, common + [f"x{i}{j}" for j in range(20)], 60)) for i in range(60)
+    ]
     df = spark.createDataFrame(docs, "d long, t string")
     it = spark.createDataFrame([("i", " ".join(passage))], "i string, p string")
     got = {x.doc: x for x in leakage.leaks(df, "d", "t", it, "i", ["p"], near=0.5).collect()}
@@ -65,7 +72,9 @@ def test_basis_is_that_of_an_exact_decomposition(spark):
     r = random.Random(6)
     topics = [[f"t{k}w{i}" for i in range(12)] for k in range(30)]
     texts = [" ".join(r.choice(topics[d % 30]) for _ in range(r.randint(5, 60))) for d in range(900)]
-    df = spark.createDataFrame([(next(tokens.words([t])).hashes.astype(np.uint32).tobytes(),) for t in texts], "words binary")
+    df = spark.createDataFrame(
+        [(next(tokens.words([t])).hashes.astype(np.uint32).tobytes(),) for t in texts], "words binary"
+    )
     idf = leakage._idf(df)
     basis, value = leakage.latent_basis(df, idf)
     rows = []
@@ -73,7 +82,10 @@ def test_basis_is_that_of_an_exact_decomposition(spark):
         w = next(tokens.words([t])).hashes.astype(np.uint32)
         p = leakage.passages(np.array([0, len(w)]))
         for a, b in zip(p.left, p.right):
-            v = np.bincount(np.concatenate([w[p.start[k] : p.start[k] + leakage.BLOCK] for k in {a, b}]) % leakage.TERMS, minlength=leakage.TERMS) * idf
+            v = np.bincount(
+                np.concatenate([w[p.start[k] : p.start[k] + leakage.BLOCK] for k in {a, b}]) % leakage.TERMS,
+                minlength=leakage.TERMS
+            ) * idf
             n = np.concatenate([w[p.start[k] : p.start[k] + leakage.BLOCK] for k in {a, b}]) % leakage.TERMS
             rows.append(v / np.sqrt((idf[n] ** 2).sum()))
     a = np.array(rows)
@@ -96,7 +108,11 @@ def test_recall_of_paraphrases(spark):
             w[i], w[i + 1] = w[i + 1], w[i]
         pad = lambda: [r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(r.randint(20, 60))]
         docs.append((d, " ".join(pad() + w + pad())))
-    docs += [(1000 + d, " ".join(r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(100))) for d in range(300)]
+    docs += [
+        (
+            1000 + d, " ".join(r.choice(common) if r.random() < 0.5 else r.choice(rare) for _ in range(100))
+        ) for d in range(300)
+    ]
     df = spark.createDataFrame(docs, "d long, t string")
     it = spark.createDataFrame([(f"i{k:02}", " ".join(w)) for k, w in enumerate(items)], "i string, p string")
     got = {(x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"], near=0.6).collect()}
@@ -117,14 +133,24 @@ def test_items_are_searched_in_blocks(spark, monkeypatch):
     texts = [" ".join(f"{p}{i}" for i in range(15)) for p in "abc"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "d long, t string")
     it = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)], "i string, p string")
-    assert {(x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"]).collect()} == {(k, f"i{k}") for k in range(3)}
+    assert {
+        (x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"]).collect()
+    } == {(k, f"i{k}") for k in range(3)}
 
 
 def test_every_run_of_a_block_lies_in_a_passage():
     n = leakage.BLOCK
     for size in (1, n - 1, n, n + 1, 5 * n + 3):
         p = leakage.passages(np.array([0, 4, 4, 4 + size]))
-        spans = [(p.start[a], (p.start[b + 1] if b + 1 < len(p.start) and p.start[b] + n == p.start[b + 1] else 4 + size) if t == 2 else 4) for a, b, t in zip(p.left, p.right, p.text)]
+        spans = [
+            (
+                p.start[a],
+                (
+                    p.start[b + 1] if b + 1 < len(p.start) and p.start[b] + n == p.start[b + 1] else 4 + size
+                ) if t == 2 else 4
+            ) for a,
+            b, t in zip(p.left, p.right, p.text)
+        ]
         for s in range(4, 4 + size - n + 1):
             assert any(a <= s and s + n <= e for a, e in spans)
 

@@ -18,7 +18,9 @@ def test_no_lone_run_is_lost_below_the_threshold(spark):
         want.add((d, name))
     df = spark.createDataFrame(docs, "d long, t string")
     it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i string, p string")
-    assert {(x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"]).collect() if x.kind == "verbatim"} == want
+    assert {
+        (x.doc, x.item) for x in leakage.leaks(df, "d", "t", it, "i", ["p"]).collect() if x.kind == "verbatim"
+    } == want
 
 
 def test_a_paraphrase_behind_a_nearer_passage(spark):
@@ -32,7 +34,9 @@ def test_a_paraphrase_behind_a_nearer_passage(spark):
     r.shuffle(lure)
     pad = [r.choice(common) for _ in range(60)]
     docs = [(1, " ".join(changed)), (2, " ".join(lure[:24] + pad + changed))]
-    docs += [(10 + i, " ".join(r.choice(common + [f"x{i}{j}" for j in range(20)]) for _ in range(60))) for i in range(60)]
+    docs += [
+        (10 + i, " ".join(r.choice(common + [f"x{i}{j}" for j in range(20)]) for _ in range(60))) for i in range(60)
+    ]
     df = spark.createDataFrame(docs, "d long, t string")
     it = spark.createDataFrame([("i", " ".join(passage))], "i string, p string")
     got = {x.doc: x for x in leakage.leaks(df, "d", "t", it, "i", ["p"], near=0.5).collect()}

@@ -11,8 +11,14 @@ TARGETS = "source string, target_weight double, max_repeats int"
 
 
 def tables(spark):
-    docs = [(i, "big", 10) for i in range(600)] + [(1000 + i, "small", 7) for i in range(20)] + [(2000 + i, "mid", 5) for i in range(100)] + [(3000, "unlisted", 50), (3001, None, 50), (3002, "mid", 0)]
-    targets = [("big", 0.5, 1), ("small", 0.3, 2), ("mid", 0.15, 4), ("absent", 0.05, 3), ("zero", 0.0, 3), (None, 0.1, 1)]
+    docs = [(i, "big", 10) for i in range(600)] + [
+        (1000 + i, "small", 7) for i in range(20)
+    ] + [(2000 + i, "mid", 5) for i in range(100)] + [
+        (3000, "unlisted", 50), (3001, None, 50), (3002, "mid", 0)
+    ]
+    targets = [
+        ("big", 0.5, 1), ("small", 0.3, 2), ("mid", 0.15, 4), ("absent", 0.05, 3), ("zero", 0.0, 3), (None, 0.1, 1)
+    ]
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS)
 
 
@@ -42,7 +48,9 @@ def test_curriculum_draws_what_is_due(spark):
     counts, targets = tables(spark)
     due = {r.source: r for r in mixing.demands(counts, targets).collect()}
     plan = mixing.curriculum(counts, targets).collect()
-    assert [r.position for r in plan] == sorted(r.position for r in plan) and 0 <= plan[0].position and plan[-1].position < 1
+    assert [
+        r.position for r in plan
+    ] == sorted(r.position for r in plan) and 0 <= plan[0].position and plan[-1].position < 1
     for s in ("big", "small", "mid"):
         mine = [r for r in plan if r.source == s]
         most = max(r.tokens for r in mine)
@@ -60,7 +68,11 @@ def test_curriculum_against_brute_force(spark):
     want = {}
     for place, (weight, source, repeats) in enumerate(listed):
         lean = (2 * place / (len(listed) - 1) - 1) * 0.5
-        docs = sorted((order[r.doc] % 1024, order[r.doc], r.doc, r.tokens) for r in counts.collect() if r.source == source and r.tokens)
+        docs = sorted(
+            (
+                order[r.doc] % 1024, order[r.doc], r.doc, r.tokens
+            ) for r in counts.collect() if r.source == source and r.tokens
+        )
         due = min(weight * budget, repeats * sum(n for *_, n in docs))
         area = np.cumsum(np.full(200_000, 1 / 200_000) * (1 + lean - 2 * lean * (np.arange(200_000) + 0.5) / 200_000))
         at = 0
@@ -77,7 +89,9 @@ def test_curriculum_against_brute_force(spark):
 def test_positions_follow_the_integral_of_the_schedule(spark):
     counts = spark.createDataFrame([(i, "a", 1) for i in range(4000)], DOCS)
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
-    schedule = spark.createDataFrame([("a", 0.0, 2.0), ("a", 0.5, 1.0), ("a", 1.0, 0.0)], "source string, time double, factor double")
+    schedule = spark.createDataFrame(
+        [("a", 0.0, 2.0), ("a", 0.5, 1.0), ("a", 1.0, 0.0)], "source string, time double, factor double"
+    )
     at = sorted(r.position for r in mixing.curriculum(counts, targets, schedule).collect())
     for t in (0.1, 0.25, 0.5, 0.8):
         demand = 2 * t - t * t  # the integral of 2 - 2t
@@ -85,7 +99,10 @@ def test_positions_follow_the_integral_of_the_schedule(spark):
 
 
 def test_tokens_and_empty_tables(spark):
-    df = spark.createDataFrame([(1, "a", "hello world", 5), (2, "a", None, 5), (3, None, "", 5), (4, "b", "x " * 50_000, 5)], "doc_id long, source string, text string, tokens int")
+    df = spark.createDataFrame(
+        [(1, "a", "hello world", 5), (2, "a", None, 5), (3, None, "", 5), (4, "b", "x " * 50_000, 5)],
+        "doc_id long, source string, text string, tokens int"
+    )
     got = {r.doc: r.tokens for r in mixing.token_counts(df, "doc_id", "source", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 40_000
     none = mixing.token_counts(df.limit(0), "doc_id", "source", "text")

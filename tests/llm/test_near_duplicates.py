@@ -31,7 +31,10 @@ def corpus(seed=1, families=25):
 
 def brute(texts, n, threshold, min_words):
     sets = {i: shingled(t, n) for i, t in texts.items() if t and len(WORD.findall(t)) >= min_words}
-    return {(min(a, b), max(a, b)) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) > 0}
+    return {
+        (min(a, b), max(a, b)) for a,
+        b in combinations(sets, 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) > 0
+    }
 
 
 def run(spark, rows, **kw):
@@ -90,14 +93,20 @@ def test_streamed_buckets():
     key[1000:3000] = key[1000]
     key.sort()
     sid = np.arange(5000)
-    b = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 700]), pa.array(sid[i : i + 700])], names=["key", "sid"]) for i in range(0, 5000, 700)]
+    b = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(key[i : i + 700]), pa.array(sid[i : i + 700])], names=["key", "sid"]
+        ) for i in range(0, 5000, 700)
+    ]
     pairs, large = set(), set()
     for x in nd._meet(iter(b)):
         for k, a, c in zip(*(x.column(i).to_pylist() for i in range(3))):
             pairs.add((a, c)) if c is not None else large.add((k, a))
     size = {k: int((key == k).sum()) for k in np.unique(key)}
     assert large == {(int(k), int(s)) for k, s in zip(key, sid) if size[k] > nd.BUCKET_ROWS}
-    assert pairs == {(int(a), int(c)) for k in size if 1 < size[k] <= nd.BUCKET_ROWS for a, c in combinations(sid[key == k], 2)}
+    assert pairs == {
+        (int(a), int(c)) for k in size if 1 < size[k] <= nd.BUCKET_ROWS for a, c in combinations(sid[key == k], 2)
+    }
 
 
 def test_empty_table(spark):

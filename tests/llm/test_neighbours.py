@@ -10,14 +10,20 @@ SCHEMA = "id string, v array<float>, rank int, near string"
 
 
 def run(spark, rows, **kw):
-    df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0, "") for i, v in rows], SCHEMA)
+    df = spark.createDataFrame(
+        [(i, None if v is None else [None if x is None else float(x) for x in v], 0, "") for i, v in rows], SCHEMA
+    )
     return nb.nearest(df, "id", "v", **kw)
 
 
 def brute(ids, x, k):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
-    return {ids[i]: [ids[j] for j in sorted(range(len(ids)), key=lambda j: (-round(float(s[i, j]), 4), ids[j])) if j != i][:k] for i in range(len(ids))}
+    return {
+        ids[i]: [
+            ids[j] for j in sorted(range(len(ids)), key=lambda j: (-round(float(s[i, j]), 4), ids[j])) if j != i
+        ][:k] for i in range(len(ids))
+    }
 
 
 def test_recall_against_brute_force(spark):
@@ -36,7 +42,10 @@ def test_recall_against_brute_force(spark):
 
 def test_dirty_vectors_copies_and_ties(spark):
     e = np.eye(64)
-    rows = [(f"a{i}", e[0]) for i in range(9)] + [("b", e[0] + e[1]), ("c", e[1]), ("c", e[1]), ("n", None), ("z", e[0] * 0), ("short", [1.0]), ("hole", [None] + [1.0] * 63), ("nan", [float("nan")] * 64), (None, e[2]), ("big", e[1] * 1e30)]
+    rows = [(f"a{i}", e[0]) for i in range(9)] + [
+        ("b", e[0] + e[1]), ("c", e[1]), ("c", e[1]), ("n", None), ("z", e[0] * 0), ("short", [1.0]),
+        ("hole", [None] + [1.0] * 63), ("nan", [float("nan")] * 64), (None, e[2]), ("big", e[1] * 1e30)
+    ]
     got = {}
     for r in run(spark, rows).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append((r.neighbour, round(r.similarity, 3)))
@@ -99,7 +108,11 @@ def test_recall_of_the_chunks_divisible_by_20(spark):
     d = "/root/testdata/sf0.01"
     if not os.path.isdir(d):
         pytest.skip("no test tables")
-    rows = {r.chunk_id: r.embedding for r in spark.read.parquet(f"{d}/document_chunks.parquet").select("chunk_id", "embedding").collect() if r.embedding and len(r.embedding) == 64 and any(r.embedding)}
+    rows = {
+        r.chunk_id: r.embedding for r in spark.read.parquet(
+            f"{d}/document_chunks.parquet"
+        ).select("chunk_id", "embedding").collect() if r.embedding and len(r.embedding) == 64 and any(r.embedding)
+    }
     ids = sorted(rows)
     x = np.array([rows[i] for i in ids], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -34,20 +34,29 @@ def test_boundary_is_the_coarsest_that_suffices(seed):
     text = prose(seed, 700)
     for limit in (30, 60, 200, 1000):
         p, s, w = r"\n[ \t\r\n]*\n", r"\n[ \t\r\n]*\n|(?<=[.!?])[ \t\r\n]+", r"[ \t\r\n]+"
-        want = next((k for k, rx in (("paragraph", p), ("sentence", s), ("word", w)) if longest(text, rx) <= limit), "none")
+        want = next(
+            (k for k, rx in (("paragraph", p), ("sentence", s), ("word", w)) if longest(text, rx) <= limit), "none"
+        )
         assert pieces(text, limit, 10, 10)[0] == want
 
 
 def test_an_edit_alters_only_the_pieces_near_it():
     text = prose(9, 6000)
     at = len(text) // 2
-    before, after = (set(t[own:end] for _, own, end, _ in pieces(t, 1200, 120, 300)[1]) for t in (text, text[:at] + "inserted words " + text[at:]))
+    before, after = (
+        set(
+            t[own:end] for _, own, end, _ in pieces(t, 1200, 120, 300)[1]
+        ) for t in (text, text[:at] + "inserted words " + text[at:])
+    )
     assert len(before) > 25 and len(before - after) <= 4
 
 
 def test_table(spark):
     long = prose(1, 500)
-    rows = [("d", 0, long, "x"), ("d", 0, long, "x"), ("d", 1, "short", "y"), ("d", 2, None, "z"), (None, 3, "x" * 3000, "z"), ("e", 0, "", "z")]
+    rows = [
+        ("d", 0, long, "x"), ("d", 0, long, "x"), ("d", 1, "short", "y"), ("d", 2, None, "z"),
+        (None, 3, "x" * 3000, "z"), ("e", 0, "", "z")
+    ]
     df = spark.createDataFrame(rows, "document_id string, chunk_index int, chunk_text string, boundary string")
     got = split_oversized(df, ["document_id", "chunk_index"], "chunk_text").collect()
     by = {}
@@ -58,7 +67,13 @@ def test_table(spark):
     assert [r.boundary for r in by["d", 1] + by["e", 0]] == ["whole", "whole"] and by[None, 3][0].boundary == "none"
     assert max(len(r.piece_text) for r in got) <= 1200
     assert split_oversized(df.limit(0), ["document_id"], "chunk_text").collect() == []
-    assert len({(r.document_id, r.chunk_index) for r in split_oversized(df, ["document_id", "chunk_index"], "chunk_text", only_oversized=True).collect()}) == 2
+    assert len(
+        {
+            (r.document_id, r.chunk_index) for r in split_oversized(
+                df, ["document_id", "chunk_index"], "chunk_text", only_oversized=True
+            ).collect()
+        }
+    ) == 2
 
 
 def test_a_very_long_text(spark):

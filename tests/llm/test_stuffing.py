@@ -6,20 +6,37 @@ from verityloom.llm import stuffing
 
 
 def prose(r, n):
-    subjects = ["the board", "a member of the team", "each service", "the owner of the record", "every change to the plan", "an audit"]
+    subjects = [
+        "the board", "a member of the team", "each service", "the owner of the record", "every change to the plan",
+        "an audit"
+    ]
     verbs = ["reviews", "closes", "delays", "replaces", "confirms", "supports"]
-    objects = ["the report that the office keeps", "a copy of the policy", "any file older than {} days", "the test under C-{}", "both the plan and the ladder", "parts of O-{}"]
-    tails = ["in line with the rule", "before the desk signs off", "so that work can resume", "within {} days", "because the log was late", ""]
-    return " ".join(f"{r.choice(subjects)} {r.choice(verbs)} {r.choice(objects)} {r.choice(tails)}".format(*(r.randint(1, 900) for _ in range(3))).strip().capitalize() + r.choice([". ", ".\n\n"]) for _ in range(n))
+    objects = [
+        "the report that the office keeps", "a copy of the policy", "any file older than {} days",
+        "the test under C-{}", "both the plan and the ladder", "parts of O-{}"
+    ]
+    tails = [
+        "in line with the rule", "before the desk signs off", "so that work can resume", "within {} days",
+        "because the log was late", ""
+    ]
+    return " ".join(
+        f"{r.choice(subjects)} {r.choice(verbs)} {r.choice(objects)} {r.choice(tails)}".format(
+            *(r.randint(1, 900) for _ in range(3))
+        ).strip().capitalize() + r.choice([". ", ".\n\n"]) for _ in range(n)
+    )
 
 
 def keywords(r, n):
-    terms = ["cheap license", "coupon", "best price", "ebook", "starter pack", "helpdesk", "audit tool", "trial version"]
+    terms = [
+        "cheap license", "coupon", "best price", "ebook", "starter pack", "helpdesk", "audit tool", "trial version"
+    ]
     return r.choice([", ", " ", " | ", "\n"]).join(r.choice(terms) for _ in range(n))
 
 
 def links(r, n):
-    return "\n".join(f"* [{r.choice(['coupon', 'ebook', 'sale'])}](https://shop{r.randint(1, 99)}.example/{r.choice('abc')}-item?id={r.randint(1, 999)})" for _ in range(n))
+    return "\n".join(
+        f"* [{r.choice(['coupon', 'ebook', 'sale'])}](https://shop{r.randint(1, 99)}.example/{r.choice('abc')}-item?id={r.randint(1, 999)})" for _ in range(n)
+    )
 
 
 def run(spark, rows):
@@ -53,7 +70,10 @@ def test_held_out_accuracy(spark):
 def test_dirt(spark):
     r = random.Random(7)
     long = prose(r, 4000)
-    rows = [(i, prose(r, 10)) for i in range(50)] + [(100, None), (101, ""), (102, "?!"), (103, long), (104, "coupon"), (1, prose(random.Random(1), 5)), (None, "a b")]
+    rows = [(i, prose(r, 10)) for i in range(50)] + [
+        (100, None), (101, ""), (102, "?!"), (103, long), (104, "coupon"), (1, prose(random.Random(1), 5)),
+        (None, "a b")
+    ]
     got = run(spark, rows)
     assert got[100].words == got[101].words == got[102].words == 0 and got[100].mean_surprise is None
     assert not any(got[i].stuffed for i in (100, 101, 102, 103)) and got[None].words == 2
@@ -79,7 +99,9 @@ def test_symbols():
 
 def test_function_words_are_a_parameter(spark):
     prose = "lun fanu ves a kelo ves i manu lun tari ves lun soko i pela ves lun garo. "
-    rows = [(i, (prose * 6)) for i in range(200)] + [(900 + i, "best cheap toolkit bundle deal " * 20) for i in range(6)]
+    rows = [(i, (prose * 6)) for i in range(200)] + [
+        (900 + i, "best cheap toolkit bundle deal " * 20) for i in range(6)
+    ]
     df = spark.createDataFrame(rows, "id long, t string")
     words = {"article": "lun", "preposition": "ves a", "conjunction": "i"}
     got = {r.id for r in stuffing.stuffed_pages(df, "id", "t", words).where("stuffed").collect()}

@@ -35,7 +35,9 @@ def test_query(spark, name):
 def test_pieces_rebuild_every_chunk(spark):
     """p2_pieces against the chunks themselves: own parts without a gap make up the text, sizes and overlaps keep their limits."""
     rows = {}
-    for r in spark.read.parquet(f"{SF}/document_chunks.parquet").select("document_id", "chunk_index", "chunk_text").where("chunk_text is not null").collect():
+    for r in spark.read.parquet(f"{SF}/document_chunks.parquet").select(
+        "document_id", "chunk_index", "chunk_text"
+    ).where("chunk_text is not null").collect():
         k = (r.document_id, r.chunk_index)
         rows[k] = max(rows.get(k, ""), r.chunk_text)
     got = {}
@@ -46,14 +48,22 @@ def test_pieces_rebuild_every_chunk(spark):
         parts.sort(key=lambda r: r.piece_index)
         text = rows[k]
         assert [p.piece_index for p in parts] == list(range(len(parts)))
-        assert all(p.piece_text == text[p.piece_start : p.piece_end] and len(p.piece_text) <= 1200 and p.own_start - p.piece_start <= 120 for p in parts)
-        assert [p.own_start for p in parts] == [0, *(p.piece_end for p in parts[:-1])] and parts[-1].piece_end == len(text)
+        assert all(
+            p.piece_text == text[
+                p.piece_start : p.piece_end
+            ] and len(p.piece_text) <= 1200 and p.own_start - p.piece_start <= 120 for p in parts
+        )
+        assert [p.own_start for p in parts] == [
+            0, *(p.piece_end for p in parts[:-1])
+        ] and parts[-1].piece_end == len(text)
         assert all(p.piece_end - p.own_start >= 300 for p in parts) or len(text) <= 1200
         assert (parts[0].boundary == "whole") == (len(text) <= 1200)
 
 
 def test_curriculum_reaches_the_reported_shares(spark):
-    drawn, shares = queries.p7_curriculum(spark, SF).collect(), {r.source: r for r in queries.p7_shares(spark, SF).collect()}
+    drawn, shares = queries.p7_curriculum(spark, SF).collect(), {
+        r.source: r for r in queries.p7_shares(spark, SF).collect()
+    }
     assert [r.position for r in drawn] == sorted(r.position for r in drawn)
     used = {}
     for r in drawn:
@@ -61,7 +71,9 @@ def test_curriculum_reaches_the_reported_shares(spark):
         assert r.copy < shares[r.source].max_repeats
     total = sum(used.values())
     for s, r in shares.items():
-        assert r.used == used.get(s, 0) and abs(r.actual_share - used.get(s, 0) / total) < 1e-12 and r.falls_short == (r.used < r.wanted)
+        assert r.used == used.get(s, 0) and abs(
+            r.actual_share - used.get(s, 0) / total
+        ) < 1e-12 and r.falls_short == (r.used < r.wanted)
     assert {r.source for r in queries.p7_found(spark, SF).collect()} == {s for s, r in shares.items() if r.falls_short}
 
 

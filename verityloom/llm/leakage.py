@@ -38,7 +38,9 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     off = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
-    flat = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]].view(np.uint32) if data is not None and off[-1] > off[0] else np.zeros(0, dtype=np.uint32)
+    flat = np.frombuffer(
+        data, dtype=np.uint8
+    )[off[0] : off[-1]].view(np.uint32) if data is not None and off[-1] > off[0] else np.zeros(0, dtype=np.uint32)
     return flat, (off - off[0]).astype(np.int64) // 4
 
 
@@ -118,7 +120,9 @@ def _idf(pages: DataFrame) -> np.ndarray:
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 seen += np.bincount(np.unique(text * TERMS + (words % TERMS).astype(np.int64)) % TERMS, minlength=TERMS)
                 docs += len(bounds) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TERMS, dtype=np.int32)), pa.array(np.r_[docs, seen])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(-1, TERMS, dtype=np.int32)), pa.array(np.r_[docs, seen])], names=["term", "n"]
+        )
 
     got = pages.select("words").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(TERMS + 1)
@@ -151,7 +155,13 @@ def _through(pages: DataFrame, idf: np.ndarray, columns: np.ndarray | int) -> np
                 term = (words % TERMS).astype(np.uint16)
                 _add_rows(total, term, block, back)
         total *= w[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS // ROWS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, TERMS // ROWS)], pa.binary())], names=["part", "m"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(TERMS // ROWS, dtype=np.int32)),
+                pa.array([x.tobytes() for x in np.split(total, TERMS // ROWS)], pa.binary())
+            ],
+            names=["part", "m"]
+        )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -159,10 +169,18 @@ def _through(pages: DataFrame, idf: np.ndarray, columns: np.ndarray | int) -> np
             for k, m in zip(b.column(0).to_pylist(), b.column(1)):
                 total[k] = total.get(k, 0) + np.frombuffer(m.as_py(), dtype=np.float32).astype(np.float64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["part", "m"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(total), pa.int32()),
+                    pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())
+                ],
+                names=["part", "m"]
+            )
 
     z = np.zeros((TERMS // ROWS, ROWS * width))
-    for r in pages.select("words").mapInArrow(multiply, "part int, m binary").repartition("part").mapInArrow(add, "part int, m binary").collect():
+    for r in pages.select("words").mapInArrow(
+        multiply, "part int, m binary"
+    ).repartition("part").mapInArrow(add, "part int, m binary").collect():
         z[r["part"]] = np.frombuffer(r["m"], dtype=np.float32)
     return z.reshape(TERMS, width)
 
@@ -197,7 +215,9 @@ def runs_of(words: np.ndarray, n: int = BLOCK) -> np.ndarray:
     """Hashes of n consecutive words, by doubling."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    out, width, h = np.full(len(words) - n + 1, n, dtype=np.uint64), 1, tokens.mix(words.astype(np.uint64) + np.uint64(1))
+    out, width, h = np.full(
+        len(words) - n + 1, n, dtype=np.uint64
+    ), 1, tokens.mix(words.astype(np.uint64) + np.uint64(1))
     done, m = 0, n
     while m:
         if m & 1:
@@ -229,7 +249,10 @@ def queries(rows: list[tuple[str, str | None]], basis: np.ndarray, idf: np.ndarr
         u = np.unique(w)
         rare.append(u[np.argsort(-idf[u % TERMS], kind="stable")[: max(3, len(u) // 4)]])
     first = np.cumsum([0, *(len(a) for a in starts[:-1])])
-    return Queries(names, np.array([i for i, _ in hashed]), [w for _, w in hashed], first, latent, np.concatenate(runs)[order], of[order], rare)
+    return Queries(
+        names, np.array([i for i, _ in hashed]), [w for _, w in hashed], first, latent, np.concatenate(runs)[order],
+        of[order], rare
+    )
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -244,7 +267,10 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate: float, near: float, min_lcs: float, min_answers: float) -> DataFrame:
+def _search(
+    pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate: float, near: float, min_lcs: float,
+    min_answers: float
+) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast((basis, q))
 
     def candidates(latent: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,18 +283,24 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
                 every[x:y].max(axis=0, out=c[k])
             t, i = np.nonzero(c >= candidate)
             found.append((a + i, t, c[t, i]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.float32),)
+        return tuple(
+            np.concatenate(x) for x in zip(*found)
+        ) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.float32),)
 
     def cosine(latent: np.ndarray, text: np.ndarray, q: Queries, d: int, t: int) -> float:
         """The greatest cosine of a passage of document d with a window of test text t."""
         a, b = np.searchsorted(text, [d, d + 1])
         windows = q.latent[q.first[t] : q.first[t + 1] if t + 1 < len(q.first) else None]
-        return max(float((windows @ latent[x : min(b, x + 4096)].T).max()) for x in range(a, b, 4096)) if b > a else -1.0
+        return max(
+            float((windows @ latent[x : min(b, x + 4096)].T).max()) for x in range(a, b, 4096)
+        ) if b > a else -1.0
 
     def consecutive(h: np.ndarray, bounds: np.ndarray, q: Queries, wanted: np.ndarray) -> dict[tuple[int, int], int]:
         """The longest run of words in common of each pair of a wanted document and a test text, from BLOCK words on; h: the document's runs."""
         where = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        spot = np.flatnonzero((where[: len(h)] == where[BLOCK - 1 :]) & wanted[where[: len(h)]]) if len(h) else np.zeros(0, dtype=np.int64)
+        spot = np.flatnonzero(
+            (where[: len(h)] == where[BLOCK - 1 :]) & wanted[where[: len(h)]]
+        ) if len(h) else np.zeros(0, dtype=np.int64)
         lo, hi = np.searchsorted(q.runs, h[spot], "left"), np.searchsorted(q.runs, h[spot], "right")
         longest: dict[tuple[int, int], int] = {}
         last: dict[tuple[int, int], tuple[int, int]] = {}
@@ -280,7 +312,10 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
                 longest[k] = max(longest.get(k, 0), last[k][1])
         return longest
 
-    def paraphrases(words: np.ndarray, bounds: np.ndarray, p: Passages, q: Queries, passage: np.ndarray, text: np.ndarray, known: dict) -> Iterator[tuple[int, int, float, float]]:
+    def paraphrases(
+        words: np.ndarray, bounds: np.ndarray, p: Passages, q: Queries, passage: np.ndarray, text: np.ndarray,
+        known: dict
+    ) -> Iterator[tuple[int, int, float, float]]:
         """(document, test text, common subsequence, answer words) of the best of the passages that pass, of each pair without a common run."""
         best: dict[tuple[int, int], tuple[float, float]] = {}
         for i, t in zip(passage.tolist(), text.tolist()):
@@ -304,7 +339,9 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
             out: list[tuple] = []
             for start, words, bounds in _parts(*_texts(b.column(1))):
                 p = passages(bounds)
-                latent = _unit(_pairs(_sums(words, p.start, basis), p)) if len(p.left) else np.zeros((0, RANK), dtype=np.float32)
+                latent = _unit(
+                    _pairs(_sums(words, p.start, basis), p)
+                ) if len(p.left) else np.zeros((0, RANK), dtype=np.float32)
                 passage, text, c = candidates(latent, q)
                 pairs = np.sort(p.text[passage] * len(q.item) + text)
                 h, near_some = runs_of(words), np.zeros(len(bounds) - 1, dtype=bool)
@@ -313,17 +350,35 @@ def _search(pages: DataFrame, basis: np.ndarray, q: Queries, key: str, candidate
                 runs |= consecutive(h, bounds, q, ~near_some)  # documents that the search gave nothing for: no run is left out
                 key = np.array([d * len(q.item) + t for d, t in runs], dtype=np.int64)
                 given = np.searchsorted(pairs, key, "right") > np.searchsorted(pairs, key, "left")
-                found = [(d, t, "verbatim", "latent" if g else "pass", n, 0.0, 0.0) for ((d, t), n), g in zip(runs.items(), given.tolist())]
-                found += [(d, t, "paraphrase", "latent", 0, lcs, answers) for d, t, lcs, answers in paraphrases(words, bounds, p, q, passage[c >= near], text[c >= near], runs)]
+                found = [
+                    (d, t, "verbatim", "latent" if g else "pass", n, 0.0, 0.0) for ((d, t), n),
+                    g in zip(runs.items(), given.tolist())
+                ]
+                found += [
+                    (d, t, "paraphrase", "latent", 0, lcs, answers) for d, t, lcs,
+                    answers in paraphrases(words, bounds, p, q, passage[c >= near], text[c >= near], runs)
+                ]
                 rows += [start + f[0] for f in found]
                 out += [(q.names[q.item[f[1]]], *f[2:], cosine(latent, p.text, q, f[0], f[1])) for f in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc", "item", "kind", "found_by", "run_words", "lcs_share", "answer_share", "cosine"])
-
-    return pages.mapInArrow(run, f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double")
-
-
-def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], candidate: float = 0.5, near: float = 0.8, min_lcs: float = 0.6, min_answers: float = 0.5) -> DataFrame:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(rows)),
+                        *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))
+                    ],
+                    names=["doc", "item", "kind", "found_by", "run_words", "lcs_share", "answer_share", "cosine"]
+                )
+
+    return pages.mapInArrow(
+        run,
+        f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double"
+    )
+
+
+def leaks(
+    df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], candidate: float = 0.5,
+    near: float = 0.8, min_lcs: float = 0.6, min_answers: float = 0.5
+) -> DataFrame:
     """(doc, item, kind, found_by, run_words, lcs_share, answer_share, cosine): the items found in each document.
 
     kind is 'verbatim' if the document holds at least BLOCK consecutive words of one of the item's texts, run_words being
@@ -346,14 +401,24 @@ def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts
             done = 0
             for w in tokens.words(b.column(1).to_pylist()):
                 n = len(w.bounds) - 1
-                col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((w.bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(w.hashes.astype(np.uint32).tobytes())])
+                col = pa.Array.from_buffers(
+                    pa.binary(), n,
+                    [
+                        None, pa.py_buffer((w.bounds * 4).astype(np.int32).tobytes()),
+                        pa.py_buffer(w.hashes.astype(np.uint32).tobytes())
+                    ]
+                )
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n), col], names=["doc", "words"])
                 done += n
 
-    pages = cut_lineage(df.select(F.col(doc).alias("doc"), F.col(text).alias("t")).mapInArrow(read, f"doc {key}, words binary"))
+    pages = cut_lineage(
+        df.select(F.col(doc).alias("doc"), F.col(text).alias("t")).mapInArrow(read, f"doc {key}, words binary")
+    )
     idf = _idf(pages)
     basis, _ = latent_basis(pages, idf)
-    long = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.explode(F.array(*(F.col(p) for p in parts))).alias("t")).where("t is not null").distinct()
+    long = items.where(F.col(item).isNotNull()).select(
+        F.col(item).cast("string").alias("item"), F.explode(F.array(*(F.col(p) for p in parts))).alias("t")
+    ).where("t is not null").distinct()
     out, block = None, []
 
     def search(rows: list[tuple[str, str]]) -> None:
@@ -372,6 +437,12 @@ def leaks(df: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts
         block.append((r["item"], r["t"]))
     search(block)
     if out is None:
-        out = df.sparkSession.createDataFrame([], f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double")
+        out = df.sparkSession.createDataFrame(
+            [],
+            f"doc {key}, item string, kind string, found_by string, run_words int, lcs_share double, answer_share double, cosine double"
+        )
     best = F.struct(F.col("run_words"), F.col("lcs_share"), F.col("cosine"), F.col("answer_share"), F.col("found_by"))
-    return out.groupBy("doc", "item").agg(F.max(best).alias("b")).select("doc", "item", F.when(F.col("b.run_words") > 0, "verbatim").otherwise("paraphrase").alias("kind"), "b.found_by", "b.run_words", "b.lcs_share", "b.answer_share", "b.cosine")
+    return out.groupBy("doc", "item").agg(F.max(best).alias("b")).select(
+        "doc", "item", F.when(F.col("b.run_words") > 0, "verbatim").otherwise("paraphrase").alias("kind"), "b.found_by",
+        "b.run_words", "b.lcs_share", "b.answer_share", "b.cosine"
+    )

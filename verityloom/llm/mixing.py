@@ -49,10 +49,15 @@ def token_counts(df: DataFrame, doc: str, source: str, text: str, tokenizer: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(shared.value, PATTERN)
         for b in batches:
-            n = np.fromiter((len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()), dtype=np.int64, count=b.num_rows)
+            n = np.fromiter(
+                (len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()), dtype=np.int64,
+                count=b.num_rows
+            )
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["doc", "source", "tokens"])
 
-    return df.select(F.col(doc).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(run, f"doc {key}, source string, tokens long")
+    return df.select(
+        F.col(doc).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")
+    ).mapInArrow(run, f"doc {key}, source string, tokens long")
 
 
 def demands(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -64,7 +69,10 @@ def demands(counts: DataFrame, targets: DataFrame) -> DataFrame:
     Rows with a null or unlisted source take no part. A null weight or number of repeats counts as 0 and so does a
     source's lack of documents. A source listed more than once counts once, with its greatest weight and repeats.
     """
-    t = targets.where("source is not null").groupBy(F.col("source").cast("string").alias("source")).agg(F.coalesce(F.max("target_weight"), F.lit(0.0)).alias("target_weight"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
+    t = targets.where("source is not null").groupBy(F.col("source").cast("string").alias("source")).agg(
+        F.coalesce(F.max("target_weight"), F.lit(0.0)).alias("target_weight"),
+        F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats")
+    )
     per = counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
     r = t.join(per, "source", "left").fillna(0, ["documents", "tokens"])
     one = Window.partitionBy(F.lit(1))  # rows here are listed sources, not documents
@@ -79,26 +87,48 @@ def shares(drawn: DataFrame, demand: DataFrame) -> DataFrame:
     source's tokens), actual_share (of all used tokens) and falls_short: the source's copies run out before its demand
     does, so that the used tokens are fewer than wanted. Sources without a drawn row have used 0 and no last_position.
     """
-    per = drawn.groupBy("source").agg(F.count("*").alias("drawn"), F.sum("tokens").alias("used"), F.max("position").alias("last_position"))
+    per = drawn.groupBy("source").agg(
+        F.count("*").alias("drawn"), F.sum("tokens").alias("used"), F.max("position").alias("last_position")
+    )
     r = demand.drop("due").join(per, "source", "left").fillna(0, ["drawn", "used"])
     all_ = F.sum("used").over(Window.partitionBy(F.lit(1)))  # listed sources again
-    return r.select("*", F.coalesce(F.try_divide("used", "tokens"), F.lit(0.0)).alias("repeats"), F.coalesce(F.try_divide("used", all_), F.lit(0.0)).alias("actual_share"), (F.col("used") < F.col("wanted")).alias("falls_short"))
+    return r.select(
+        "*", F.coalesce(F.try_divide("used", "tokens"), F.lit(0.0)).alias("repeats"),
+        F.coalesce(F.try_divide("used", all_), F.lit(0.0)).alias("actual_share"),
+        (F.col("used") < F.col("wanted")).alias("falls_short")
+    )
 
 
 def ramp(share: DataFrame, tilt: float = 0.5) -> DataFrame:
     """A schedule (source, time, factor): sources of great weight fade from 1 + tilt to 1 - tilt, those of small weight rise."""
     order = F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy("target_weight", "source"))
     lean = (2 * F.col("order") - 1) * tilt
-    return share.select("source", order.alias("order")).select("source", F.explode(F.array(F.struct(F.lit(0.0).alias("time"), (1 + lean).alias("factor")), F.struct(F.lit(1.0).alias("time"), (1 - lean).alias("factor")))).alias("s")).select("source", "s.*")
+    return share.select("source", order.alias("order")).select(
+        "source",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0.0).alias("time"), (1 + lean).alias("factor")),
+                F.struct(F.lit(1.0).alias("time"), (1 - lean).alias("factor"))
+            )
+        ).alias("s")
+    ).select("source", "s.*")
 
 
 def _segments(share: DataFrame, schedule: DataFrame) -> DataFrame:
     """(source, segs): per source the linear pieces of its schedule with the demand up to each, scaled to the tokens due."""
     w = Window.partitionBy("source").orderBy("time")
-    s = schedule.select("source", F.col("time").alias("t0"), F.col("factor").alias("f0"), F.lead("time").over(w).alias("t1"), F.lead("factor").over(w).alias("f1")).where("t1 > t0")
+    s = schedule.select(
+        "source", F.col("time").alias("t0"), F.col("factor").alias("f0"), F.lead("time").over(w).alias("t1"),
+        F.lead("factor").over(w).alias("f1")
+    ).where("t1 > t0")
     area = (F.col("f0") + F.col("f1")) / 2 * (F.col("t1") - F.col("t0"))
-    s = s.withColumn("area", area).withColumn("d0", F.sum("area").over(Window.partitionBy("source").orderBy("t0")) - F.col("area")).withColumn("whole", F.sum("area").over(Window.partitionBy("source")))
-    packed = s.where("whole > 0 and area > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("d0", "t0", "t1", "f0", "f1", "area"))).alias("segs"), F.first("whole").alias("whole"))
+    s = s.withColumn("area", area).withColumn(
+        "d0", F.sum("area").over(Window.partitionBy("source").orderBy("t0")) - F.col("area")
+    ).withColumn("whole", F.sum("area").over(Window.partitionBy("source")))
+    packed = s.where("whole > 0 and area > 0").groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct("d0", "t0", "t1", "f0", "f1", "area"))).alias("segs"),
+        F.first("whole").alias("whole")
+    )
     return share.select("source", "due", F.col("tokens").alias("whole_tokens"), "max_repeats").join(packed, "source")
 
 
@@ -111,7 +141,9 @@ def _time(demand: Column, segs: Column) -> Column:
     return seg["t0"] + F.coalesce(F.try_divide(2 * x, seg["f0"] + root), F.lit(0.0))
 
 
-def curriculum(counts: DataFrame, targets: DataFrame, schedule: DataFrame | None = None, demand: DataFrame | None = None) -> DataFrame:
+def curriculum(
+    counts: DataFrame, targets: DataFrame, schedule: DataFrame | None = None, demand: DataFrame | None = None
+) -> DataFrame:
     """(position, source, doc, copy, tokens), sorted by position: the mix in training order.
 
     position is the training time in [0, 1) at which the document begins; a document appears once per copy, at most
@@ -126,13 +158,24 @@ def curriculum(counts: DataFrame, targets: DataFrame, schedule: DataFrame | None
     segs = _segments(demand, ramp(demand) if schedule is None else schedule).where("due > 0 and max_repeats > 0")
     if targets.select("source").distinct().count() <= LISTED:
         segs = F.broadcast(segs)
-    docs = counts.where("source is not null and tokens > 0").withColumn("h", F.xxhash64("doc")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    docs = counts.where(
+        "source is not null and tokens > 0"
+    ).withColumn("h", F.xxhash64("doc")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
     base = docs.groupBy("source", "b").agg(F.sum("tokens").alias("s"))
-    base = base.select("source", "b", (F.sum("s").over(Window.partitionBy("source").orderBy("b")) - F.col("s")).alias("base"))
-    inner = F.sum("tokens").over(Window.partitionBy("source", "b").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, -1))
-    at = docs.withColumn("inner", F.coalesce(inner, F.lit(0))).join(base, ["source", "b"]).select("source", "doc", F.col("tokens").alias("n"), (F.col("base") + F.col("inner")).alias("at"))
+    base = base.select(
+        "source", "b", (F.sum("s").over(Window.partitionBy("source").orderBy("b")) - F.col("s")).alias("base")
+    )
+    inner = F.sum("tokens").over(
+        Window.partitionBy("source", "b").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    at = docs.withColumn("inner", F.coalesce(inner, F.lit(0))).join(base, ["source", "b"]).select(
+        "source", "doc", F.col("tokens").alias("n"), (F.col("base") + F.col("inner")).alias("at")
+    )
     most = F.least(F.col("max_repeats") - 1, F.ceil(F.col("due") / F.col("whole_tokens")) - 1).cast("int")
     drawn = at.join(segs, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), most)))
     start = F.col("at") + F.col("copy").cast("long") * F.col("whole_tokens")
     drawn = drawn.where(start < F.col("due"))
-    return drawn.select(_time(start / F.col("due") * F.col("whole"), F.col("segs")).alias("position"), "source", "doc", "copy", F.col("n").alias("tokens")).orderBy("position", "source", "doc", "copy")
+    return drawn.select(
+        _time(start / F.col("due") * F.col("whole"), F.col("segs")).alias("position"), "source", "doc", "copy",
+        F.col("n").alias("tokens")
+    ).orderBy("position", "source", "doc", "copy")

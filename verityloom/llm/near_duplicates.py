@@ -74,7 +74,9 @@ def _bands(df: DataFrame, n: int, min_words: int, bands: int, rows: int) -> Data
                 key = np.broadcast_to(salt, (len(sid), bands)).copy()
                 for r in range(rows):
                     key = tokens.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(sid, bands))], names=["key", "sid"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(sid, bands))], names=["key", "sid"]
+                )
 
     return df.mapInArrow(run, "key long, sid long")
 
@@ -84,7 +86,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), pa.array(a), none if b is None else pa.array(b)], names=["key", "a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [none if key is None else pa.array(key), pa.array(a), none if b is None else pa.array(b)],
+            names=["key", "a", "b"]
+        )
 
     def flush(key: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
@@ -116,7 +121,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sid = np.r_[key, k], np.r_[sid, s]
         if len(key) < 200_000:
             continue
-        last = int(np.searchsorted(key != key[-1], False)) if (key == key[-1]).all() else len(key) - int(np.argmax(key[::-1] != key[-1]))
+        last = int(
+            np.searchsorted(key != key[-1], False)
+        ) if (key == key[-1]).all() else len(key) - int(np.argmax(key[::-1] != key[-1]))
         yield from flush(key[:last], sid[:last])
         key, sid = key[last:], sid[last:]
         if len(key) > BUCKET_ROWS:
@@ -135,7 +142,9 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_spots(b.column(0).to_numpy(), bits)))], names=["spot"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(_spots(b.column(0).to_numpy(), bits)))], names=["spot"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -144,18 +153,26 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
             for k in np.unique(spot // SEGMENT).tolist():
                 held.setdefault(k, np.zeros(SEGMENT, dtype=bool))[spot[spot // SEGMENT == k] % SEGMENT] = True
         for k, seen in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(seen).tobytes()])], names=["segment", "m"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k]), pa.array([np.packbits(seen).tobytes()])], names=["segment", "m"]
+            )
 
     total = np.zeros(bits // 8, dtype=np.uint8)
     spots = ids.select("sid").mapInArrow(spread, "spot long").distinct()
-    for r in spots.withColumn("segment", F.floor(F.col("spot") / SEGMENT)).repartition("segment").mapInArrow(run, "segment long, m binary").toLocalIterator():
+    for r in spots.withColumn(
+        "segment", F.floor(F.col("spot") / SEGMENT)
+    ).repartition("segment").mapInArrow(run, "segment long, m binary").toLocalIterator():
         total[r["segment"] * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(r["m"], dtype=np.uint8)
     return total, bits
 
 
 def _spots(sid: np.ndarray, bits: int) -> list[np.ndarray]:
     u = sid.astype(np.uint64)
-    return [(tokens.mix(u * np.uint64(c)) % np.uint64(bits)).astype(np.int64) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+    return [
+        (
+            tokens.mix(u * np.uint64(c)) % np.uint64(bits)
+        ).astype(np.int64) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    ]
 
 
 def _members(df: DataFrame, n: int, min_words: int, k: int, wanted: tuple[np.ndarray, int]) -> DataFrame:
@@ -178,13 +195,17 @@ def _members(df: DataFrame, n: int, min_words: int, k: int, wanted: tuple[np.nda
                 off = lambda s: pa.array(np.r_[0, np.cumsum(s)].astype(np.int32), mask=np.r_[~hit, False])
                 fps = pa.ListArray.from_arrays(off(np.where(hit, k // 64, 0)), pa.array(fp[hit].ravel()))
                 sets = pa.ListArray.from_arrays(off(size), pa.array(flat.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(sid), fps, sets], names=["id", "sid", "fp", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(at)), pa.array(sid), fps, sets], names=["id", "sid", "fp", "words"]
+                )
 
     return df.mapInArrow(run, "id string, sid long, fp array<long>, words array<long>")
 
 
 def _hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x
+    )
 
 
 def _far(a: str, b: str) -> Column:
@@ -194,8 +215,14 @@ def _far(a: str, b: str) -> Column:
 
 def _pivot_table(classes: DataFrame) -> DataFrame:
     """(sid, fp, coords): Hamming distances to PIVOTS reference fingerprints, drawn from the candidates by hash order."""
-    picked = [list(r[0]) for r in classes.select("fp", F.xxhash64("sid").alias("x"), "sid").orderBy("x", "sid").limit(PIVOTS).select("fp").collect()]
-    at = F.array(*(F.array(*(F.lit(int(x)).cast("long") for x in p)) for p in picked)) if picked else F.lit(None).cast("array<array<bigint>>")
+    picked = [
+        list(r[0]) for r in classes.select(
+            "fp", F.xxhash64("sid").alias("x"), "sid"
+        ).orderBy("x", "sid").limit(PIVOTS).select("fp").collect()
+    ]
+    at = F.array(
+        *(F.array(*(F.lit(int(x)).cast("long") for x in p)) for p in picked)
+    ) if picked else F.lit(None).cast("array<array<bigint>>")
     return classes.select("sid", "fp", F.transform(at, lambda p: _hamming(F.col("fp"), p)).alias("coords"))
 
 
@@ -205,19 +232,41 @@ def _large_buckets(rows: DataFrame, table: DataFrame, bound: int) -> DataFrame:
     near = F.array_position("coords", F.array_min("coords")).cast("int")
     r = r.withColumn("cell", near)
     sizes = r.groupBy("key", "cell").agg(F.count("*").alias("_n"))
-    r = r.join(sizes, ["key", "cell"]).withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("string")))
+    r = r.join(sizes, ["key", "cell"]).withColumn(
+        "block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("sid"), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("string"))
+    )
     r = cut_lineage(r.select("key", "block", "sid", "fp", "coords"))
-    ranges = r.groupBy("key", "block").agg(F.array(*(F.min(F.col("coords")[i]) for i in range(PIVOTS))).alias("lo"), F.array(*(F.max(F.col("coords")[i]) for i in range(PIVOTS))).alias("hi"))
-    gap = F.array_max(F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    ranges = r.groupBy("key", "block").agg(
+        F.array(*(F.min(F.col("coords")[i]) for i in range(PIVOTS))).alias("lo"),
+        F.array(*(F.max(F.col("coords")[i]) for i in range(PIVOTS))).alias("hi")
+    )
+    gap = F.array_max(
+        F.zip_with(
+            F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x,
+            y: F.greatest(x, y)
+        )
+    )
     other = ranges.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    blocks = ranges.join(other, "key").where("block <= block2").where(F.coalesce(gap, F.lit(0)) <= bound).select("key", "block", "block2")
-    left = blocks.join(r, ["key", "block"]).select("key", "block", "block2", F.col("sid").alias("a"), F.col("fp").alias("fa"), F.col("coords").alias("ca"))
-    right = r.select("key", F.col("block").alias("block2"), F.col("sid").alias("b"), F.col("fp").alias("fb"), F.col("coords").alias("cb"))
+    blocks = ranges.join(other, "key").where("block <= block2").where(
+        F.coalesce(gap, F.lit(0)) <= bound
+    ).select("key", "block", "block2")
+    left = blocks.join(r, ["key", "block"]).select(
+        "key", "block", "block2", F.col("sid").alias("a"), F.col("fp").alias("fa"), F.col("coords").alias("ca")
+    )
+    right = r.select(
+        "key", F.col("block").alias("block2"), F.col("sid").alias("b"), F.col("fp").alias("fb"),
+        F.col("coords").alias("cb")
+    )
     met = left.join(right, ["key", "block2"]).where("block < block2 or a < b")
-    return met.where(_far("ca", "cb") <= bound).where(_hamming(F.col("fa"), F.col("fb")) <= bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(_far("ca", "cb") <= bound).where(_hamming(F.col("fa"), F.col("fb")) <= bound).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
-def links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 5, bands: int = 40, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(
+    df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 5,
+    bands: int = 40, rows: int = 4
+) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the near-duplicate texts.
 
     members: (id, sid, copies, representative), one row per distinct (id, set of shingles); sid is the class of equal sets,
@@ -228,13 +277,21 @@ def links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold
     Repeated rows count once. Empty tables give no rows. Other columns are ignored. Bands and rows set the chance that a
     pair of similarity s meets, 1 - (1 - s**rows)**bands: 0.9996 at 0.65 and 0.996 at 0.6 for the defaults. The class id has 64 bits.
     """
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    src = df.select(
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")
+    ).where("id is not null and t is not null")
     k = -(-bands * rows // 64) * 64
-    met = cut_lineage(_bands(src, shingle, min_words, bands, rows).repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "key long, a long, b long"))
+    met = cut_lineage(
+        _bands(
+            src, shingle, min_words, bands, rows
+        ).repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, "key long, a long, b long")
+    )
     pairs, large = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("key", "a")
     sids = met.select(F.explode(F.array("a", "b")).alias("sid")).where("sid is not null").distinct()
     members = cut_lineage(_members(src, shingle, min_words, k, _filter_of(sids)))
-    classes = members.where("words is not null").groupBy("sid").agg(F.any_value("fp").alias("fp"), F.any_value("words").alias("words"))
+    classes = members.where("words is not null").groupBy("sid").agg(
+        F.any_value("fp").alias("fp"), F.any_value("words").alias("words")
+    )
     # at the threshold a share (1 - threshold) / 2 of the bits differ; six standard deviations more lose one pair in 10**9
     p = (1 - threshold) / 2
     bound = int(k * p + 6 * (k * p * (1 - p)) ** 0.5) + 1
@@ -245,7 +302,9 @@ def links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold
     kept = pairs.join(coords("a"), "a").join(coords("b"), "b").where(_far("ca", "cb") <= bound).select("a", "b")
     words = lambda c: classes.select(F.col("sid").alias(c), F.col("words").alias(f"w{c}"))
     both = F.size(F.array_intersect("wa", "wb"))
-    found = kept.join(words("a"), "a").join(words("b"), "b").select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
+    found = kept.join(words("a"), "a").join(words("b"), "b").select(
+        "a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")
+    ).where(F.col("similarity") >= threshold)
     ids = members.select("id", "sid").distinct()
     per = ids.groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("representative"))
     return ids.join(per, "sid"), found
@@ -261,10 +320,16 @@ def similar_pairs(members: DataFrame, found: DataFrame, expand: int | None = Non
     large = F.lit(False) if expand is None else F.col("copies") > expand
     shown = members.where(~large | (F.col("id") == F.col("representative"))).select("sid", "id")
     side = lambda c: shown.select(F.col("sid").alias(c), F.col("id").alias(f"i{c}"))
-    across = found.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a <> b")
+    across = found.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
+        F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")
+    ).where("a <> b")
     some = members.where(~large & (F.col("copies") > 1)).select("sid", "id")
-    within = some.select("sid", F.col("id").alias("a")).join(some.select("sid", F.col("id").alias("b")), "sid").where("a < b").select("a", "b")
-    star = members.where(large & (F.col("id") != F.col("representative"))).select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    within = some.select("sid", F.col("id").alias("a")).join(
+        some.select("sid", F.col("id").alias("b")), "sid"
+    ).where("a < b").select("a", "b")
+    star = members.where(large & (F.col("id") != F.col("representative"))).select(
+        F.col("representative").alias("a"), F.col("id").alias("b")
+    )
     return across.union(within).union(star).distinct()
 
 
@@ -282,7 +347,9 @@ def groups(members: DataFrame, found: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         small = large.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b")
         low = small.groupBy("a").agg(F.min("b").alias("m"))
-        new = small.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
+        new = small.join(low, "a").select(
+            F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")
+        ).select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct()
         new = cut_lineage(new)
         same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
         edges = new
@@ -291,4 +358,7 @@ def groups(members: DataFrame, found: DataFrame) -> DataFrame:
     of = edges.select(F.col("a").alias("sid"), F.col("b").alias("root"))
     labelled = members.join(of, "sid", "left").join(degree, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = labelled.groupBy("root").agg(F.min("representative").alias("group_id"))
-    return labelled.join(names, "root").select("id", F.col("representative").alias("class_id"), "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return labelled.join(names, "root").select(
+        "id", F.col("representative").alias("class_id"), "group_id", "copies",
+        F.coalesce("links", F.lit(0)).alias("links")
+    )

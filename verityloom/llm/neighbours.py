@@ -50,9 +50,15 @@ def _entries(df: DataFrame, dim: int) -> DataFrame:
         for b in batches:
             at, x = _unit_rows(b.column(1), dim)
             h = x.view(np.uint32).astype(np.uint64)
-            vid = mix((h * mix(np.arange(1, dim + 1, dtype=np.uint64))).sum(axis=1)) if len(at) else np.zeros(0, dtype=np.uint64)
-            v = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 2), len(at), [None, pa.py_buffer(x.astype(np.float16).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(vid.astype(np.int64)), v], names=["id", "vid", "v"])
+            vid = mix(
+                (h * mix(np.arange(1, dim + 1, dtype=np.uint64))).sum(axis=1)
+            ) if len(at) else np.zeros(0, dtype=np.uint64)
+            v = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(dim * 2), len(at), [None, pa.py_buffer(x.astype(np.float16).tobytes())]
+            ).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at)), pa.array(vid.astype(np.int64)), v], names=["id", "vid", "v"]
+            )
 
     return df.mapInArrow(run, "id string, vid long, v binary")
 
@@ -103,7 +109,9 @@ def link(c: np.ndarray, seed: int = 1) -> np.ndarray:
         sims = np.take_along_axis(s, cand, 1)
         order = np.argsort(-sims, axis=1)
         cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-        chosen, vectors, count = cand[:, :degree].copy(), np.zeros((len(s), degree, c.shape[1]), dtype=np.float32), np.zeros(len(s), dtype=np.int64)
+        chosen, vectors, count = cand[:, :degree].copy(), np.zeros(
+            (len(s), degree, c.shape[1]), dtype=np.float32
+        ), np.zeros(len(s), dtype=np.int64)
         for j in range(cand.shape[1]):
             v = c[cand[:, j]]
             nearer = np.einsum("ijk,ik->ij", vectors, v) > sims[:, j][:, None]
@@ -114,7 +122,9 @@ def link(c: np.ndarray, seed: int = 1) -> np.ndarray:
         own[a : a + 1024] = chosen
     # back links: of those that chose a centroid the nearest
     src, dst = np.repeat(np.arange(n), degree), own.ravel()
-    near = np.concatenate([np.einsum("ij,ij->i", c[src[i : i + 65536]], c[dst[i : i + 65536]]) for i in range(0, len(src), 65536)])
+    near = np.concatenate(
+        [np.einsum("ij,ij->i", c[src[i : i + 65536]], c[dst[i : i + 65536]]) for i in range(0, len(src), 65536)]
+    )
     order = np.lexsort((-near, dst))
     src, dst = src[order], dst[order]
     place = np.arange(len(dst)) - np.searchsorted(dst, dst)
@@ -131,7 +141,9 @@ def fit_lists(x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """
     top, near = _priced_means(x, round(max(1, lists) ** 0.5), 0)
     n = np.bincount(near, minlength=len(top))
-    c = np.concatenate([_priced_means(x[near == g], max(1, round(n[g] * lists / len(x))), g + 1)[0] for g in np.flatnonzero(n)])
+    c = np.concatenate(
+        [_priced_means(x[near == g], max(1, round(n[g] * lists / len(x))), g + 1)[0] for g in np.flatnonzero(n)]
+    )
     graph = link(c)
     entries = np.argsort(mix(np.arange(len(c), dtype=np.uint64) + np.uint64(5)))[:ENTRIES].astype(np.int32)
     price = np.zeros(len(c), dtype=np.float32)
@@ -143,7 +155,10 @@ def fit_lists(x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate([c, -price[:, None]], axis=1), graph, entries
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 32, expand: int = 4, hops: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def walk(
+    q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, want: int, beam: int = 32, expand: int = 4,
+    hops: int = 24
+) -> tuple[np.ndarray, np.ndarray]:
     """(list ids, priced cosines) of about the best `want` centroids of each query, best first; -1 where there are fewer.
 
     A best-first walk: from the entry points on, the best of the beam that were not yet left are left for all their
@@ -187,7 +202,9 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, entries: np.ndarray, w
         place = np.arange(len(query)) - (np.cumsum(n) - n)[query]
         more_ids, more_sims = np.full((m, width), -1, dtype=np.int32), np.full((m, width), -9, dtype=np.float32)
         more_ids[query, place], more_sims[query, place] = found, got
-        all_ids, all_sims = np.concatenate([ids[rows], more_ids[rows]], axis=1), np.concatenate([sims[rows], more_sims[rows]], axis=1)
+        all_ids, all_sims = np.concatenate([ids[rows], more_ids[rows]], axis=1), np.concatenate(
+            [sims[rows], more_sims[rows]], axis=1
+        )
         all_new = np.concatenate([new[rows], more_ids[rows] >= 0], axis=1)
         keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[rows], sims[rows], new[rows] = (np.take_along_axis(z, keep, 1) for z in (all_ids, all_sims, all_new))
@@ -208,7 +225,13 @@ def _assign(entries: DataFrame, model: tuple, dim: int, replicas: int, ratio: fl
                 use = (ids >= 0) & (far <= far[:, :1] * ratio + 1e-6)
                 off = pa.array(np.r_[0, np.cumsum(use.sum(1))].astype(np.int32))
                 part = b.slice(a, 2048)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(off, pa.array(ids[use].astype(np.int32)))], names=["id", "v", "lists"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1),
+                        pa.ListArray.from_arrays(off, pa.array(ids[use].astype(np.int32)))
+                    ],
+                    names=["id", "v", "lists"]
+                )
 
     return entries.mapInArrow(run, "id string, v binary, lists array<int>")
 
@@ -241,7 +264,13 @@ def _meet(k: int, dim: int, least: float):
             if some.any():
                 off = pa.array(np.r_[0, np.cumsum(use.sum(1)[some])].astype(np.int32))
                 near = pa.ListArray.from_arrays(off, ids.take(pa.array(at[use])))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[some])), near, pa.ListArray.from_arrays(off, pa.array(sims[use].astype(np.float32)))], names=["id", "near", "sims"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(mine[some])), near,
+                        pa.ListArray.from_arrays(off, pa.array(sims[use].astype(np.float32)))
+                    ],
+                    names=["id", "near", "sims"]
+                )
 
     def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -279,14 +308,27 @@ def _spread(assigned: DataFrame) -> DataFrame:
     """
     rows = assigned.select("id", "v", F.explode("lists").alias("l"))
     long = rows.groupBy("l").agg(F.ceil(F.count("*") / BLOCK).alias("n")).where("n > 1")
-    rows = rows.join(F.broadcast(long), "l", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
+    rows = rows.join(F.broadcast(long), "l", "left").withColumn(
+        "n", F.coalesce("n", F.lit(1).cast("long"))
+    ).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
     key = lambda i, j: F.col("l").cast("long") * (1 << 46) + i * (1 << 23) + j
     own = F.array(F.struct(key(F.col("b"), F.col("b")).alias("list"), F.lit(1).alias("side")))
-    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: j != F.col("b")), lambda j: F.struct(key(F.least(j, "b"), F.greatest(j, "b")).alias("list"), F.when(F.col("b") < j, F.lit(2)).otherwise(F.lit(3)).alias("side")))
-    return rows.select(F.explode(F.concat(own, F.coalesce(others, F.array()))).alias("m"), "id", "v").select("m.*", "id", "v")
-
-
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64, list_rows: int = 900, replicas: int = 5, ratio: float = 1.25, min_similarity: float = -1.0) -> DataFrame:
+    others = F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: j != F.col("b")),
+        lambda j: F.struct(
+            key(F.least(j, "b"), F.greatest(j, "b")).alias("list"),
+            F.when(F.col("b") < j, F.lit(2)).otherwise(F.lit(3)).alias("side")
+        )
+    )
+    return rows.select(
+        F.explode(F.concat(own, F.coalesce(others, F.array()))).alias("m"), "id", "v"
+    ).select("m.*", "id", "v")
+
+
+def nearest(
+    df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64, list_rows: int = 900, replicas: int = 5,
+    ratio: float = 1.25, min_similarity: float = -1.0
+) -> DataFrame:
     """(id, neighbour, rank, similarity): for every id the k other ids of greatest cosine, ties by id.
 
     min_similarity leaves out neighbours below it before anything is merged; the ranks of the others are the same.
@@ -297,7 +339,9 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64,
     empty table gives no rows. Vectors are compared as 16-bit floats, which moves a cosine by about 0.0002. Other columns
     are ignored.
     """
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("x")).where("id is not null and x is not null")
+    src = df.select(
+        F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("x")
+    ).where("id is not null and x is not null")
     # the k + 1 least ids of equal vectors stand for them all; the limit is applied before the shuffle too
     rank = F.row_number().over(Window.partitionBy("vid").orderBy("id"))
     entries = _entries(src, dim)
@@ -306,27 +350,49 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, dim: int = 64,
     n = reps.count()
     lists = max(1, min(MAX_LISTS, -(-n // list_rows)))
     share = min(1.0, min(SAMPLE, max(20_000, 64 * lists)) / max(1, n))  # the hash decides who is in: no order of rows, no cut
-    sample = [r[0] for r in reps.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()]
-    x = np.frombuffer(b"".join(sample), dtype=np.float16).reshape(-1, dim).astype(np.float32) if sample else np.eye(1, dim, dtype=np.float32)
+    sample = [
+        r[0] for r in reps.where(
+            F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30))
+        ).select("v").collect()
+    ]
+    x = np.frombuffer(
+        b"".join(sample), dtype=np.float16
+    ).reshape(-1, dim).astype(np.float32) if sample else np.eye(1, dim, dtype=np.float32)
     assigned = cut_lineage(_assign(reps.select("id", "v"), fit_lists(x, lists), dim, replicas, ratio))
-    met = _spread(assigned).repartition("list").sortWithinPartitions("list").mapInArrow(_meet(k, dim, min_similarity), "id string, near array<string>, sims array<float>")
-    best = met.select("id", F.explode(F.arrays_zip("near", "sims")).alias("p")).where("id <> p.near").groupBy("id", F.col("p.near").alias("near")).agg(F.max("p.sims").alias("sim"))
+    met = _spread(assigned).repartition("list").sortWithinPartitions("list").mapInArrow(
+        _meet(k, dim, min_similarity), "id string, near array<string>, sims array<float>"
+    )
+    best = met.select(
+        "id", F.explode(F.arrays_zip("near", "sims")).alias("p")
+    ).where("id <> p.near").groupBy("id", F.col("p.near").alias("near")).agg(F.max("p.sims").alias("sim"))
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near"))
     best = best.withColumn("rank", order).where(F.col("rank") <= k).select("id", "near", "sim", "rank")
     if shown.where("rn = 2").isEmpty():  # no vector occurs under two ids, so there is nothing to hand back to copies
-        return best.select("id", F.col("near").alias("neighbour"), "rank", F.least(F.lit(1.0), F.col("sim").cast("double")).alias("similarity"))
+        return best.select(
+            "id", F.col("near").alias("neighbour"), "rank",
+            F.least(F.lit(1.0), F.col("sim").cast("double")).alias("similarity")
+        )
     copies = shown.groupBy("vid").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
     few = copies.select(F.col("ids")[0].alias("rep"), "ids")
     # neighbours that stand for copies are replaced by them
-    wide = best.join(few.withColumnRenamed("rep", "near"), "near", "left").select("id", F.explode(F.coalesce("ids", F.array("near"))).alias("near"), "sim")
+    wide = best.join(few.withColumnRenamed("rep", "near"), "near", "left").select(
+        "id", F.explode(F.coalesce("ids", F.array("near"))).alias("near"), "sim"
+    )
     # and every copy has the neighbours of its class, and its fellows
-    members = entries.select("vid", "id").distinct().join(copies, "vid").select("id", F.col("ids")[0].alias("rep"), "ids")
+    members = entries.select("vid", "id").distinct().join(copies, "vid").select(
+        "id", F.col("ids")[0].alias("rep"), "ids"
+    )
     theirs = members.where("id <> rep").join(wide.withColumnRenamed("id", "rep"), "rep").select("id", "near", "sim")
     fellows = members.select("id", F.explode("ids").alias("near"), F.lit(1.0).cast("float").alias("sim"))
     all_ = wide.union(theirs).union(fellows).where("id <> near").groupBy("id", "near").agg(F.max("sim").alias("sim"))
-    return all_.withColumn("rank", order).where(F.col("rank") <= k).select("id", F.col("near").alias("neighbour"), "rank", F.least(F.lit(1.0), F.col("sim").cast("double")).alias("similarity"))
+    return all_.withColumn("rank", order).where(F.col("rank") <= k).select(
+        "id", F.col("near").alias("neighbour"), "rank",
+        F.least(F.lit(1.0), F.col("sim").cast("double")).alias("similarity")
+    )
 
 
 def mutual_pairs(found: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: pairs of which at least one is among the other's neighbours with at least this similarity."""
-    return found.where(F.col("similarity") >= least).select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()
+    return found.where(F.col("similarity") >= least).select(
+        F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")
+    ).distinct()

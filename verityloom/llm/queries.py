@@ -10,7 +10,9 @@ from verityloom.session import cut_lineage, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    got = splitting.split_oversized(table(spark, d, "document_chunks"), ["document_id", "chunk_index"], "chunk_text", only_oversized=True)
+    got = splitting.split_oversized(
+        table(spark, d, "document_chunks"), ["document_id", "chunk_index"], "chunk_text", only_oversized=True
+    )
     return got.where("piece_index = 0").select("document_id", "chunk_index", "boundary")
 
 
@@ -19,11 +21,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates.links(table(spark, d, "document_chunks"), "chunk_id", "chunk_text", shingle=3, threshold=0.6, min_words=20)
+    return near_duplicates.links(
+        table(spark, d, "document_chunks"), "chunk_id", "chunk_text", shingle=3, threshold=0.6, min_words=20
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.similar_pairs(*_p3(spark, d), expand=64).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+    return near_duplicates.similar_pairs(*_p3(spark, d), expand=64).select(
+        F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b")
+    )
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +46,10 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "evaluation_items"), "item_id", ["question", "expected_supporting_passage"])
+    return leakage.leaks(
+        table(spark, d, "documents"), "doc_id", "text", table(spark, d, "evaluation_items"), "item_id",
+        ["question", "expected_supporting_passage"]
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +94,12 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p6_found, p6_leaks, p7_found, p7_shares, p7_curriculum, p8_found, p8_scores)}
+QUERIES = {
+    f.__name__: f for f in (
+        p2_found, p2_pieces, p3_found, p3_groups, p5_found, p5_nearest, p6_found, p6_leaks, p7_found, p7_shares,
+        p7_curriculum, p8_found, p8_scores
+    )
+}
 
 _WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
 ORACLES = {

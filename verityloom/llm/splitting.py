@@ -93,7 +93,10 @@ def pieces(text: str, limit: int, overlap: int, least: int) -> tuple[str, list[t
         at = cut
 
 
-def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 120, least: int = 300, only_oversized: bool = False) -> DataFrame:
+def split_oversized(
+    df: DataFrame, keys: list[str], text: str, limit: int = 1200, overlap: int = 120, least: int = 300,
+    only_oversized: bool = False
+) -> DataFrame:
     """Pieces of at most `limit` characters (code points) of every item.
 
     Returns the key columns and (boundary, piece_index, own_start, piece_start, piece_end, cut, piece_text): the piece is
@@ -106,7 +109,9 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200
     """
     if not 0 <= overlap < limit or not 0 < least <= limit - overlap:
         raise ValueError("0 <= overlap < limit and 0 < least <= limit - overlap are required")
-    rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("t")).where("t is not null")
+    rows = df.select(
+        *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("t")
+    ).where("t is not null")
     rows = rows.where(F.length("t") > limit) if only_oversized else rows
     rows = rows.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.max("t").alias("t"))
     key_types = [f"{c} {t}" for c, t in rows.dtypes if c != "t"]
@@ -120,7 +125,13 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200
             if short.num_rows:  # one piece each, as it is
                 m, text = short.num_rows, short.column(short.num_columns - 1)
                 zero = pa.array(np.zeros(m, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*short.columns[: len(keys)], pa.array(["whole"] * m), zero, zero, zero, pa.array(size[size <= limit].astype(np.int32)), pa.array(["end"] * m), text], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *short.columns[: len(keys)], pa.array(["whole"] * m), zero, zero, zero,
+                        pa.array(size[size <= limit].astype(np.int32)), pa.array(["end"] * m), text
+                    ],
+                    names=names
+                )
             for row in np.flatnonzero(size > limit).tolist():
                 t = b.column(b.num_columns - 1)[row].as_py()
                 boundary, found = pieces(t, limit, overlap, least)
@@ -129,7 +140,17 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int = 1200
                     m = len(part)
                     at = pa.array(np.full(m, row))
                     back, own, end = (pa.array([p[i] for p in part], pa.int32()) for i in (0, 1, 2))
-                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keys))), pa.array([boundary] * m), pa.array(range(first, first + m), pa.int32()), own, back, end, pa.array([p[3] for p in part]), pa.array([t[p[0] : p[2]] for p in part])], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(b.column(i).take(at) for i in range(len(keys))), pa.array([boundary] * m),
+                            pa.array(range(first, first + m), pa.int32()), own, back, end,
+                            pa.array([p[3] for p in part]), pa.array([t[p[0] : p[2]] for p in part])
+                        ],
+                        names=names
+                    )
 
     out = rows.mapInArrow(run, ", ".join([*key_types, tail]))
-    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *[c for c in out.columns if not re.fullmatch(r"k\d+", c)])
+    return out.select(
+        *(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)),
+        *[c for c in out.columns if not re.fullmatch(r"k\d+", c)]
+    )

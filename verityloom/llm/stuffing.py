@@ -36,7 +36,10 @@ BEFORE = ("start", "blank", "comma", "line", "sentence", "joined", "mark")
 SYMBOLS = CLASSES * len(BEFORE)
 _SPACE, _LINE, _STOP, _COMMA, _SLASH, _HYPHEN, _APOSTROPHE, _LIST = (1 << i for i in range(8))
 # The marks that tell what stands between two words.
-_MARKS = {_SPACE: " \t\r\u00a0\u2009\u202f", _LINE: "\n", _STOP: ".!?", _COMMA: ",;", _SLASH: "/=&?@", _HYPHEN: "-\u2010\u2011\u2013\u2212", _APOSTROPHE: "'\u2019", _LIST: ":|/\u2022\u00bb\u00ab\u00b7()[]<>{}\"#*"}
+_MARKS = {
+    _SPACE: " \t\r\u00a0\u2009\u202f", _LINE: "\n", _STOP: ".!?", _COMMA: ",;", _SLASH: "/=&?@",
+    _HYPHEN: "-\u2010\u2011\u2013\u2212", _APOSTROPHE: "'\u2019", _LIST: ":|/\u2022\u00bb\u00ab\u00b7()[]<>{}\"#*"
+}
 
 SLICE = 1 << 17  # words that are scored at a time
 WINDOW = 15  # words over which surprise is averaged
@@ -61,11 +64,18 @@ def _tables(words: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, ...]:
             if len(small) == 1:
                 lower[i] = ord(small)
         digit[i] = c.isdigit()
-    pairs = sorted({tokens.word_hash(w): k for k, kind in reversed(list(enumerate(_KINDS))) for w in dict(words).get(kind, "").split()}.items())
+    pairs = sorted(
+        {
+            tokens.word_hash(w): k for k,
+            kind in reversed(list(enumerate(_KINDS))) for w in dict(words).get(kind, "").split()
+        }.items()
+    )
     marks = np.zeros(0x110000, dtype=np.uint8)
     for bit, found in _MARKS.items():
         marks[[ord(c) for c in found]] |= bit
-    return lower, upper, digit, np.array([h for h, _ in pairs], dtype=np.uint64), np.array([k for _, k in pairs], dtype=np.int8), marks
+    return lower, upper, digit, np.array(
+        [h for h, _ in pairs], dtype=np.uint64
+    ), np.array([k for _, k in pairs], dtype=np.int8), marks
 
 
 class Symbols(NamedTuple):
@@ -182,8 +192,12 @@ def fit(counts: np.ndarray) -> np.ndarray:
 
 def _pages(column: pa.Array) -> Iterator[Pages]:
     """The texts of a binary column of symbols, some at a time; none is cut."""
-    off = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    off = np.frombuffer(column.buffers()[1], dtype=np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64)
+    data = np.frombuffer(
+        column.buffers()[2], dtype=np.uint8
+    ) if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE, "right")) - 1)
@@ -193,7 +207,9 @@ def _pages(column: pa.Array) -> Iterator[Pages]:
         a = b
 
 
-def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dict[str, str] = FUNCTION_WORDS) -> DataFrame:
+def stuffed_pages(
+    df: DataFrame, id_col: str, text_col: str, function_words: dict[str, str] = FUNCTION_WORDS
+) -> DataFrame:
     """(id, words, stuffed_words, mean_surprise, stuffed) of every row.
 
     mean_surprise is the text's mean bits per scored word, whose power of two is its perplexity; null without such words.
@@ -216,7 +232,9 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dic
             for s in symbols(b.column(1).to_pylist(), function_words):
                 n = len(s.bounds) - 1
                 data = pa.py_buffer(s.symbol.astype(np.uint8).tobytes())
-                col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(s.bounds.astype(np.int32).tobytes()), data])
+                col = pa.Array.from_buffers(
+                    pa.binary(), n, [None, pa.py_buffer(s.bounds.astype(np.int32).tobytes()), data]
+                )
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n), col], names=["id", "symbols"])
                 done += n
 
@@ -236,8 +254,12 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dic
         out[got["cell"].to_numpy()] = got["n"].to_numpy()
         return out
 
-    pages = cut_lineage(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(read, f"id {key}, symbols binary"))
-    model = df.sparkSession.sparkContext.broadcast(fit(gather(pages.select("symbols").mapInArrow(count, "cell int, n long"), _HISTORIES * SYMBOLS)))
+    pages = cut_lineage(
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(read, f"id {key}, symbols binary")
+    )
+    model = df.sparkSession.sparkContext.broadcast(
+        fit(gather(pages.select("symbols").mapInArrow(count, "cell int, n long"), _HISTORIES * SYMBOLS))
+    )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, dtype=np.int64)
@@ -246,7 +268,9 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dic
                 use = _scored(p)
                 v = _smooth(model.value[_cells(p)], use, p)[_in_prose(p) & use]
                 total += np.bincount(np.minimum(BINS - 1, v / BIN).astype(np.int64), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(total)], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(BINS, dtype=np.int32)), pa.array(total)], names=["cell", "n"]
+        )
 
     prose = np.cumsum(gather(pages.select("symbols").mapInArrow(spread, "cell int, n long"), BINS))
     low, mid, high = (float(np.searchsorted(prose, q * prose[-1])) * BIN for q in (0.05, 0.5, 0.95))
@@ -261,8 +285,23 @@ def stuffed_pages(df: DataFrame, id_col: str, text_col: str, function_words: dic
                 text = np.repeat(np.arange(len(p.bounds) - 1), np.diff(p.bounds))
                 of = lambda x: np.bincount(text, x, minlength=len(p.bounds) - 1)  # noqa: E731,B023
                 n = of(use)
-                found.append(np.stack([np.diff(p.bounds), of(((v > most) | (v < least)) & use), np.divide(of(np.where(use, surprise, 0)), n, out=np.full(len(n), np.nan), where=n > 0)]))
+                found.append(
+                    np.stack(
+                        [
+                            np.diff(p.bounds), of(((v > most) | (v < least)) & use),
+                            np.divide(of(np.where(use, surprise, 0)), n, out=np.full(len(n), np.nan), where=n > 0)
+                        ]
+                    )
+                )
             words, bad, mean = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.astype(np.int64)), pa.array(bad.astype(np.int64)), pa.array(mean, mask=np.isnan(mean)), pa.array(2 * bad > words)], names=["id", "words", "stuffed_words", "mean_surprise", "stuffed"])
-
-    return pages.mapInArrow(score, f"id {key}, words long, stuffed_words long, mean_surprise double, stuffed boolean").distinct()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(words.astype(np.int64)), pa.array(bad.astype(np.int64)),
+                    pa.array(mean, mask=np.isnan(mean)), pa.array(2 * bad > words)
+                ],
+                names=["id", "words", "stuffed_words", "mean_surprise", "stuffed"]
+            )
+
+    return pages.mapInArrow(
+        score, f"id {key}, words long, stuffed_words long, mean_surprise double, stuffed boolean"
+    ).distinct()
