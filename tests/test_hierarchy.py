@@ -96,3 +96,11 @@ def test_descendants_of_some(spark):
     } == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
     q = spark.createDataFrame([("b",), ("nowhere",)], "node string")
     assert [tuple(x) for x in descendants(t, q).select("node", "descendant").collect()] == [("b", "c")]
+
+
+def test_long_ranges_are_unrolled_piece_by_piece(spark):
+    nodes = ["r"] + [f"n{i:02}" for i in range(40)]
+    t = run(spark, nodes, [(n, "r") for n in nodes[1:]])
+    for piece in (1, 7, 40, 4096):
+        got = [tuple(x) for x in descendants(t, piece=piece).select("node", "descendant", "steps").collect()]
+        assert sorted(got) == [("r", n, 1) for n in nodes[1:]]

@@ -413,17 +413,21 @@ def tree(
     return all_ if with_path else all_.drop("path")
 
 
-def descendants(trees: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def descendants(trees: DataFrame, of: DataFrame | None = None, piece: int = 4096) -> DataFrame:
     """(root, node, descendant, steps): every descendant of every node, or of the nodes in of(node), read off the ranges.
 
     A node's range is unrolled into positions that are matched to the rows at those positions: an equality join whose
-    size is that of the result.
+    size is that of the result. Long ranges are cut into pieces first, so that those of a huge root unroll in many tasks.
     """
     t = trees.where("lo is not null")
     q = t if of is None else t.join(of.select("node").distinct(), "node", "left_semi")
-    wanted = q.where("subtree_size > 1").select(
-        "root", "node", F.col("depth").alias("_d"), F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("lo")
+    pieces = q.where("subtree_size > 1").select(
+        "root", "node", F.col("depth").alias("_d"), "hi",
+        F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1, F.lit(piece).cast("long"))).alias("_s")
+    ).repartition("root", "node", "_s")
+    wanted = pieces.select(
+        "root", "node", "_d", F.explode(F.sequence("_s", F.least(F.col("hi") - 1, F.col("_s") + piece - 1))).alias("lo")
+    )
+    return wanted.join(t.select("root", "lo", F.col("node").alias("descendant"), "depth"), ["root", "lo"]).select(
+        "root", "node", "descendant", (F.col("depth") - F.col("_d")).alias("steps")
     )
-    return wanted.join(
-        t.select("root", "lo", F.col("node").alias("descendant"), "depth"), ["root", "lo"]
-    ).select("root", "node", "descendant", (F.col("depth") - F.col("_d")).alias("steps"))

@@ -51,26 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
-
-
-def skew_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, counts: DataFrame, share: int = 200,
-    least: int = 20_000
-) -> DataFrame:
-    """Inner join of left.left_key to the unique right.right_key, spared the shuffle for the heavy keys of left.
-
-    counts holds (left_key, _n), the rows of left per key. A key is heavy if it has more than 1/share of all rows, so
-    there are fewer than `share` heavy keys whatever the size of left: that bounds both the list that comes to the
-    driver and the broadcast. All other keys take the ordinary shuffled join.
-    """
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    heavy = [
-        r[0] for r in counts.where(F.col("_n") > max(least, total // share)).select(left_key).collect()
-    ] if total > least else []
-    if not heavy:
-        return left.join(right, F.col(left_key) == F.col(right_key))
-    is_heavy = F.col(left_key).isin(heavy)
-    few = right.where(F.col(right_key).isin(heavy))
-    return left.where(~is_heavy).join(right, F.col(left_key) == F.col(right_key)).unionByName(
-        left.where(is_heavy).join(F.broadcast(few), F.col(left_key) == F.col(right_key))
-    )
