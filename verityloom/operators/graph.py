@@ -34,13 +34,13 @@ class Neighbours:
 
     def __init__(self, edges: DataFrame, share: int = 200, least: int = 50_000) -> None:
         pairs = adjacency(edges).select("node", "next").distinct()
-        degree = cut_lineage(pairs.groupBy("node").agg(F.count("*").alias("n")))
-        total = degree.agg(F.sum("n")).first()[0] or 0
-        self.hubs = [
-            r[0] for r in degree.where(F.col("n") > max(least, total // share)).select("node").collect()
-        ] if total > least else []
-        self.few = (pairs.where(~F.col("node").isin(self.hubs)) if self.hubs else pairs).repartition("node").persist()
-        self.many = pairs.where(F.col("node").isin(self.hubs)).repartition("next").persist() if self.hubs else None
+        degree = pairs.groupBy("node").agg(F.count("*").alias("n"))
+        total, most = degree.agg(F.sum("n"), F.max("n")).first()
+        line = max(least, (total or 0) // share)
+        self.hubs = [r[0] for r in degree.where(F.col("n") > line).select("node").collect()] if (most or 0) > line else []
+        is_hub = F.col("node").isin(self.hubs)  # they are set apart before anything is laid out by node
+        self.few = (pairs.where(~is_hub) if self.hubs else pairs).repartition("node").persist()
+        self.many = pairs.where(is_hub).repartition("next").persist() if self.hubs else None
 
     def of(self, front: DataFrame) -> DataFrame:
         """The rows of front(node, ...), one per neighbour of the node, with that as next."""
