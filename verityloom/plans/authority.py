@@ -119,17 +119,24 @@ def registry_dump(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def log_periods(log: DataFrame) -> DataFrame:
+    """Periods of a log with the columns of edib_authority_decision_event, each event once."""
+    kind = F.when(F.col("event_type") == "revision_activated", "open").when(
+        F.col("event_type") == "revision_withdrawn", "close"
+    )
+    return authority.periods_from_log(
+        log.select(
+            F.col("event_id").alias("event"), kind.alias("kind"), F.col(DOC).alias("doc"),
+            F.col("revision_id").alias("revision"), F.col("related_revision_id").alias("related"),
+            F.col("decision_effective_date").alias("day"), F.col("closure_reason").alias("reason")
+        )
+    )
+
+
 def periods_from_log(spark: SparkSession, d: str) -> DataFrame:
     """The periods that the decision log gives when folded in the order of its events."""
-    e = table(spark, d, "edib_authority_decision_event").select(
-        F.col("event_id").alias("event"),
-        F.when(F.col("event_type") == "revision_activated", "open").when(
-            F.col("event_type") == "revision_withdrawn", "close"
-        ).alias("kind"),
-        F.col(DOC).alias("doc"), F.col("revision_id").alias("revision"), F.col("related_revision_id").alias("related"),
-        F.col("decision_effective_date").alias("day"), F.col("closure_reason").alias("reason"), "recorded_at"
-    )
-    return authority.periods_from_log(keyed.first_per_key(e, ["event"], F.desc("recorded_at")))
+    e = table(spark, d, "edib_authority_decision_event")
+    return log_periods(keyed.first_per_key(e, ["event_id"], F.desc("recorded_at")))
 
 
 def days_in_force(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verityloom.functions import text
 from verityloom.operators import elements, metrics
+from verityloom.plans import authority
 from verityloom.session import table
 from verityloom.streaming import events
 
@@ -204,11 +205,18 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return events.keep_latest(s, "latest", ["user_id"], "ts").select("user_id", "ts")
 
 
+def stream_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The decision log kept up to date as a stream, each event once, and folded into periods."""
+    schema = table(spark, d, "edib_authority_decision_event").schema
+    s = spark.readStream.schema(schema).parquet(f"{d}/edib_authority_decision_event*.parquet")
+    return authority.log_periods(events.keep_latest(s, "log", ["event_id"], "recorded_at"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         element_extract, element_kinds, heading_path, chunk_packing, chunk_documents, oversized_parts, fragment_split,
         identifier_spans, normalised_text, folded_text, status_labels, identifier_occurrences, passage_alignment,
-        text_fact_recall, metric_grouping_sets, miss_ledger, cell_match, stream_window_counts, stream_upsert
+        text_fact_recall, metric_grouping_sets, miss_ledger, cell_match, stream_window_counts, stream_upsert, stream_periods
     )
 }
 
@@ -260,5 +268,6 @@ from f group by grouping sets ((document_type, metric), (metric))""",
     "cell_match": """with n as (select l_orderkey, l_quantity, count(*) filter (l_linenumber % 2 = 1) a, count(*) filter (l_linenumber % 2 = 0) b from lineitem group by 1, 2)
 select l_orderkey, cast(sum(least(a, b)) as bigint) equal, cast(sum(a - least(a, b)) as bigint) missing, cast(sum(b - least(a, b)) as bigint) extra from n group by 1""",
     "stream_window_counts": "select date_trunc('day', ts)::timestamp window_start, event_type, count(*) n from events group by 1, 2",
+    "stream_periods": authority.ORACLES["periods_from_log"],
     "stream_upsert": "select user_id, max(ts) ts from events group by 1",
 }
