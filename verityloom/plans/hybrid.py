@@ -78,13 +78,17 @@ def graph_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.artifacts(*_graph(spark, d))
 
 
-def _edge_texts(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    return hybrid.edge_texts(nodes, edges, evidence, _chunks(spark, d).select("chunk", "text"))
+def _edge_texts(
+    spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame
+) -> DataFrame:
+    """What the edges say, with their vectors; searched for seeds and again for the text of paths, hence kept."""
+    return cut_lineage(hybrid.edge_texts(nodes, edges, evidence, _chunks(spark, d).select("chunk", "text")))
 
 
 def edge_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """The vector of every edge, written to five places, and the hash of the text that it stands for."""
-    x = _edge_texts(spark, d, *_graph(spark, d))
+    nodes, edges, evidence = _graph(spark, d)
+    x = hybrid.edge_texts(nodes, edges, evidence, _chunks(spark, d).select("chunk", "text"))
     return x.select(
         "edge_id", F.sha2("text", 256).alias("text_hash"),
         F.array_join(F.transform("embedding", lambda v: F.format_string("%.5f", v)), ",").alias("vector")
@@ -132,8 +136,9 @@ def _vector_ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
     return got.select("query", F.col("row").alias("chunk"), "rank")
 
 
-def _all_seeds(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    texts = _edge_texts(spark, d, nodes, edges, evidence)
+def _all_seeds(
+    spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, texts: DataFrame
+) -> DataFrame:
     near_edges = search.exact_search(
         _questions(spark, d).select(F.col("query").alias("edge_id"), "embedding"), "edge_id",
         texts.select("edge_id", "embedding"), "edge_id", "embedding", POOL, dim=32, skip_self=False
@@ -150,14 +155,17 @@ def _all_seeds(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame,
 
 def hybrid_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Named seeds and up to four more of each question, from the nearest chunks and the nearest edges."""
-    return _all_seeds(spark, d, *_eligible(spark, d)).withColumn("score", F.round("score", 8))
+    nodes, edges, evidence = _eligible(spark, d)
+    seeds = _all_seeds(spark, d, nodes, edges, evidence, _edge_texts(spark, d, nodes, edges, evidence))
+    return seeds.withColumn("score", F.round("score", 8))
 
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges, evidence = _eligible(spark, d)
-    seeds = cut_lineage(_all_seeds(spark, d, nodes, edges, evidence).select("query", "node"))
+    texts = _edge_texts(spark, d, nodes, edges, evidence)
+    seeds = cut_lineage(_all_seeds(spark, d, nodes, edges, evidence, texts).select("query", "node"))
     paths = hybrid.seed_paths(edges, seeds, PATH_EDGES, CEILING)
-    return hybrid.ranked_paths(paths, _edge_texts(spark, d, nodes, edges, evidence), _questions(spark, d)), evidence
+    return hybrid.ranked_paths(paths, texts, _questions(spark, d)), evidence
 
 
 def hybrid_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -201,12 +209,13 @@ def mode_scores(spark: SparkSession, d: str) -> DataFrame:
     )
     gold = i.join(c, "identifier").groupBy("query", "item").agg(F.count("*").alias("n")).where("n >= 2")
     nodes, edges, evidence = _eligible(spark, d)
-    seeds = cut_lineage(_all_seeds(spark, d, nodes, edges, evidence))
+    texts = _edge_texts(spark, d, nodes, edges, evidence)
+    seeds = cut_lineage(_all_seeds(spark, d, nodes, edges, evidence, texts))
     named = seeds.where("source = 'explicit'").select("query", "node")
     by_hop = cut_lineage(_hop_ranking(spark, d, edges, evidence, named).select("query", "chunk", "rank"))
     paths = hybrid.seed_paths(edges, seeds.select("query", "node"), PATH_EDGES, CEILING)
     by_path = hybrid.path_evidence(
-        hybrid.ranked_paths(paths, _edge_texts(spark, d, nodes, edges, evidence), _questions(spark, d)), evidence
+        hybrid.ranked_paths(paths, texts, _questions(spark, d)), evidence
     )
     vector = cut_lineage(_vector_ranking(spark, d, K))
     modes = {"V": vector, "G": by_hop, "H1": _fused(vector, by_hop), "H2": _fused(vector, by_path)}
