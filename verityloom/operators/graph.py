@@ -27,7 +27,7 @@ def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 class Neighbours:
     """Distinct (node, next) of both directions, kept by node: a step joins them where they lie and shuffles only its frontier.
 
-    Nodes with more than 1/200 of all links, fewer than 400, are kept apart and spread evenly; the frontier's rows for them,
+    Nodes with more than 1/200 of all links, fewer than 200, are kept apart and spread evenly; the frontier's rows for them,
     at most one per such node and seed, are joined by the optimiser's choice. Blocks lost with an executor are worked out
     again from the edges.
     """
