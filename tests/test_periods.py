@@ -60,6 +60,22 @@ def test_as_of_takes_an_earlier_period_that_still_covers_the_day(spark):
     assert {r.n: (r.f, r.t) for r in got.collect()} == want
 
 
+def test_as_of_never_broadcasts_the_cells_of_periods(spark, tmp_path):
+    rows = [(k, day(k), day(k + 701)) for k in range(2000)]
+    points = [(k, day(k + n)) for k in range(2000) for n in (-1, 0, 700, 701)]
+    spark.createDataFrame(rows, "k int, f date, t date").write.parquet(f"{tmp_path}/periods")
+    spark.createDataFrame(points, "k int, d date").write.parquet(f"{tmp_path}/points")
+    got = temporal.as_of(
+        spark.read.parquet(f"{tmp_path}/points"), "k", "d", spark.read.parquet(f"{tmp_path}/periods"), "k", "f", "t"
+    )
+    want = {(k, d): (day(k), day(k + 701)) if day(k) <= d < day(k + 701) else (None, None) for k, d in points}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plan = lambda: got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan()
+    assert {(r.k, r.d): (r.f, r.t) for r in got.collect()} == want
+    assert "Broadcast" not in plan()
+
+
 def test_resolution_fails_closed_and_states_follow_their_order(spark):
     from verityloom.operators import authority
 

@@ -56,6 +56,8 @@ def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key:
 
     Days are dates. Periods are cut into cells of the time axis and each cell keeps the best period that covers all of it,
     so a point looks up LEVELS cells by equality however many periods of a key overlap. Points without a period have nulls.
+    Both joins are sort-merge joins at any size: the planner takes the cells for no larger than the periods, though a period has
+    up to 14 of each level, and would broadcast them.
     The columns of periods, which must have an order, come back as they are.
     """
     real_ = real(periods, start, end)
@@ -74,9 +76,9 @@ def as_of(points: DataFrame, point_key: str, day: str, periods: DataFrame, key:
     ).where("_k is not null and _d is not null").distinct()
     got = asked.withColumn(
         "_c", F.explode(_cells_with(F.col("_d")))
-    ).join(cells, ["_k", "_c"]).groupBy("_k", "_d").agg(F.max("_b").alias("_b"))
+    ).join(cells.hint("merge"), ["_k", "_c"]).groupBy("_k", "_d").agg(F.max("_b").alias("_b"))
     left = points.select(F.struct(*points.columns).alias("_p"), F.col(point_key).alias("_k"), F.col(day).alias("_d"))
-    return left.join(got, ["_k", "_d"], "left").select(
+    return left.join(got.hint("merge"), ["_k", "_d"], "left").select(
         "_p.*", *(F.col(f"_b.q.{c}").alias(c if c not in points.columns else f"{c}_period") for c in cols)
     )
 
